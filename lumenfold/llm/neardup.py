@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -126,7 +125,7 @@ def _posted(classes: DataFrame, coordinates: int) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "h long, rep long")
 
 
-def _roots(n: int, links: np.ndarray) -> np.ndarray:
+def _forest(n: int, links: np.ndarray) -> np.ndarray:
     """Those of `links` (pairs of indices) that join two trees of the forest that the earlier ones make."""
     parent = list(range(n))
 
@@ -144,64 +143,113 @@ def _roots(n: int, links: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64).reshape(-1, 2)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by (h, i, j) in tables of whole groups, and where each group begins and the last one ends."""
+    rest: pa.Table | None = None
+
+    def cut(rows: pa.Table) -> np.ndarray:
+        keys = np.stack([rows.column(k).to_numpy() for k in ("h", "i", "j")])
+        return np.append(np.append(0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), rows.num_rows)
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        if rows.num_rows:
+            ends = cut(rows)
+            rest = rows.slice(int(ends[-2]))
+            if len(ends) > 2:
+                yield rows.slice(0, int(ends[-2])).combine_chunks(), ends[:-1]
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), cut(rest)
+
+
+def _pairs(ends: np.ndarray, first: np.ndarray, alone: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows to compare, about `most` at a time: all of a group whose blocks are one (`alone`), else those across its
+    two blocks, of which the rows in the first (`first`) come first."""
+    n, size = int(ends[-1]), np.diff(ends)
+    end = np.repeat(ends[1:], size)
+    second = np.repeat(ends[:-1] + np.add.reduceat(first, ends[:-1]), size)
+    begin = np.where(alone, np.arange(n) + 1, np.where(first, second, end))
+    total = np.concatenate(([0], np.cumsum(end - begin)))
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + most, side="right")) - 1)
+        count = (end - begin)[start:stop]
+        a = np.repeat(np.arange(start, stop), count)
+        if len(a):
+            yield a, begin[a] + np.arange(len(a)) - np.repeat(total[start:stop] - total[start], count)
+        start = stop
+
+
 def _colliding(matches: int, coordinates: int):
-    """For a pair of blocks of a posting list: the classes with `matches` collisions with another in it, counted here first."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h, i, j = int(rows["h"].iat[0]), int(rows["i"].iat[0]), int(rows["j"].iat[0])
-        one, two = rows[rows["block"] == i], rows[rows["block"] == j]
-        values = [np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(-1, coordinates) for x in (one, two)]
-        masks = [x["mask"].to_numpy().astype(np.uint64) for x in (one, two)]
-        count = np.zeros((len(one), len(two)), np.uint8)
-        early = np.zeros((len(one), len(two)), bool)
-        for k in range(coordinates):
-            same = values[0][:, k, None] == values[1][None, :, k]
-            count += same
-            if k < h >> 32:
-                early |= same & ((masks[0] >> np.uint64(k)) & np.uint64(1)).astype(bool)[:, None] & ((masks[1] >> np.uint64(k)) & np.uint64(1)).astype(bool)[None, :]
-        found = (count >= matches) & ~early
-        if i == j:
-            np.fill_diagonal(found, False)
-        touched = [x["rep"].to_numpy()[found.any(axis=axis)] for x, axis in ((one, 1), (two, 0))]
-        parts = [pd.DataFrame({"h": h, "i": i, "j": j, "rep": reps, "block": b}) for reps, b in zip(touched, (i, j))]
-        return parts[0] if i == j else pd.concat(parts)
+    """The classes with `matches` collisions with another one of their group that no earlier list has counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.arange(coordinates)
+        for rows, ends in _groups(batches):
+            values = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(-1, coordinates)
+            posted = (rows.column("mask").to_numpy()[:, None] >> places) & 1 > 0
+            own = rows.column("h").to_numpy() >> 32
+            i, j, block = (rows.column(k).to_numpy() for k in ("i", "j", "block"))
+            found = np.zeros(rows.num_rows, bool)
+            for a, b in _pairs(ends, block == i, i == j, 50_000):
+                same = values[a] == values[b]
+                a, b, same = (x[same.sum(axis=1) >= matches] for x in (a, b, same))
+                first = ~(same & posted[a] & posted[b] & (places < own[a, None])).any(axis=1)
+                found[a[first]] = found[b[first]] = True
+            yield from rows.select(["h", "i", "j", "rep", "block"]).filter(pa.array(found)).to_batches()
 
     return run
 
 
 def _linked(percent: int):
-    """For a pair of blocks with full sets: a spanning forest of its exact links."""
+    """A spanning forest of the exact links of each group, from full sets."""
+
+    def few(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+        common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in pairs.tolist()])
+        total = np.array([len(sets[a]) + len(sets[b]) for a, b in pairs.tolist()])
+        return pairs[100 * common >= percent * (total - common)]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        reps = rows["rep"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    def many(sets: list[np.ndarray]) -> np.ndarray:
+        """All links, by products of the incidence matrix of the shingles that two sets or more have."""
         sizes = np.array([len(s) for s in sets])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        begins = np.append(True, flat[1:] != flat[:-1])
-        column = np.cumsum(begins) - 1
+        column = np.cumsum(np.append(True, flat[1:] != flat[:-1])) - 1
         shared = np.bincount(column)[column] > 1
-        column, owner = column[shared], owner[shared]
+        column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
         both = np.zeros((len(sets), len(sets)), np.float32)
-        if len(column):
-            column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1
-            for low in range(0, int(column[-1]) + 1, 4096):
-                a, b = np.searchsorted(column, (low, low + 4096))
-                held = np.zeros((len(sets), 4096), np.float32)
-                held[owner[a:b], column[a:b] - low] = 1
-                both += held @ held.T
-        union = sizes[:, None] + sizes[None, :] - both
-        links = np.argwhere(np.triu(100 * both >= percent * union, 1))
-        if rows["i"].iat[0] != rows["j"].iat[0]:
-            blocks = rows["block"].to_numpy()
-            links = links[blocks[links[:, 0]] != blocks[links[:, 1]]]
-        forest = _roots(len(sets), links)
-        return pd.DataFrame({"a": reps[forest[:, 0]], "b": reps[forest[:, 1]]})
+        for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(column, (low, low + 4096))
+            held = np.zeros((len(sets), 4096), np.float32)
+            held[owner[a:b], column[a:b] - low] = 1
+            both += held @ held.T
+        return np.argwhere(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends in _groups(batches):
+            reps, shingle, i, j, block = (rows.column(k) for k in ("rep", "shingles", "i", "j", "block"))
+            reps, i, j, block = (x.to_numpy() for x in (reps, i, j, block))
+            kept = []
+            for start, stop in zip(ends, ends[1:]):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in shingle.slice(start, stop - start)]
+                pairs = np.argwhere(np.triu(np.ones((len(sets), len(sets)), bool), 1)) if len(sets) <= 8 else None
+                links = few(sets, pairs) if pairs is not None else many(sets)
+                if i[start] != j[start]:
+                    links = links[block[start + links[:, 0]] != block[start + links[:, 1]]]
+                kept.append(start + _forest(len(sets), links))
+            links = np.concatenate(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(reps[links[:, 0]]), pa.array(reps[links[:, 1]])], names=["a", "b"])
 
     return run
 
 
+def _by_group(rows: DataFrame) -> DataFrame:
+    """Rows of a group (h, i, j) in one partition, side by side, its first block before its second."""
+    return rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "block", "rep")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK
 ) -> DataFrame:
@@ -225,7 +273,7 @@ def near_duplicates(
     # each block meets itself and every other block of its list
     paired = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mask")
     paired = paired.join(classes, "rep")
-    meets = paired.groupBy("h", "i", "j").applyInPandas(_colliding(matches, coordinates), "h long, i int, j int, rep long, block int")
+    meets = _by_group(paired).mapInArrow(_colliding(matches, coordinates), "h long, i int, j int, rep long, block int")
     meets = shared_checkpoint(meets)
 
     wanted = docs.join(meets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -236,7 +284,7 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingles(part.column("text"))], pa.binary())], names=["rep", "shingles"])
 
     full = wanted.mapInArrow(sets, "rep long, shingles binary")
-    links = meets.join(full, "rep").groupBy("h", "i", "j").applyInPandas(_linked(percent), "a long, b long")
+    links = _by_group(meets.join(full, "rep")).mapInArrow(_linked(percent), "a long, b long")
     named = components(links)
     reps = classes.select("digest", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return signed.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
