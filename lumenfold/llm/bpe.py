@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from lumenfold.llm._text import slices
 
 #: Distinct words that a task remembers; beyond that it starts anew, which costs time and changes nothing else.
-REMEMBERED = 400_000
-CHUNK_BYTES = 8 << 20
+REMEMBERED = 300_000
+CHUNK_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=2)
@@ -134,14 +134,19 @@ class Encoder:
         self.known.update(zip(new, self.replay.encode([word.encode() for word in new])))
         return [b"".join(map(self.known.__getitem__, words)) for words in found]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.replay.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def decoded(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _local(path: str) -> str:
+    return path if path.startswith("/") else SparkFiles.get(path)
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
     """One for all tasks of a Python worker."""
-    return Encoder(path if path.startswith("/") else SparkFiles.get(path), pattern)
+    return Encoder(_local(path), pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,14 +165,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and `decoded` (binary, the bytes that the ids stand for). A null `ids` decodes to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        tokens = vocabulary(_local(path))[1]
         for batch in batches:
             for part in slices(batch, "ids"):
                 ids = [x or b"" for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(encoder.decode, ids), pa.binary())], names=["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array((decoded(x, tokens) for x in ids), pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
