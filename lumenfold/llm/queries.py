@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, chat, neardup, packing, quality, repetition, secrets, topk, urls
+from lumenfold.llm import bpe, chat, licenses, neardup, packing, quality, repetition, secrets, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,23 @@ FROM rows GROUP BY conv_id
 """
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH templates(license, text) AS (VALUES %s),
+told AS (SELECT license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM templates),
+own AS (SELECT DISTINCT license, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT license, w, unnest(range(1, len(w) - 3)) AS i FROM told)),
+sized AS (SELECT license, s, count(*) OVER (PARTITION BY license) AS n FROM own),
+read AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+placed AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM read)),
+met AS (SELECT doc_id, license, n, s, pos, unnest([pos // n, pos // n - 1]) AS win FROM placed JOIN sized USING (s)),
+held AS (SELECT doc_id, license, win, count(DISTINCT s) / any_value(n) AS containment, min(pos) AS first_word FROM met WHERE win >= 0 GROUP BY ALL)
+SELECT doc_id, license, max(containment) AS containment, min(first_word) AS first_word FROM held WHERE containment >= 0.8 GROUP BY ALL
+""" % ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
@@ -111,8 +128,8 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_packing, op3_bpe, op4_chat, op6_topk, op7_quality, op8_secrets, op9_urls, op10_neardup)}
+    return {f.__name__: f for f in (op1_repetition, op2_packing, op3_bpe, op4_chat, op5_licenses, op6_topk, op7_quality, op8_secrets, op9_urls, op10_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op6_topk": OP6_SQL}
+    return {"op4_chat": OP4_SQL, "op5_licenses": OP5_SQL, "op6_topk": OP6_SQL}

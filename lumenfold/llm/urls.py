@@ -24,8 +24,8 @@ BUCKETS, LENGTHS = 1 << 16, (3, 4, 5)
 
 # Names that show what a site is for. Each stands in a few urls of the labelled table.
 BLOCKED_NAMES = (
-    "casino slots poker jackpot roulette betting free-bets bet-now lucky-win casino-win porn adult adult-x xxx sex-cams escort nude "
-    "pills cheap-pills viagra pharma-deal diet-pills spam spam-farm link-farm seo-farm ads ads-track adserver ad-click tracker track-me popunder banner-ads "
+    "casino casino-royal slots poker jackpot roulette betting best-bets bet-now lucky-win win-big porn adult adult-zone xxx sex-cams escort nude "
+    "pills pills-online viagra pharma-deal diet-pills cheap-meds spam spam-hub link-farm seo-farm ads ad-tracker adserver ad-click tracker track-me popunder banner-ads "
     "payday-loans fast-cash crypto-double free-iphone prize-claim warez cracked-keys torrent-hub replica-watches phish-login malware-drop"
 ).split()
 ALLOWED_NAMES = (
@@ -69,8 +69,11 @@ def grams(host: Column, path: Column) -> Column:
 
     def of(text: Column, mark: str) -> Column:
         letters = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-        every = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(letters) - n + 1)), lambda i, n=n: F.concat(F.lit(mark), F.array_join(F.slice(letters, i, n), ""))) for n in LENGTHS]
-        return F.concat(*every)
+
+        def long(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(letters) - n + 1)), lambda i: F.concat(F.lit(mark), F.array_join(F.slice(letters, i, n), "")))
+
+        return F.concat(*map(long, LENGTHS))
 
     return F.concat(of(host, "h"), of(path, "p"))
 
