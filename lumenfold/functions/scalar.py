@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ DAY_MS = 86_400_000
 KINDS = ("trip", "place", "day", "scene", "burst", "screenshot", "device", "monthly")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, wherever the optimizer moves or copies the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def round_half_up(x: Column) -> Column:
     """To the nearest whole number, halves upward (Spark's round goes away from zero)."""
     return F.floor(x + 0.5)

@@ -5,26 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.scalar import hex_channel
+from lumenfold.functions.scalar import bound, hex_channel, hsv
 
 SCREENSHOT, NIGHT, SUNSET, SKY, GREEN, FOOD, MONO, PEOPLE, WARM, MISC = "スクショ", "夜景", "夕焼け", "青空", "みどり", "グルメ", "モノクロ", "人物", "あたたかい色", "いろいろ"
 SCREENSHOT_NAME = r"(?i)scre[ _-]?shot|スクリーンショット|スクショ"
 
 
-def with_warmth(photos: DataFrame) -> DataFrame:
-    """`photos` with `warm_hue`: whether the main colour is reddish; false without one. In steps, so that no part is worked out twice."""
-    rows = photos.withColumns({f"__{k}": hex_channel(F.col("top_hex"), at) for at, k in enumerate("rgb")})
-    rows = rows.withColumns({"__high": F.greatest("__r", "__g", "__b"), "__span": F.greatest("__r", "__g", "__b") - F.least("__r", "__g", "__b")})
-    r, g, b, high, span = (F.col(f"__{k}") for k in ("r", "g", "b", "high", "span"))
-    turn = F.when(high == r, F.try_divide(g - b, span) % 6).when(high == g, F.try_divide(b - r, span) + 2).otherwise(F.try_divide(r - g, span) + 4)
-    rows = rows.withColumn("__hue", F.coalesce(turn * 60, F.when(span == 0, 0.0)))
-    hue = F.col("__hue")
-    # hues under zero are those of 300 to 360 degrees
-    warm = F.coalesce(hue.between(-30, 45) | hue.between(330, 360), F.lit(False))
-    return rows.withColumn("warm_hue", warm).drop("__r", "__g", "__b", "__high", "__span", "__hue")
+def warm_hue(top_hex: Column) -> Column:
+    """Whether the main colour is reddish; false without one."""
+    channels = F.struct(*(hex_channel(top_hex, at).alias(k) for at, k in enumerate("rgb")))
+    return bound(bound(channels, lambda c: hsv(c["r"], c["g"], c["b"])[0]), lambda hue: F.coalesce(hue.between(0, 45) | hue.between(330, 360), F.lit(False)))
 
 
-def rules() -> list[tuple[str, Column]]:
+def rules(warm: Column) -> list[tuple[str, Column]]:
     """(label, score) in order; a null score means that the rule doesn't hold."""
     c = F.col
     named = F.coalesce(c("name").rlike(SCREENSHOT_NAME), F.lit(False))
@@ -33,24 +26,31 @@ def rules() -> list[tuple[str, Column]]:
     return [
         (SCREENSHOT, F.when(named & flat, 0.95).when(named, 0.85).when(flat, 0.65)),
         (NIGHT, F.when(c("brightness") < 0.12, 0.8).when(c("brightness") < 0.22, 0.66).when((c("iso") >= 1600) & (c("brightness") < 0.4), 0.6)),
-        (SUNSET, F.when(c("warm_hue") & (c("aspect") >= 1.2) & (c("warmth") > 0.12) & c("brightness").between(0.3, 0.78) & (c("colorfulness") > 25), 0.6)),
+        (SUNSET, F.when(warm & (c("aspect") >= 1.2) & (c("warmth") > 0.12) & c("brightness").between(0.3, 0.78) & (c("colorfulness") > 25), 0.6)),
         (SKY, F.when((c("blue_top_ratio") > 0.4) & (c("brightness") > 0.55) & (c("edge_density") < 0.15), F.least(F.lit(0.85), c("blue_top_ratio") - 0.4 + 0.6))),
         (GREEN, F.when((c("green_ratio") > 0.35) & (c("saturation") > 0.3), F.least(F.lit(0.85), c("green_ratio") - 0.35 + 0.6))),
         (FOOD, F.when((c("warmth") > 0.05) & (c("saturation") > 0.4) & (c("colorfulness") > 40) & (c("edge_density") < 0.35), 0.56)),
         (MONO, F.when((c("saturation") < 0.12) & filmed & (c("edge_density") < 0.5) & (c("brightness") > 0.1), 0.7)),
-        (PEOPLE, F.when((c("aspect") < 1) & (c("f_number") < 2.8) & c("warm_hue") & (c("saturation") > 0.15) & (c("saturation") < 0.6), 0.56)),
+        (PEOPLE, F.when((c("aspect") < 1) & (c("f_number") < 2.8) & warm & (c("saturation") > 0.15) & (c("saturation") < 0.6), 0.56)),
         (WARM, F.when(c("warmth") > 0.15, 0.5)),
     ]
 
 
+def scene() -> Column:
+    """A struct (label, score) of a photo row: the first rule that holds, or a label for the rest."""
+    rest = F.struct(F.lit(MISC).alias("label"), F.lit(0.4).alias("score"))
+
+    def first(warm: Column) -> Column:
+        return F.coalesce(*(F.when(score.isNotNull(), F.struct(F.lit(name).alias("label"), score.alias("score"))) for name, score in rules(warm)), rest)
+
+    return bound(warm_hue(F.col("top_hex")), first)
+
+
 def classify(photos: DataFrame) -> DataFrame:
-    """`photos` with `scene` (a label) and `scene_confidence`: the first rule that holds, or a label for the rest."""
-    first = F.coalesce(*(F.when(score.isNotNull(), F.struct(F.lit(name).alias("label"), score.alias("score"))) for name, score in rules()), F.struct(F.lit(MISC).alias("label"), F.lit(0.4).alias("score")))
-    rows = with_warmth(photos).withColumn("__scene", first)
-    return rows.withColumns({"scene": F.col("__scene.label"), "scene_confidence": F.col("__scene.score")}).drop("__scene", "warm_hue")
+    """`photos` with `scene` (a label) and `scene_confidence`."""
+    return photos.withColumn("__scene", scene()).withColumns({"scene": F.col("__scene.label"), "scene_confidence": F.col("__scene.score")}).drop("__scene")
 
 
 def labelled(photos: DataFrame, floor: float = 0.55) -> DataFrame:
     """`photos` with `label`: the scene if it can make an album, else null."""
-    fit = (F.col("scene_confidence") >= floor) & ~F.col("scene").isin(MISC, PEOPLE)
-    return classify(photos).withColumn("label", F.when(fit, F.col("scene"))).drop("scene", "scene_confidence")
+    return photos.withColumn("label", bound(scene(), lambda s: F.when((s["score"] >= floor) & ~s["label"].isin(MISC, PEOPLE), s["label"])))
