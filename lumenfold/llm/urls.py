@@ -68,12 +68,14 @@ def grams(host: Column, path: Column) -> Column:
     """The character n-grams of host and path, marked by which they come from."""
 
     def of(text: Column, mark: str) -> Column:
-        letters = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+        def every(letters: Column) -> Column:
+            def long(n: int) -> Column:
+                return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(letters) - n + 1)), lambda i: F.concat(F.lit(mark), F.array_join(F.slice(letters, i, n), "")))
 
-        def long(n: int) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(letters) - n + 1)), lambda i: F.concat(F.lit(mark), F.array_join(F.slice(letters, i, n), "")))
+            return F.concat(*map(long, LENGTHS))
 
-        return F.concat(*map(long, LENGTHS))
+        # bound in a lambda, so that a text is split once and not for every gram
+        return F.element_at(F.transform(F.array(F.split(F.concat(F.lit("^"), text, F.lit("$")), "")), every), 1)
 
     return F.concat(of(host, "h"), of(path, "p"))
 
