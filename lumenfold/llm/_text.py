@@ -11,24 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder that all executors share, and read from there from now on.
-
-    The folder is the session's `spark.checkpoint.dir`; only where it is unset (tests), a temporary one is made.
-    """
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of `batch`, in order, with at most `most` bytes of `column` each (or one row)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

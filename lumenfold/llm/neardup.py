@@ -33,8 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm._text import as_texts, shared_checkpoint, slices, words
-from lumenfold.llm.graph import components
+from lumenfold.checkpoint import shared_checkpoint
+from lumenfold.llm._text import as_texts, slices, words
+from lumenfold.operators.components import components
 
 COORDINATES, MATCHES, PERCENT, WIDTH = 64, 40, 85, 5
 #: Classes in a block of a posting list.

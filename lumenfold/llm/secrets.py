@@ -285,8 +285,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
                 )
 
     windows = chosen.mapInArrow(label, "features binary, tags binary, secretive boolean")
-    # half of the windows with secrets, half without, the rest dropped by hash
-    taken = windows.withColumn("h", F.xxhash64("features")).withColumn("n", F.row_number().over(_by_hash())).where(F.col("n") <= TRAIN_WINDOWS // 2).drop("n", "h").collect()
+    # the same number with and without secrets, by hash; only the first of each task travel
+    ordered = [F.xxhash64("features"), "features", "tags"]
+    taken = [r for flag in (True, False) for r in windows.where(F.col("secretive") == flag).orderBy(*ordered).limit(TRAIN_WINDOWS // 2).collect()]
     if not any(r.secretive for r in taken):
         return None
     taken.sort(key=lambda r: (r.features, r.tags))
@@ -296,12 +297,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     return weights.astype(np.float32), moves.astype(np.float32)
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("secretive").orderBy("h", "features", "tags")
-
-
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and `found`: an array of (start, kind, end, secret_start) for each document. A map; no shuffle beside the fit."""
     model = fit(docs, id_col, text_col)
