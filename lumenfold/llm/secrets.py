@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.llm._text import as_texts, raw, slices
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -284,7 +285,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
                     names=["features", "tags", "secretive"],
                 )
 
-    windows = chosen.mapInArrow(label, "features binary, tags binary, secretive boolean")
+    windows = shared_checkpoint(chosen.mapInArrow(label, "features binary, tags binary, secretive boolean"))  # some MB; both sorts read it
     # the same number with and without secrets, by hash; only the first of each task travel
     ordered = [F.xxhash64("features"), "features", "tags"]
     taken = [r for flag in (True, False) for r in windows.where(F.col("secretive") == flag).orderBy(*ordered).limit(TRAIN_WINDOWS // 2).collect()]
