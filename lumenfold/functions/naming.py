@@ -159,3 +159,12 @@ def confidence_label(confidence: Column) -> Column:
 
 def confidence_word(confidence: Column) -> Column:
     return looked_up(confidence, CONFIDENCE_WORDS)
+
+
+def exif_text_ms(text: Column) -> Column:
+    """Epoch ms of `YYYY:MM:DD HH:MM:SS` as a wall clock; parts beyond their range carry over; null for anything else."""
+    form = r"^([0-9]{4}):([0-9]{2}):([0-9]{2})[ T]([0-9]{2}):([0-9]{2}):([0-9]{2})"
+    y, mo, d, h, mi, s = (F.try_to_number(F.nullif(F.regexp_extract(F.trim(text), form, k), F.lit("")), F.lit("9999")).cast("int") for k in range(1, 7))
+    month = F.add_months(F.make_date(F.when(y < 100, y + 1900).otherwise(y), F.lit(1), F.lit(1)), mo - 1)
+    days = F.unix_date(F.date_add(month, d - 1)).cast("long")
+    return F.when((y > 0) & (mo > 0) & (d > 0), days * 86_400_000 + ((h * 60 + mi) * 60 + s).cast("long") * 1000)

@@ -156,6 +156,73 @@ CTES |= {
 }
 
 
+_RANK = "list_position(['trip', 'place', 'day', 'scene', 'burst', 'screenshot', 'device', 'monthly'], {0})"
+_SUMS = "count(*) AS n, min(taken_at) AS date_start, max(taken_at) AS date_end, arg_min(id, (-score, id)) AS cover_id"
+
+
+def _month_day(ms: str) -> str:
+    return f"month({ms}) || '月' || day({ms}) || '日'"
+
+
+_START = "(DATE '1970-01-01' + floor(coalesce(date_start, 0) / 86400000.0)::INT)"
+_TITLE = f"""CASE kind
+  WHEN 'trip' THEN CASE WHEN place_known THEN place_name || '、' || CASE WHEN nights > 0 THEN nights || '泊' || (nights + 1) || '日の旅' ELSE '日帰り旅' END ELSE 'はじめての場所への旅' END
+  WHEN 'place' THEN CASE WHEN place_home THEN 'いつもの場所' WHEN place_known THEN place_name || 'あたり' ELSE 'はじめての場所' END
+  WHEN 'day' THEN coalesce({_holiday(_START)}, {_month_day(_START)}) || 'のおでかけ'
+  WHEN 'burst' THEN CASE WHEN subtype = 'dup' THEN 'にたものコレクション' ELSE 'そっくりさんフォト（' || n || '枚）' END
+  WHEN 'scene' THEN {_case("scene_label", naming.SCENE_TITLES, "'いろいろな写真'")}
+  WHEN 'screenshot' THEN 'スクショ整理' WHEN 'device' THEN device_model || 'で撮った写真'
+  ELSE CASE WHEN year IS NOT NULL THEN year || '年' || month || '月のこと' ELSE 'いつかの写真たち' END END"""
+_EMOJI = f"""CASE kind WHEN 'trip' THEN CASE WHEN place_known THEN '🚅' ELSE '🧭' END WHEN 'place' THEN CASE WHEN place_home THEN '🏠' ELSE '📍' END
+  WHEN 'day' THEN {_case(f"month({_START})", naming.SEASON_EMOJI, "NULL")} WHEN 'burst' THEN CASE WHEN subtype = 'dup' THEN '🖇️' ELSE '👯' END
+  WHEN 'scene' THEN {_case("scene_label", naming.SCENE_EMOJI, "'🗂️'")} WHEN 'screenshot' THEN '📱' WHEN 'device' THEN '📷' ELSE '🗓️' END"""
+
+CTES |= {
+    "assigned": (("scenes", "burst_members", "in_events", "places_of", "homes"), """SELECT s.*, b.burst, e.event_kind, e.event, p.place, h.home_lat, h.home_lon FROM scenes s
+      LEFT JOIN burst_members b ON b.library_id = s.library_id AND b.id = s.id LEFT JOIN in_events e ON e.library_id = s.library_id AND e.id = s.id
+      LEFT JOIN places_of p ON p.library_id = s.library_id AND p.id = s.id LEFT JOIN homes h ON h.library_id = s.library_id"""),
+    "members": (("assigned",), f"""SELECT *, event_kind AS kind, event_kind || ':' || event AS draft FROM assigned WHERE event IS NOT NULL
+      UNION ALL SELECT *, 'place', 'place:' || place FROM assigned WHERE place IS NOT NULL UNION ALL SELECT *, 'burst', 'burst:' || burst FROM assigned WHERE burst IS NOT NULL
+      UNION ALL SELECT *, CASE label WHEN '{SCREENSHOT}' THEN 'screenshot' ELSE 'scene' END, CASE label WHEN '{SCREENSHOT}' THEN 'screenshot:' ELSE 'scene:' END || label FROM assigned WHERE label IS NOT NULL
+      UNION ALL SELECT *, 'device', 'device:' || camera_model FROM assigned WHERE camera_model IS NOT NULL"""),
+    "summed": (("members",), f"""SELECT library_id, kind, draft, {_SUMS}, any_value(home_lat) AS home_lat, any_value(home_lon) AS home_lon,
+      coalesce(CASE WHEN kind = 'trip' THEN avg(lat) FILTER ({haversine('home_lat', 'home_lon', 'lat', 'lon')} > 30000) END, avg(lat)) AS mid_lat,
+      coalesce(CASE WHEN kind = 'trip' THEN avg(lon) FILTER ({haversine('home_lat', 'home_lon', 'lat', 'lon')} > 30000) END, avg(lon)) AS mid_lon FROM members GROUP BY 1, 2, 3"""),
+    "nearest": (("summed", "gazetteer"), f"SELECT library_id, draft, arg_min(g.name, (m, g.ord)) AS near_name, min(m) AS near_meters FROM (SELECT s.library_id, s.draft, g, {haversine('s.mid_lat', 's.mid_lon', 'g.lat', 'g.lon')} AS m FROM summed s, gazetteer g WHERE mid_lat IS NOT NULL AND kind IN ('trip', 'place', 'day')) GROUP BY 1, 2"),
+    "known": (("nearest", "events_of", "burst_groups"), f"""SELECT s.*, e.n_counted, e.nights, b.subtype, coalesce(near_meters <= CASE s.kind WHEN 'trip' THEN 8000 ELSE 1500 END, false) AS place_known, near_name AS place_name,
+      coalesce(s.kind IN ('trip', 'place', 'day') AND {haversine('home_lat', 'home_lon', 'mid_lat', 'mid_lon')} <= 1000, false) AS place_home,
+      (SELECT count(DISTINCT camera_model) FROM photos p WHERE p.library_id = s.library_id) AS n_models
+      FROM summed s LEFT JOIN nearest n ON n.library_id = s.library_id AND n.draft = s.draft LEFT JOIN events_of e ON e.library_id = s.library_id AND s.draft = e.event_kind || ':' || e.event
+      LEFT JOIN burst_groups b ON b.library_id = s.library_id AND s.draft = 'burst:' || b.burst"""),
+    "large": (("known",), """SELECT *, CASE WHEN kind IN ('trip', 'burst', 'screenshot') THEN 'high' WHEN kind = 'day' THEN CASE WHEN n_counted >= 8 THEN 'high' ELSE 'med' END WHEN kind = 'place' AND NOT place_known THEN 'low' ELSE 'med' END AS confidence,
+      CASE WHEN kind = 'scene' THEN substr(draft, 7) END AS scene_label, CASE WHEN kind = 'device' THEN substr(draft, 8) END AS device_model FROM known
+      WHERE CASE kind WHEN 'trip' THEN true WHEN 'day' THEN n_counted >= 5 WHEN 'place' THEN n >= 5 AND (place_known OR place_home) WHEN 'burst' THEN n >= 3 WHEN 'device' THEN n >= 30 AND n_models >= 2 ELSE n >= 6 END"""),
+    "alike": (("large",), f"""SELECT p.library_id, a, b, kind_b FROM (SELECT x.library_id, x.draft AS a, y.draft AS b, y.kind AS kind_b, count(*) AS common FROM members x JOIN members y ON x.library_id = y.library_id AND x.id = y.id AND {_RANK.format('x.kind')} < {_RANK.format('y.kind')} GROUP BY ALL) p
+      JOIN large q ON q.library_id = p.library_id AND q.draft = p.a JOIN large r ON r.library_id = p.library_id AND r.draft = p.b WHERE common / (q.n + r.n - common) > 0.8"""),
+}
+_GONE = "alike"
+for _level, _kind in enumerate(("place", "day", "scene", "burst", "screenshot", "device")):
+    _before = f"UNION SELECT library_id, draft FROM gone{_level - 1}" if _level else ""
+    _not = f"AND NOT EXISTS (SELECT 1 FROM gone{_level - 1} g WHERE g.library_id = s.library_id AND g.draft = s.a)" if _level else ""
+    CTES[f"gone{_level}"] = ((_GONE,), f"SELECT library_id, b AS draft FROM alike s WHERE kind_b = '{_kind}' {_not} {_before}")
+    _GONE = f"gone{_level}"
+CTES |= {
+    "kept": ((_GONE,), f"SELECT * FROM large WHERE (library_id, draft) NOT IN (SELECT (library_id, draft) FROM {_GONE})"),
+    "in_kept": (("kept",), "SELECT m.* FROM members m JOIN kept k ON k.library_id = m.library_id AND k.draft = m.draft"),
+    "rest": (("in_kept",), """SELECT *, 'monthly:' || coalesce(year, 0) || ':' || coalesce(month, 0) AS draft FROM (SELECT *, year(DATE '1970-01-01' + floor(taken_at / 86400000.0)::INT) AS year, month(DATE '1970-01-01' + floor(taken_at / 86400000.0)::INT) AS month FROM assigned)
+      WHERE (library_id, id) NOT IN (SELECT (library_id, id) FROM in_kept)"""),
+    "everyone": (("rest",), "SELECT library_id, id, draft, kind, taken_at, label FROM in_kept UNION ALL SELECT library_id, id, draft, 'monthly', taken_at, label FROM rest"),
+    "merged": (("everyone",), f"""SELECT library_id, draft, kind, n, cover_id, date_start, date_end, nights, subtype, place_known, place_home, place_name, confidence, scene_label, device_model, NULL::BIGINT AS year, NULL::BIGINT AS month FROM kept
+      UNION ALL SELECT library_id, draft, 'monthly', n, cover_id, date_start, date_end, NULL, NULL, false, false, NULL, 'low', NULL, NULL, year, month FROM (SELECT library_id, draft, year, month, {_SUMS} FROM rest GROUP BY ALL)"""),
+    "tags": (("merged",), """SELECT library_id, draft, string_agg(label, ',' ORDER BY k) AS scene_tags FROM (SELECT e.library_id, e.draft, e.label, row_number() OVER (PARTITION BY e.library_id, e.draft ORDER BY count(*) DESC, e.label) AS k
+      FROM everyone e JOIN merged m ON m.library_id = e.library_id AND m.draft = e.draft WHERE e.label IS NOT NULL AND e.label IS DISTINCT FROM m.scene_label GROUP BY 1, 2, 3) WHERE k <= 3 GROUP BY 1, 2"""),
+    "listed": (("merged",), "SELECT library_id, draft, string_agg(id, ',' ORDER BY CASE WHEN kind = 'place' THEN 0 ELSE coalesce(taken_at, 4611686018427387904) END, id) AS photo_ids FROM everyone GROUP BY 1, 2"),
+    "albums": (("tags", "listed"), f"""SELECT m.library_id, row_number() OVER (PARTITION BY m.library_id ORDER BY {_RANK.format('kind')}, date_end DESC NULLS LAST, kind || '-' || cover_id)::INTEGER AS rank, kind || '-' || cover_id AS album_id, kind,
+      {_TITLE} AS title, {_EMOJI} AS emoji, confidence, n, photo_ids, cover_id, coalesce(scene_tags, '') AS scene_tags, date_start, date_end
+      FROM merged m JOIN listed l ON l.library_id = m.library_id AND l.draft = m.draft LEFT JOIN tags t ON t.library_id = m.library_id AND t.draft = m.draft"""),
+}
+
+
 def with_ctes(names: tuple[str, ...], select: str) -> str:
     """`select` after all common table expressions that it needs, each once."""
     order: list[str] = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.functions import naming, scalar
+from lumenfold.functions import naming, pixels, scalar
 from lumenfold.functions.scene import SCREENSHOT, SCREENSHOT_NAME, classify, labelled
 from lumenfold.operators import bursts, places
 from lumenfold.operators import timeline as tl
@@ -194,7 +194,32 @@ def _paint():
     return (key * 7) % 256, (key * 31) % 256, (key * 101) % 256
 
 
-@query()
+@query("albums", sql="SELECT * FROM albums")
 def albums(spark, sf_dir):
-    """The flagship."""
-    return build_albums(read_photos(spark, sf_dir))
+    """The flagship, without its reasons: the seconds in them are rounded by a rule that SQL lacks."""
+    return build_albums(read_photos(spark, sf_dir)).drop("reason")
+
+
+@query()
+def album_reasons(spark, sf_dir):
+    return build_albums(read_photos(spark, sf_dir)).select("library_id", "album_id", "reason")
+
+
+@query(
+    "ev",
+    sql="SELECT e AS event_id, ms // 1000 * 1000 AS taken_at FROM ev",
+)
+def exif_times(spark, sf_dir):
+    """Times written as EXIF text and read back."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy:MM:dd HH:mm:ss").alias("text"))
+    return events.select("event_id", naming.exif_text_ms(F.col("text")).alias("taken_at"))
+
+
+@query()
+def pixel_stats(spark, sf_dir):
+    """Features of a raster for each part, whose pixels are digests of its key; compared with plain numpy in the tests."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    bytes_of = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: F.md5(F.concat_ws(":", F.col("p_partkey").cast("string"), (i % 97).cast("string")).cast("binary"))), ""))
+    px = pixels.pixel_features(bytes_of, F.lit(64), F.lit(64), F.col("p_partkey").cast("long"))
+    return part.select("p_partkey", px.alias("px")).select("p_partkey", "px.phash", "px.ahash", F.round("px.brightness", 6).alias("brightness"), F.round("px.colorfulness", 4).alias("colorfulness"), F.round("px.edge_density", 6).alias("edge_density"), F.get("px.top_hexes", F.lit(0)).alias("top_hex"))
