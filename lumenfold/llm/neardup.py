@@ -15,7 +15,8 @@
 6. Components of the links name the groups.
 
 With 64 coordinates and a threshold of 40, a pair at similarity 0.85 passes step 4 with a probability over 0.99999,
-and a more similar one still more surely; what passes is confirmed exactly.
+and a more similar one still more surely; what passes is confirmed exactly. At lower percentages pass fewer `matches`:
+at similarity 0.80, 40 miss 3.5e-4 of the pairs and 36 miss 4.2e-6.
 
 Nulls and edge cases: a null or wordless text has an empty set and links with nothing; a text of fewer than five
 words is one shingle; long texts are taken whole; repeated rows (same id) count as one document; an empty table gives
@@ -291,7 +292,7 @@ def near_duplicates(
     return signed.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """The rows of `docs`, with all their columns, that are the smallest id of their group."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = near_duplicates(docs, id_col, text_col, percent, matches=matches).where("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -229,6 +229,38 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_kept(texts, percent):
+    """The smallest id of each group, from all pairs; documents without words are groups of their own."""
+    sets, parent = list(map(shingle_set, texts)), list(range(len(texts)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {k for k in range(len(texts)) if root(k) == k}
+
+
+def test_pipeline_links_near_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    texts = [None, "", "one two"]
+    for _ in range(60):
+        base = [f"w{r.randrange(5000)}" for _ in range(150)]
+        texts.append(" ".join(base))
+        for at in ((20, 70, 120), (20, 70, 100, 130), (20, 90)):  # similarities 0.814, 0.76, 0.87 to the first
+            texts.append(" ".join(f"new{r.randrange(10**6)}" if k in at else w for k, w in enumerate(base)))
+    r.shuffle(texts)
+    assert brute_kept(texts, 80) != brute_kept(texts, 85)
+    df = docs(spark, texts)
+    rows = corpus_pipeline.near_dedup(spark, df, "")
+    assert rows.columns == df.columns and sorted(x.doc_id for x in rows.collect()) == sorted(brute_kept(texts, 80))
+
+
 def test_pipeline_runs_on_small_tables(spark):
     import corpus_pipeline
 
