@@ -58,6 +58,30 @@ def test_repetition(spark):
     assert [r.doc_id for r in repetition.keep_good(docs(spark, texts)).collect()] == [k for k, r in sorted(got.items()) if r.kept]
 
 
+def test_repetition_limits_reject_what_the_base_rule_passes(spark):
+    fresh = iter(range(10**6))
+
+    def text(length, passage, times):
+        """`length` words, with a passage that stands `times` times between words of its own."""
+        own = [f"p{next(fresh)}" for _ in range(passage)]
+        between = [[f"w{next(fresh)}" for _ in range((length - times * passage) // times)] for _ in range(times)]
+        return " ".join(w for part in between for w in (*part, *own))
+
+    shapes = [(1000, 150, 3), (390, 30, 3), (400, 41, 2), (1200, 110, 2), (1200, 100, 2), (300, 19, 3), (300, 20, 3), (301, 20, 4), (200, 45, 2), (600, 13, 9), (500, 0, 1)]
+    texts = [text(*shape) for shape in shapes] + [text(20_000, 1000, 2), text(20_000, 90, 2)]
+    got = {r.doc_id: r for r in repetition.repetition_quality(docs(spark, texts)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    expected = []
+    for k, shape in enumerate(shapes):
+        repeats, inside = brute_repeats(texts[k].split()), set()
+        for at, m in enumerate(repeats):
+            inside |= set(range(at, at + m)) if m >= 20 else set()
+        expected.append(max(repeats) <= 100 and len(inside) <= 0.2 * len(repeats))
+    expected += [False, True]
+    assert {True, False} == set(expected[:-2]) and [got[k].kept for k in range(len(texts))] == expected
+    assert [r.doc_id for r in repetition.keep_good(docs(spark, texts)).orderBy("doc_id").collect()] == [k for k, x in enumerate(expected) if x]
+
+
 def test_bpe_equals_the_library(spark):
     base64, tiktoken, public = pytest.importorskip("base64"), pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     path = public.path("byte_bpe_50k.tiktoken")
