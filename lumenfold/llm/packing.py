@@ -70,7 +70,8 @@ def pack(docs: DataFrame, n_words: Column, source: Column, cluster: Column, id_c
     One shuffle, of a few numbers and the source for each document; the texts stay where they are.
     """
     sized = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(n_words, F.lit(0)).cast("long").alias("words"), source.cast("string").alias("source"), cluster.alias("cluster"))
-    blocks = max(1, docs.select(id_col).count() // block)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("words") / capacity))
+    blocks = max(1, (sized.agg(F.sum(parts)).first()[0] or 0) // block)
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("words") / capacity).cast("int") - 1))))
     pieces = pieces.select("doc_id", "piece", "source", "cluster", (F.col("piece").cast("long") * capacity).alias("start_word"), F.least(F.lit(capacity), F.col("words") - F.col("piece").cast("long") * capacity).alias("n_words"))
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))

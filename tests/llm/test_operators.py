@@ -110,6 +110,12 @@ def test_packing_has_no_conflicts_and_loses_no_word(spark):
         assert len({x.doc_id % 3 for x in own}) == len(own) and len({texts[x.doc_id] for x in own}) == len(own)
 
 
+def test_packing_blocks_are_bounded_for_long_texts(spark):
+    rows = packing.pack(docs(spark, ["w"] * 5 + [None]), F.when(F.col("doc_id") < 2, 25_000), F.lit(None), F.lit(None), capacity=100, block=64).collect()
+    assert len(rows) == 504 and max(Counter(r.bin_id >> 32 for r in rows).values()) <= 128
+    assert sum(r.n_words for r in rows) == 50_000
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.best_fit([6, 5, 4, 4], [1, 2, 1, 0], 10) == [0, 1, 1, 0]
 
