@@ -2,25 +2,33 @@
 
 Texts are cut into tokens (runs of letters, digits and + / _ -; single marks), and each is tagged B (a secret
 begins), I (it goes on) or O (outside). A token's features are its shape (kind, length, character sets, changes of
-set, share of digits), the kinds of the tokens around it, and features of its file (share of digits, whether it has
-a key word). The weights maximise the conditional log-likelihood on windows labelled by the fixed patterns, from
-documents chosen by a hash of their id: `TRAIN_DOCS` on average and `TRAIN_WINDOWS` windows at most, whatever the
-size of the corpus. The best tags come from the Viterbi recursion. A token whose score for O leads by more than all
-transitions could win back is O on every best path, so the recursion runs only over the stretches between such
-tokens, with the same result.
+set, share of digits, first letters), the kinds of the tokens around it, the two words before it, and features of its
+file (share of digits, whether it has a key word). None of them depends on other texts.
+
+The field learns from windows of documents chosen by a hash of their id: `TRAIN_DOCS` on average and `TRAIN_WINDOWS`
+windows at most, whatever the size of the corpus. The fixed patterns label some; in part of these the key word is
+replaced, so that shape and other neighbours must do. Secrets of forms that no fixed pattern knows (short assignments,
+tokens of services, bearers, bare keys, passwords in urls) are planted into the others, and look-alikes (identifiers,
+slugs, dates, versions, emails, paths) as negatives; windows with unlabelled tokens that might be secrets aren't learned from. The weights maximise the conditional log-likelihood. The best
+tags come from the Viterbi recursion. A token whose score for O leads by more than all transitions could win back is O
+on every best path, so the recursion runs only over the stretches between such tokens, with the same result.
 
 Spans are in code points, end exclusive. Spans of the fixed patterns always stay; spans found by the field are
 added where they touch none of those.
 
 Nulls and edge cases: a null or empty text has no spans; texts are taken whole; repeated rows are scanned each on its
-own; ties between tags go to O; an empty table, or one with no labelled secret, gives a field that adds nothing.
-Only the id and text columns are read, so other columns play no part.
+own; rows with a null id are scanned like others, but not trained on; ties between tags go to O; an empty table, or
+one without words in the sample, gives a field that adds nothing. Only the id and text columns are read, so other
+columns play no part.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.checkpoint import shared_checkpoint
+from lumenfold.llm._planted import harmless, secret
 from lumenfold.llm._text import as_texts, raw, slices
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
-TRAIN_DOCS, TRAIN_WINDOWS, WINDOW, ROUNDS = 10_000, 2_000, 24, 80
+#: Words that go with secrets, beside those of the fixed patterns.
+HINTS = (b"pwd", b"passphrase", b"bearer", b"credential", b"authorization", b"private_key", b"access_key")
+TRAIN_DOCS, TRAIN_WINDOWS, WINDOW, ROUNDS = 10_000, 3_000, 24, 60
+#: How much better than O the tags of a secret must be. The field was fitted on windows with many secrets; texts have few.
+CAUTION = 1.0
+#: Of one snippet, whatever its tokens are.
+MOST_CHARS = 2_000
 O, B, I = range(3)
 
 _CODE = np.arange(256)
@@ -50,9 +65,13 @@ _FOLD = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Kinds of tokens
 NONE, PLAIN, NUMBER, MIXED, LONG, EQUALS, COLON, QUOTE, MARK, KEYWORD, CAPITALS, JOINED = range(12)
 N_KINDS = 12
-#: Number of values of each feature, and where each begins in the weights.
-VALUES = (N_KINDS, 160, 12, 5, N_KINDS, N_KINDS, N_KINDS, N_KINDS, N_KINDS * N_KINDS, 8, 20)
+#: Buckets of words (0: none).
+BUCKETS = 512
+#: Number of values of each feature, and where each begins in the weights; the last weight is that of the void after a text.
+VALUES = (N_KINDS, 160, 12, 5, N_KINDS, N_KINDS, N_KINDS, N_KINDS, N_KINDS * N_KINDS, 8, 20, BUCKETS, BUCKETS, BUCKETS)
 BEGINS = np.concatenate(([0], np.cumsum(VALUES)))
+VOID = int(BEGINS[-1])
+_ODD, _EVEN_OUT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 class Tokens:
@@ -74,18 +93,42 @@ class Tokens:
         self.keyed = self._keywords()
 
     def _keywords(self) -> np.ndarray:
-        """Tokens that have a key word in them."""
-        hits = []
-        for word in KEYWORDS:
+        """Tokens that have a key word in them, whole."""
+        hits, ends = [], []
+        for word in KEYWORDS + HINTS:
             at = self.folded.find(word)
             while at >= 0:
                 hits.append(at)
+                ends.append(at + len(word))
                 at = self.folded.find(word, at + len(word))
         out = np.zeros(len(self.starts), bool)
         if hits and len(out):
-            out[np.maximum(np.searchsorted(self.starts, hits, side="right") - 1, 0)] = True
+            at = np.searchsorted(self.starts, hits, side="right") - 1
+            out[at[(at >= 0) & (self.ends[at] >= ends)]] = True
         return out
 
+    def _hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Buckets from 1 on of the folded bytes from each start to its end; the same bytes give the same bucket anywhere."""
+        power, back = (np.full(len(self.data) + 1, x, np.uint64) for x in (_ODD, pow(_ODD, -1, 2**64)))
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.frombuffer(self.folded, np.uint8).astype(np.uint64) * power[:-1], dtype=np.uint64)))
+        own = (total[ends] - total[starts]) * back[starts]
+        own = (own ^ (own >> np.uint64(29))) * np.uint64(_EVEN_OUT)
+        return 1 + ((own >> np.uint64(40)) % np.uint64(BUCKETS - 1)).astype(np.int64)
+
+    def _leads(self, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the last parts (after + / _ -) of the two words before each token, in its text and at most 4 tokens off; 0 for none."""
+        n = len(self.starts)
+        places = np.arange(len(self.data))
+        joint = np.concatenate(([-1], np.maximum.accumulate(np.where(_JOINT[self.data], places, -1))))
+        part = np.maximum(self.starts, joint[self.ends] + 1)
+        bucket = np.append(self._hashes(np.where(part < self.ends, part, self.starts), self.ends), 0)
+        word = np.concatenate(([-1], np.maximum.accumulate(np.where(mark, -1, np.arange(n)))[:-1])) if n else np.zeros(0, np.int64)
+        word = np.where((word >= 0) & (np.arange(n) - word <= 4) & (self.row[word] == self.row), word, -1) if n else word
+        second = np.where(word >= 0, np.append(word, -1)[word], -1)
+        return bucket[word], bucket[second]
+
     def count(self, table: np.ndarray) -> np.ndarray:
         """How many bytes of each token are in `table`."""
         total = np.concatenate(([0], np.cumsum(table[self.data], dtype=np.int32)))
@@ -111,6 +154,8 @@ class Tokens:
         size = np.searchsorted((4, 8, 12, 16, 18, 20, 24, 32, 40), length, side="right")
         have = (lower > 0) + 2 * (upper > 0) + 4 * (digit > 0) + 8 * (joint > 0)
         around = {step: self._near(kind, step) for step in (-3, -2, -1, 1)}
+        lead, second = self._leads(mark)
+        begin = self._hashes(self.starts, np.minimum(self.starts + 3, self.ends))
         digits = np.bincount(self.row, digit, len(self.bounds) - 1) / np.maximum(1, np.diff(self.bounds))
         file = np.searchsorted((0.002, 0.01, 0.05), digits) + 4 * (np.bincount(self.row, self.keyed, len(self.bounds) - 1) > 0)
         columns = (
@@ -125,6 +170,9 @@ class Tokens:
             around[-1] * N_KINDS + around[-2],
             file[self.row],
             size + 10 * ((hexa == length) & (digit > 0) & (letters > 0)),
+            lead,
+            second,
+            np.where(length >= 12, begin, 0),
         )
         return np.stack([c + b for c, b in zip(columns, BEGINS)], axis=1).astype(np.int32) if n else np.zeros((0, len(VALUES)), np.int32)
 
@@ -170,36 +218,110 @@ class Tokens:
         return total[places] - total[self.bounds[rows]]
 
 
-def train(features: np.ndarray, tags: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions that maximise the log-likelihood of `tags` (windows x length), less a small square penalty."""
+def _summed(x: np.ndarray, axis: int) -> np.ndarray:
+    """The logarithm of the sum of exponentials along a short axis."""
+    top = x.max(axis=axis, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+def likelihood(features: np.ndarray, tags: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of `tags` (windows x length), and its slopes by weights and by transitions.
+
+    Windows begin and end as after and before an O, as texts do.
+    """
     n, length, _ = features.shape
-    weights, moves = np.zeros((int(BEGINS[-1]), 3)), np.zeros((3, 3))
     gold = np.eye(3)[tags]
-    seen = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
+    scores = sum(weights[column] for column in np.moveaxis(features, 2, 0))
+    forward, backward = np.empty_like(scores), np.empty_like(scores)
+    forward[:, 0] = scores[:, 0] + moves[O]
+    for t in range(1, length):
+        forward[:, t] = scores[:, t] + _summed(forward[:, t - 1, :, None] + moves, axis=1)
+    backward[:, -1] = moves[:, O]
+    for t in range(length - 2, -1, -1):
+        backward[:, t] = _summed(moves + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
+    total = _summed(forward[:, -1] + moves[:, O], axis=1)
+    share = np.exp(forward + backward - total[:, None, None])
+    both = np.exp(forward[:, :-1, :, None] + moves + (scores + backward)[:, 1:, None, :] - total[:, None, None, None])
+    told = (gold * scores).sum() + moves[tags[:, :-1], tags[:, 1:]].sum() + moves[O, tags[:, 0]].sum() + moves[tags[:, -1], O].sum()
+    miss, slope = (gold - share).reshape(-1, 3), np.zeros_like(weights)
+    for column in features.reshape(-1, features.shape[2]).T:
+        for tag in range(3):
+            slope[:, tag] += np.bincount(column, miss[:, tag], len(weights))
+    turns = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:]) - both.sum(axis=(0, 1))
+    turns[O] += (gold - share)[:, 0].sum(axis=0)
+    turns[:, O] += (gold - share)[:, -1].sum(axis=0)
+    return float(told - total.sum()), slope, turns
+
+
+def train(features: np.ndarray, tags: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions that maximise the log-likelihood of `tags`, less a small square penalty."""
+    weights, moves = np.zeros((VOID + 1, 3)), np.zeros((3, 3))
     state = [np.zeros_like(x) for x in (weights, moves)]
-    flat = features.reshape(-1, features.shape[2])
     for _ in range(rounds):
-        scores = weights[features].sum(axis=2)
-        forward, backward = np.empty_like(scores), np.zeros_like(scores)
-        forward[:, 0] = scores[:, 0]
-        for t in range(1, length):
-            forward[:, t] = scores[:, t] + np.logaddexp.reduce(forward[:, t - 1, :, None] + moves, axis=1)
-        for t in range(length - 2, -1, -1):
-            backward[:, t] = np.logaddexp.reduce(moves + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-        total = np.logaddexp.reduce(forward[:, -1], axis=1)
-        share = np.exp(forward + backward - total[:, None, None])
-        both = np.exp(forward[:, :-1, :, None] + moves + (scores + backward)[:, 1:, None, :] - total[:, None, None, None])
-        miss = (gold - share).reshape(-1, 3)
-        slope = np.zeros_like(weights)
-        for column in flat.T:
-            for tag in range(3):
-                slope[:, tag] += np.bincount(column, miss[:, tag], len(weights))
-        for x, s, d in zip((weights, moves), state, (slope - 0.05 * weights, seen - both.sum(axis=(0, 1)) - 0.05 * moves)):
+        _, *slopes = likelihood(features, tags, weights, moves)
+        for x, s, d in zip((weights, moves), state, slopes):
+            d = d - 0.05 * x
             s += d * d
             x += 0.5 * d / np.sqrt(s + 1e-9)
     return weights, moves
 
 
+def lessons(snippets: list[str], secretive: list[str], count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
+    """`count` texts with the places of their secrets, in code points: from `secretive`, which have matches of the fixed patterns, and
+    from `snippets` with planted secrets and look-alikes. They depend on these and the seed only."""
+    r, out = Random(seed), []
+    for k in range(count):
+        if secretive and k % 4 == 0:
+            text = secretive[k // 4 % len(secretive)]
+            marked = [(x[3], x[2]) for x in scan(pa.array([text], pa.large_string()), None)[0]]
+            if r.random() < 0.5 and len(marked) == 1:  # with another word, or none, before it
+                at, end = marked[0]
+                word = re.search(r"""\S+\s*[:=]?\s*["']?$""", text[:at])
+                lead = r.choice(("", "", secret(r)[0]))
+                before = (text[: word.start()] if word else text[:at]) + lead
+                text, marked = before + text[at:], [(len(before), len(before) + end - at)]
+        else:
+            text, marked = snippets[k % len(snippets)] if snippets else "", []
+            cuts = [m.end() for m in re.finditer(r"\s+", text)] or [len(text)]
+            for _ in range(r.choice((1, 1, 2))):
+                at = r.choice(cuts)
+                before, own, after = secret(r) if r.random() < 0.5 else (harmless(r), "", "")
+                if any(a < at < b for a, b in marked):
+                    continue
+                gap = " " if at and not text[at - 1].isspace() else ""
+                new = f"{gap}{before}{own}{after} "
+                marked = [(a + len(new), b + len(new)) if a >= at else (a, b) for a, b in marked]
+                text = text[:at] + new + text[at:]
+                cuts = [c + len(new) if c >= at else c for c in cuts]
+                if own:
+                    marked.append((at + len(gap) + len(before), at + len(gap) + len(before) + len(own)))
+            marked += [(x[3], x[2]) for x in scan(pa.array([text], pa.large_string()), None)[0]]
+        out.append((text, sorted(marked)))
+    return out
+
+
+def windows_of(told: list[tuple[str, list[tuple[int, int]]]], seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Features and tags of a window of each text, about its first secret if it has any; shorter texts are filled up with void."""
+    texts = pa.array([t for t, _ in told], pa.large_string())
+    tokens, r = Tokens(texts), Random(seed)
+    own = np.vstack([tokens.features(), np.full((1, len(VALUES)), VOID, np.int32)])
+    begins = np.searchsorted(tokens.row, np.arange(len(told) + 1))
+    features, tags = np.full((len(told), WINDOW, len(VALUES)), VOID, np.int32), np.zeros((len(told), WINDOW), np.int64)
+    ends = tokens.points(tokens.ends, tokens.row)
+    starts = tokens.points(tokens.starts, tokens.row)
+    for k, (_, marked) in enumerate(told):
+        low, high = int(begins[k]), int(begins[k + 1])
+        tag = np.zeros(high - low, np.int64)
+        for a, b in marked:
+            x, y = np.searchsorted(ends[low:high], a, side="right"), np.searchsorted(starts[low:high], b)
+            tag[x:y], tag[x : x + 1] = I, B
+        first = int(np.flatnonzero(tag == B)[0]) if (tag == B).any() else r.randrange(max(1, high - low))
+        at = min(max(0, first - r.randrange(4, WINDOW - 4)), max(0, high - low - WINDOW))
+        size = min(WINDOW, high - low - at)
+        features[k, :size], tags[k, :size] = own[low + at : low + at + size], tag[at : at + size]
+    return features, tags
+
+
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """The best tags of a stretch that has an O, or the edge of the text, on both sides."""
     best = scores[0] + moves[O]
@@ -220,6 +342,7 @@ def tagged(features: np.ndarray, rows: np.ndarray, weights: np.ndarray, moves: n
     scores = np.zeros((len(features), 3))
     for column in features.T:
         scores += weights[column]
+    scores[:, B] -= CAUTION
     settled = scores[:, O] - scores[:, 1:].max(axis=1, initial=-np.inf) > 2 * (moves.max() - moves.min())
     tags = np.zeros(len(scores), np.int64)
     open_ = np.flatnonzero(~settled)
@@ -254,47 +377,56 @@ def scan(texts: pa.Array, model: tuple[np.ndarray, np.ndarray] | None) -> list[l
     for (row, kind, *_), (start, end, own) in zip(found, points.tolist()):
         by_row.setdefault(row, []).append((start, kind, end, own))
     for row, spans in by_row.items():
-        fixed = [s for s in spans if s[1] < 3]
-        spans = fixed + [s for s in spans if s[1] == 3 and not any(s[0] < f[2] and f[0] < s[2] for f in fixed)]
+        fixed = sorted(s for s in spans if s[1] < 3)
+        begins, reach = [s[0] for s in fixed], list(accumulate((s[2] for s in fixed), max))
+        spans = fixed + [s for s in spans if s[1] == 3 and not ((k := bisect_left(begins, s[2])) and reach[k - 1] > s[0])]
         out[row] = [(start, KINDS[kind], end, own) for start, kind, end, own in sorted(spans)]
     return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray] | None:
-    """The weights and transitions, from windows that tasks label and the driver gathers (`TRAIN_WINDOWS` at most)."""
+    """The weights and transitions, from snippets that tasks cut and the driver gathers (`TRAIN_WINDOWS` at most, of `MOST_CHARS` at most)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     total = rows.count()
     part = int(2**20 * min(1.0, train_docs / max(1, total)))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < part)
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of `WINDOW` tokens: one with the first match of a fixed pattern of a text, and one at a place that its length gives.
+
+        Parts with anything else that mixes letters and digits are passed over, as nobody says that it is no secret.
+        """
         for batch in batches:
             for piece in slices(batch, "text"):
                 tokens = Tokens(as_texts(piece.column("text")))
-                features, tags = tokens.features(), np.zeros(len(tokens.starts), np.int8)
-                for _, _, _, end, own in sorted(tokens.base()):
-                    a, b = np.searchsorted(tokens.ends, own, side="right"), np.searchsorted(tokens.starts, end)
-                    tags[a:b], tags[a : a + 1] = I, B
-                secret = np.flatnonzero(tags == B)
-                middle = np.unique(tokens.row, return_index=True)[1] + 40
-                at = np.concatenate([secret - WINDOW // 2, secret - WINDOW // 4, middle])
-                at = np.unique(at[(at >= 0) & (at + WINDOW <= len(tags))])
-                secretive = [bool(tags[x : x + WINDOW].any()) for x in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([features[x : x + WINDOW].astype("<i4").tobytes() for x in at], pa.binary()), pa.array([tags[x : x + WINDOW].tobytes() for x in at], pa.binary()), pa.array(secretive, pa.bool_())],
-                    names=["features", "tags", "secretive"],
-                )
-
-    windows = shared_checkpoint(chosen.mapInArrow(label, "features binary, tags binary, secretive boolean"))  # some MB; both sorts read it
-    # the same number with and without secrets, by hash; only the first of each task travel
-    ordered = [F.xxhash64("features"), "features", "tags"]
-    taken = [r for flag in (True, False) for r in windows.where(F.col("secretive") == flag).orderBy(*ordered).limit(TRAIN_WINDOWS // 2).collect()]
-    if not any(r.secretive for r in taken):
+                rows, first, count = np.unique(tokens.row, return_index=True, return_counts=True)
+                doubtful, match = np.isin(tokens.features()[:, 0], (MIXED, LONG)) & (tokens.ends - tokens.starts >= 8), {}
+                for row, _, _, end, own in sorted(tokens.base(), reverse=True):
+                    match[row] = own
+                    doubtful[np.searchsorted(tokens.ends, own, side="right") : np.searchsorted(tokens.starts, end)] = False
+                doubts = np.concatenate(([0], np.cumsum(doubtful)))
+                found = []
+                for row, low, n in zip(rows.tolist(), first.tolist(), count.tolist()):
+                    size = min(n, WINDOW)
+                    at = np.arange(low, low + n - size + 1)
+                    own = np.searchsorted(tokens.ends, match.get(row, 0), side="right")
+                    sure = doubts[at + size] == doubts[at]
+                    # the first window from a place that the length gives, and one with the match
+                    turn = (at - low - (n * 2_654_435_761 >> 7)) % len(at)
+                    places = [(at[sure][turn[sure].argmin()], False)] if sure.any() else []
+                    if row in match and (sure := sure & (at <= own) & (own < at + size)).any():
+                        places.append((at[sure][abs(at[sure] + size // 2 - own).argmin()], True))
+                    for begin, secretive in places:
+                        a, b = tokens.starts[begin], tokens.ends[begin + size - 1]
+                        found.append((tokens.data[a:b].tobytes().decode()[:MOST_CHARS], secretive))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.bool_())], names=["snippet", "secretive"])
+
+    snippets = shared_checkpoint(chosen.mapInArrow(cut, "snippet string, secretive boolean").distinct())  # some MB; both sorts read it
+    # by hash; only the first of each task travel
+    known, plain = ([r.snippet for r in snippets.where(F.col("secretive") == flag).orderBy(F.xxhash64("snippet"), "snippet").limit(TRAIN_WINDOWS // 2).collect()] for flag in (True, False))
+    if not plain:
         return None
-    taken.sort(key=lambda r: (r.features, r.tags))
-    features = np.frombuffer(b"".join(bytes(r.features) for r in taken), "<i4").reshape(len(taken), WINDOW, -1)
-    tags = np.frombuffer(b"".join(bytes(r.tags) for r in taken), np.int8).reshape(len(taken), WINDOW)
-    weights, moves = train(features, tags.astype(np.int64))
+    weights, moves = train(*windows_of(lessons(plain, known, TRAIN_WINDOWS)))
     return weights.astype(np.float32), moves.astype(np.float32)
 
 
