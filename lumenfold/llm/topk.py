@@ -1,32 +1,43 @@
 """Exact top-k search by inner product with a dual tree of cover trees.
 
-Data vectors are dealt by a hash of their id into blocks of about `BLOCK`; every query meets every block (a stated query
-set against all rows, in blocks). A task indexes its block in one cover tree, then takes the queries that
-stream in, `QUERIES` at a time, indexes them in a second one, and walks both: a pair of nodes is pruned if
+Data vectors are dealt by a hash of their id into blocks of `BLOCK` vectors or `BLOCK_VALUES` components on average; every
+query meets every block (a stated query set against all rows, in blocks). A task indexes its block in one cover tree, then
+takes the queries that stream in, `QUERIES` at a time, indexes them in a second one, and walks both: a pair of nodes is pruned if
 
     <q, x> + rq |x| + rx |q| + rq rx  <  the worst kth score of the queries in q
 
-where q and x are the nodes' centres and rq and rx their covering radii. At equal scores the smaller id wins, so a
-pair that could only tie is searched too. Each block returns its best k for each query, and a window over those
-few rows picks the final ones. Memory is bounded by the block; only the queries are replicated.
+where q and x are the nodes' centres and rq and rx their covering radii, with a margin for rounding. At equal scores the
+smaller id wins, so a pair that could only tie is searched too. The base of the tree, by which radii shrink, is chosen at each
+node from the spread that is measured there; points that no smaller ball gathers stay one leaf, as bounds could prune none
+of them. Each block returns its best k for each query, and a window over those few rows picks the final ones. Memory is
+bounded by the block; only the queries are replicated.
+
+Scores are whole numbers and exact: in floating point while |q| |x| is under 2^53, in 64-bit integers while it is under 2^63, and
+beyond that in integers of any length. They travel as two longs, so that they are ranked rightly at any size; a final score
+that no long can hold is shown as the largest or smallest long.
 
 Nulls and edge cases: vectors that are null or hold null or non-finite components, and null ids, take no part; only vectors
 of the query's length are its candidates; copies of a vector are searched as k + 1 of them with the smallest ids
 (the others could never be among a query's best k); rows with the same id count each, and none is a candidate of its own id;
-an empty table gives an empty result; other columns play no part.
+an empty table gives an empty result; other columns play no part. `quantized` raises an error if a component times the
+scale leaves the range of long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERIES, LEAF = 2048, 1024, 24
+BLOCK, BLOCK_VALUES, QUERIES, LEAF = 8192, 1 << 20, 1024, 24
+#: By how much radii shrink from a node to its children; the first that gathers points is taken.
+BASES = (2.0, 1.4)
+NONE = np.iinfo(np.int64).min
 
 
 @dataclass
@@ -41,61 +52,111 @@ class CoverTree:
     members: list[np.ndarray]
 
 
-def cover_tree(points: np.ndarray) -> CoverTree:
-    """Top down: the points of a node are covered by balls of half its radius about some of them, until few are left or all are equal.
+def cover_tree(vectors: np.ndarray) -> CoverTree:
+    """Top down: the points of a node are covered by smaller balls about some of them, until few are left, all are equal, or balls gather nothing.
 
-    Each ball's centre is further than that from the centres before it.
+    Each ball's centre is further than the balls' radius from the centres before it.
     """
-    squares = (points * points).sum(axis=1)
-    apart = np.sqrt(np.maximum(0, squares[:, None] + squares[None, :] - 2 * points @ points.T))
+    points = vectors.astype(np.float64)
     centres, radii, children, members = [], [], [], []
 
-    def add(centre: int, own: np.ndarray) -> int:
+    def apart(centre: int, own: np.ndarray) -> np.ndarray:
+        gap = points[own] - points[centre]
+        return np.sqrt(np.einsum("ij,ij->i", gap, gap)) * (1 + 1e-9)
+
+    def add(centre: int, own: np.ndarray, far: np.ndarray) -> int:
         centres.append(centre)
-        radii.append(float(apart[centre, own].max(initial=0)))
+        radii.append(float(far.max(initial=0)))
         children.append(np.zeros(0, np.int64))
         members.append(own)
         return len(centres) - 1
 
-    due = [add(0, np.arange(len(points)))] if len(points) else []
+    def cover(centre: int, own: np.ndarray, far: np.ndarray, reach: float, most: int) -> list[tuple[int, np.ndarray, np.ndarray]] | None:
+        """(centre, points, their distances) of each ball; None if there are more than `most`."""
+        balls, rest = [], own
+        while len(rest):
+            near = far <= reach
+            balls.append((centre, rest[near], far[near]))
+            rest = rest[~near]
+            if len(balls) > most or len(rest) > len(own) - len(balls) * len(own) / (2 * most) and len(balls) > most // 4:
+                return None
+            if len(rest):
+                centre = int(rest[0])
+                far = apart(centre, rest)
+        return balls
+
+    due = [add(0, np.arange(len(points)), apart(0, np.arange(len(points))))] if len(points) else []
     while due:
         node = due.pop()
-        own, reach = members[node], radii[node] / 2
-        if len(own) <= LEAF or reach == 0:
+        own, centre = members[node], centres[node]
+        if len(own) <= LEAF or radii[node] == 0:
             continue
-        balls, rest, centre = [], own, centres[node]
-        while len(rest):
-            near = apart[centre, rest] <= reach
-            balls.append(add(centre, rest[near]))
-            rest = rest[~near]
-            centre = int(rest[0]) if len(rest) else -1
-        children[node] = np.array(balls)
-        due += balls
+        far, few = apart(centre, own), own[:: max(1, len(own) // 128)]
+        for base in BASES:
+            reach = radii[node] / base
+            if len(few) < len(own) and cover(centre, few, apart(centre, few), reach, max(4, len(few) // 2)) is None:
+                continue
+            balls = cover(centre, own, far, reach, max(4, len(own) // 4))
+            if balls is not None:
+                children[node] = np.array([add(*ball) for ball in balls])
+                due += children[node].tolist()
+                break
     centre_points = points[centres] if centres else points
-    return CoverTree(points, centre_points, np.array(radii), np.sqrt((centre_points * centre_points).sum(axis=1)), children, members)
+    return CoverTree(vectors, centre_points, np.array(radii), np.sqrt((centre_points * centre_points).sum(axis=1)) * (1 + 1e-9), children, members)
+
+
+def longest(vectors: np.ndarray) -> float:
+    """An upper bound of the lengths of some vectors of whole numbers."""
+    floats = vectors.astype(np.float64)
+    return float(np.sqrt((floats * floats).sum(axis=1)).max(initial=0)) * (1 + 1e-9)
 
 
-def dual_search(data: CoverTree, data_ids: np.ndarray, queries: CoverTree, query_ids: np.ndarray, k: int) -> np.ndarray:
-    """For each query k keys, best first, score * (n + 1) + (n - place); places are in order of id; `LOW` where there are fewer."""
-    n = len(data_ids)
-    best = np.full((len(query_ids), k), LOW)
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All inner products of two tables of whole numbers, exactly; of type object where a product could leave 64 bits."""
+    size = longest(a) * longest(b)
+    if size < 2**53:
+        return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return a @ b.T if size < 2**63 else a.astype(object) @ b.astype(object).T
+
+
+def dual_search(data: CoverTree, data_ids: np.ndarray, queries: CoverTree, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each query its `k` best scores and their places in `data_ids` (which is in order), best first, and how many pairs were compared.
+
+    Places are -1 where there are fewer. Scores are of type object if any could leave 64 bits.
+    """
+    wide = longest(data.points) * longest(queries.points) >= 2**63
+    best, places = np.full((len(query_ids), k), NONE, object if wide else np.int64), np.full((len(query_ids), k), -1)
     leaf = np.array([len(c) == 0 for c in data.children])
+    compared = 0
 
     def worst(own: np.ndarray) -> float:
-        low = best[own, k - 1].min()
-        return -np.inf if low == LOW else float(low // (n + 1))
+        return -np.inf if (places[own, k - 1] < 0).any() else float(best[own, k - 1].min())
 
     def bounds(node: int, others: np.ndarray) -> np.ndarray:
-        inner = data.centres[others] @ queries.centres[node]
-        far = inner + queries.radii[node] * data.norms[others] + data.radii[others] * queries.norms[node] + queries.radii[node] * data.radii[others]
-        return far + 1e-9 * (1 + np.abs(far))
-
-    def compare(own: np.ndarray, places: np.ndarray) -> None:
-        scores = np.rint(queries.points[own] @ data.points[places].T).astype(np.int64)
-        keys = scores * (n + 1) + (n - places)[None, :]
-        keys[query_ids[own][:, None] == data_ids[places][None, :]] = LOW
-        both = np.concatenate([best[own], keys], axis=1)
-        best[own] = -np.sort(-np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
+        ball, size = queries.radii[node], queries.norms[node]
+        room = ball * data.norms[others] + data.radii[others] * size + ball * data.radii[others]
+        return data.centres[others] @ queries.centres[node] + room + 1e-9 * (1 + room + size * data.norms[others])
+
+    def compare(own: np.ndarray, found: np.ndarray) -> None:
+        nonlocal compared
+        for start in range(0, len(found), 2048):
+            part = np.sort(found[start : start + 2048])
+            compared += len(own) * len(part)
+            scores = exact_scores(queries.points[own], data.points[part])
+            other = query_ids[own][:, None] != data_ids[part][None, :]
+            full = places[own, k - 1] >= 0
+            hopeful = other & (~full[:, None] | (scores >= best[own, k - 1][:, None]))
+            for row in np.flatnonzero(hopeful.any(axis=1)).tolist():
+                at, query = np.flatnonzero(hopeful[row]), own[row]
+                held = places[query] >= 0
+                new, where = np.concatenate([best[query][held], scores[row, at]]), np.concatenate([places[query][held], part[at]])
+                if wide:
+                    order = nlargest(k, range(len(new)), key=lambda i: (new[i], -where[i]))
+                else:
+                    least = np.partition(new, len(new) - k)[len(new) - k] if len(new) > k else NONE
+                    kept = np.flatnonzero(new >= least)
+                    order = kept[np.lexsort((where[kept], ~new[kept]))][:k]
+                best[query, : len(order)], places[query, : len(order)] = new[order], where[order]
 
     def walk(node: int, others: np.ndarray) -> None:
         """Compare the queries of `node` with all points below the data nodes `others`."""
@@ -121,12 +182,9 @@ def dual_search(data: CoverTree, data_ids: np.ndarray, queries: CoverTree, query
                 if len(first):
                     compare(own, np.concatenate([data.members[x] for x in first]))
 
-    if n and len(query_ids):
+    if len(data_ids) and len(query_ids):
         walk(0, np.array([0]))
-    return best
-
-
-LOW = np.iinfo(np.int64).min
+    return best, places, compared
 
 
 def _first_copies(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -158,17 +216,17 @@ def _search(k: int):
             asked = []
             for start in range(0, len(query_ids), QUERIES):
                 own = query_ids[start : start + QUERIES]
-                best = dual_search(tree, ids, cover_tree(vectors[start : start + QUERIES]), own, k)
-                row, rank = np.nonzero(best != LOW)
-                found = best[row, rank]
-                scores = found // (len(ids) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[len(ids) - (found - scores * (len(ids) + 1))]), pa.array(scores)], names=["query_id", "vec_id", "score"])
+                best, places, _ = dual_search(tree, ids, cover_tree(vectors[start : start + QUERIES]), own, k)
+                row, rank = np.nonzero(places >= 0)
+                scores = best[row, rank]
+                high, low = (pa.array((x).tolist(), pa.int64()) for x in (scores >> 62, scores & (2**62 - 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[places[row, rank]]), high, low], names=["query_id", "vec_id", "high", "low"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             block, size, asks, vec_ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "size", "asks", "vec_id"))
-            flat, ends = batch.column("vector").values.to_numpy(zero_copy_only=False).astype(np.float64), batch.column("vector").offsets.to_numpy()
+            flat, ends = batch.column("vector").values.to_numpy(zero_copy_only=False).astype(np.int64), batch.column("vector").offsets.to_numpy()
             cuts = np.flatnonzero((block[1:] != block[:-1]) | (size[1:] != size[:-1]) | (asks[1:] != asks[:-1])) + 1
             for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
                 if (int(block[start]), int(size[start])) != key:
@@ -183,7 +241,7 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "vector", block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the `k` highest inner products of each query among all vectors but its own.
 
     Both tables hold an id and an array of whole numbers (as long); queries are found again in the data by their id.
@@ -194,17 +252,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         return own.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull())).withColumn("size", F.size("vector"))
 
     data = rows(vectors)
-    blocks = max(1, -(-data.count() // BLOCK))
+    count, values = data.agg(F.count("*"), F.sum("size")).first()
+    blocks = max(1, -(-count // block), -(-(values or 0) // BLOCK_VALUES))
     dealt = data.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "asks": F.lit(False)})
     asking = rows(queries).withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "asks": F.lit(True)})
     met = dealt.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "size", "asks", "vec_id")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, high long, low long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    shown = F.when(F.col("high") > 1, 2**63 - 1).when(F.col("high") < -2, -(2**63)).otherwise(F.shiftleft("high", 62).bitwiseOR(F.col("low")))
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", shown.alias("score"))
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """Each component x as floor(scale * x); vectors that are null or hold null or non-finite components go."""
     fine = F.forall(vectors[vector_col], lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = F.transform(vectors[vector_col], lambda x: F.floor(x.cast("double") * scale))
+
+    def floored(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < 2.0**63, F.floor(scaled)).otherwise(F.raise_error(F.lit("a component is too large for a long")).cast("long"))
+
+    whole = F.transform(vectors[vector_col], floored)
     return vectors.where(vectors[vector_col].isNotNull() & fine).select(vectors[id_col].alias("vec_id"), whole.alias("vector"))

@@ -160,6 +160,32 @@ def test_top_k_equals_all_pairs(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 1e3, 1e6, 1e12])
+def test_top_k_is_exact_at_any_size(spark, size):
+    r = np.random.default_rng(9)
+    vectors = [(k, [float(x) for x in r.normal(size=8) * size]) for k in range(400)] + [(k, [size] * 8) for k in range(400, 420)]
+    df = topk.quantized(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    whole = {x.vec_id: list(x.vector) for x in df.collect()}
+    assert whole == {k: [int(np.floor(256 * x)) for x in v] for k, v in vectors}
+    expected = []
+    for q in range(0, 420, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q)[:5]
+        expected += [(q, rank, k, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, k) in enumerate(best, 1)]
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block=100).collect())) == sorted(expected)
+
+
+def test_top_k_prunes_clustered_data():
+    r = np.random.default_rng(10)
+    centres = r.normal(size=(40, 32))
+    data = np.floor(256 * (centres[np.arange(4000) % 40] + 0.03 * r.normal(size=(4000, 32)))).astype(np.int64)
+    asked = data[::50]
+    best, places, compared = topk.dual_search(topk.cover_tree(data), np.arange(4000), topk.cover_tree(asked), np.arange(0, 4000, 50), 5)
+    scores = asked @ data.T
+    scores[np.arange(80), np.arange(0, 4000, 50)] = -(2**62)
+    assert (best == -np.sort(-scores, axis=1)[:, :5]).all() and (places == np.argsort(-scores, axis=1, kind="stable")[:, :5]).all()
+    assert compared < 0.2 * 80 * 4000
+
+
 def test_quality_on_held_out_labels(spark):
     r = random.Random(5)
     good = [" ".join(r.choice("river stone cloud garden letter window harbor silver".split()) + str(r.randrange(99)) for _ in range(60)) + "." for _ in range(150)]
