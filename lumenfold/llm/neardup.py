@@ -7,20 +7,25 @@
 3. Prefix: two signatures that agree in `matches` of m coordinates agree in one of any m - matches + 1 of each when
    both take them in the same order. Classes are posted only under their rarest ones, so that passages that many
    texts share fall out of the prefixes.
-4. In each posting list the collisions of two classes are counted over their whole signatures; pairs with
-   `matches` or more count in the first list that they share. Long lists are cut into blocks, and each pair of
-   blocks is a task of its own. Only the classes of such pairs are kept, not the pairs.
-5. The full shingle sets of those classes meet in their blocks, where intersections are counted exactly, and links
+4. Stars: members of lists longer than `block` are compared with a few leaders of their lists, and confirmed links to the
+   two that fit best make star components. What a star links needs no other links, so its members never meet each other.
+5. In each posting list the collisions of two classes are counted over their whole signatures; pairs with
+   `matches` or more count in the first list that they share. Long lists are cut into blocks, of one star component each or
+   of the rest, and each pair of blocks that isn't of one component is a task of its own. Only the classes of such pairs
+   are kept, not the pairs.
+6. The full shingle sets of those classes meet in their blocks, where intersections are counted exactly, and links
    with 100 * intersection >= `percent` * union are kept, as a spanning forest of each block (no component changes).
-6. Components of the links name the groups.
+7. Components of the links name the groups.
 
-With 64 coordinates and a threshold of 40, a pair at similarity 0.85 passes step 4 with a probability over 0.99999,
+With 64 coordinates and a threshold of 40, a pair at similarity 0.85 passes step 5 with a probability over 0.99999,
 and a more similar one still more surely; what passes is confirmed exactly. At lower percentages pass fewer `matches`:
 at similarity 0.80, 40 miss 3.5e-4 of the pairs and 36 miss 4.2e-6.
 
 Nulls and edge cases: a null or wordless text has an empty set and links with nothing; a text of fewer than five
-words is one shingle; long texts are taken whole; repeated rows (same id) count as one document; an empty table gives
-an empty result; rows with a null id are left alone (they link with nothing and are kept).
+words is one shingle; long texts are taken whole; rows with the same id count as one document, of which the text with the
+smallest MD5 counts; rows with a null id are documents of their own that link with nothing, keep a null component and are
+kept; at equal sets the smallest id stands for its class, and the smallest id of a group is its component; an empty table
+gives an empty result; only the id and text columns are read, so other columns, also ones named like results, play no part.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.checkpoint import shared_checkpoint
@@ -39,8 +44,8 @@ from lumenfold.llm._text import as_texts, slices, words
 from lumenfold.operators.components import components
 
 COORDINATES, MATCHES, PERCENT, WIDTH = 64, 40, 85, 5
-#: Classes in a block of a posting list.
-BLOCK = 512
+#: Classes in a block of a posting list, and leaders of a list that is longer.
+BLOCK, LEADERS = 512, 2
 _ODD = np.random.default_rng(7).integers(0, 2**63, 2 * 128, dtype=np.uint64) | np.uint64(1)
 
 
@@ -88,29 +93,43 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("own"))
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the digest of the set and its signature."""
+def _signed(docs: DataFrame, coordinates: int) -> DataFrame:
+    """doc_id, own, n_shingles, the digest of the set and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingles(part.column("text"))
                 full = [k for k, s in enumerate(sets) if len(s)]
-                rows = dict(zip(full, signatures([sets[k] for k in full])))
+                rows = dict(zip(full, signatures([sets[k] for k in full], coordinates)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("own"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([rows[k].tobytes() if k in rows else None for k in range(len(sets))], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "signature"],
+                    names=["doc_id", "own", "n_shingles", "digest", "signature"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return docs.mapInArrow(run, "doc_id long, own string, n_shingles long, digest binary, signature binary")
+
+
+def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, shingles) of `reps` (rep, own): whole sets, from the texts that the signatures are of."""
+    wanted = docs.join(reps.select(F.col("rep").alias("doc_id"), "own"), ["doc_id", "own"], "left_semi").dropDuplicates(["doc_id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingles(part.column("text"))], pa.binary())], names=["rep", "shingles"])
+
+    return wanted.mapInArrow(run, "rep long, shingles binary")
 
 
 def _posted(classes: DataFrame, coordinates: int) -> DataFrame:
@@ -247,6 +266,69 @@ def _linked(percent: int):
     return run
 
 
+def _stars(docs: DataFrame, classes: DataFrame, prefix: DataFrame, hot: DataFrame, percent: int, matches: int, coordinates: int) -> DataFrame:
+    """(a, b): confirmed links of the members of `hot` lists (h) to leaders of theirs, two for each member at most.
+
+    Leaders are the first of a list by a hash of the class, so that lists of the same family have the same ones.
+    """
+    posts = prefix.join(hot.select("h"), "h").select("h", "rep")
+    first = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("rep"), "rep"))
+    leaders = posts.withColumn("k", first).where(F.col("k") <= LEADERS).select("h", F.col("rep").alias("leader"))
+    pairs = posts.join(leaders, "h").where("rep <> leader").select("rep", "leader").distinct()
+    signed = classes.select("rep", "own", "signature")
+    both = pairs.join(signed, "rep").join(signed.select(F.col("rep").alias("leader"), F.col("own").alias("leader_own"), F.col("signature").alias("other")), "leader")
+
+    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, coordinates) for c in ("signature", "other"))
+            same = (a == b).sum(axis=1)
+            rows = batch.select(["rep", "own", "leader", "leader_own"]).append_column("same", pa.array(same, pa.int32()))
+            yield rows.filter(pa.array(same >= matches))
+
+    found = both.mapInArrow(collide, "rep long, own string, leader long, leader_own string, same int")
+    fit = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("same")).alias("less"), "leader", "leader_own"))), 1, 2)
+    best = shared_checkpoint(found.groupBy("rep", "own").agg(fit.alias("fit")).select("rep", "own", F.explode("fit").alias("fit")).select("rep", "own", "fit.leader", "fit.leader_own"))
+    ends = best.select("rep", "own").unionByName(best.select(F.col("leader").alias("rep"), F.col("leader_own").alias("own"))).distinct()
+    full = _sets(docs, ends)
+    sets = best.select("rep", "leader").join(full, "rep").join(full.select(F.col("rep").alias("leader"), F.col("shingles").alias("other")), "leader")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for a, b in zip(batch.column("shingles"), batch.column("other")):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(100 * common >= percent * (len(a) + len(b) - common))
+            rows = batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("leader")], names=["a", "b"])
+
+    return sets.mapInArrow(confirm, "a long, b long")
+
+
+def _blocks(rows: DataFrame, star: DataFrame, block: int) -> DataFrame:
+    """(h, i, j, block, rep, mask): each class of each list (h, rep, mask), once for each pair of blocks that its own is in.
+
+    Blocks hold members of one star component (`star`: rep, star), if a list has many, or any others. Pairs of blocks of one
+    component are left out. The blocks of a component are numbered one after the other, so rows carry but two bounds.
+    """
+    rows = rows.join(star, "rep", "left").withColumns({"starred": F.col("star").isNotNull(), "star": F.coalesce("star", F.lit(0))})
+    by_list = Window.partitionBy("h")
+    counted = rows.groupBy("h", "starred", "star").agg(F.count("*").alias("n")).withColumn("large", F.col("starred") & (F.col("n") > block // 4))
+    own = F.when(F.col("large"), F.ceil(F.col("n") / block)).otherwise(0)
+    begin = F.sum(own).over(by_list.orderBy("large", "star", "starred").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - own
+    rest = F.ceil(F.sum(F.when(~F.col("large"), F.col("n")).otherwise(0)).over(by_list) / block)
+    every = F.sum(own).over(by_list)
+    bounds = counted.select("h", "starred", "star", "large", F.when(F.col("large"), begin).otherwise(every).cast("int").alias("begin"), F.when(F.col("large"), own).otherwise(rest).cast("int").alias("width"), (every + rest).cast("int").alias("total"))
+    placed = rows.join(bounds, ["h", "starred", "star"]).withColumn("block", (F.col("begin") + F.pmod(F.xxhash64("rep", "h"), F.col("width"))).cast("int"))
+    end = F.col("begin") + F.col("width")
+
+    def numbers(low: Column, high: Column) -> Column:
+        return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+
+    others = F.when(F.col("large"), F.concat(numbers(F.lit(0), F.col("begin")), numbers(end, F.col("total")))).otherwise(numbers(F.lit(0), F.col("total")))
+    return placed.withColumn("other", F.explode(others)).select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mask")
+
+
 def _by_group(rows: DataFrame) -> DataFrame:
     """Rows of a group (h, i, j) in one partition, side by side, its first block before its second."""
     return rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "block", "rep")
@@ -256,10 +338,12 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links lead to) and kept (doc_id = component_id)."""
-    spark, docs = docs.sparkSession, _rows(docs, id_col, text_col)
-    signed = shared_checkpoint(_signed(docs).dropDuplicates(["doc_id"]))
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"))
-    classes = shared_checkpoint(classes)
+    docs = _rows(docs, id_col, text_col)
+    every = shared_checkpoint(_signed(docs, coordinates))
+    one = F.min_by(F.struct("own", "n_shingles", "digest", "signature"), "own")
+    signed = every.where("doc_id is not null").groupBy("doc_id").agg(one.alias("one")).select("doc_id", "one.*")
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("own", "signature"), "doc_id").alias("one"))
+    classes = shared_checkpoint(classes.select("digest", "rep", "one.*"))
 
     posts = _posted(classes, coordinates)
     counts = posts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -270,29 +354,38 @@ def near_duplicates(
     prefix = prefix.where((F.lit(coordinates) - F.col("alone") >= matches) & (F.col("k") + F.col("alone") <= coordinates - matches + 1))
     prefix = prefix.withColumn("mask", F.sum(F.expr("shiftleft(1L, cast(shiftright(h, 32) as int))")).over(Window.partitionBy("rep")))
     prefix = shared_checkpoint(prefix.select("h", "rep", "mask"))
-    sizes = prefix.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    blocked = prefix.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("rep", "h"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other block of its list
-    paired = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mask")
-    paired = paired.join(classes, "rep")
+    sizes = prefix.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows, hot, stars = prefix.join(sizes.select("h"), "h"), sizes.where(F.col("n") > block), None
+    if hot.isEmpty():  # each list is one block
+        paired = rows.select("h", *(F.lit(0).alias(k) for k in ("i", "j", "block")), "rep", "mask")
+    else:
+        stars = shared_checkpoint(_stars(docs, classes, prefix, hot, percent, matches, coordinates))
+        paired = _blocks(rows, components(stars).withColumnsRenamed({"node": "rep", "component": "star"}), block)
+    paired = paired.join(classes.select("rep", "signature"), "rep")
     meets = _by_group(paired).mapInArrow(_colliding(matches, coordinates), "h long, i int, j int, rep long, block int")
     meets = shared_checkpoint(meets)
 
-    wanted = docs.join(meets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingles(part.column("text"))], pa.binary())], names=["rep", "shingles"])
-
-    full = wanted.mapInArrow(sets, "rep long, shingles binary")
+    full = _sets(docs, classes.join(meets.select("rep").distinct(), "rep", "left_semi").select("rep", "own"))
     links = _by_group(meets.join(full, "rep")).mapInArrow(_linked(percent), "a long, b long")
-    named = components(links)
+    named = components(links if stars is None else links.unionByName(stars))
     reps = classes.select("digest", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = signed.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = found.unionByName(every.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
-    """The rows of `docs`, with all their columns, that are the smallest id of their group."""
-    gone = near_duplicates(docs, id_col, text_col, percent, matches=matches).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """One row of `docs`, with all its columns, for the smallest id of each group; all rows with a null id stay.
+
+    Of rows with the same id the one whose text has the smallest MD5 stays, any one of equal texts.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent, matches=matches)
+    # rows travel as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("key"), F.md5(F.coalesce(docs[text_col], F.lit(""))).alias("own"))
+    left = rows.join(found.where("not kept").select(F.col("doc_id").alias("key")), "key", "left_anti")
+    again = rows.where("key is not null").groupBy("key").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    if again.isEmpty():
+        return left.select("row.*")
+    many = left.join(again, "key", "left")
+    first = many.where(F.col("own") == F.col("least")).dropDuplicates(["key"])
+    return many.where("least is null").unionByName(first).select("row.*")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.checkpoint import shared_checkpoint
+
 CAPACITY, BLOCK = 2048, 4096
 SCHEMA = "doc_id long, piece int, start_word long, n_words long, bin_id long, bin_words long"
 
@@ -70,6 +72,7 @@ def pack(docs: DataFrame, n_words: Column, source: Column, cluster: Column, id_c
     One shuffle, of a few numbers and the source for each document; the texts stay where they are.
     """
     sized = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(n_words, F.lit(0)).cast("long").alias("words"), source.cast("string").alias("source"), cluster.alias("cluster"))
+    sized = shared_checkpoint(sized)  # a few numbers for each document; the texts are read once
     parts = F.greatest(F.lit(1), F.ceil(F.col("words") / capacity))
     blocks = max(1, (sized.agg(F.sum(parts)).first()[0] or 0) // block)
     pieces = sized.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("words") / capacity).cast("int") - 1))))
@@ -79,6 +82,6 @@ def pack(docs: DataFrame, n_words: Column, source: Column, cluster: Column, id_c
 
 
 def pack_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY) -> DataFrame:
-    """`pack` with the words `[^\\x20\\x09-\\x0D]+` of the texts as sizes, and equal texts as clusters."""
-    text = docs[text_col]
-    return pack(docs, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), docs[source_col], F.md5(text), id_col, capacity)
+    """`pack` with the words `[^\\x20\\x09-\\x0D]+` of the texts as sizes, and equal texts as clusters; without a column of sources only clusters conflict."""
+    text, source = docs[text_col], docs[source_col] if source_col in docs.columns else F.lit(None)
+    return pack(docs, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), source, F.md5(text), id_col, capacity)

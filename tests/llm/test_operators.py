@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -116,6 +117,46 @@ def test_packing_blocks_are_bounded_for_long_texts(spark):
     assert sum(r.n_words for r in rows) == 50_000
 
 
+def brute_best_fit(items, capacity):
+    """Bins as lists of (size, source, cluster): each item, in order, to the fullest bin of those that have room and neither its source nor its cluster."""
+    bins, out = [], []
+    for size, source, cluster in items:
+        fit = [
+            (capacity - sum(x[0] for x in held), k)
+            for k, held in enumerate(bins)
+            if sum(x[0] for x in held) + size <= capacity and not any((source is not None and source == x[1]) or (cluster is not None and cluster == x[2]) for x in held)
+        ]
+        if not fit:
+            bins.append([])
+        out.append(min(fit)[1] if fit else len(bins) - 1)
+        bins[out[-1]].append((size, source, cluster))
+    return out
+
+
+def test_packing_equals_brute_best_fit(spark):
+    r = random.Random(4)
+    rows = [(k // 2 if k % 9 == 0 else k, r.choice([0, 1, 5, 20, 20, 33, 60, 100, 130, 260, None]), r.choice([None, "a", "b", "c", "d"]), r.choice([None, None, "x", "y", str(k)])) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, origin string, same string").withColumns({k: F.lit("clash") for k in ("block", "words", "source", "cluster", "bin_id")})
+    got = packing.pack(df, F.col("size"), F.col("origin"), F.col("same"), capacity=100).collect()
+    pieces = []
+    for doc, size, source, cluster in rows:
+        for piece in range(max(1, -(-(size or 0) // 100))):
+            pieces.append((min(100, (size or 0) - 100 * piece), doc, piece, source, cluster))
+    # repeated ids with equal sizes may come in either order, so sizes of bins are compared, and each piece with its bin where it is alone in its place
+    pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+    assert len(got) == len(pieces) and Counter((p.doc_id, p.piece, p.n_words) for p in got) == Counter((p[1], p[2], p[0]) for p in pieces)
+    unique = [row for row, n in Counter(rows).items() if sum(x[0] == row[0] for x in rows) == 1]
+    alone = df.where(F.col("doc_id").isin([x[0] for x in unique]))
+    got = {(p.doc_id, p.piece): (p.bin_id, p.bin_words) for p in packing.pack(alone, F.col("size"), F.col("origin"), F.col("same"), capacity=100).collect()}
+    pieces = [p for p in pieces if p[1] in {x[0] for x in unique}]
+    bins = brute_best_fit([(p[0], p[3], p[4]) for p in pieces], 100)
+    total = Counter()
+    for p, b in zip(pieces, bins):
+        total[b] += p[0]
+    assert got == {(p[1], p[2]): (b, total[b]) for p, b in zip(pieces, bins)}
+    assert packing.pack_texts(docs(spark, ["a b"]).drop("source")).count() == 1 and packing.pack_texts(docs(spark, []).limit(0)).count() == 0
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.best_fit([6, 5, 4, 4], [1, 2, 1, 0], 10) == [0, 1, 1, 0]
 
@@ -364,6 +405,44 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[:-1], "other"]), "quite another text of some words"
+    rows = [(1, a), (1, a), (2, b), (2, c), (2, c), (None, a), (None, a), (3, None), (4, b)]
+    df = spark.createDataFrame([(k, t, 5) for k, t in rows], "doc_id long, text string, rep long")
+    own = min((b, c), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    got = sorted(map(tuple, neardup.near_duplicates(df).collect()), key=lambda x: (x[0] is None, x[0]))
+    assert got == [(1, 56, 1, True), (2, len(shingle_set(own)), 1 if own == b else 2, own == c), (3, 0, 3, True), (4, 56, 1, False), (None, 56, None, True), (None, 56, None, True)]
+    kept = neardup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a, 5), (3, None, 5), (None, a, 5), (None, a, 5)] + ([(2, c, 5)] if own == c else []))
+
+
+def test_large_families_of_near_copies_meet_through_leaders(spark):
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(3000):  # most are within 0.85 of each other, some only of a few
+        own = list(base)
+        for at in r.sample(range(200), r.choice([0, 1, 1, 2, 4])):
+            own[at] = f"n{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+    df = docs(spark, texts)
+    rows = {x.doc_id: x.component_id for x in neardup.near_duplicates(df, block=64).collect()}
+    whole = {x.doc_id: x.component_id for x in neardup.near_duplicates(df, block=4096).collect()}
+    assert rows == whole and Counter(rows.values()).most_common(1)[0][1] > 2300
+    prefix = spark.createDataFrame([(h, k, 1) for h in (1, 2) for k in range(3000)], "h long, rep long, mask long")
+    star = spark.createDataFrame([(k, k // 2900 * 2900) for k in range(2990)], "rep long, star long")
+    placed = neardup._blocks(prefix, star, 64).collect()
+    assert len(placed) < 2 * 3000 * 6
+    met = {(x.h, x.i, x.j, x.rep) for x in placed}
+    group = {}
+    for h, i, j, rep in met:
+        group.setdefault((h, i, j), set()).add(rep)
+    for x, y in ((5, 2950), (2950, 2995), (2995, 2996), (7, 2999)):
+        assert all(any({x, y} <= own for (k, _, _), own in group.items() if k == h) for h in (1, 2))
+
+
 def brute_kept(texts, percent):
     """The smallest id of each group, from all pairs; documents without words are groups of their own."""
     sets, parent = list(map(shingle_set, texts)), list(range(len(texts)))
@@ -396,10 +475,51 @@ def test_pipeline_links_near_copies_from_080_on(spark):
     assert rows.columns == df.columns and sorted(x.doc_id for x in rows.collect()) == sorted(brute_kept(texts, 80))
 
 
-def test_pipeline_runs_on_small_tables(spark):
+def test_pipeline_runs_each_stage_once(spark, monkeypatch):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "MinHash near-dedup", "secret scans", "best-fit packing"]
     read = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen = [spark.sparkContext.accumulator(0) for _ in corpus_pipeline.STAGES]
+    kept = []
+
+    def counted(stage, total):
+        def run(spark, docs, sf_dir):
+            if docs.columns == read.columns:
+                kept.append(docs.count())
+            out = stage(spark, docs, sf_dir)
+
+            def count(batches):
+                for batch in batches:
+                    total.add(batch.num_rows)
+                    yield batch
+
+            return out.mapInArrow(count, out.schema)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(f, t)) for (n, f), t in zip(corpus_pipeline.STAGES, seen)])
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert 0 < len({r.doc_id for r in rows}) < read.count()
+    # what each stage put out is what the next one took in, once
+    assert [t.value for t in seen[:-1]] == kept[1:] and seen[-1].value == len(rows)
+
+
+def test_pipeline_stages_on_nulls_repeated_rows_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = tmp_path / "labels.parquet"
+    spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, quality int").write.parquet(str(labels))
+    r = random.Random(14)
+    good = [" ".join(f"w{r.randrange(3000)}" for _ in range(80)) + "." for _ in range(20)]
+    texts = [t for g in good for t in (g, "BUY NOW !!! " * 30)]
+    df = docs(spark, [*texts, None, "", good[0], "w " + "long words here go on " * 40_000]).drop("source", "n_chars")
+    df = df.unionByName(df.limit(3)).unionByName(df.limit(4).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("__own", F.lit(1)).withColumn("own", F.lit(2))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        if name != "best-fit packing":
+            assert out.columns == df.columns
+            assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+            df = spark.createDataFrame(out.collect(), df.schema)
+    ids = Counter(x.doc_id for x in out.collect())
+    assert {k for k in ids if k is not None} == set(range(0, 40, 2)) and max(n for k, n in ids.items() if k is not None) == 1 and ids[None] == 2
