@@ -1,9 +1,16 @@
-"""A corpus from raw documents to packed training rows, as five stages."""
+"""A corpus from raw documents to packed training rows, as five stages.
+
+Nulls and edge cases, for all stages: a null text counts as an empty one (the classifier scores it like any other, the
+quality rules reject it); rows with a null id are judged like others, but each is a document of its own for near-dedup; of
+rows with the same id near-dedup keeps one, if its group keeps that id; texts are taken whole; extra columns go through
+all stages but the last, whatever their names; a table without `source` or `n_chars` columns, or without rows, is taken too.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenfold.checkpoint import shared_table
 from lumenfold.llm import neardup, packing, quality, repetition, secrets
 
 
@@ -49,8 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`. What a stage keeps is written once to the shared folder, as the next one reads it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
