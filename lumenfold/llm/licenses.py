@@ -8,8 +8,13 @@ of n lies whole in one; with containment 0.8 its similarity to the window is at
 window has must be `CONTAINED` or more.
 
 A window can agree with a template in a band only if it holds that very shingle, so texts and windows without any of the
-shingles that are minima of a template are passed over before signatures are made; this loses nothing. The templates and
-their minima are a table of bounded size (`MOST_TEMPLATES`) and are broadcast.
+shingles that are minima of a template are passed over before signatures are made; this loses nothing. Bands lead to the
+names of templates; their shingles are joined by name once a window has retrieved them. Both tables are broadcast, after a
+check of their size (`MOST_BYTES` of template texts); larger ones are joined by key, and above `MOST_ANCHORS` minima the
+passing over is left out, with the same result.
+
+Templates of one family, which differ in version or length only, resemble each other: of those found in a document, only the
+ones with the family's highest containment count (all of them at a tie, as with two whole notices).
 
 Nulls and edge cases: a null text, or one of fewer than five words, has no shingles and no license; templates of fewer
 than five words are refused; texts are taken whole; of equal texts each has its rows; ties for the place go to the first;
@@ -20,28 +25,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WIDTH, BANDS, CONTAINED, MOST_TEMPLATES = 5, 32, 0.8, 10_000
+WIDTH, BANDS, CONTAINED = 5, 32, 0.8
+MOST_BYTES, MOST_ANCHORS = 2 << 20, 20_000
+
+_NO_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+_BSD_REST = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GNU_HEADER = "{what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
 
-# How well-known licenses are named or open, by their usual identifiers.
+# Texts of well-known licenses, their headers and how they are named, by their usual identifiers.
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": _GNU_HEADER.format(what="This program", name="GNU Affero General Public License", version="3"),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_REST,
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-SA-4.0-long": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": _GNU_HEADER.format(what="This program", name="GNU General Public License", version="2"),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "GPL-3.0-header": _GNU_HEADER.format(what="This program", name="GNU General Public License", version="3"),
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES '
+    "OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-2.1-header": _GNU_HEADER.format(what="This library", name="GNU Lesser General Public License", version="2.1"),
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT-whole": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, '
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _NO_WARRANTY
+    + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+}
+
+
+def family(license: Column) -> Column:
+    """An identifier without its version: those of a family differ in that, or in the length of the text."""
+    return F.regexp_replace(license, r"-[0-9].*$|-text$|-whole$", "")
 
 
 def words(text: Column) -> Column:
@@ -79,11 +118,11 @@ def _anchor(hashed: Column, band: int) -> Column:
     return F.array_min(F.transform(hashed, lambda h: F.struct(_seeded(band)(h).alias("low"), h.alias("h"))))["h"]
 
 
-def _windows(hashed: Column, size: int, anchors: list[int]) -> Column:
-    """The windows for templates of `size` shingles that hold one of `anchors`."""
+def _windows(hashed: Column, size: int, anchors: list[int] | None) -> Column:
+    """The windows for templates of `size` shingles that hold one of `anchors`, or all windows."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(hashed) - 1), F.lit(size))
     cut = F.transform(starts, lambda s: F.struct(F.lit(size).alias("size"), s.alias("start"), F.slice(hashed, s + 1, 2 * size).alias("hashed")))
-    return F.filter(cut, lambda w: F.arrays_overlap(w["hashed"], _longs(anchors)))
+    return cut if anchors is None else F.filter(cut, lambda w: F.arrays_overlap(w["hashed"], _longs(anchors)))
 
 
 def _longs(values: list[int]) -> Column:
@@ -92,7 +131,6 @@ def _longs(values: list[int]) -> Column:
 
 def template_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(license, shingles, size, bands, anchors): anchors are the shingles whose hashes are the minima."""
-    assert len(templates) <= MOST_TEMPLATES
     rows = spark.createDataFrame(list(templates.items()), "license string, text string").coalesce(1)
     cut = rows.select("license", F.array_distinct(shingles(words(F.col("text")))).alias("shingles"), F.array_distinct(hashes(words(F.col("text")))).alias("hashed"))
     anchors = F.array(*(_anchor(F.col("hashed"), k) for k in range(BANDS)))
@@ -105,19 +143,26 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     small = known.select("size", "anchors").collect()
     if any(r["size"] == 0 for r in small):
         raise ValueError("a template has fewer than five words")
+    few = sum(len(t.encode()) for t in templates.values()) <= MOST_BYTES
     anchors = {n: sorted({a for r in small if r["size"] == n for a in r["anchors"]}) for n in sorted({r["size"] for r in small})}
     every = sorted({a for held in anchors.values() for a in held})
+    passing = len(every) <= MOST_ANCHORS
 
     own = bound(words(docs[text_col]), lambda w: F.struct(w.alias("words"), hashes(w).alias("hashed")))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), own.alias("own")).where(F.arrays_overlap("own.hashed", _longs(every)))
-    windows = bound(F.col("own.hashed"), lambda hashed: F.concat(*(_windows(hashed, n, held) for n, held in anchors.items())))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), own.alias("own"))
+    rows = rows.where(F.arrays_overlap("own.hashed", _longs(every)) if passing else F.size("own.hashed") > 0)
+    windows = bound(F.col("own.hashed"), lambda hashed: F.concat(*(_windows(hashed, n, held if passing else None) for n, held in anchors.items())))
     cut = rows.select("doc_id", F.col("own.words").alias("words"), F.explode(windows).alias("window"))
     cut = cut.select("doc_id", F.col("window.start").alias("start"), F.col("window.size").alias("size"), F.slice("words", F.col("window.start") + 1, 2 * F.col("window.size") + WIDTH - 1).alias("words"), signature(F.col("window.hashed")).alias("bands"))
     banded = cut.select("doc_id", "start", "size", "words", F.posexplode("bands").alias("band", "low"))
-    posted = known.select("license", "size", F.col("shingles").alias("template"), F.posexplode("bands").alias("band", "low"))
+    posted = known.select("license", "size", F.posexplode("bands").alias("band", "low"))
+    told = known.select("license", F.col("shingles").alias("template"))
+    posted, told = (F.broadcast(posted), F.broadcast(told)) if few else (posted, told)
     # the first agreeing band retrieves a template for a window, the others only repeat it
-    met = banded.join(F.broadcast(posted), ["size", "band", "low"]).groupBy("doc_id", "start", "license").agg(F.min_by(F.struct("words", "template"), "band").alias("both"))
+    met = banded.join(posted, ["size", "band", "low"]).groupBy("doc_id", "start", "license").agg(F.min_by("words", "band").alias("words")).join(told, "license")
     common = F.array_intersect("template", "own")
-    tried = met.select("doc_id", "start", "license", F.col("both.template").alias("template"), shingles(F.col("both.words")).alias("own"))
+    tried = met.select("doc_id", "start", "license", "template", shingles(F.col("words")).alias("own"))
     tried = tried.select("doc_id", "license", (F.size(common) / F.size("template")).alias("containment"), (F.col("start") + F.array_min(F.transform(common, lambda s: F.array_position("own", s))) - 1).cast("long").alias("first_word"))
-    return tried.where(F.col("containment") >= contained).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
+    found = tried.where(F.col("containment") >= contained).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
+    best = F.max("containment").over(Window.partitionBy("doc_id", family(F.col("license"))))
+    return found.withColumn("best", best).where("containment = best").drop("best")
