@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.scalar import bound, hex_channel, hsv
+from lumenfold.functions.scalar import hex_channel
 
+# The labels, and how screenshots are named.
 SCREENSHOT, NIGHT, SUNSET, SKY, GREEN, FOOD, MONO, PEOPLE, WARM, MISC = "スクショ", "夜景", "夕焼け", "青空", "みどり", "グルメ", "モノクロ", "人物", "あたたかい色", "いろいろ"
 SCREENSHOT_NAME = r"(?i)scre[ _-]?shot|スクリーンショット|スクショ"
 
+Rules = Callable[[Column], list[tuple[str, Column]]]
+
 
 def warm_hue(top_hex: Column) -> Column:
-    """Whether the main colour is reddish; false without one."""
-    channels = F.struct(*(hex_channel(top_hex, at).alias(k) for at, k in enumerate("rgb")))
-    return bound(bound(channels, lambda c: hsv(c["r"], c["g"], c["b"])[0]), lambda hue: F.coalesce(hue.between(0, 45) | hue.between(330, 360), F.lit(False)))
+    """Whether the hue of the main colour is 330 to 360 or 0 to 45; false without one.
+
+    Only hues beside red are worked out, so that the condition stays small wherever the optimizer copies it to.
+    """
+    r, g, b = (hex_channel(top_hex, at) / 255 for at in range(3))
+    reddish, toward_yellow = (r >= g) & (r >= b), g >= b
+    yellow, purple = F.try_divide(g - b, r - b) * 60 <= 45, F.try_divide(g - b, r - g) * 60 + 360 >= 330
+    grey = (r == g) & (g == b)
+    return F.coalesce(grey | reddish & F.when(toward_yellow, yellow).otherwise(purple), F.lit(False))
 
 
 def rules(warm: Column) -> list[tuple[str, Column]]:
-    """(label, score) in order; a null score means that the rule doesn't hold."""
+    """(label, score) in order; a null score means that the rule doesn't hold. The order and all thresholds."""
     c = F.col
     named = F.coalesce(c("name").rlike(SCREENSHOT_NAME), F.lit(False))
     filmed = F.coalesce(c("camera_make"), F.lit("")) != ""
@@ -36,21 +47,20 @@ def rules(warm: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def scene() -> Column:
-    """A struct (label, score) of a photo row: the first rule that holds, or a label for the rest."""
-    rest = F.struct(F.lit(MISC).alias("label"), F.lit(0.4).alias("score"))
-
-    def first(warm: Column) -> Column:
-        return F.coalesce(*(F.when(score.isNotNull(), F.struct(F.lit(name).alias("label"), score.alias("score"))) for name, score in rules(warm)), rest)
-
-    return bound(warm_hue(F.col("top_hex")), first)
-
+def classify(photos: DataFrame, own_rules: Rules = rules) -> DataFrame:
+    """`photos` with `scene` (the label of the first rule that holds, or one for the rest) and `scene_confidence`.
 
-def classify(photos: DataFrame) -> DataFrame:
-    """`photos` with `scene` (a label) and `scene_confidence`."""
-    return photos.withColumn("__scene", scene()).withColumns({"scene": F.col("__scene.label"), "scene_confidence": F.col("__scene.score")}).drop("__scene")
+    `own_rules` maps a column (whether the main colour is reddish) to (label, score) pairs over the columns of photos.
+    """
+    told = own_rules(warm_hue(F.col("top_hex")))
+    label = F.coalesce(*(F.when(score.isNotNull(), name) for name, score in told), F.lit(MISC))
+    sure = F.coalesce(*(score for _, score in told), F.lit(0.4))
+    return photos.withColumns({"scene": label, "scene_confidence": sure})
 
 
-def labelled(photos: DataFrame, floor: float = 0.55) -> DataFrame:
+def labelled(photos: DataFrame, floor: float = 0.55, own_rules: Rules = rules) -> DataFrame:
     """`photos` with `label`: the scene if it can make an album, else null."""
-    return photos.withColumn("label", bound(scene(), lambda s: F.when((s["score"] >= floor) & ~s["label"].isin(MISC, PEOPLE), s["label"])))
+    makes = (F.col("scene_confidence") >= floor) & ~F.col("scene").isin(MISC, PEOPLE)
+    held = [c for c in photos.columns if c in ("scene", "scene_confidence")]
+    found = classify(photos.withColumnsRenamed({c: f"__own_{c}" for c in held}), own_rules).withColumn("label", F.when(makes, F.col("scene"))).drop("scene", "scene_confidence")
+    return found.withColumnsRenamed({f"__own_{c}": c for c in held})

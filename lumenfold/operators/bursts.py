@@ -1,12 +1,15 @@
 """Bursts and look-alikes, by joins on pieces of the perceptual hash and on time.
 
-Two hashes that differ in up to 5 bits have one of 6 pieces in common, so pairs are found by equal pieces and then
-tested exactly. Equal hashes of a library are one node first, with a star of links to its members, so copies never pair up.
+Two hashes that differ in up to 5 bits have two of 7 pieces in common, so pairs are found by equal pairs of pieces (18 bits or
+more) and then tested exactly. Equal hashes of a library are one node first, with a star of links to its members, so copies
+never pair up.
 Photos within 3 s are found by buckets of that length.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +20,11 @@ from lumenfold.options import BurstOptions
 
 
 def _bands(bits: Column, pieces: int) -> Column:
-    """(piece, value) of `pieces` cuts of 64 bits."""
+    """(pair, value) of each pair of `pieces` cuts of 64 bits."""
     cuts = [round(64 * k / pieces) for k in range(pieces + 1)]
-    parts = [F.struct(F.lit(k).alias("piece"), F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    return F.array(*parts)
+    masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    pairs = [x | y for x, y in combinations(masks, 2)]
+    return F.array(*(F.struct(F.lit(k).alias("pair"), bits.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for k, m in enumerate(pairs)))
 
 
 def _guarded(photos: DataFrame, options: BurstOptions) -> DataFrame:
@@ -36,9 +40,9 @@ def dup_edges(photos: DataFrame, options: BurstOptions = BurstOptions()) -> Data
     rows = _guarded(photos, options)
     hashes = rows.groupBy("library_id", "bits").agg(F.min("id").alias("rep"))
     stars = rows.join(hashes, ["library_id", "bits"]).where("id <> rep").select("library_id", F.col("rep").alias("a"), F.col("id").alias("b"))
-    cut = hashes.withColumn("band", F.explode(_bands(F.col("bits"), options.dup_hamming + 1))).select("library_id", "bits", "rep", "band.piece", "band.value")
-    left, right = cut, cut.select("library_id", "piece", "value", F.col("bits").alias("bits2"), F.col("rep").alias("rep2"))
-    near = left.join(right, ["library_id", "piece", "value"]).where((F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= options.dup_hamming))
+    cut = hashes.withColumn("band", F.explode(_bands(F.col("bits"), options.dup_hamming + 2))).select("library_id", "bits", "rep", "band.pair", "band.value")
+    left, right = cut, cut.select("library_id", "pair", "value", F.col("bits").alias("bits2"), F.col("rep").alias("rep2"))
+    near = left.join(right, ["library_id", "pair", "value"]).where((F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= options.dup_hamming))
     return stars.unionByName(near.select("library_id", F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
 
 

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.checkpoint import shared_checkpoint
 
+#: Edges that a task contracts at a time, whatever the size of its partition.
+CHUNK = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of `edges` (a, b: of one orderable type); a component is named by its smallest node.
 
-    Alternating stars: each node hangs its larger neighbours (large star) and then its smaller ones (small star)
-    onto the smallest node it knows, until nothing changes; a logarithmic number of rounds in practice. Each
-    round is two aggregations with map-side combining (the minimum) and a join; a node with many edges is never
-    gathered into one row. Self-links, repeated edges and edges with a null end are allowed and change nothing.
+    First each task contracts the edges that it has, a chunk at a time, so that a component that lies in one chunk is a
+    finished star. If one chunk held all edges that is the result. Else alternating stars: each node hangs its larger
+    neighbours (large star) and then its smaller ones (small star) onto the smallest node it knows, until nothing changes; a
+    logarithmic number of rounds in practice. Each round is two aggregations with map-side combining (the minimum) and a
+    join; a node with many edges is never gathered into one row. Self-links, repeated edges and edges with a null end are
+    allowed and change nothing.
     """
-    links = shared_checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = shared_checkpoint(links.distinct())
+    count = links.count()
+    if count <= CHUNK:
+        return _named(shared_checkpoint(_contracted(links.coalesce(1))))
+    links = shared_checkpoint(_contracted(links).distinct())
     seen = _print_of(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,11 +41,58 @@ def components(edges: DataFrame) -> DataFrame:
         links = shared_checkpoint(small.where("a <> b").distinct())
         now = _print_of(links)
         if now == seen:
-            break
+            return _named(links)
         seen = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def _print_of(links: DataFrame) -> tuple:
     """Equal for equal sets of links."""
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
+
+
+def _plain(value):
+    """Nodes as Spark orders them: structs by their fields, texts by their code points (which is by their UTF-8 bytes)."""
+    return tuple(map(_plain, value.values())) if isinstance(value, dict) else value
+
+
+def stars_of(edges: list[tuple]) -> list[tuple]:
+    """(node, smallest node of its component) for all but the smallest ones, from edges between plain values."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in parent if root(x) != x]
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def contract() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            ends = [rows.column(k).to_pylist() for k in ("a", "b")]
+            plain = [list(map(_plain, column)) for column in ends]
+            own = {p: v for column, values in zip(plain, ends) for p, v in zip(column, values)}
+            found = stars_of(list(zip(*plain)))
+            return pa.RecordBatch.from_arrays([pa.array([own[x[k]] for x in found], rows.schema.field(name).type) for k, name in enumerate(("a", "b"))], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield contract()
+                held.clear()
+        if held:
+            yield contract()
+
+    return links.select("a", "b").mapInArrow(run, links.select("a", "b").schema)

@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.checkpoint import shared_checkpoint
-from lumenfold.functions.scalar import KINDS, album_priority, jaccard
+from lumenfold.functions.scalar import album_priority, jaccard
+
+
+def _turn(kind: Column, n: Column, draft: Column) -> Column:
+    """Which of two drafts survives: the earlier kind, then the larger one, then the smaller name."""
+    return F.struct(album_priority(kind).alias("rank"), (-n).alias("less"), draft.alias("draft"))
 
 
 def similar_pairs(drafts: DataFrame, members: DataFrame, above: float = 0.8) -> DataFrame:
-    """(library_id, a, b, kind_a, kind_b, similarity): pairs of drafts of different kinds, the earlier kind first, with a Jaccard similarity over `above`.
+    """(library_id, a, b, kind_a, kind_b, similarity): pairs of drafts with a Jaccard similarity over `above`, the one that survives first.
 
-    Drafts of one kind share no photo, so a photo is in one draft of each kind at most and makes 21 pairs at most.
+    `drafts` have library_id, draft, kind and n, `members` library_id, draft and id. Only drafts of about the same size meet, and by
+    the photos that they share; a photo in k drafts makes k (k - 1) / 2 pairs (21 in albums, where drafts of a kind share none).
     """
-    rows = members.join(drafts.select("library_id", "draft", "kind", "n"), ["library_id", "draft"]).withColumn("rank", album_priority(F.col("kind")))
-    other = rows.select("library_id", "id", F.col("draft").alias("b"), F.col("kind").alias("kind_b"), F.col("n").alias("n_b"), F.col("rank").alias("rank_b"))
-    met = rows.join(other, ["library_id", "id"]).where((F.col("rank") < F.col("rank_b")) & (F.least("n", "n_b") > above * F.greatest("n", "n_b")))
+    rows = members.join(drafts.select("library_id", "draft", "kind", "n"), ["library_id", "draft"]).withColumn("turn", _turn(F.col("kind"), F.col("n"), F.col("draft")))
+    other = rows.select("library_id", "id", F.col("draft").alias("b"), F.col("kind").alias("kind_b"), F.col("n").alias("n_b"), F.col("turn").alias("turn_b"))
+    met = rows.join(other, ["library_id", "id"]).where((F.col("turn") < F.col("turn_b")) & (F.least("n", "n_b") > above * F.greatest("n", "n_b")))
     counted = met.groupBy("library_id", F.col("draft").alias("a"), "b", F.col("kind").alias("kind_a"), "kind_b", F.col("n").alias("n_a"), "n_b").agg(F.count("*").alias("common"))
     return counted.withColumn("similarity", jaccard(F.col("common"), F.col("n_a"), F.col("n_b"))).where(F.col("similarity") > above).drop("common", "n_a", "n_b")
 
 
 def dropped_drafts(pairs: DataFrame) -> DataFrame:
-    """(library_id, draft): those to drop, kind by kind: a draft goes if one of an earlier kind that stays is too similar.
+    """(library_id, draft): those to drop: a draft goes if an earlier one that stays is too similar (`pairs`: library_id, a before b).
 
-    A draft is that similar to one of each other kind at most, so the table is small beside the drafts.
+    In each round the drafts that nothing undecided comes before stay, and what is similar to them goes; as many rounds as
+    the longest chain of similar drafts is long, one or two as a rule.
     """
-    pairs = shared_checkpoint(pairs.select("library_id", "a", "b", "kind_a", "kind_b"))
-    gone = pairs.select("library_id", F.col("b").alias("draft")).where(F.lit(False))
-    for kind in KINDS[1:-1]:
-        staying = pairs.where(F.col("kind_b") == kind).join(gone.withColumnRenamed("draft", "a"), ["library_id", "a"], "left_anti")
-        gone = shared_checkpoint(gone.unionByName(staying.select("library_id", F.col("b").alias("draft")).distinct()))
+    open_ = shared_checkpoint(pairs.select("library_id", "a", "b"))
+    gone = open_.select("library_id", F.col("b").alias("draft")).where(F.lit(False))
+    while not open_.isEmpty():
+        first = open_.select("library_id", "a").distinct().join(open_.select("library_id", F.col("b").alias("a")), ["library_id", "a"], "left_anti")
+        fresh = shared_checkpoint(open_.join(first, ["library_id", "a"], "left_semi").select("library_id", F.col("b").alias("draft")).distinct())
+        gone = gone.unionByName(fresh)
+        left = open_.join(first, ["library_id", "a"], "left_anti")
+        for end in ("a", "b"):
+            left = left.join(fresh.withColumnRenamed("draft", end), ["library_id", end], "left_anti")
+        open_ = shared_checkpoint(left)
     return gone

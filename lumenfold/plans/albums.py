@@ -56,9 +56,9 @@ def draft_members(keyed: DataFrame) -> DataFrame:
     return out.withColumns({"kind": F.col("own.kind"), "draft": F.concat_ws(":", "own.kind", "own.key")}).drop("own")
 
 
-def _summed() -> list[Column]:
+def _summed(options: AlbumOptions) -> list[Column]:
     """What every kind of draft needs to know of its photos."""
-    far = F.col("meters") > AlbumOptions().timeline.far_meters
+    far = F.col("meters") > options.timeline.far_meters
     return [
         F.count("*").alias("n"),
         F.min("taken_at").alias("date_start"),
@@ -76,14 +76,15 @@ def _summed() -> list[Column]:
 def drafts(keyed: DataFrame, events: DataFrame, groups: DataFrame, options: AlbumOptions = AlbumOptions()) -> tuple[DataFrame, DataFrame]:
     """(drafts that are large enough, all members of possible drafts)."""
     members = draft_members(keyed)
-    rows = members.groupBy("library_id", "kind", "draft").agg(*_summed())
+    rows = members.groupBy("library_id", "kind", "draft").agg(*_summed(options))
     own_events = events.select("library_id", F.concat_ws(":", "event_kind", F.col("event").cast("string")).alias("draft"), "n_counted", "nights")
     own_bursts = groups.select("library_id", F.concat(F.lit("burst:"), "burst").alias("draft"), "subtype")
     models = keyed.where(F.coalesce(F.col("camera_model"), F.lit("")) != "").groupBy("library_id").agg(F.count_distinct("camera_model").alias("n_models"))
     rows = rows.join(own_events, ["library_id", "draft"], "left").join(own_bursts, ["library_id", "draft"], "left").join(models, "library_id", "left")
     trip = F.col("kind") == "trip"
     lat, lon = (F.when(trip & F.col(f"far_{x}").isNotNull(), F.col(f"far_{x}")).otherwise(F.col(f"mid_{x}")) for x in ("lat", "lon"))
-    rows = rows.withColumns({"mid_lat": lat, "mid_lon": lon}).withColumn("near", places.nearest_place(F.col("mid_lat"), F.col("mid_lon")))
+    # written once, as the conditions below would each repeat the search for the nearest place
+    rows = shared_checkpoint(places.with_nearest(rows.withColumns({"mid_lat": lat, "mid_lon": lon}), "mid_lat", "mid_lon"))
     radius = F.when(trip, options.city_meters).otherwise(options.place_meters)
     named = F.col("kind").isin("trip", "day", "place")
     known = F.coalesce(named & (F.col("near.meters") <= radius), F.lit(False))
@@ -128,10 +129,13 @@ def scene_tags(members: DataFrame, albums: DataFrame, most: int = 3) -> DataFram
     return best.groupBy("library_id", "draft").agg(F.array_join(tags, ",").alias("scene_tags"))
 
 
-def build_albums(photos: DataFrame, options: AlbumOptions = AlbumOptions()) -> DataFrame:
-    """Albums of each library, in order of display (`rank` from 1). Photo ids are comma-joined in the album's order.
+def plan_albums(photos: DataFrame, options: AlbumOptions = AlbumOptions()) -> tuple[DataFrame, DataFrame]:
+    """(albums, their photos).
 
-    Every photo is in one album at least. Places list their photos by id, the others by time (none last), then id.
+    Albums have a `rank` in their library, from 1, in order of display. Photos are rows (library_id, album_id, id, shown, turn): an
+    album lists its photos by `turn`, then id (places by id only; photos without a time come last); `shown` is 0 for the cover and
+    1 for the rest, so an order by shown, turn and id shows the cover first. No album is gathered into one row. Every photo is in
+    one album at least.
     """
     keyed, events, groups = assigned(photos, options)
     large, members = drafts(keyed, events, groups, options)
@@ -141,14 +145,19 @@ def build_albums(photos: DataFrame, options: AlbumOptions = AlbumOptions()) -> D
     kept = large.join(gone, ["library_id", "draft"], "left_anti")
     in_kept = in_large.join(gone, ["library_id", "draft"], "left_anti")
     by_month, in_months = monthly(keyed, in_kept.select("library_id", "id").distinct())
-    albums = kept.unionByName(by_month, allowMissingColumns=True)
+    albums = shared_checkpoint(kept.unionByName(by_month, allowMissingColumns=True))
     all_members = in_kept.unionByName(in_months)
-    turn = F.struct(F.when(F.col("kind") == "place", 0).otherwise(F.coalesce("taken_at", F.lit(2**62))).alias("at"), F.col("id"))
-    listed = all_members.groupBy("library_id", "draft").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["id"]), ",").alias("photo_ids"))
-    titled = albums.join(listed, ["library_id", "draft"]).join(scene_tags(all_members, albums), ["library_id", "draft"], "left")
+    titled = albums.join(scene_tags(all_members, albums), ["library_id", "draft"], "left")
     title, emoji = naming.title_and_emoji()
-    titled = titled.withColumns({"title": title, "emoji": emoji, "reason": naming.reason(), "album_id": F.concat_ws("-", "kind", "cover_id"), "scene_tags": F.coalesce("scene_tags", F.lit(""))})
+    album_id = F.concat_ws("-", "kind", "cover_id")
+    titled = titled.withColumns({"title": title, "emoji": emoji, "reason": naming.reason(), "album_id": album_id, "scene_tags": F.coalesce("scene_tags", F.lit(""))})
     order = Window.partitionBy("library_id").orderBy(album_priority(F.col("kind")), F.desc_nulls_last("date_end"), "album_id")
-    return titled.select(
-        "library_id", F.row_number().over(order).alias("rank"), "album_id", "kind", "title", "emoji", "reason", "confidence", "n", "photo_ids", "cover_id", "scene_tags", "date_start", "date_end"
-    )
+    listed = titled.select("library_id", F.row_number().over(order).alias("rank"), "album_id", "kind", "title", "emoji", "reason", "confidence", "n", "cover_id", "scene_tags", "date_start", "date_end")
+    turn = F.when(F.col("kind") == "place", 0).otherwise(F.coalesce("taken_at", F.lit(2**62)))
+    own = all_members.join(albums.select("library_id", "draft", "cover_id"), ["library_id", "draft"])
+    return listed, own.select("library_id", album_id.alias("album_id"), "id", F.when(F.col("id") == F.col("cover_id"), 0).otherwise(1).alias("shown"), turn.alias("turn"))
+
+
+def build_albums(photos: DataFrame, options: AlbumOptions = AlbumOptions()) -> DataFrame:
+    """The albums of `plan_albums`."""
+    return plan_albums(photos, options)[0]

@@ -216,13 +216,33 @@ CTES |= {
       UNION ALL SELECT library_id, draft, 'monthly', n, cover_id, date_start, date_end, NULL, NULL, false, false, NULL, 'low', NULL, NULL, year, month FROM (SELECT library_id, draft, year, month, {_SUMS} FROM rest GROUP BY ALL)"""),
     "tags": (("merged",), """SELECT library_id, draft, string_agg(label, ',' ORDER BY k) AS scene_tags FROM (SELECT e.library_id, e.draft, e.label, row_number() OVER (PARTITION BY e.library_id, e.draft ORDER BY count(*) DESC, e.label) AS k
       FROM everyone e JOIN merged m ON m.library_id = e.library_id AND m.draft = e.draft WHERE e.label IS NOT NULL AND e.label IS DISTINCT FROM m.scene_label GROUP BY 1, 2, 3) WHERE k <= 3 GROUP BY 1, 2"""),
-    "listed": (("merged",), "SELECT library_id, draft, string_agg(id, ',' ORDER BY CASE WHEN kind = 'place' THEN 0 ELSE coalesce(taken_at, 4611686018427387904) END, id) AS photo_ids FROM everyone GROUP BY 1, 2"),
-    "albums": (("tags", "listed"), f"""SELECT m.library_id, row_number() OVER (PARTITION BY m.library_id ORDER BY {_RANK.format('kind')}, date_end DESC NULLS LAST, kind || '-' || cover_id)::INTEGER AS rank, kind || '-' || cover_id AS album_id, kind,
-      {_TITLE} AS title, {_EMOJI} AS emoji, confidence, n, photo_ids, cover_id, coalesce(scene_tags, '') AS scene_tags, date_start, date_end
-      FROM merged m JOIN listed l ON l.library_id = m.library_id AND l.draft = m.draft LEFT JOIN tags t ON t.library_id = m.library_id AND t.draft = m.draft"""),
+    "album_photos": (("merged",), """SELECT e.library_id, m.kind || '-' || m.cover_id AS album_id, e.id, CASE WHEN e.id = m.cover_id THEN 0 ELSE 1 END AS shown, CASE WHEN m.kind = 'place' THEN 0 ELSE coalesce(e.taken_at, 4611686018427387904) END::BIGINT AS turn
+      FROM everyone e JOIN merged m ON m.library_id = e.library_id AND m.draft = e.draft"""),
+    "albums": (("tags",), f"""SELECT m.library_id, row_number() OVER (PARTITION BY m.library_id ORDER BY {_RANK.format('kind')}, date_end DESC NULLS LAST, kind || '-' || cover_id)::INTEGER AS rank, kind || '-' || cover_id AS album_id, kind,
+      {_TITLE} AS title, {_EMOJI} AS emoji, confidence, n, cover_id, coalesce(scene_tags, '') AS scene_tags, date_start, date_end
+      FROM merged m LEFT JOIN tags t ON t.library_id = m.library_id AND t.draft = m.draft"""),
 }
 
 
+def _dated(ms: str) -> str:
+    return _month_day(f"(DATE '1970-01-01' + floor({ms} / 86400000.0)::INT)")
+
+
+#: The seconds of a burst with one decimal, ties of the exact binary value upward: the value times ten is exact as a decimal.
+_SECONDS = "printf('%.1f', floor(((date_end - date_start) / 1000)::DOUBLE::DECIMAL(38, 20) * 10 + 0.5) / 10)"
+_SPAN = f"CASE WHEN date_start IS NOT NULL AND date_start <> date_end THEN {_dated('date_start')} || '〜' || {_dated('date_end')} || 'の' ELSE '' END"
+CTES["album_reasons"] = (("merged",), f"""SELECT library_id, kind || '-' || cover_id AS album_id, CASE kind
+  WHEN 'trip' THEN {_SPAN} || CASE WHEN nights > 0 THEN nights || '泊' || (nights + 1) || '日ぶんの' ELSE '日帰りの' END || 'おでかけっぽい' || n || '枚を、ひとつの旅としてまとめたよ。'
+  WHEN 'day' THEN CASE WHEN date_start IS NOT NULL THEN {_dated('date_start')} || '・' ELSE '' END || CASE WHEN place_known THEN place_name || 'あたりで' ELSE '' END || '近い時間に撮った' || n || '枚を、その日のできごととしてまとめたよ。'
+  WHEN 'place' THEN CASE WHEN place_home THEN 'いつもよく撮っている場所の' || n || '枚をあつめたよ。' ELSE CASE WHEN place_known THEN place_name || 'の近く' ELSE '同じ場所' END || 'で撮った' || n || '枚をまとめたよ。' END
+  WHEN 'burst' THEN CASE WHEN subtype = 'dup' THEN 'そっくりな写真が' || n || '枚。見比べやすいようにまとめて、いちばん良い1枚を表紙にしたよ。'
+    ELSE CASE WHEN date_end > date_start THEN {_SECONDS} || '秒のあいだの' ELSE '' END || '連写' || n || '枚。いちばんくっきりした1枚を表紙にしたよ。' END
+  WHEN 'scene' THEN {_case("scene_label", naming.SCENE_PHRASES, "'雰囲気の似た写真を'")} || n || '枚みつけたよ。' || CASE WHEN scene_label IN ('{"', '".join(naming.UNSURE_SCENES)}') THEN '（自信ひかえめ）' ELSE '' END
+  WHEN 'screenshot' THEN 'カメラで撮っていない、スクショや書類っぽい写真を' || n || '枚あつめたよ。'
+  WHEN 'device' THEN coalesce(device_model, 'このカメラ') || 'で撮った写真を' || n || '枚あつめたよ。'
+  ELSE CASE WHEN year IS NOT NULL THEN year || '年' || month || '月に撮った、どのアルバムにも入らなかった' || n || '枚をここにまとめておいたよ。' ELSE '撮影日時がわからなかった' || n || '枚を、ここにまとめておいたよ。' END END AS reason FROM merged""")
+
+
 def with_ctes(names: tuple[str, ...], select: str) -> str:
     """`select` after all common table expressions that it needs, each once."""
     order: list[str] = []

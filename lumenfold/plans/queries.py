@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.functions import naming, pixels, scalar
 from lumenfold.functions.scene import SCREENSHOT, SCREENSHOT_NAME, classify, labelled
 from lumenfold.operators import bursts, places
@@ -14,7 +15,7 @@ from lumenfold.operators import timeline as tl
 from lumenfold.operators.covers import best_cover, pick_covers
 from lumenfold.operators.home import infer_home
 from lumenfold.plans import oracle
-from lumenfold.plans.albums import build_albums
+from lumenfold.plans.albums import build_albums, plan_albums
 from lumenfold.sources.events import read_photos
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,11 @@ def query(*ctes: str, sql: str | None = None):
     return add
 
 
+def _labelled(spark, sf_dir):
+    """Labelled photos, worked out once: several steps read them."""
+    return shared_checkpoint(labelled(read_photos(spark, sf_dir)))
+
+
 @query("photos", sql="SELECT library_id, id, name, taken_at, round(lat, 7) AS lat, round(lon, 7) AS lon, phash, round(brightness, 6) AS brightness, camera_model, iso, top_hex FROM photos")
 def photo_view(spark, sf_dir):
     return read_photos(spark, sf_dir).select("library_id", "id", "name", "taken_at", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "phash", F.round("brightness", 6).alias("brightness"), "camera_model", "iso", "top_hex")
@@ -68,8 +74,7 @@ def pick_cover_per_library(spark, sf_dir):
 
 @query("homes", sql="SELECT library_id, round(home_lat, 6) AS home_lat, round(home_lon, 6) AS home_lon FROM homes")
 def grid_home(spark, sf_dir):
-    rows = labelled(read_photos(spark, sf_dir)).where(~F.col("label").eqNullSafe(SCREENSHOT))
-    return infer_home(rows).select("library_id", F.round("home_lat", 6).alias("home_lat"), F.round("home_lon", 6).alias("home_lon"))
+    return infer_home(_labelled(spark, sf_dir).where(~F.col("label").eqNullSafe(SCREENSHOT))).select("library_id", F.round("home_lat", 6).alias("home_lat"), F.round("home_lon", 6).alias("home_lon"))
 
 
 @query("photos", sql="SELECT library_id, count(*) AS n, count(*) FILTER (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (abs(lat) < 1e-6 AND abs(lon) < 1e-6)) AS n_valid FROM photos GROUP BY 1")
@@ -84,8 +89,7 @@ def gps_valid(spark, sf_dir):
       FROM (SELECT p.library_id, p.id, g.name, g.ord, {oracle.haversine('p.lat', 'p.lon', 'g.lat', 'g.lon')} AS m FROM photos p, gazetteer g WHERE p.lat IS NOT NULL) GROUP BY 1, 2)""",
 )
 def nearest_gazetteer(spark, sf_dir):
-    near = places.nearest_place(F.col("lat"), F.col("lon"))
-    rows = read_photos(spark, sf_dir).where("lat is not null").select("library_id", "id", near.alias("near"))
+    rows = places.with_nearest(read_photos(spark, sf_dir).where("lat is not null").select("library_id", "id", "lat", "lon"), "lat", "lon")
     return rows.select("library_id", "id", F.col("near.name").alias("name"), F.round("near.meters", 3).alias("meters"))
 
 
@@ -113,7 +117,7 @@ def burst_members(spark, sf_dir):
 
 @query("burst_groups", sql='SELECT library_id, burst, n, cover_id, start, "end", subtype FROM burst_groups')
 def burst_groups(spark, sf_dir):
-    photos = read_photos(spark, sf_dir)
+    photos = shared_checkpoint(read_photos(spark, sf_dir))
     return bursts.burst_groups(photos, bursts.burst_members(photos))
 
 
@@ -145,8 +149,8 @@ def trips(spark, sf_dir):
 
 @query("events_of", sql='SELECT library_id, event_kind, event, min(start) AS start, max("end") AS "end", count(*)::INTEGER AS n_days, sum(n_counted)::BIGINT AS n_counted FROM event_days GROUP BY 1, 2, 3')
 def timeline(spark, sf_dir):
-    rows = labelled(read_photos(spark, sf_dir))
-    in_bursts = bursts.burst_members(rows)
+    rows = _labelled(spark, sf_dir)
+    in_bursts = shared_checkpoint(bursts.burst_members(rows))
     groups = bursts.burst_groups(rows, in_bursts)
     counted = in_bursts.join(groups.select("library_id", "burst", "cover_id"), ["library_id", "burst"]).select("library_id", "id", (F.col("id") == F.col("cover_id")).alias("counted"))
     rows = rows.where(~F.col("label").eqNullSafe(SCREENSHOT))
@@ -156,8 +160,7 @@ def timeline(spark, sf_dir):
 
 @query("places_of", sql="SELECT library_id, id, place FROM places_of")
 def dbscan_places(spark, sf_dir):
-    rows = labelled(read_photos(spark, sf_dir)).where(~F.col("label").eqNullSafe(SCREENSHOT))
-    return places.place_members(rows)
+    return places.place_members(_labelled(spark, sf_dir).where(~F.col("label").eqNullSafe(SCREENSHOT)))
 
 
 @query("photos", sql="SELECT library_id, camera_model, count(*) AS n, min(taken_at) AS date_start, max(taken_at) AS date_end FROM photos p WHERE camera_model IS NOT NULL AND (SELECT count(DISTINCT camera_model) FROM photos q WHERE q.library_id = p.library_id) >= 2 GROUP BY 1, 2 HAVING count(*) >= 30")
@@ -196,11 +199,16 @@ def _paint():
 
 @query("albums", sql="SELECT * FROM albums")
 def albums(spark, sf_dir):
-    """The flagship, without its reasons: the seconds in them are rounded by a rule that SQL lacks."""
+    """The flagship, without its reasons (`album_reasons`) and photos (`album_photos`)."""
     return build_albums(read_photos(spark, sf_dir)).drop("reason")
 
 
-@query()
+@query("album_photos", sql="SELECT library_id, album_id, id, shown, turn FROM album_photos")
+def album_photos(spark, sf_dir):
+    return plan_albums(read_photos(spark, sf_dir))[1]
+
+
+@query("album_reasons", sql="SELECT library_id, album_id, reason FROM album_reasons")
 def album_reasons(spark, sf_dir):
     return build_albums(read_photos(spark, sf_dir)).select("library_id", "album_id", "reason")
 

@@ -29,41 +29,45 @@ def frame(spark, rows):
 
 
 def demo():
-    """121 photos: a trip, dinners, a burst of a dog, screenshots, nights out, an outing, skies, monochromes and leftovers."""
-    home, r, rows = (35.646, 139.653), random.Random(42), []
+    """A library of somebody in 札幌: walks near home, a trip to 函館, a festival, a lake with a second camera, series, scenes and leftovers."""
+    rows = []
 
-    def add(**own):
-        rows.append(photo(f"demo-{len(rows):03d}", **own))
+    def add(id, **own):
+        rows.append(photo(id, **own))
 
-    def near(lat, lon, width):
-        return {"lat": lat + (r.random() - 0.5) * width, "lon": lon + (r.random() - 0.5) * width}
+    def spot(lat, lon, k):
+        """Places some 30 m apart."""
+        return {"lat": lat + 0.0003 * (k % 4), "lon": lon + 0.0003 * (k // 4 % 3)}
 
-    for day in (10, 11, 12):
-        for i in range(14):
-            sky = i % 3 == 0
-            add(taken_at=at(2026, 7, day, 9 + i * 8 // 14, i * 17 % 60, i * 7 % 60), top_hex="#4aa6d6", saturation=0.42, warmth=0.02, colorfulness=55.0, green_ratio=0.05,
-                blue_top_ratio=0.6 if sky else 0.35, brightness=0.7 if sky else 0.6, edge_density=0.08 if sky else 0.14, **near(26.212, 127.681, 0.02))
-    for start in (at(2026, 6, 3, 19), at(2026, 6, 7, 20), at(2026, 6, 14, 19, 30), at(2026, 6, 20, 20, 15), at(2026, 6, 25, 19, 45)):
-        for i in range(3):
-            add(taken_at=start + i * 90_000, top_hex="#c85a2b", brightness=0.52, saturation=0.55, edge_density=0.22, warmth=0.2, colorfulness=62.0, aspect=1.0, **near(*home, 0.001))
-    dog = r.getrandbits(64)
-    for i in range(12):
-        flipped = dog
-        for _ in range(1 + i % 3 if i else 0):
-            flipped ^= 1 << r.randrange(64)
-        add(taken_at=at(2026, 7, 5, 16) + i * 400, top_hex="#b98a5e", saturation=0.35, edge_density=0.3, warmth=0.12, colorfulness=38.0, aspect=0.75, phash=f"{flipped:016x}", lat=home[0] + 0.0004, lon=home[1] + 0.0004)
-    for i in range(18):
-        add(taken_at=at(2026, 7, 1 + i, 12, i * 13 % 60), top_hex="#f4f5f7", brightness=0.9, saturation=0.12, edge_density=0.45, colorfulness=18.0, aspect=1179 / 2556, camera_make=None, camera_model=None, f_number=None, iso=None, name=f"Screenshot_2026-07-{1 + i:02d}.png")
-    for day in (8, 15):
-        for i in range(4):
-            add(taken_at=at(2026, 7, day, 20, i * 6), top_hex="#141a2e", brightness=0.16, saturation=0.4, warmth=0.05, colorfulness=45.0, iso=2500, lat=home[0] + 0.01, lon=home[1] + 0.01)
-    for i in range(7):
-        add(taken_at=at(2026, 6, 13, 10) + i * 3_000_000, top_hex="#7d9b64", brightness=0.55, saturation=0.28, warmth=0.03, green_ratio=0.2, **near(35.55, 139.35, 0.004))
-    for i in range(10):
-        add(taken_at=at(2026, 5, 2 + 2 * i, 11, i * 7 % 60), top_hex="#5aa9e6", brightness=0.72, saturation=0.38, edge_density=0.08, warmth=-0.05, colorfulness=40.0, blue_top_ratio=0.62, lat=home[0] + 0.02, lon=home[1] - 0.02)
-    for i in range(6):
-        add(taken_at=at(2026, 4, 3 + 3 * i, 15, i * 11 % 60), top_hex="#696969", brightness=0.45, saturation=0.05, edge_density=0.28, colorfulness=6.0)
-    add(top_hex="#8a9a7b", saturation=0.25, warmth=0.02, colorfulness=28.0, camera_make=None, camera_model=None)
-    add(top_hex="#6b7b8a", brightness=0.48, saturation=0.22, warmth=-0.02, colorfulness=24.0, camera_make=None, camera_model=None)
-    add(taken_at=at(2026, 3, 15, 14), top_hex="#a67b8a", brightness=0.55, edge_density=0.18, warmth=0.06, lat=home[0], lon=home[1])
+    for k in range(48):  # a Wednesday each week
+        add(f"walk{k:02d}", taken_at=at(2023, 1, 4) + k * 7 * 86_400_000 + k * 1_234_567, **spot(43.0650, 141.3470, k))
+    for k in range(26):
+        add(f"hakodate{k:02d}", taken_at=at(2023, 2, 18 + k // 13, 8 + k % 13, 7 * k % 60), top_hex="#203050", **spot(41.7690, 140.7290, k))
+    for k in range(9):
+        add(f"snow{k}", taken_at=at(2023, 2, 11, 10, 11 * k % 60, k), brightness=0.6, edge_density=0.3, top_hex="#dde4ee", lat=43.2 + 0.004 * k, lon=141.0)
+    for k in range(36):
+        add(f"bird{k:02d}", taken_at=at(2023, 5, 3 + 2 * (k // 3), 6, 20 * (k % 3)), camera_make="PENTAX", camera_model="PENTAX K-3", f_number=5.6, top_hex="#3a5a4a", lat=42.70 + 0.01 * (k % 5), lon=141.72)
+    owl = 0x5AA5_0F33_9C1E_7B42
+    for k in range(5):
+        add(f"owl{k}", taken_at=at(2023, 6, 4, 21) + 250 * k, phash=f"{owl ^ (3 << 7 * k):016x}", edge_density=0.2 + 0.05 * k, f_number=5.6)
+    for k in range(4):
+        add(f"copy{k}", phash="00ff13579bdf2468", camera_make=None, camera_model=None, taken_at=at(2023, 7, 1 + 3 * k, 9) if k else None)
+    for k in range(7):
+        add(f"fireworks{k}", taken_at=at(2023, 8, 5, 20, 4 * k), brightness=0.2, iso=3200, top_hex="#101830", colorfulness=50.0, lat=43.03, lon=141.40)
+    for k in range(8):
+        add(f"garden{k}", taken_at=at(2023, 7, 2 + 4 * (k // 2), 13, k), green_ratio=0.5 + 0.02 * k, saturation=0.5, top_hex="#2f8f3f")
+    for k in range(6):
+        add(f"grey{k}", taken_at=at(2023, 9, 1 + 5 * k // 2, 17), saturation=0.03, edge_density=0.3, top_hex="#777777")
+    for k in range(7):
+        add(f"dusk{k}", taken_at=at(2023, 10, 1 + 3 * k, 16, 40), top_hex="#e07830", warmth=0.3, colorfulness=45.0, aspect=1.5, brightness=0.45)
+    for k in range(6):
+        add(f"soup{k}", taken_at=at(2023, 11, 2 * k + 1, 19, 5), top_hex="#40a0a0", warmth=0.1, saturation=0.6, colorfulness=70.0, aspect=1.0)
+    for k in range(7):
+        add(f"sky{k}", taken_at=at(2023, 4, 3 * k + 1, 12, 30), blue_top_ratio=0.45 + 0.05 * k, brightness=0.8, edge_density=0.05, top_hex="#66aaee")
+    for k in range(9):
+        add(f"page{k}", name=f"スクリーンショット {k}.png", taken_at=at(2023, 3, 2 * k + 1, 22), camera_make=None, camera_model=None, f_number=None, iso=None, brightness=0.85, saturation=0.1, edge_density=0.4)
+    for k in range(3):
+        add(f"undated{k}", top_hex=None, camera_make=None, camera_model=None)
+    for k in range(2):
+        add(f"old{k}", taken_at=at(2021, 11, 5 + 9 * k), aspect=0.75)
     return rows

@@ -1,3 +1,7 @@
+import math
+import random
+from itertools import combinations
+
 import pytest
 from photos import NAMES, SCHEMA, at, demo, frame, photo
 from pyspark.sql import functions as F
@@ -5,41 +9,84 @@ from pyspark.sql import functions as F
 from lumenfold.functions import naming, scalar
 from lumenfold.functions.scene import classify
 from lumenfold.operators import bursts, places
+from lumenfold.operators import components as components_module
 from lumenfold.operators import timeline as tl
+from lumenfold.operators.components import components, stars_of
+from lumenfold.operators.dedupe import dropped_drafts, similar_pairs
 from lumenfold.operators.home import infer_home
-from lumenfold.plans.albums import build_albums
+from lumenfold.options import AlbumOptions, TimelineOptions
+from lumenfold.plans import oracle
+from lumenfold.plans.albums import build_albums, plan_albums
 
 
 @pytest.fixture(scope="module")
-def albums(spark):
-    rows = [(*r[:0], *r) for r in demo()]
-    other = [(2, *photo(f"x{i}", taken_at=at(2025, 1, 1 + i))[1:]) for i in range(3)]
-    return build_albums(frame(spark, rows + other).repartition(3)).orderBy("library_id", "rank").collect()
-
-
-def test_golden_list(albums):
-    assert [(a.kind, a.title, a.n) for a in albums if a.library_id == 1] == [
-        ("trip", "那覇、2泊3日の旅", 42),
-        ("place", "いつもの場所", 28),
-        ("day", "6月13日のおでかけ", 7),
-        ("scene", "夜さんぽ", 8),
-        ("scene", "青空コレクション", 25),
-        ("scene", "おいしいもの記録", 15),
-        ("scene", "モノクロ写真", 6),
-        ("burst", "そっくりさんフォト（12枚）", 12),
-        ("screenshot", "スクショ整理", 18),
-        ("monthly", "いつかの写真たち", 2),
-    ]
-
-
-def test_every_photo_is_in_an_album_and_covers_are_members(albums):
-    own = [a for a in albums if a.library_id == 1]
-    assert {p for a in own for p in a.photo_ids.split(",")} == {r[NAMES.index("id")] for r in demo()}
-    assert all(a.cover_id in a.photo_ids.split(",") and len(a.photo_ids.split(",")) == a.n for a in albums)
-
-
-def test_libraries_do_not_mix(albums):
-    assert [(a.kind, a.n) for a in albums if a.library_id == 2] == [("monthly", 3)]
+def built(spark):
+    other = [(2, *photo(f"x{i}", taken_at=at(2025, 1, 1 + i))[1:]) for i in range(3)] + [(3, *photo("solo")[1:])]
+    rows = demo() + other
+    random.Random(5).shuffle(rows)
+    albums, members = plan_albums(frame(spark, rows).repartition(3))
+    return rows, albums.orderBy("library_id", "rank").collect(), members.collect()
+
+
+def expected(rows, select):
+    """What the queries' SQL gives for these rows in DuckDB, from all pairs and plain recursion."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("own_photos", pd.DataFrame(rows, columns=NAMES).astype({"taken_at": "Int64", "iso": "Int64"}))
+    held = dict(oracle.CTES)
+    oracle.CTES["photos"] = ((), "SELECT * FROM own_photos")
+    try:
+        return con.execute(oracle.with_ctes(("albums", "album_photos"), select)).fetchall()
+    finally:
+        oracle.CTES.clear()
+        oracle.CTES.update(held)
+
+
+def test_albums_equal_a_slow_computation(built):
+    rows, albums, members = built
+    names = "library_id, rank, album_id, kind, title, emoji, confidence, n, cover_id, scene_tags, date_start, date_end"
+    assert [tuple(a[k] for k in names.split(", ")) for a in albums] == expected(rows, f"SELECT {names} FROM albums ORDER BY 1, 2")
+    assert sorted((m.library_id, m.album_id, m.id, m.shown, m.turn) for m in members) == expected(rows, "SELECT library_id, album_id, id, shown, turn FROM album_photos ORDER BY 1, 2, 3")
+
+
+def test_albums_of_the_demo(built):
+    found = [(a.kind, a.title, a.n) for a in built[1] if a.library_id == 1]
+    assert {k for k, _, _ in found} == set(scalar.KINDS)
+    assert ("trip", "函館、1泊2日の旅", 26) in found and ("day", "建国記念の日のおでかけ", 9) in found and ("device", "PENTAX K-3で撮った写真", 36) in found
+    assert ("burst", "そっくりさんフォト（5枚）", 5) in found and ("burst", "にたものコレクション", 4) in found and ("screenshot", "スクショ整理", 9) in found
+    assert [(a.kind, a.n) for a in built[1] if a.library_id == 2] == [("monthly", 3)] and [(a.title, a.n) for a in built[1] if a.library_id == 3] == [("いつかの写真たち", 1)]
+    assert all(a.title and a.emoji and a.reason for a in built[1])
+
+
+def test_every_photo_is_in_an_album_covers_come_first_and_no_two_are_alike(built):
+    rows, albums, members = built
+    own = {}
+    for m in sorted(members, key=lambda m: (m.library_id, m.album_id, m.shown, m.turn, m.id)):
+        own.setdefault((m.library_id, m.album_id), []).append(m.id)
+    assert {(k, x) for (k, _), ids in own.items() for x in ids} == {(r[0], r[1]) for r in rows}
+    assert all(own[a.library_id, a.album_id][0] == a.cover_id and len(own[a.library_id, a.album_id]) == len(set(own[a.library_id, a.album_id])) == a.n for a in albums)
+    sets = [(k, set(v)) for k, v in own.items()]
+    assert all(len(x & y) <= 0.8 * len(x | y) for (k, x), (m, y) in combinations(sets, 2) if k[0] == m[0])
+
+
+def test_options_reach_the_names_of_trips(spark):
+    rows = [photo(f"home{k}", lat=43.06, lon=141.25, taken_at=at(2022, 1, 1) + 3 * k * 86_400_000) for k in range(40)]
+    rows += [photo(f"near{k:02d}", lat=43.19, lon=140.99, taken_at=at(2023, 3, 4 + k // 12, 9 + k % 12)) for k in range(24)]
+    near = AlbumOptions(timeline=TimelineOptions(far_meters=20_000.0))
+    assert "小樽、1泊2日の旅" in {a.title for a in build_albums(frame(spark, rows), near).collect()}
+    assert "trip" not in {a.kind for a in build_albums(frame(spark, rows)).collect()}
+
+
+def test_folding_any_drafts(spark):
+    drafts = [("t", "trip", "abcde"), ("s", "scene", "abcde"), ("p", "place", "abcde"), ("q", "place", "abcdef"), ("r", "day", "axyzw"), ("m", "monthly", "bcdefg")]
+    rows = spark.createDataFrame([(1, d, k, len(ids)) for d, k, ids in drafts], "library_id long, draft string, kind string, n long")
+    members = spark.createDataFrame([(1, d, x) for d, _, ids in drafts for x in ids], "library_id long, draft string, id string")
+    # q is like t (5 of 6), m is like q (5 of 7: no); p is equal to t
+    assert {r.draft for r in dropped_drafts(similar_pairs(rows, members)).collect()} == {"s", "p", "q"}
+    chain = spark.createDataFrame([(1, a, b) for a, b in ("ab", "bc", "cd", "ad")], "library_id long, a string, b string")
+    assert {r.draft for r in dropped_drafts(chain).collect()} == {"b", "d"}
 
 
 def test_empty_library(spark):
@@ -75,6 +122,53 @@ def test_places_and_noise(spark):
     assert got == {(f"k{i}", "k0") for i in range(3)} | {(f"y{i}", "y0") for i in range(3)} | {(f"w{i}", "w0") for i in range(3)}
 
 
+def test_dbscan_by_another_distance(spark):
+    points = [(1, k, float(x), float(y), 1) for k, (x, y) in enumerate([(5, 5), (6, 5), (5, 6), (6, 6), (90, 90), (91, 90), (90, 91), (40, 40), (8, 6)])]
+    df = spark.createDataFrame(points, "library_id long, point long, x double, y double, weight long")
+
+    def in_reach(p):
+        other = p.select("library_id", F.col("point").alias("point2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("weight").alias("weight2"))
+        return p.join(other, "library_id").where(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= 2).select("library_id", "point", "point2", "weight2")
+
+    assert {(r.point, r.cluster) for r in places.dbscan(df, in_reach, 3).collect()} == {(k, 0) for k in (0, 1, 2, 3, 8)} | {(k, 4) for k in (4, 5, 6)}
+
+
+def test_near_clusters_equal_dbscan_of_all_pairs(spark):
+    r = random.Random(3)
+    rows = []
+    for library, (lat, lon) in enumerate([(35.0, 139.0), (0.0, 179.999), (-70.0, 10.0), (89.9, 0.0), (60.0, -180.0)]):
+        for k in range(250):
+            far = 0.02 if k % 2 else 0.004
+            x = lon + r.uniform(-far, far) / max(0.01, math.cos(math.radians(lat)))
+            rows.append((library, k, max(-90.0, min(90.0, lat + r.uniform(-far, far)))  if k % 7 else lat, (x + 180) % 360 - 180, 1 + k % 2))
+    df = spark.createDataFrame(rows, "library_id long, point long, lat double, lon double, weight long")
+    for meters, least in ((500.0, 3), (150.0, 4), (60.0, 3)):
+        whole = {tuple(x) for x in places.dbscan(df, lambda p: places.near_pairs(p, meters), least).select("library_id", "point", "cluster").collect()}
+        assert {tuple(x) for x in places.near_clusters(df, meters, least).select("library_id", "point", "cluster").collect()} == whole and len({c[::2] for c in whole}) > 5
+
+
+def test_a_crowded_place_makes_few_pairs(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("library_id"), F.col("id").alias("point"), (35 + F.col("id") % 200 * 1e-6).alias("lat"), (139 + F.floor(F.col("id") / 200) * 1e-6).alias("lon"), F.lit(1).alias("weight"))
+    assert {r.cluster for r in places.near_clusters(df, 500.0, 3).select("cluster").distinct().collect()} == {0}
+    full = places._fine_cells(df, 500.0).groupBy("cell").count()
+    assert full.count() <= 4  # no sparse points, so only their quarters meet
+
+
+def test_components(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(900), r.randrange(900)) for _ in range(500)] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7), (None, 5)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = {tuple(x) for x in components(df).collect()}
+    assert few == set(stars_of([(a, b) for a, b in edges if a is not None])) | {(b, b) for _, b in stars_of([(a, b) for a, b in edges if a is not None])}
+    components_module.CHUNK, held = 20, components_module.CHUNK
+    try:
+        assert {tuple(x) for x in components(df.repartition(7)).collect()} == few
+    finally:
+        components_module.CHUNK = held
+    named = components(spark.createDataFrame([((1, "b"), (1, "ä")), ((1, "ä"), (1, "a")), ((2, "b"), (2, "z"))], "a struct<l:long,s:string>, b struct<l:long,s:string>"))
+    assert {(tuple(x.node), tuple(x.component)) for x in named.collect()} == {((1, s), (1, "a")) for s in ("a", "b", "ä")} | {((2, s), (2, "b")) for s in "bz"}
+
+
 def test_home_needs_three_photos(spark):
     rows = [photo(f"h{i}", lat=35.0, lon=139.0) for i in range(2)]
     assert infer_home(frame(spark, rows)).count() == 0
