@@ -243,6 +243,34 @@ CTES["album_reasons"] = (("merged",), f"""SELECT library_id, kind || '-' || cove
   ELSE CASE WHEN year IS NOT NULL THEN year || '年' || month || '月に撮った、どのアルバムにも入らなかった' || n || '枚をここにまとめておいたよ。' ELSE '撮影日時がわからなかった' || n || '枚を、ここにまとめておいたよ。' END END AS reason FROM merged""")
 
 
+def _channel(at: int) -> str:
+    return f"('0x' || substr(h, 8 * j + {2 * at + 1}, 2))::INT::DOUBLE"
+
+
+CTES |= {
+    # the rasters of `pixel_stats`, a row for each pixel; 4 pixels are a digest
+    "dots": ((), f"""SELECT p_partkey, 4 * (i - 1) + j AS n, {_channel(0)} AS r, {_channel(1)} AS g, {_channel(2)} AS b FROM (
+      SELECT p_partkey, i, md5(p_partkey || ':' || i % 97) AS h FROM part, range(1, 1025) t(i)), range(4) u(j)"""),
+    "toned": (("dots",), """SELECT *, n % 64 AS x, n // 64 AS y, (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) / 255 AS gray, top - low AS span,
+      CASE WHEN top = low THEN 0 WHEN top = sr THEN ((60 * ((sg - sb) / (top - low))) + 360) % 360 WHEN top = sg THEN 60 * ((sb - sr) / (top - low) + 2) ELSE 60 * ((sr - sg) / (top - low) + 4) END AS hue
+      FROM (SELECT *, greatest(sr, sg, sb) AS top, least(sr, sg, sb) AS low FROM (SELECT *, r / 255 AS sr, g / 255 AS sg, b / 255 AS sb FROM dots))"""),
+    "sobel": (("toned",), """SELECT p_partkey, avg(CASE WHEN sqrt(gx * gx + gy * gy) > 0.15 THEN 1.0 ELSE 0.0 END) AS edge_density FROM (
+      SELECT p_partkey, x, y, (ne - nw) + 2 * (e - w) + (se - sw) AS gx, (sw - nw) + 2 * (s - o) + (se - ne) AS gy FROM (
+        SELECT p_partkey, x, y, lag(gray, 65) OVER line AS nw, lag(gray, 64) OVER line AS o, lag(gray, 63) OVER line AS ne, lag(gray, 1) OVER line AS w,
+          lead(gray, 1) OVER line AS e, lead(gray, 63) OVER line AS sw, lead(gray, 64) OVER line AS s, lead(gray, 65) OVER line AS se FROM toned WINDOW line AS (PARTITION BY p_partkey ORDER BY n))
+      WHERE x BETWEEN 1 AND 62 AND y BETWEEN 1 AND 62) GROUP BY 1"""),
+    "eighths": (("toned",), """SELECT p_partkey, sum(CASE WHEN cell > mean THEN (1::HUGEINT << (63 - place)::INT) ELSE 0 END)::HUGEINT AS bits FROM (
+      SELECT *, avg(cell) OVER (PARTITION BY p_partkey) AS mean FROM (SELECT p_partkey, 8 * (y // 8) + x // 8 AS place, avg(gray) AS cell FROM toned GROUP BY 1, 2)) GROUP BY 1"""),
+    "pixel_means": (("toned", "sobel", "eighths"), """SELECT p_partkey, round(avg(gray) + 1e-9, 6) AS brightness, round(stddev_pop(gray), 6) AS contrast, round(var_pop(gray), 6) AS luma_variance, round((avg(r) - avg(b)) / 255, 6) AS warmth,
+      round(avg(CASE WHEN gray > 0.85 THEN 1.0 ELSE 0.0 END), 6) AS highlights, round(avg(CASE WHEN top = 0 THEN 0 ELSE span / top END), 6) AS saturation,
+      round(sqrt(var_pop(r - g) + var_pop((r + g) / 2 - b)) + 0.3 * sqrt(avg(r - g) ** 2 + avg((r + g) / 2 - b) ** 2), 4) AS colorfulness,
+      round(avg(CASE WHEN hue BETWEEN 190 AND 250 AND span / top > 0.2 AND top > 0.4 THEN 1.0 ELSE 0.0 END) FILTER (y < 32), 6) AS blue_top_ratio,
+      round(avg(CASE WHEN hue BETWEEN 70 AND 160 AND span / top > 0.25 AND top > 0.15 THEN 1.0 ELSE 0.0 END), 6) AS green_ratio,
+      any_value(round(edge_density, 6)) AS edge_density, any_value(printf('%08x%08x', (bits // 4294967296)::BIGINT, (bits % 4294967296)::BIGINT)) AS ahash
+      FROM toned JOIN sobel USING (p_partkey) JOIN eighths USING (p_partkey) GROUP BY p_partkey"""),
+}
+
+
 def with_ctes(names: tuple[str, ...], select: str) -> str:
     """`select` after all common table expressions that it needs, each once."""
     order: list[str] = []

@@ -219,15 +219,45 @@ def album_reasons(spark, sf_dir):
 )
 def exif_times(spark, sf_dir):
     """Times written as EXIF text and read back."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy:MM:dd HH:mm:ss").alias("text"))
     return events.select("event_id", naming.exif_text_ms(F.col("text")).alias("taken_at"))
 
 
-@query()
-def pixel_stats(spark, sf_dir):
-    """Features of a raster for each part, whose pixels are digests of its key; compared with plain numpy in the tests."""
+def _rasters(spark, sf_dir):
+    """A raster for each part, whose pixels are digests of its key, and its features `px`."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     bytes_of = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: F.md5(F.concat_ws(":", F.col("p_partkey").cast("string"), (i % 97).cast("string")).cast("binary"))), ""))
-    px = pixels.pixel_features(bytes_of, F.lit(64), F.lit(64), F.col("p_partkey").cast("long"))
-    return part.select("p_partkey", px.alias("px")).select("p_partkey", "px.phash", "px.ahash", F.round("px.brightness", 6).alias("brightness"), F.round("px.colorfulness", 4).alias("colorfulness"), F.round("px.edge_density", 6).alias("edge_density"), F.get("px.top_hexes", F.lit(0)).alias("top_hex"))
+    part = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # a small file is one task, and features take time
+    return part.select("p_partkey", pixels.pixel_features(bytes_of, F.lit(64), F.lit(64), F.col("p_partkey").cast("long")).alias("px"))
+
+
+@query()
+def pixel_stats(spark, sf_dir):
+    """Hashes and the main colour, which come of a transform and of seeded clusters; in the tests beside slow versions of both."""
+    return _rasters(spark, sf_dir).select("p_partkey", "px.phash", "px.ahash", F.get("px.top_hexes", F.lit(0)).alias("top_hex"), F.round(F.get("px.top_weights", F.lit(0)), 6).alias("top_weight"))
+
+
+@query("pixel_means", sql="SELECT * FROM pixel_means")
+def pixel_means(spark, sf_dir):
+    names = "contrast luma_variance warmth highlights saturation blue_top_ratio green_ratio edge_density".split()
+    # means of whole numbers can lie on a rounding edge, and engines add them up in other orders
+    return _rasters(spark, sf_dir).select("p_partkey", F.round(F.col("px.brightness") + 1e-9, 6).alias("brightness"), *(F.round(f"px.{n}", 6).alias(n) for n in names), F.round("px.colorfulness", 4).alias("colorfulness"), "px.ahash")
+
+
+@query(
+    "photos",
+    sql="""SELECT library_id, id, CASE WHEN taken_at IS NULL THEN '日付不明' ELSE strftime(d, '%-m/%-d') || CASE WHEN until = d THEN '' ELSE '〜' || strftime(until, '%-m/%-d') END END AS dates,
+      CASE iso % 3 WHEN 0 THEN '高' WHEN 1 THEN '中' ELSE '低' END AS label, CASE iso % 3 WHEN 0 THEN 'かなり自信あり' WHEN 1 THEN 'まあまあ自信あり' ELSE '自信ひかえめ' END AS word, 3 - (iso % 3)::INT AS dots,
+      CASE WHEN iso % 5 = 0 THEN 'いつもの場所' WHEN iso % 2 = 0 THEN 'この場所' ELSE 'はじめての場所' END AS place,
+      CASE WHEN warmth < -0.1 THEN -0.1 WHEN warmth > 0.1 THEN 0.1 ELSE warmth END AS clamped, bit_count((iso * 7919) & 4294967295)::INT AS bits, floor((((colorfulness * 11 - 200) % 360 + 360) % 360) / 360 * 12)::INT AS hue_bin
+      FROM (SELECT library_id, id, taken_at, warmth, colorfulness, DATE '1970-01-01' + floor(taken_at / 86400000.0)::INT AS d, DATE '1970-01-01' + floor((taken_at + 3600000 * (colorfulness::BIGINT % 30)) / 86400000.0)::INT AS until, coalesce(iso, 0) // 100 AS iso FROM photos)""",
+)
+def shown_words(spark, sf_dir):
+    """Words and numbers that albums are shown with, over values of photos."""
+    iso = F.floor(F.coalesce("iso", F.lit(0)) / 100)
+    sure = F.when(iso % 3 == 0, "high").when(iso % 3 == 1, "med").otherwise("low")
+    until = F.col("taken_at") + 3_600_000 * (F.col("colorfulness").cast("long") % 30)
+    return read_photos(spark, sf_dir).select(
+        "library_id", "id", naming.date_range_text(F.col("taken_at"), until).alias("dates"), naming.confidence_label(sure).alias("label"), naming.confidence_word(sure).alias("word"), naming.confidence_dots(sure).alias("dots"),
+        naming.relative_name(iso % 5 == 0, iso % 2 == 0).alias("place"), scalar.clamp(F.col("warmth"), -0.1, 0.1).alias("clamped"), scalar.popcount32(iso * 7919).alias("bits"), scalar.hue_bin(F.col("colorfulness") * 11 - 200, 12).alias("hue_bin"),
+    )

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def wall_millis(ts: Column) -> Column:
+    """Epoch ms of a timestamp without a zone, as a wall clock in UTC, whatever the session's zone is."""
+    of_day = (F.hour(ts) * 3600 + F.minute(ts) * 60) * 1000 + F.floor(F.date_part(F.lit("SECOND"), ts) * 1000)
+    return F.unix_date(ts.cast("date")).cast("long") * 86_400_000 + of_day
+
+
 def photos_from_events(events: DataFrame) -> DataFrame:
     """One photo for each event (event_id, ts, user_id, event_type, props), and three more frames for some clicks.
 
@@ -14,7 +20,7 @@ def photos_from_events(events: DataFrame) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int")
     frames = F.when((F.col("event_type") == "click") & (e % 3 == 0), F.sequence(F.lit(0), F.lit(3))).otherwise(F.array(F.lit(0)))
-    rows = events.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("frame", F.explode(frames))
+    rows = events.withColumn("ms", wall_millis(F.col("ts"))).withColumn("frame", F.explode(frames))
     n = F.col("frame")
     far = (F.floor(F.col("ms") / 86_400_000) + u) % 10 < 3
     placed, filmed = e % 7 != 0, e % 11 != 0
@@ -52,5 +58,4 @@ def photos_from_events(events: DataFrame) -> DataFrame:
 
 
 def read_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return photos_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))

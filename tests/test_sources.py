@@ -1,13 +1,16 @@
+import math
 import random
 import struct
 import zlib
 
 import numpy as np
 from photos import SCHEMA, at, frame, photo
+from pyspark.sql import functions as F
 
 from lumenfold.functions import exif, pixels
 from lumenfold.operators import timeline as tl
-from lumenfold.sources.images import batches, read_images, skipped
+from lumenfold.sources.events import wall_millis
+from lumenfold.sources.images import read_images, skipped
 from lumenfold.streaming.sessions import stream_sessions
 
 
@@ -88,6 +91,45 @@ def test_pixel_features():
     assert bin(int(a, 16) ^ int(b, 16)).count("1") <= 6 < bin(int(a, 16) ^ int(c, 16)).count("1") and len(pixels.ahash(pixels.luma(noise))) == 16
 
 
+def slow_phash(gray):
+    """64 bits by sums in plain Python: cosine coefficients of 32 x 32 means, over the median of all but the first."""
+    cells = [[sum(gray[2 * y + a][2 * x + b] for a in (0, 1) for b in (0, 1)) / 4 for x in range(32)] for y in range(32)]
+    cos = [[math.cos((2 * n + 1) * k * math.pi / 64) for n in range(32)] for k in range(8)]
+    rows = [[sum(cells[y][x] * cos[v][x] for x in range(32)) for v in range(8)] for y in range(32)]
+    values = [sum(rows[y][v] * cos[u][y] for y in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(values[1:])[31]
+    return f"{int(''.join('1' if x > middle else '0' for x in values), 2):016x}"
+
+
+def slow_colors(points, rgb, seed, k=5, rounds=10):
+    """Main colours by plain loops over points of the Lab space."""
+    numbers, chosen = pixels.mulberry32(seed), []
+    while len(chosen) < k:
+        at = int(next(numbers) * len(points))
+        while at in chosen:
+            at = (at + 1) % len(points)
+        chosen.append(at)
+    centres, own = [points[c] for c in chosen], [0] * len(points)
+    for turn in range(rounds):
+        nearest = [min(range(k), key=lambda c: (sum((a - b) ** 2 for a, b in zip(p, centres[c])), c)) for p in points]
+        moved, own = nearest != own, nearest
+        for c in range(k):
+            held = [p for p, o in zip(points, own) if o == c]
+            centres[c] = tuple(math.fsum(x) / len(held) for x in zip(*held)) if held else centres[c]
+        if turn and not moved:
+            break
+    order = sorted(range(k), key=lambda c: (-own.count(c), c))[:3]
+    return ["#" + "".join(f"{int(sum(x) / own.count(c) + 0.5):02x}" for x in zip(*(v for v, o in zip(rgb, own) if o == c))) for c in order if own.count(c)], [own.count(c) / len(own) for c in order if own.count(c)]
+
+
+def test_hash_and_main_colors_equal_slow_versions():
+    noise = np.random.default_rng(3).integers(0, 256, (64, 64, 3)).astype(float)
+    assert pixels.phash(pixels.luma(noise)) == slow_phash(pixels.luma(noise).tolist())
+    small = noise[:12, :12]
+    for seed in (1, 7):
+        assert pixels.main_colors(small, seed) == slow_colors([tuple(p) for p in pixels.lab(small).reshape(-1, 3).tolist()], small.reshape(-1, 3).astype(int).tolist(), seed)
+
+
 def test_seeded_numbers():
     numbers = pixels.mulberry32(42)
     assert [round(next(numbers), 6) for _ in range(2)] == [0.601104, 0.448291]
@@ -103,7 +145,20 @@ def test_images_become_photos(spark, tmp_path):
     assert rows["a.png"].top_hex == "#c81e1e" and (rows["a.png"].width, rows["a.png"].aspect, rows["a.png"].taken_at_source) == (120, 1.5, "mtime")
     assert rows["b.jpg"].taken_at == at(2024, 5, 6, 7, 8, 9) and rows["b.jpg"].brightness == 0.5 and len(rows["b.jpg"].phash) == 16
     assert [r["name"] for r in skipped(read_images(spark, str(tmp_path))).collect()] == ["b.jpg"]
-    assert [list(x) for x in batches(5, 2)] == [[0, 1], [2, 3], [4]]
+    assert rows["b.jpg"].camera.asDict() == {"make": "Canon", "model": None, "f_number": 1.8, "iso": 400, "focal_length": None, "exposure": None} and rows["a.png"].camera is None
+    (tmp_path / "c.WebP").write_bytes(b"no picture")
+    assert {r["name"] for r in skipped(read_images(spark, str(tmp_path))).collect()} == {"b.jpg", "c.WebP"}
+
+
+def test_wall_clocks_do_not_depend_on_the_zone_of_the_session(spark):
+    rows = spark.sql("select timestamp_ntz'2024-03-31 02:30:00.123456' as ts union all select timestamp_ntz'1969-12-31 23:59:59.999'")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for own in ("UTC", "Europe/Berlin", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", own)
+            assert [r.ms for r in rows.select(wall_millis(F.col("ts")).alias("ms")).collect()] == [at(2024, 3, 31, 2, 30) + 123, -1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_streamed_sessions_equal_those_of_a_table(spark, tmp_path):
