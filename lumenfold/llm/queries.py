@@ -77,9 +77,10 @@ sized AS (SELECT license, s, count(*) OVER (PARTITION BY license) AS n FROM own)
 read AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 placed AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM read)),
 met AS (SELECT doc_id, license, n, s, pos, unnest([pos // n, pos // n - 1]) AS win FROM placed JOIN sized USING (s)),
-held AS (SELECT doc_id, license, win, count(DISTINCT s) / any_value(n) AS containment, min(pos) AS first_word FROM met WHERE win >= 0 GROUP BY ALL)
-SELECT doc_id, license, max(containment) AS containment, min(first_word) AS first_word FROM held WHERE containment >= 0.8 GROUP BY ALL
-QUALIFY max(containment) = max(max(containment)) OVER (PARTITION BY doc_id, regexp_replace(license, '-[0-9].*$|-text$|-whole$', ''))
+held AS (SELECT doc_id, license, win, count(DISTINCT s) / any_value(n) AS containment, min(pos) AS first_word FROM met WHERE win >= 0 GROUP BY ALL),
+best AS (SELECT doc_id, license, max(containment) AS containment, min(first_word) AS first_word FROM held WHERE containment >= 0.8 GROUP BY 1, 2)
+SELECT doc_id, license, containment, first_word FROM best
+QUALIFY containment = max(containment) OVER (PARTITION BY doc_id, regexp_replace(license, '-[0-9].*$|-text$|-whole$', ''))
 """ % ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
 
 
