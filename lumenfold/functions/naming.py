@@ -53,7 +53,7 @@ def month_day(ms: Column) -> Column:
 
 
 def holiday(ms: Column) -> Column:
-    """The name of a Japanese holiday, or null."""
+    """The name of a Japanese holiday, or null. The years, the days and the numbers of the equinoxes."""
     date = date_of(ms)
     y, m, d = F.year(date), F.month(date), F.dayofmonth(date)
     out = F.when(F.lit(False), "")
