@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, chat, licenses, neardup, packing, quality, repetition, secrets, topk, urls
+from lumenfold.llm import audit, bpe, chat, licenses, neardup, packing, quality, repetition, resample, secrets, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,9 +142,61 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH read AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM read),
+firsts AS (SELECT text, min(doc_id) AS first FROM read GROUP BY text),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+masks AS (SELECT part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM cut JOIN firsts USING (text) LEFT JOIN told USING (doc_id) GROUP BY 1, 2),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(f, bit)),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+steps AS (SELECT filter_order, step::INTEGER AS step, bits[step] AS own, coalesce(list_sum(bits[1 : step - 1]), 0)::INTEGER AS before FROM orders, range(1, 6) r(step)),
+counted AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER ((mask & (before | own)) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER ((mask & own) <> 0 AND (mask & before) <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER ((mask & own) <> 0 AND (mask & before) = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER ((mask & own) <> 0 AND (mask & before) = 0), 0)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
+"""
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Each word's CRC goes byte by byte, with the usual table made from its polynomial.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+read AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+wanted AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+spelt AS (SELECT w, hex(encode(w)) AS x FROM (SELECT unnest(w) AS w FROM read UNION SELECT unnest(w) FROM wanted)),
+bucketed AS (SELECT w, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(tab[xor(c, b) % 256 + 1], c // 256), 4294967295), 4294967295) % 10000 AS bucket FROM spelt, crcs),
+source AS (SELECT bucket, count(*) AS s FROM (SELECT unnest(w) AS w FROM read) JOIN bucketed USING (w) GROUP BY 1),
+target AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS w FROM wanted) JOIN bucketed USING (w) GROUP BY 1),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM source) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM target) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) b(bucket) LEFT JOIN source USING (bucket) LEFT JOIN target USING (bucket)),
+weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM (SELECT doc_id, unnest(w) AS w FROM read) JOIN bucketed USING (w) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM read LEFT JOIN weights USING (doc_id)),
+listed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.*, l.rank FROM scored s LEFT JOIN listed l ON l.doc_id = s.doc_id AND l.rank <= 10 * n // 100
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_packing, op3_bpe, op4_chat, op5_licenses, op6_topk, op7_quality, op8_secrets, op9_urls, op10_neardup)}
+    return {f.__name__: f for f in (op1_repetition, op2_packing, op3_bpe, op4_chat, op5_licenses, op6_topk, op7_quality, op8_secrets, op9_urls, op10_neardup, op12_audit, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op5_licenses": OP5_SQL, "op6_topk": OP6_SQL, "op10_neardup": OP10_SQL}
+    return {"op4_chat": OP4_SQL, "op5_licenses": OP5_SQL, "op6_topk": OP6_SQL, "op10_neardup": OP10_SQL, "op12_audit": OP12_SQL, "op13_resample": OP13_SQL}
