@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm import audit, bpe, chat, licenses, neardup, packing, quality, repetition, resample, secrets, topk, urls
+from lumenfold.llm import ann, audit, bpe, chat, licenses, neardup, packing, quality, repetition, resample, secrets, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,7 +195,7 @@ SELECT s.*, l.rank FROM scored s LEFT JOIN listed l ON l.doc_id = s.doc_id AND l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_packing, op3_bpe, op4_chat, op5_licenses, op6_topk, op7_quality, op8_secrets, op9_urls, op10_neardup, op12_audit, op13_resample)}
+    return {f.__name__: f for f in (op1_repetition, op2_packing, op3_bpe, op4_chat, op5_licenses, op6_topk, op7_quality, op8_secrets, op9_urls, op10_neardup, op11_ann, op12_audit, op13_resample)}
 
 
 def oracle_sql() -> dict[str, str]:
