@@ -11,7 +11,8 @@
    distance, but for lists that lie nearer to one that is taken already than to the vector; `REPLICAS` at most.
 5. A query searches the lists within (1 + ratio) of its nearest one's distance, so queries in a clear place search few and those between
    clusters search many; the beam grows until it holds all of them. The ratio is measured, on every table: some queries
-   (`TRIED`) are answered exactly, against all rows, and the ratio is what brings in `RECALL` of their neighbours.
+   (`TRIED`) are answered exactly, against all rows, and the ratio is what brings in `RECALL` of their neighbours. A query whose
+   lists have too few rows for k neighbours takes the next ones too, and one that still finds fewer searches all.
 6. Lists are cut into blocks of `BLOCK` rows by a hash of the id, so that no task holds a list of any size; each block scores its
    queries as matrix products, and the hopeful pairs once more, exactly, in order of the components. Tasks keep the best of each query.
 
@@ -159,8 +160,12 @@ class CentroidGraph:
             held, far, done = np.concatenate([held, wide], axis=1), np.concatenate([far, wide_far], axis=1), np.concatenate([done, np.zeros(wide.shape, bool)], axis=1)
 
 
-def within(graph: CentroidGraph, points: np.ndarray, ratio: float) -> list[np.ndarray]:
-    """For each point the centroids at (1 + `ratio`) times its nearest one's distance or less; the beam grows until it holds all of them."""
+def within(graph: CentroidGraph, points: np.ndarray, ratio: float, sizes: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
+    """For each point the centroids at (1 + `ratio`) times its nearest one's distance or less, and more if these have fewer than `least` rows.
+
+    The beam grows until it holds all of them. `sizes` has the rows of each list.
+    """
+    sizes = np.zeros(len(graph.centres), np.int64) if sizes is None else sizes
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(points)
     due, width = np.arange(len(points)), BEAM
     while len(due):
@@ -169,7 +174,8 @@ def within(graph: CentroidGraph, points: np.ndarray, ratio: float) -> list[np.nd
             own = due[start : start + 256]
             held, far = graph.search(points[own], width)
             reach = (np.sqrt(far[:, :1]) * (1 + ratio)) ** 2 * (1 + 1e-12)
-            fine = (far <= reach) & (held >= 0)
+            before = np.cumsum(np.where(held >= 0, sizes[held], 0), axis=1) - np.where(held >= 0, sizes[held], 0)
+            fine = ((far <= reach) | (before < least)) & (held >= 0)
             for k, row in zip(own.tolist(), range(len(own))):
                 if fine[row].all() and width < len(graph.centres):
                     left.append(k)
@@ -386,13 +392,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
         ratio = measured_ratio(graph.value, as_directions(tried[2]), _tried(posted, tried, k, width), recall)
     else:
         ratio = 0.0
-    asks = _listed(asking, width, lambda v: within(graph.value, as_directions(v), ratio), "lists").select(F.explode("lists").alias("list"), "vec_id", "size", "vector")
     rows = posted.select(F.explode("lists").alias("list"), "vec_id", "size", "vector")
-    sizes = {r["list"]: -(-r["count"] // block) for r in rows.groupBy("list").count().collect()}  # a row for each list
-    blocks = F.element_at(F.lit([sizes.get(c, 1) for c in range(len(graph.value.centres))]), F.col("list") + 1)
+    held_rows = np.zeros(len(graph.value.centres), np.int64)
+    for r in rows.groupBy("list").count().collect():  # a row for each list
+        held_rows[r["list"]] = r["count"]
+    blocks = F.element_at(F.lit(np.maximum(1, -(-held_rows // block)).tolist()).cast("array<int>"), F.col("list") + 1)
     dealt = rows.withColumns({"block": F.pmod(F.xxhash64("vec_id"), blocks).cast("int"), "asks": F.lit(0)})
-    met = dealt.unionByName(asks.withColumns({"block": F.explode(F.sequence(F.lit(0), blocks - 1)), "asks": F.lit(1)}))
-    met = met.repartition("list", "block").sortWithinPartitions("list", "block", "size", "asks")
-    found = shared_checkpoint(met.select("list", "block", "size", "asks", "vec_id", "vector").mapInArrow(_searched(k, width), "query_id long, vec_id long, score double"))
+
+    def search(asks: DataFrame) -> DataFrame:
+        own = asks.select(F.explode("lists").alias("list"), "vec_id", "size", "vector")
+        met = dealt.unionByName(own.withColumns({"block": F.explode(F.sequence(F.lit(0), blocks - 1)), "asks": F.lit(1)}))
+        met = met.repartition("list", "block").sortWithinPartitions("list", "block", "size", "asks")
+        return shared_checkpoint(met.select("list", "block", "size", "asks", "vec_id", "vector").mapInArrow(_searched(k, width), "query_id long, vec_id long, score double")).distinct()
+
+    found = search(_listed(asking, width, lambda v: within(graph.value, as_directions(v), ratio, held_rows, 4 * k), "lists"))
+    # copies, lengths and repeated ids may still leave a query with fewer than k: those search everything
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = shared_checkpoint(asking.join(enough, "vec_id", "left_anti"))
+    if count > k and not short.isEmpty():
+        every = search(short.withColumn("lists", F.sequence(F.lit(0), F.lit(len(held_rows) - 1))))
+        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(every)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
