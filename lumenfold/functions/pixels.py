@@ -1,4 +1,4 @@
-"""Statistics, hashes and main colours of small RGBA rasters with numpy, for use on Arrow batches."""
+"""Statistics, hashes and main colours of small RGBA rasters with numpy, for stacks of rasters of one size at once."""
 
 from __future__ import annotations
 
@@ -70,76 +70,116 @@ def box_resample(grid: np.ndarray, height: int, width: int) -> np.ndarray:
     return sums / size.reshape(*size.shape, *([1] * (grid.ndim - 2)))
 
 
-def _hex(bits: np.ndarray) -> str:
-    return np.packbits(bits.ravel()).tobytes().hex()
+def _hex(bits: np.ndarray) -> list[str]:
+    """16 digits for each row of 64 bits."""
+    return [x.tobytes().hex() for x in np.packbits(bits, axis=1)]
 
 
-def phash(gray: np.ndarray) -> str:
-    """64 bits: which of the 8 x 8 lowest cosine coefficients of 32 x 32 cells are over the median of all but the first."""
+def _cells(gray: np.ndarray, side: int) -> np.ndarray:
+    """Means of `side` x `side` boxes of each raster of a stack (n x height x width)."""
+    return np.moveaxis(box_resample(np.moveaxis(gray, 0, -1), side, side), -1, 0)
+
+
+def phash(gray: np.ndarray) -> list[str]:
+    """64 bits for each raster: which of the 8 x 8 lowest cosine coefficients of 32 x 32 cells are over the median of all but the first."""
     n = np.arange(32)
     basis = np.cos((2 * n[None, :] + 1) * n[:8, None] * np.pi / 64)
-    block = basis @ box_resample(gray, 32, 32) @ basis.T
-    return _hex(block > np.sort(block.ravel()[1:])[31])
-
-
-def ahash(gray: np.ndarray) -> str:
-    cells = box_resample(gray, 8, 8)
-    return _hex(cells > cells.mean())
-
-
-def edge_density(gray: np.ndarray, least: float = 0.15) -> float:
-    """Share of inner cells whose Sobel gradient is over `least`."""
-    if min(gray.shape) < 3:
-        return 0.0
-    across = gray[:, 2:] - gray[:, :-2]
-    down = gray[2:] - gray[:-2]
-    gx = across[:-2] + 2 * across[1:-1] + across[2:]
-    gy = down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
-    return float((np.hypot(gx, gy) > least).mean())
-
-
-def main_colors(rgb: np.ndarray, seed: int, k: int = 5, rounds: int = 10) -> tuple[list[str], list[float]]:
-    """The three largest of `k` clusters in Lab (k-means from seeded pixels): mean colours and shares."""
-    pixels = rgb.reshape(-1, 3)
-    points, random = lab(pixels), mulberry32(seed)
-    chosen: list[int] = []
-    for _ in range(min(k, len(pixels))):
-        at = int(next(random) * len(pixels))
-        while at in chosen:
-            at = (at + 1) % len(pixels)
-        chosen.append(at)
-    centres, own = points[chosen], np.zeros(len(pixels), int)
+    block = (basis @ _cells(gray, 32) @ basis.T).reshape(len(gray), 64)
+    return _hex(block > np.sort(block[:, 1:], axis=1)[:, [31]])
+
+
+def ahash(gray: np.ndarray) -> list[str]:
+    cells = _cells(gray, 8).reshape(len(gray), 64)
+    return _hex(cells > cells.mean(axis=1, keepdims=True))
+
+
+def edge_density(gray: np.ndarray, least: float = 0.15) -> np.ndarray:
+    """Share of inner cells of each raster whose Sobel gradient is over `least`."""
+    if min(gray.shape[1:]) < 3:
+        return np.zeros(len(gray))
+    across = gray[:, :, 2:] - gray[:, :, :-2]
+    down = gray[:, 2:] - gray[:, :-2]
+    gx = across[:, :-2] + 2 * across[:, 1:-1] + across[:, 2:]
+    gy = down[:, :, :-2] + 2 * down[:, :, 1:-1] + down[:, :, 2:]
+    return (np.hypot(gx, gy) > least).mean(axis=(1, 2))
+
+
+def main_colors(rgb: np.ndarray, seeds: list[int], k: int = 5, rounds: int = 10) -> tuple[list[list[str]], list[list[float]]]:
+    """The three largest of `k` clusters in Lab of each raster (k-means from seeded pixels): mean colours and shares.
+
+    A round moves the clusters of all rasters; those of a raster that has come to rest stay as they are.
+    """
+    n, size = len(rgb), rgb.shape[1] * rgb.shape[2]
+    pixels, k = rgb.reshape(n, size, 3), min(k, size)
+    points, chosen = np.moveaxis(lab(pixels), -1, 0).copy(), np.zeros((n, k), np.int64)
+    for row, seed in enumerate(seeds):
+        random, taken = mulberry32(seed), []
+        for _ in range(k):
+            at = int(next(random) * size)
+            while at in taken:
+                at = (at + 1) % size
+            taken.append(at)
+        chosen[row] = taken
+    rows = np.arange(n)[:, None]
+    centres, own, base = points[:, rows, chosen], np.zeros((n, size), np.uint8), rows * k
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        return np.bincount((base + own).ravel(), weights=values.ravel(), minlength=n * k).reshape(n, k)
+
     for turn in range(rounds):
-        nearest = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        best, nearest = np.full((n, size), np.inf), np.zeros((n, size), np.uint8)
+        for c in range(k):
+            far = (points[0] - centres[0][:, [c]]) ** 2
+            far += (points[1] - centres[1][:, [c]]) ** 2
+            far += (points[2] - centres[2][:, [c]]) ** 2
+            closer = far < best
+            np.copyto(best, far, where=closer)
+            np.copyto(nearest, c, where=closer)
         moved, own = (nearest != own).any(), nearest
-        centres = np.stack([points[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        sizes = sums(np.ones((n, size)))
+        centres = np.stack([np.where(sizes > 0, sums(x) / np.maximum(sizes, 1), old) for x, old in zip(points, centres)])
         if turn and not moved:
             break
-    sizes = np.bincount(own, minlength=len(centres))
-    order = [c for c in np.argsort(-sizes, kind="stable")[:3] if sizes[c]]
-    colors = [np.floor(pixels[own == c].mean(axis=0) + 0.5).astype(int) for c in order]
-    return ["#" + bytes(c.tolist()).hex() for c in colors], [float(sizes[c] / len(pixels)) for c in order]
-
-
-def features(rgba: bytes, width: int, height: int, seed: int) -> dict:
-    """The fields of NAMES for one raster of 4 bytes a pixel, row by row."""
-    rgb = np.frombuffer(rgba, np.uint8).reshape(height, width, 4)[..., :3].astype(float)
+    means = np.floor(np.stack([sums(pixels[..., c]) for c in range(3)], axis=-1) / np.maximum(sizes, 1)[..., None] + 0.5).astype(int)
+    hexes, shares = [], []
+    for row, order in enumerate(np.argsort(-sizes, axis=1, kind="stable")[:, :3].tolist()):
+        held = [c for c in order if sizes[row, c]]
+        hexes.append(["#" + bytes(means[row, c].tolist()).hex() for c in held])
+        shares.append([float(sizes[row, c] / size) for c in held])
+    return hexes, shares
+
+
+def features(stack: np.ndarray, seeds: list[int]) -> dict:
+    """A column for each of NAMES, from a stack (n x height x width x 3) of rasters."""
+    rgb = stack.astype(float)
     gray, (hue, saturation, value) = luma(rgb), hsv(rgb)
     r, g, b = np.moveaxis(rgb, -1, 0)
     rg, yb = r - g, (r + g) / 2 - b
-    top = slice(0, max(1, height // 2))
+    top, all_ = slice(0, max(1, rgb.shape[1] // 2)), (1, 2)
     blue = (hue >= 190) & (hue <= 250) & (saturation > 0.2) & (value > 0.4)
     green = (hue >= 70) & (hue <= 160) & (saturation > 0.25) & (value > 0.15)
-    hexes, weights = main_colors(rgb, seed)
+    hexes, shares = main_colors(rgb, seeds)
     return {
-        "phash": phash(gray), "ahash": ahash(gray), "brightness": float(gray.mean()), "contrast": float(gray.std()), "luma_variance": float(gray.var()), "warmth": float((r.mean() - b.mean()) / 255), "highlights": float((gray > 0.85).mean()),
-        "saturation": float(saturation.mean()), "colorfulness": float(np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean())), "blue_top_ratio": float(blue[top].mean()), "green_ratio": float(green.mean()),
-        "edge_density": edge_density(gray), "top_hexes": hexes, "top_weights": weights,
+        "phash": phash(gray), "ahash": ahash(gray), "brightness": gray.mean(axis=all_), "contrast": gray.std(axis=all_), "luma_variance": gray.var(axis=all_), "warmth": (r.mean(axis=all_) - b.mean(axis=all_)) / 255, "highlights": (gray > 0.85).mean(axis=all_),
+        "saturation": saturation.mean(axis=all_), "colorfulness": np.hypot(rg.std(axis=all_), yb.std(axis=all_)) + 0.3 * np.hypot(rg.mean(axis=all_), yb.mean(axis=all_)), "blue_top_ratio": blue[:, top].mean(axis=all_), "green_ratio": green.mean(axis=all_),
+        "edge_density": edge_density(gray), "top_hexes": hexes, "top_weights": shares,
     }
 
 
+#: Pixels of a stack.
+STACK = 1 << 17
+
+
 @F.pandas_udf(struct_of(FIELDS))
 def pixel_features(rgba: pd.Series, width: pd.Series, height: pd.Series, seed: pd.Series) -> pd.DataFrame:
     """The struct of features of rasters; null for a null or empty raster."""
-    rows = [features(x, int(w), int(h), int(s)) if x is not None and len(x) else dict.fromkeys(NAMES) for x, w, h, s in zip(rgba, width, height, seed)]
-    return pd.DataFrame(rows, columns=NAMES)
+    out = pd.DataFrame({name: np.full(len(rgba), None, object) for name in NAMES})
+    real = pd.DataFrame({"w": width, "h": height})[rgba.map(lambda x: x is not None and len(x) > 0).to_numpy(bool)]
+    for (w, h), rows in real.groupby(["w", "h"]).groups.items():
+        most = max(1, STACK // int(w * h))
+        for start in range(0, len(rows), most):
+            own = rows[start : start + most]
+            stack = np.frombuffer(b"".join(rgba[own]), np.uint8).reshape(len(own), int(h), int(w), 4)[..., :3]
+            for name, values in features(stack, [int(x) for x in seed[own]]).items():
+                out[name].to_numpy()[own] = pd.Series(list(values), dtype=object).to_numpy()
+    return out.astype({x.split()[0]: "float64" for x in FIELDS.split(", ") if x.endswith(" double")})

@@ -271,6 +271,25 @@ CTES |= {
 }
 
 
+CTES |= {
+    # the cosine transform of 32 x 32 means, as two joins with a table of cosines; a bit for each coefficient over the median of all but the first
+    "cosines": ((), "SELECT k, n, cos((2 * n + 1) * k * pi() / 64) AS c FROM range(8) a(k), range(32) b(n)"),
+    "boxes": (("toned",), "SELECT p_partkey, (x // 2)::BIGINT AS x, (y // 2)::BIGINT AS y, avg(gray) AS cell FROM toned GROUP BY 1, 2, 3"),
+    "half_turned": (("boxes", "cosines"), "SELECT p_partkey, y, k AS v, sum(cell * c) AS held FROM boxes JOIN cosines ON n = x GROUP BY 1, 2, 3"),
+    "turned": (("half_turned",), "SELECT p_partkey, k * 8 + v AS place, sum(held * c) AS coefficient FROM half_turned JOIN cosines ON n = y GROUP BY 1, 2"),
+    "pixel_hashes": (("turned",), """SELECT p_partkey, printf('%08x%08x', sum(bit) FILTER (place < 32)::BIGINT, sum(bit) FILTER (place >= 32)::BIGINT) AS phash FROM (
+      SELECT p_partkey, place, CASE WHEN coefficient > middle THEN 1::BIGINT << (31 - place % 32)::INT ELSE 0 END AS bit
+      FROM turned JOIN (SELECT p_partkey, list_sort(list(coefficient))[32] AS middle FROM turned WHERE place > 0 GROUP BY 1) USING (p_partkey)) GROUP BY 1"""),
+    # what `exif_tags` writes into its files
+    "tagged": (("ev",), """SELECT e AS event_id, CASE WHEN e % 31 = 0 THEN ms // 1000 * 1000 + 86400000 WHEN e % 13 = 0 THEN NULL WHEN e % 23 = 0 THEN epoch_ms(TIMESTAMP '2024-02-02 01:02:01') ELSE ms // 1000 * 1000 END AS taken_at,
+      CASE WHEN e % 7 <> 0 THEN round((e * 7 % 90 + (e * 11 % 60) / 60.0::DOUBLE + ((e * 13 % 6000) / 100.0::DOUBLE) / 3600) * CASE WHEN e % 3 = 0 THEN -1 ELSE 1 END, 9) END AS lat,
+      CASE WHEN e % 7 <> 0 THEN round((e * 17 % 180 + (e * 19 % 60) / 60.0::DOUBLE + ((e * 23 % 6000) / 100.0::DOUBLE) / 3600) * CASE WHEN e % 4 = 0 THEN -1 ELSE 1 END, 9) END AS lon,
+      CASE WHEN e % 11 <> 0 THEN CASE WHEN e % 3 = 0 THEN 'Canon' ELSE 'Apple' END END AS make, CASE WHEN e % 11 <> 0 THEN 'Model ' || (e % 170) END AS model, 1 + e % 8 AS orientation,
+      CASE WHEN e % 29 = 0 THEN 0.0::DOUBLE ELSE floor((10 + e % 50) / 10.0::DOUBLE * 100 + 0.5) / 100 END AS f_number, CASE WHEN e % 17 <> 0 THEN 100 * (1 + e % 25) END AS iso,
+      floor((e * 37 % 5000)::DOUBLE / (1 + e % 7) * 100 + 0.5) / 100 AS focal_length, CASE WHEN e % 19 <> 0 THEN round(1.0::DOUBLE / (1 + e % 4000), 9) END AS exposure, (1000 + e % 5000)::DOUBLE AS pixel_width, (500 + e % 3000)::DOUBLE AS pixel_height FROM ev"""),
+}
+
+
 def with_ctes(names: tuple[str, ...], select: str) -> str:
     """`select` after all common table expressions that it needs, each once."""
     order: list[str] = []

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.checkpoint import shared_checkpoint
-from lumenfold.functions import naming, pixels, scalar
+from lumenfold.checkpoint import shared_checkpoint, shared_folder
+from lumenfold.functions import exif, naming, pixels, png, scalar
+from lumenfold.functions import exif_writer as ew
 from lumenfold.functions.scene import SCREENSHOT, SCREENSHOT_NAME, classify, labelled
 from lumenfold.operators import bursts, places
 from lumenfold.operators import timeline as tl
@@ -17,6 +21,8 @@ from lumenfold.operators.home import infer_home
 from lumenfold.plans import oracle
 from lumenfold.plans.albums import build_albums, plan_albums
 from lumenfold.sources.events import read_photos
+from lumenfold.sources.files import registered
+from lumenfold.sources.images import scan_images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,12 +229,59 @@ def exif_times(spark, sf_dir):
     return events.select("event_id", naming.exif_text_ms(F.col("text")).alias("taken_at"))
 
 
-def _rasters(spark, sf_dir):
-    """A raster for each part, whose pixels are digests of its key, and its features `px`."""
+@query("tagged", sql="SELECT * FROM tagged")
+def exif_tags(spark, sf_dir):
+    """JPEG heads with tags in both byte orders, written for each event and read back."""
+    e, ts = F.col("event_id"), F.col("ts")
+    little, placed = e % 2 == 0, e % 7 != 0
+    taken = F.when(e % 13 == 0, "no date").when(e % 23 == 0, "2023:13:32 24:61:61").otherwise(F.date_format(ts, "yyyy:MM:dd HH:mm:ss"))
+    top = [ew.text(exif.MAKE, F.when(e % 11 != 0, F.when(e % 3 == 0, "Canon").otherwise(" Apple ")), 12), ew.text(exif.MODEL, F.when(e % 11 != 0, F.concat(F.lit("Model "), (e % 170).cast("string"))), 10), ew.whole(exif.ORIENTATION, 1 + e % 8, little)]
+    own = [
+        ew.text(exif.TAKEN, F.when(e % 31 != 0, taken), 20), ew.text(exif.DIGITIZED, F.date_format(ts + F.expr("interval 1 day"), "yyyy:MM:dd HH:mm:ss"), 20),
+        ew.ratios(exif.F_NUMBER, little, (10 + e % 50, F.when(e % 29 == 0, 0).otherwise(10))), ew.whole(exif.ISO, F.when(e % 17 != 0, 100 * (1 + e % 25)), little), ew.ratios(exif.FOCAL, little, (e * 37 % 5000, 1 + e % 7)),
+        ew.ratios(exif.EXPOSURE, little, (F.when(e % 19 != 0, F.lit(1)), 1 + e % 4000)), ew.whole(exif.WIDTH, 1000 + e % 5000, little, ew.LONG), ew.whole(exif.HEIGHT, 500 + e % 3000, little),
+    ]
+    south, west = F.when(e % 3 == 0, F.when(e % 5 == 0, "s").otherwise("S")).otherwise("N"), F.when(e % 4 == 0, "W").otherwise("E")
+    gps = [
+        ew.text(exif.LAT_REF, south, 2), ew.ratios(exif.LAT, little, (F.when(placed, e * 7 % 90), F.lit(1)), (e * 11 % 60, F.lit(1)), (e * 13 % 6000, F.lit(100))),
+        ew.text(exif.LON_REF, west, 2), ew.ratios(exif.LON, little, (e * 17 % 180, F.lit(1)), (e * 19 % 60, F.lit(1)), (e * 23 % 6000, F.lit(100))),
+    ]
+    # other segments, a stray byte and a marker without a length may come first
+    before = F.when(e % 4 == 1, "FFE000104A46494600010100000100010000").when(e % 4 == 2, "00FF01").otherwise("")
+    heads = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", exif.exif_fields(ew.jpeg_head(top, own, gps, little, before)).alias("t"))
+    return heads.select("event_id", "t.taken_at", *(F.round(f"t.{k}", 9).alias(k) for k in ("lat", "lon")), "t.make", "t.model", "t.orientation", "t.f_number", "t.iso", "t.focal_length", F.round("t.exposure", 9).alias("exposure"), "t.pixel_width", "t.pixel_height")
+
+
+@F.pandas_udf("binary")
+def _as_png(rgba: pd.Series) -> pd.Series:
+    return rgba.map(lambda x: png.encode(np.frombuffer(x, np.uint8).reshape(64, 64, 4)[..., :3]))
+
+
+@query("pixel_means", sql="""SELECT 'part-' || p_partkey || '.png' AS name, true AS decoded, 64 AS width, 64 AS height, 1.0::DOUBLE AS aspect, 'mtime' AS taken_at_source, true AS whole, NULL::VARCHAR AS camera_make, brightness, contrast, luma_variance,
+  warmth, saturation, blue_top_ratio, green_ratio, edge_density, colorfulness FROM pixel_means""")
+def image_source(spark, sf_dir):
+    """A PNG file for each part, written to the shared folder, and read back as photos with one look into each."""
+    folder = f"{shared_folder(spark).rstrip('/')}/images-{uuid.uuid4()}"
+    files = _raster_bytes(spark, sf_dir).select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"), _as_png("rgba").alias("content"))
+    registered(spark)
+    files.write.format("photo_files").option("path", folder).mode("append").save()
+    names = "contrast luma_variance warmth saturation blue_top_ratio green_ratio edge_density".split()
+    return scan_images(spark, folder).select(
+        "name", "decoded", "width", "height", "aspect", "taken_at_source", (F.col("bytes_read") == F.col("size_bytes")).alias("whole"), "camera_make", F.round(F.col("brightness") + 1e-9, 6).alias("brightness"),
+        *(F.round(n, 6).alias(n) for n in names), F.round("colorfulness", 4).alias("colorfulness"),
+    )
+
+
+def _raster_bytes(spark, sf_dir):
+    """A raster for each part, whose pixels are digests of its key."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     bytes_of = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: F.md5(F.concat_ws(":", F.col("p_partkey").cast("string"), (i % 97).cast("string")).cast("binary"))), ""))
-    part = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # a small file is one task, and features take time
-    return part.select("p_partkey", pixels.pixel_features(bytes_of, F.lit(64), F.lit(64), F.col("p_partkey").cast("long")).alias("px"))
+    return part.repartition(spark.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", bytes_of.alias("rgba"))  # a small file is one task, and features take time
+
+
+def _rasters(spark, sf_dir):
+    """The rasters' features `px`."""
+    return _raster_bytes(spark, sf_dir).select("p_partkey", pixels.pixel_features("rgba", F.lit(64), F.lit(64), F.col("p_partkey").cast("long")).alias("px"))
 
 
 @query()
@@ -237,6 +290,11 @@ def pixel_stats(spark, sf_dir):
     return _rasters(spark, sf_dir).select("p_partkey", "px.phash", "px.ahash", F.get("px.top_hexes", F.lit(0)).alias("top_hex"), F.round(F.get("px.top_weights", F.lit(0)), 6).alias("top_weight"))
 
 
+@query("cosines", "pixel_hashes", sql="SELECT * FROM pixel_hashes")
+def pixel_hashes(spark, sf_dir):
+    return _rasters(spark, sf_dir).select("p_partkey", "px.phash")
+
+
 @query("pixel_means", sql="SELECT * FROM pixel_means")
 def pixel_means(spark, sf_dir):
     names = "contrast luma_variance warmth highlights saturation blue_top_ratio green_ratio edge_density".split()

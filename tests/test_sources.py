@@ -8,9 +8,11 @@ from photos import SCHEMA, at, frame, photo
 from pyspark.sql import functions as F
 
 from lumenfold.functions import exif, pixels
+from lumenfold.functions import png as png_file
 from lumenfold.operators import timeline as tl
 from lumenfold.sources.events import wall_millis
-from lumenfold.sources.images import read_images, skipped
+from lumenfold.sources import files
+from lumenfold.sources.images import read_images, scan_images, skipped
 from lumenfold.streaming.sessions import stream_sessions
 
 
@@ -74,21 +76,21 @@ def test_exif_times_carry_over():
     assert exif.exif_time("0000:01:01 00:00:00") is None and exif.exif_time("0050:01:01 00:00:00") == at(1950, 1, 1, 0)
 
 
-def raster(rgb):
-    return np.dstack([rgb, np.full(rgb.shape[:2], 255)]).astype(np.uint8).tobytes()
+def features(*rasters, seeds=(1,)):
+    return pixels.features(np.stack(rasters), list(seeds))
 
 
 def test_pixel_features():
     grid = np.zeros((64, 64, 3))
     grid[:32], grid[32:] = (90, 150, 230), (60, 150, 60)
-    f = pixels.features(raster(grid), 64, 64, 42)
+    both = features(grid, np.full((64, 64, 3), 128.0), seeds=(42, 1))
+    f, flat = ({name: values[k] for name, values in both.items()} for k in (0, 1))
     assert f["blue_top_ratio"] == 1 and abs(f["green_ratio"] - 0.5) < 1e-9 and f["top_weights"][:2] == [0.5, 0.5] and set(f["top_hexes"][:2]) == {"#5a96e6", "#3c963c"}
-    flat = pixels.features(raster(np.full((64, 64, 3), 128.0)), 64, 64, 1)
     assert flat["contrast"] < 1e-9 and flat["edge_density"] == 0 and flat["colorfulness"] < 1e-9 and abs(flat["brightness"] - 128 / 255) < 1e-9
     noise = np.random.default_rng(2).integers(0, 256, (64, 64, 3)).astype(float)
     near = np.clip(noise + 3, 0, 255)
-    a, b, c = (pixels.phash(pixels.luma(x)) for x in (noise, near, noise[::-1]))
-    assert bin(int(a, 16) ^ int(b, 16)).count("1") <= 6 < bin(int(a, 16) ^ int(c, 16)).count("1") and len(pixels.ahash(pixels.luma(noise))) == 16
+    a, b, c = pixels.phash(pixels.luma(np.stack([noise, near, noise[::-1]])))
+    assert bin(int(a, 16) ^ int(b, 16)).count("1") <= 6 < bin(int(a, 16) ^ int(c, 16)).count("1") and len(pixels.ahash(pixels.luma(noise[None]))[0]) == 16
 
 
 def slow_phash(gray):
@@ -123,11 +125,34 @@ def slow_colors(points, rgb, seed, k=5, rounds=10):
 
 
 def test_hash_and_main_colors_equal_slow_versions():
-    noise = np.random.default_rng(3).integers(0, 256, (64, 64, 3)).astype(float)
-    assert pixels.phash(pixels.luma(noise)) == slow_phash(pixels.luma(noise).tolist())
-    small = noise[:12, :12]
-    for seed in (1, 7):
-        assert pixels.main_colors(small, seed) == slow_colors([tuple(p) for p in pixels.lab(small).reshape(-1, 3).tolist()], small.reshape(-1, 3).astype(int).tolist(), seed)
+    noise = np.random.default_rng(3).integers(0, 256, (6, 64, 64, 3)).astype(float)
+    assert pixels.phash(pixels.luma(noise)) == [slow_phash(x) for x in pixels.luma(noise).tolist()]
+    small = noise[:, :12, :12].copy()
+    small[3] = small[3, 0, 0]  # one colour: clusters without pixels
+    small[4] = np.where(np.arange(12)[None, :, None] < 7, small[4, 0, 0], small[4, 1, 1])
+    seeds = [1, 7, 8, 9, 10, 11]
+    hexes, shares = pixels.main_colors(small, seeds)
+    for k, seed in enumerate(seeds):
+        assert (hexes[k], shares[k]) == slow_colors([tuple(p) for p in pixels.lab(small[k]).reshape(-1, 3).tolist()], small[k].reshape(-1, 3).astype(int).tolist(), seed)
+
+
+def test_stacks_give_what_single_rasters_give(spark):
+    r = np.random.default_rng(4)
+    stack = r.integers(0, 256, (40, 64, 64, 3)).astype(np.uint8)
+    stack[20:] = stack[20:] // 100 * 100  # few colours, so that clusters come to rest early
+    together = pixels.features(stack, list(range(40)))
+    for k in range(40):
+        assert all(values[0] == together[name][k] for name, values in pixels.features(stack[[k]], [k]).items())
+    # rasters of several sizes, and none, in one batch
+    rows = [(k, None if k == 3 else b"" if k == 4 else np.dstack([stack[k, :side, :side], np.full((side, side), 255, np.uint8)]).tobytes(), side) for k in range(8) for side in (16 if k % 2 else 64,)]
+    df = spark.createDataFrame(rows, "id long, rgba binary, side int").select("id", pixels.pixel_features("rgba", "side", "side", "id").alias("px"))
+    got = {x.id: x.px for x in df.collect()}
+    for k, data, side in rows:
+        if not data:
+            assert got[k] is None or got[k].phash is None
+        else:
+            one = pixels.features(stack[k : k + 1, :side, :side], [k])
+            assert all(got[k][name] == (values[0] if isinstance(values, list) else float(values[0])) for name, values in one.items())
 
 
 def test_seeded_numbers():
@@ -150,6 +175,132 @@ def test_images_become_photos(spark, tmp_path):
     assert {r["name"] for r in skipped(read_images(spark, str(tmp_path))).collect()} == {"b.jpg", "c.WebP"}
 
 
+def java_image(spark, rgb, ending, path):
+    """An image file written by the JVM."""
+    jvm = spark._jvm
+    h, w, _ = rgb.shape
+    image = jvm.java.awt.image.BufferedImage(w, h, 1)
+    for y in range(h):
+        for x in range(w):
+            image.setRGB(x, y, int(rgb[y, x, 0]) << 16 | int(rgb[y, x, 1]) << 8 | int(rgb[y, x, 2]))
+    assert jvm.javax.imageio.ImageIO.write(image, ending, jvm.java.io.File(str(path)))
+
+
+def filtered(rgb, kinds):
+    """A PNG whose rows are filtered by the given kinds in turn."""
+    h, w, n = rgb.shape
+    flat, lines = rgb.reshape(h, w * n).astype(int), []
+    for y in range(h):
+        up = flat[y - 1] if y else np.zeros(w * n, int)
+        left, corner = np.concatenate([np.zeros(n, int), flat[y][:-n]]), np.concatenate([np.zeros(n, int), up[:-n]])
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        kind = kinds[y % len(kinds)]
+        lines.append(bytes([kind]) + ((flat[y] - [0, left, up, (left + up) // 2, paeth][kind]) % 256).astype(np.uint8).tobytes())
+    whole = png_file.encode(rgb)
+    return whole[:8] + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in ((b"IHDR", whole[16:29]), (b"IDAT", zlib.compress(b"".join(lines))), (b"IEND", b"")))
+
+
+def test_png_round_trip_with_all_filters(tmp_path):
+    r = np.random.default_rng(5)
+    for shape in ((1, 1, 3), (5, 9, 3), (40, 17, 3)):
+        rgb = r.integers(0, 256, shape).astype(np.uint8)
+        for kinds in ([0], [1], [2], [3], [4], [0, 1, 2, 3, 4], [4, 3, 1]):
+            assert (png_file.decode(filtered(rgb, kinds)) == rgb).all()
+        whole = filtered(rgb, [4])
+        assert all(png_file.decode(whole[:k]) is None for k in range(len(whole) - 12)) and png_file.decode(whole[:-40] + b"x" * 40) is None
+
+
+def test_one_look_into_each_file_gives_the_same_rows(spark, tmp_path):
+    r, folder = np.random.default_rng(6), tmp_path / "in"
+    (folder / "sub" / ".hidden").mkdir(parents=True)
+    rgb = r.integers(0, 256, (90, 70, 3)).astype(np.uint8)
+    (folder / "a.png").write_bytes(png_file.encode(rgb))
+    (folder / "b.PNG").write_bytes(filtered(rgb, [4, 2, 1]))
+    java_image(spark, rgb, "png", folder / "sub" / "c.png")
+    java_image(spark, rgb, "jpg", folder / "sub" / "d.jpg")
+    java_image(spark, rgb, "gif", folder / "e.gif")
+    (folder / "f.png").write_bytes(png_file.encode(rgb)[:-300])  # broken
+    (folder / "g.png").write_bytes((folder / "sub" / "d.jpg").read_bytes())  # a photo by another name
+    (folder / "h.jpg").write_bytes(jpeg("<"))
+    (folder / "i.webp").write_bytes(b"no picture")
+    (folder / "j.png").write_bytes(b"")
+    (folder / "l.jpg").write_bytes(jpeg(">") + b"\0" * 400_000)
+    (folder / "_k.png").write_bytes(png_file.encode(rgb))
+    (folder / "sub" / ".hidden" / "x.png").write_bytes(png_file.encode(rgb))
+    (folder / "notes.txt").write_text("no image")
+    gray = np.concatenate([np.zeros((30, 1)), r.integers(0, 256, (30, 20))], axis=1).astype(np.uint8)
+    (folder / "m.png").write_bytes(png_file.SIGNATURE + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in ((b"IHDR", struct.pack(">IIBBBBB", 20, 30, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(gray.tobytes())), (b"IEND", b""))))
+    slow = {x["name"]: x for x in read_images(spark, str(folder)).collect()}
+    fast = {x["name"]: x for x in scan_images(spark, str(folder)).collect()}
+    assert set(slow) | {"j.png"} == set(fast) == set("a.png b.PNG c.png d.jpg e.gif f.png g.png h.jpg i.webp j.png l.jpg m.png".split())  # Spark lists no empty files
+    assert all(fast[n][k] == slow[n][k] for n in slow for k in slow[n].asDict())
+    assert {n for n in fast if fast[n].decoded} == {"a.png", "b.PNG", "c.png", "d.jpg", "e.gif", "g.png", "m.png"}
+    # bytes: whole files where they are decoded at once, else heads only
+    sizes = {n: fast[n].size_bytes for n in fast}
+    assert {n: fast[n].bytes_read for n in fast} == {n: min(s, 262_144) if n in ("d.jpg", "e.gif", "g.png", "h.jpg", "i.webp", "j.png", "l.jpg") else s for n, s in sizes.items()} and sizes["l.jpg"] > 400_000
+    heads = scan_images(spark, str(folder), pixels=False)
+    told = {x["name"]: x for x in heads.collect()}
+    assert all(told[n][k] == fast[n][k] for n in told for k in set(heads.columns) - {"bytes_read"}) and set(told) == set(fast)
+    assert all(told[n].bytes_read == min(sizes[n], 262_144) for n in told) and "phash" not in heads.columns and told["h.jpg"].taken_at == at(2024, 5, 6, 7, 8, 9)
+
+
+def test_files_are_opened_once_each(tmp_path, monkeypatch):
+    """Counts what the file system is asked for."""
+    for k in range(5):
+        (tmp_path / f"{k}.png").write_bytes(png_file.encode(np.random.default_rng(k).integers(0, 256, (400, 400, 3)).astype(np.uint8)))
+    reads = []
+
+    class Counted:
+        def __init__(self, file, path):
+            self.file, self.path = file, path
+
+        def __enter__(self):
+            self.file.__enter__()
+            return self
+
+        def __exit__(self, *x):
+            return self.file.__exit__(*x)
+
+        def read_at(self, n, at):
+            data = self.file.read_at(n, at)
+            reads.append((self.path, at, len(data)))
+            return data
+
+    class System:
+        def open_input_file(self, path):
+            reads.append((path, "open", 0))
+            return Counted(files.fs.LocalFileSystem().open_input_file(path), path)
+
+    whole = files.listed(str(tmp_path))
+    for path, size, _ in whole:
+        reads.clear()
+        assert files.opened(System(), path, size, False)["bytes_read"] == 262_144 and reads == [(path, "open", 0), (path, 0, 262_144)]
+        reads.clear()
+        out = files.opened(System(), path, size, True)
+        assert out["bytes_read"] == size and reads == [(path, "open", 0), (path, 0, 262_144), (path, 262_144, size - 262_144)] and (out["width"], len(out["rgba"])) == (400, 64 * 64 * 4)
+
+
+def test_partitions_carry_equal_work():
+    r = random.Random(7)
+    sizes = [(f"f{k:04d}", int(10 ** r.uniform(3, 8)), 0) for k in range(3000)]
+    parts = files.dealt(sizes, True, 16)
+    work = [sum(files.OPEN_BYTES + size for _, size, _ in p.files) for p in parts]
+    assert sorted(x for p in parts for x in p.files) == sizes and max(work) <= 1.1 * max(sum(work) / len(work), 10**8) and len(parts) > 16
+    heads = files.dealt(sizes, False, 16)
+    assert len(heads) < len(parts) and files.dealt([], True, 4) == []
+
+
+def test_files_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k}.bin", bytes([k] * k)) for k in range(30)] + [(None, b"x"), ("y", None)], "name string, content binary").repartition(4)
+    for _ in range(2):  # again over the same folder
+        files.registered(spark).createDataFrame(rows.collect(), rows.schema).write.format("photo_files").option("path", str(tmp_path / "out")).mode("append").save()
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {f"{k}.bin": bytes([k] * k) for k in range(30)}
+    (tmp_path / "out" / "old.bin").write_bytes(b"old")
+    rows.limit(1).write.format("photo_files").option("path", str(tmp_path / "out")).mode("overwrite").save()
+    assert len(list((tmp_path / "out").iterdir())) == 1
+
+
 def test_wall_clocks_do_not_depend_on_the_zone_of_the_session(spark):
     rows = spark.sql("select timestamp_ntz'2024-03-31 02:30:00.123456' as ts union all select timestamp_ntz'1969-12-31 23:59:59.999'")
     zone = spark.conf.get("spark.sql.session.timeZone")
