@@ -1,23 +1,34 @@
 """Bursts and look-alikes, by joins on pieces of the perceptual hash and on time.
 
 Two hashes that differ in up to 5 bits have two of 7 pieces in common, so pairs are found by equal pairs of pieces (18 bits or
-more) and then tested exactly. Equal hashes of a library are one node first, with a star of links to its members, so copies
-never pair up.
-Photos within 3 s are found by buckets of that length.
+more) and then tested exactly. Photos within 3 s are found by buckets of that length.
+
+For groups (`burst_members`) the nodes are the distinct hashes of a library: its copies are of one group anyway, whenever they were
+taken, so a hash counts once in each time bucket, with its first and last time there. Where few hashes share a key they are joined; where
+many do, blocks of them are compared in tasks, which return a star for each component of what they found, not the pairs. So
+the links are linear in the hashes, whatever the photos of one moment have in common. `dup_edges` and `burst_edges` list pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.scalar import hash_bits
+from lumenfold.checkpoint import shared_checkpoint
+from lumenfold.functions.scalar import cover_score, hash_bits
 from lumenfold.operators.components import components
-from lumenfold.operators.covers import best_cover
 from lumenfold.options import BurstOptions
 
+#: Hashes of one key that are joined with each other; of more, blocks are compared in tasks; and of more than `CROWD` in one moment, by pieces.
+LIGHT, BLOCK, CROWD = 32, 2048, 8192
+#: Photos of a group are put in order within slices of an hour, and then slices.
+SLICE_MS = 3_600_000
+
 
 def _bands(bits: Column, pieces: int) -> Column:
     """(pair, value) of each pair of `pieces` cuts of 64 bits."""
@@ -56,20 +67,133 @@ def burst_edges(photos: DataFrame, options: BurstOptions = BurstOptions()) -> Da
     return near.select("library_id", F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
+def _forests(most_bits: int, most_ms: int):
+    """Of each group of rows: a star for each component of its links (of those across the two blocks, if there are two)."""
+
+    def stars(bits: np.ndarray, lib: np.ndarray, bucket: np.ndarray, first: np.ndarray, last: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(bits)
+        links = np.zeros((n, n), bool)
+        cut = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+        rows, columns = (slice(0, cut), slice(cut, n)) if cut else (slice(0, n), slice(0, n))
+        for start in range(rows.start, rows.stop, 256):
+            own = slice(start, min(start + 256, rows.stop))
+            near = np.bitwise_count(bits[own, None] ^ bits[None, columns]) <= most_bits
+            gap = np.maximum(first[own, None], first[None, columns]) - np.minimum(last[own, None], last[None, columns])
+            links[own, columns] = near & (lib[own, None] == lib[None, columns]) & ((bucket[own, None] == bucket[None, columns]) | (gap <= most_ms))
+        if cut:
+            links |= links.T
+        left = links.any(axis=1)
+        heads, ends = [], []
+        while left.any():
+            head = int(left.argmax())
+            reached, due = np.zeros(n, bool), np.array([head])
+            reached[head] = True
+            while len(due):
+                fresh = links[due].any(axis=0) & ~reached
+                reached |= fresh
+                due = np.flatnonzero(fresh)
+            left &= ~reached
+            found = np.flatnonzero(reached)
+            heads.append(np.full(len(found) - 1, head))
+            ends.append(found[found != head])
+        return (np.concatenate(heads), np.concatenate(ends)) if heads else (np.zeros(0, int), np.zeros(0, int))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            if rows.num_rows > 1:
+                rows = rows.combine_chunks()
+                bits, lib, bucket, first, last, block = (rows.column(c).to_numpy() for c in ("bits", "lib", "bucket", "first", "last", "block"))
+                a, b = stars(bits.view(np.uint64), lib, bucket, first, last, block)
+                if len(a):
+                    yield from pa.table({"library_id": rows.column("library_id").take(a), "a": rows.column("rep").take(a), "b": rows.column("rep").take(b)}).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            group = rows.column("g").to_numpy()
+            ends = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+            for start, stop in zip(ends[:-2], ends[1:-1]):
+                yield from told(rows.slice(int(start), int(stop - start)))
+            rest = rows.slice(int(ends[-2]))
+        if rest is not None:
+            yield from told(rest)
+
+    return run
+
+
+def _links(rows: DataFrame, keys: tuple[str, ...], most_bits: int, most_ms: int) -> DataFrame:
+    """(library_id, a, b): links that join all hashes of a library that share `keys` and are alike, directly or by others.
+
+    `rows` are (library_id, keys, rep, bits, bucket, first, last): times in buckets of `most_ms`. At most `LIGHT` links for each row and
+    key where few share it, and a forest of each pair of blocks where many do.
+    """
+    sizes = rows.groupBy("library_id", *keys).agg(F.count("*").alias("n")).where("n > 1")
+    sizes = shared_checkpoint(sizes)
+    light = rows.join(sizes.where(F.col("n") <= LIGHT).drop("n"), ["library_id", *keys])
+    other = light.select("library_id", *keys, *(F.col(c).alias(f"{c}2") for c in ("rep", "bits", "bucket", "first", "last")))
+    close = (F.col("bucket") == F.col("bucket2")) | (F.greatest("first", "first2") - F.least("last", "last2") <= most_ms)
+    met = light.join(other, ["library_id", *keys]).where((F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= most_bits) & close)
+    out = met.select("library_id", F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    crowded = sizes.where(F.col("n") > LIGHT)
+    if crowded.isEmpty():
+        return out
+    heavy = rows.join(crowded, ["library_id", *keys])
+    if "pair" not in keys:  # a moment with very many hashes
+        packed = heavy.where(F.col("n") > CROWD).drop("n")
+        heavy = heavy.where(F.col("n") <= CROWD)
+        if not crowded.where(F.col("n") > CROWD).isEmpty():
+            bands = packed.withColumn("band", F.explode(_bands(F.col("bits"), most_bits + 2))).select(*packed.columns, "band.pair", "band.value")
+            out = out.unionByName(_links(bands, (*keys, "pair", "value"), most_bits, most_ms))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cut = heavy.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("bits", F.lit(5)), blocks).cast("int")})
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = cut.select(F.xxhash64("library_id", *keys, "i", "j").alias("g"), F.xxhash64("library_id").alias("lib"), "library_id", "rep", "bits", "bucket", "first", "last", "block")
+    dealt = dealt.repartition("g").sortWithinPartitions("g", "block")
+    kinds = dict(rows.dtypes)
+    return out.unionByName(dealt.mapInArrow(_forests(most_bits, most_ms), f"library_id {kinds['library_id']}, a {kinds['rep']}, b {kinds['rep']}"))
+
+
+def burst_links(photos: DataFrame, options: BurstOptions = BurstOptions()) -> tuple[DataFrame, DataFrame]:
+    """(hashes, links): the distinct hashes of each library (library_id, bits, rep: the smallest id, n) and links (library_id, a, b) between their reps."""
+    rows = _guarded(photos, options)
+    hashes = shared_checkpoint(rows.groupBy("library_id", "bits").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    none = {k: F.lit(0).cast("long") for k in ("bucket", "first", "last")}
+    bands = hashes.withColumn("band", F.explode(_bands(F.col("bits"), options.dup_hamming + 2))).select("library_id", "rep", "bits", "band.pair", "band.value").withColumns(none)
+    bucket = F.floor(F.col("taken_at") / options.burst_ms)
+    held = rows.where(F.col("taken_at").isNotNull()).groupBy("library_id", "bits", bucket.alias("bucket")).agg(F.min("taken_at").alias("first"), F.max("taken_at").alias("last"))
+    timed = held.join(hashes.select("library_id", "bits", "rep"), ["library_id", "bits"])
+    timed = shared_checkpoint(timed.withColumn("slot", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1))))
+    alike = _links(bands, ("pair", "value"), options.dup_hamming, options.burst_ms)
+    return hashes, alike.unionByName(_links(timed, ("slot",), options.burst_hamming, options.burst_ms))
+
+
 def burst_members(photos: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
     """(library_id, id, burst): photos in groups of two or more; `burst` is the group's smallest id."""
-    edges = dup_edges(photos, options).unionByName(burst_edges(photos, options))
-    keyed = edges.select(F.struct("library_id", F.col("a").alias("id")).alias("a"), F.struct("library_id", F.col("b").alias("id")).alias("b"))
-    found = components(keyed)
-    return found.select(F.col("node.library_id").alias("library_id"), F.col("node.id").alias("id"), F.col("component.id").alias("burst"))
+    hashes, links = burst_links(photos, options)
+    found = components(links.select(F.struct("library_id", F.col("a").alias("id")).alias("a"), F.struct("library_id", F.col("b").alias("id")).alias("b")))
+    named = found.select(F.col("node.library_id").alias("library_id"), F.col("node.id").alias("rep"), F.col("component.id").alias("named"))
+    grouped = hashes.join(named, ["library_id", "rep"], "left").where("n > 1 or named is not null").select("library_id", "bits", F.coalesce("named", "rep").alias("burst"))
+    return _guarded(photos, options).join(grouped, ["library_id", "bits"]).select("library_id", "id", "burst")
 
 
 def burst_groups(photos: DataFrame, members: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
-    """One row for each group: n, cover_id, start, end, and subtype `burst` (all timed, close in time, three or more) or `dup`."""
-    rows = photos.join(members, ["library_id", "id"])
-    gap = F.col("taken_at") - F.lag("taken_at").over(Window.partitionBy("library_id", "burst").orderBy(F.col("taken_at").asc_nulls_last(), "id"))
-    grouped = rows.withColumn("gap", gap).groupBy("library_id", "burst").agg(
-        F.count("*").alias("n"), F.count("taken_at").alias("timed"), F.max("gap").alias("gap"), F.min("taken_at").alias("start"), F.max("taken_at").alias("end"), best_cover().alias("cover_id")
+    """One row for each group: n, cover_id, start, end, and subtype `burst` (all timed, close in time, three or more) or `dup`.
+
+    A group of any size is spread: photos of one moment are one row; these are put in order within each slice of time, which keeps its
+    first and last moment and its largest gap; and slices are put in order, where the gaps between them count too.
+    """
+    best = F.struct(-cover_score(F.col("edge_density"), F.col("brightness"), F.col("colorfulness")), F.col("id"))
+    moments = photos.join(members, ["library_id", "id"]).groupBy("library_id", "burst", F.floor(F.col("taken_at") / SLICE_MS).alias("slice"), "taken_at").agg(F.count("*").alias("n"), F.min(best).alias("best"))
+    gap = F.col("taken_at") - F.lag("taken_at").over(Window.partitionBy("library_id", "burst", "slice").orderBy("taken_at"))
+    slices = moments.withColumn("gap", gap).groupBy("library_id", "burst", "slice").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("taken_at").isNotNull(), F.col("n")).otherwise(0)).alias("timed"), F.min("best").alias("best"), F.min("taken_at").alias("first"), F.max("taken_at").alias("last"), F.max("gap").alias("gap")
+    )
+    before = F.lag("last").over(Window.partitionBy("library_id", "burst").orderBy(F.asc_nulls_last("slice")))
+    grouped = slices.withColumn("gap", F.greatest("gap", F.col("first") - before)).groupBy("library_id", "burst").agg(
+        F.sum("n").alias("n"), F.sum("timed").alias("timed"), F.max("gap").alias("gap"), F.min("first").alias("start"), F.max("last").alias("end"), F.min("best").alias("best")
     )
     close = (F.col("timed") == F.col("n")) & (F.col("n") >= options.min_burst_size) & (F.coalesce("gap", F.lit(0)) <= options.burst_ms)
-    return grouped.select("library_id", "burst", "n", "cover_id", "start", "end", F.when(close, "burst").otherwise("dup").alias("subtype"))
+    return grouped.select("library_id", "burst", "n", F.col("best.id").alias("cover_id"), "start", "end", F.when(close, "burst").otherwise("dup").alias("subtype"))

@@ -104,6 +104,76 @@ def test_bursts(spark):
     assert [(g.n, g.subtype, g.burst) for g in groups] == [(3, "burst", "a"), (2, "dup", "d")]
 
 
+def brute_bursts(rows):
+    """Groups of two or more, by union-find over all pairs."""
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in combinations(range(len(rows)), 2):
+        (l1, _, t1, b1), (l2, _, t2, b2) = rows[x], rows[y]
+        far = (b1 ^ b2).bit_count()
+        if l1 == l2 and (far <= 5 or far <= 10 and t1 is not None and t2 is not None and abs(t1 - t2) <= 3000):
+            parent[root(x)] = root(y)
+    groups = {}
+    for k, (library, id, _, _) in enumerate(rows):
+        groups.setdefault((library, root(k)), []).append(id)
+    return {(library, id, min(ids)) for (library, _), ids in groups.items() if len(ids) > 1 for id in ids}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_burst_members_equal_all_pairs(spark, monkeypatch, small):
+    if small:  # blocks, and pieces of crowded moments
+        for name, value in (("LIGHT", 3), ("BLOCK", 7), ("CROWD", 12)):
+            monkeypatch.setattr(bursts, name, value)
+    r = random.Random(12)
+    centres, rows = [r.getrandbits(64) for _ in range(12)], []
+    for k in range(500):
+        bits = r.choice(centres)
+        for _ in range(r.choice([0, 2, 4, 5, 9])):
+            bits ^= 1 << r.randrange(64)
+        moment = r.choice([None, 0, 2_999, 3_000, 5_999, 6_000, r.randrange(40_000), r.randrange(40_000)])
+        rows.append((k % 2, f"p{k:03d}", moment, bits))
+    df = frame(spark, [(library, *photo(id, taken_at=t, phash=f"{b:016x}")[1:]) for library, id, t, b in rows]).repartition(4)
+    assert {tuple(x) for x in bursts.burst_members(df).collect()} == brute_bursts(rows)
+
+
+def test_a_moment_with_very_many_photos_makes_few_links(spark):
+    """An import that has only days for times: 100,000 photos of one moment with five hashes, and 3,000 that all differ a little."""
+    one = photo("x", taken_at=0)
+    base = frame(spark, [one])
+    names = [n for n in NAMES if n not in ("id", "phash", "library_id")]
+    hashes = F.array(*map(F.lit, ("0123456789abcdef", "0123456789abcdee", "0123456789ab0def", "fedcba9876543210", "00ff00ff00ff00ff")))
+    many = spark.range(100_000).select(F.lit(1).cast("long").alias("library_id"), F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.element_at(hashes, (F.col("id") % 5 + 1).cast("int")).alias("phash"))
+    bits = F.lit(0x0F0F0F0F0F0F0F0F).bitwiseXOR(F.expr("shiftleft(1L, cast(id % 60 as int))")).bitwiseXOR(F.expr("shiftleft(1L, cast(id div 60 as int))"))
+    near = spark.range(3000).select(F.lit(2).cast("long").alias("library_id"), F.concat(F.lit("q"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.lower(F.lpad(F.hex(bits), 16, "0")).alias("phash"))
+    rows = many.unionByName(near).crossJoin(F.broadcast(base.select(*names))).select(*NAMES)
+    held, links = bursts.burst_links(rows)
+    assert held.where("library_id = 1").count() == 5 and links.where("library_id = 1").count() <= 50
+    distinct = held.where("library_id = 2").count()
+    assert distinct > 1000 and links.where("library_id = 2").count() <= 25 * distinct  # a forest for each key, where all pairs would be some 10^6
+    members = bursts.burst_members(rows)
+    # of a hash's 20,000 copies each is in its group; two of the five differ by one bit, and one more by four, in one moment
+    assert {(x.library_id, x.burst, x["count"]) for x in members.groupBy("library_id", "burst").count().collect()} == {(1, "p000000", 60_000), (1, "p000003", 20_000), (1, "p000004", 20_000), (2, "q000000", 3000)}
+    assert {(x.burst, x.n, x.subtype) for x in bursts.burst_groups(rows, members).where("library_id = 1").collect()} == {("p000000", 60_000, "burst"), ("p000003", 20_000, "burst"), ("p000004", 20_000, "burst")}
+
+
+def test_gaps_across_slices(spark):
+    hour = 3_600_000
+    times = {"a": [hour - 1500, hour - 100, hour + 1200], "b": [hour - 1500, hour - 100, hour + 3000], "c": [0, 0, 0, None], "d": [5 * hour - 2900, 5 * hour, 5 * hour + 2900, 5 * hour + 5800], "e": [0, hour], "f": [0, 0, 7 * hour], "g": [None] * 3, "h": [-hour - 1, -hour + 2, -hour + 4]}
+    rows = [photo(f"{g}{k}", taken_at=t, phash=f"{ord(g) * 0x0101010101010101 & (1 << 64) - 1:016x}") for g, own in times.items() for k, t in enumerate(own)]
+    df = frame(spark, rows)
+    members = spark.createDataFrame([(1, x[1], x[1][0]) for x in rows], "library_id long, id string, burst string")
+    found = {x.burst: (x.n, x.start, x.end, x.subtype) for x in bursts.burst_groups(df, members).collect()}
+    for g, own in times.items():
+        known = sorted(t for t in own if t is not None)
+        whole = len(known) == len(own) >= 3 and all(y - x <= 3000 for x, y in zip(known, known[1:]))
+        assert found[g] == (len(own), min(known, default=None), max(known, default=None), "burst" if whole else "dup")
+
+
 def test_timeline(spark):
     rows = [photo(f"t{i:02d}", taken_at=at(2026, 7, 10 + i // 12, 9 + i % 12), lat=34.69, lon=135.5) for i in range(24)]
     rows += [photo("m1", taken_at=at(2026, 8, 1, 23, 50)), photo("m2", taken_at=at(2026, 8, 2, 0, 20))]
