@@ -16,6 +16,7 @@ from lumenfold.functions import exif_writer as ew
 from lumenfold.functions.scene import SCREENSHOT, SCREENSHOT_NAME, classify, labelled
 from lumenfold.operators import bursts, places
 from lumenfold.operators import timeline as tl
+from lumenfold.operators.counts import pairs_within
 from lumenfold.operators.covers import best_cover, pick_covers
 from lumenfold.operators.home import infer_home
 from lumenfold.plans import oracle
@@ -101,9 +102,8 @@ def nearest_gazetteer(spark, sf_dir):
 
 @query("spots", "near", sql="SELECT library_id, sum(weight * weight2)::BIGINT AS n_pairs FROM near GROUP BY 1")
 def haversine_pairs(spark, sf_dir):
-    spots = read_photos(spark, sf_dir).where("lat is not null").groupBy("library_id", "lat", "lon").agg(F.min("id").alias("point"), F.count("*").alias("weight"))
-    near = places.near_pairs(spots, 500.0).join(spots.select("library_id", "point", "weight"), ["library_id", "point"])
-    return near.groupBy("library_id").agg(F.sum(F.col("weight") * F.col("weight2")).alias("n_pairs"))
+    spots = read_photos(spark, sf_dir).where("lat is not null").groupBy("library_id", "lat", "lon").agg(F.count("*").alias("weight"))
+    return pairs_within(shared_checkpoint(spots), 500.0)
 
 
 @query("dup_edges", sql="SELECT library_id, a, b FROM dup_edges")

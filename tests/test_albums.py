@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import naming, scalar
 from lumenfold.functions.scene import classify
-from lumenfold.operators import bursts, places
+from lumenfold.operators import bursts, counts, places
 from lumenfold.operators import components as components_module
 from lumenfold.operators import timeline as tl
 from lumenfold.operators.components import components, stars_of
@@ -224,6 +224,40 @@ def test_a_crowded_place_makes_few_pairs(spark):
     assert full.count() <= 4  # no sparse points, so only their quarters meet
 
 
+@pytest.mark.parametrize("few", [256, 4])
+def test_counted_pairs_equal_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(counts, "FEW", few)
+    r = random.Random(8)
+    rows = []
+    for library, (lat, lon) in enumerate([(35.0, 139.0), (0.0, 179.999), (-70.0, 10.0), (89.995, 0.0), (60.0, -180.0)]):
+        for k in range(160):
+            far = 0.02 if k % 2 else 0.004
+            x = lon + r.uniform(-far, far) / max(0.01, math.cos(math.radians(lat)))
+            rows.append((library, max(-90.0, min(90.0, lat + r.uniform(-far, far))) if k % 7 else lat, (x + 180) % 360 - 180, 1 + k % 3))
+
+    def far_apart(a, b):
+        (_, y1, x1, _), (_, y2, x2, _) = a, b
+        s, t = (math.sin(math.radians(d) / 2) for d in (y2 - y1, x2 - x1))
+        return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(s * s + math.cos(math.radians(y1)) * math.cos(math.radians(y2)) * t * t)))
+
+    df = spark.createDataFrame(rows, "library_id long, lat double, lon double, weight long")
+    for meters in (500.0, 120.0):
+        found = {tuple(x) for x in counts.pairs_within(df, meters).collect()}
+        assert found == {(k, sum(a[3] * b[3] for a in rows for b in rows if a[0] == b[0] == k and far_apart(a, b) <= meters)) for k in range(5)}
+    assert counts.pairs_within(df.where("lat > 100"), 500.0).count() == 0
+
+
+def test_a_crowd_is_counted_with_few_pairs(spark):
+    def grid(step):
+        return spark.range(40_000).select(F.lit(1).alias("library_id"), (35 + F.col("id") % 200 * step).alias("lat"), (139 + F.floor(F.col("id") / 200) * step).alias("lon"), F.lit(2).alias("weight"))
+
+    made = []
+    assert [tuple(x) for x in counts.pairs_within(grid(1e-6), 500.0, made).collect()] == [(1, 80_000**2)] and sum(made) <= 20
+    made.clear()
+    n = counts.pairs_within(grid(5e-5), 500.0, made).first().n_pairs  # a square kilometer
+    assert 0.3 * 80_000**2 < n < 0.8 * 80_000**2 and sum(made) < 0.05 * 40_000**2
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(900), r.randrange(900)) for _ in range(500)] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7), (None, 5)]
