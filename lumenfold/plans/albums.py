@@ -17,7 +17,7 @@ from lumenfold.functions.scene import SCREENSHOT, labelled
 from lumenfold.operators import bursts, places
 from lumenfold.operators import timeline as tl
 from lumenfold.operators.covers import best_cover
-from lumenfold.operators.dedupe import dropped_drafts, similar_pairs
+from lumenfold.operators.dedupe import folded_drafts
 from lumenfold.operators.home import infer_home
 from lumenfold.options import AlbumOptions
 
@@ -141,7 +141,7 @@ def plan_albums(photos: DataFrame, options: AlbumOptions = AlbumOptions()) -> tu
     large, members = drafts(keyed, events, groups, options)
     large = shared_checkpoint(large)
     in_large = members.join(large.select("library_id", "draft"), ["library_id", "draft"], "left_semi")
-    gone = dropped_drafts(similar_pairs(large, in_large.select("library_id", "draft", "id"), options.max_jaccard))
+    gone = shared_checkpoint(folded_drafts(large, in_large.select("library_id", "draft", "id"), options.max_jaccard))
     kept = large.join(gone, ["library_id", "draft"], "left_anti")
     in_kept = in_large.join(gone, ["library_id", "draft"], "left_anti")
     by_month, in_months = monthly(keyed, in_kept.select("library_id", "id").distinct())

@@ -280,6 +280,14 @@ CTES |= {
     "pixel_hashes": (("turned",), """SELECT p_partkey, printf('%08x%08x', sum(bit) FILTER (place < 32)::BIGINT, sum(bit) FILTER (place >= 32)::BIGINT) AS phash FROM (
       SELECT p_partkey, place, CASE WHEN coefficient > middle THEN 1::BIGINT << (31 - place % 32)::INT ELSE 0 END AS bit
       FROM turned JOIN (SELECT p_partkey, list_sort(list(coefficient))[32] AS middle FROM turned WHERE place > 0 GROUP BY 1) USING (p_partkey)) GROUP BY 1"""),
+    # density clusters by the Hamming distance of all pairs
+    "hash_reach": (("guarded",), """SELECT x.library_id, x.rep AS p, y.rep AS q, y.n FROM (SELECT library_id, hi, lo, min(id) AS rep FROM guarded GROUP BY ALL) x
+      JOIN (SELECT library_id, hi, lo, min(id) AS rep, count(*) AS n FROM guarded GROUP BY ALL) y ON x.library_id = y.library_id AND bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 8"""),
+    "hash_cores": (("hash_reach",), "SELECT library_id, p FROM hash_reach GROUP BY ALL HAVING sum(n) >= 4"),
+    "hash_links": (("hash_cores",), "SELECT r.library_id, r.p, r.q FROM hash_reach r JOIN hash_cores a ON a.library_id = r.library_id AND a.p = r.p JOIN hash_cores b ON b.library_id = r.library_id AND b.p = r.q"),
+    "hash_reached": (("hash_links",), "SELECT library_id, p, p AS q FROM hash_cores UNION SELECT c.library_id, c.p, l.q FROM hash_reached c JOIN hash_links l ON l.library_id = c.library_id AND l.p = c.q"),
+    "hash_clusters": (("hash_reached",), """SELECT r.library_id, r.p AS rep, min(c.cluster) AS cluster FROM hash_reach r
+      JOIN (SELECT library_id, p, min(q) AS cluster FROM hash_reached GROUP BY ALL) c ON c.library_id = r.library_id AND c.p = r.q GROUP BY ALL"""),
     # what `exif_tags` writes into its files
     "tagged": (("ev",), """SELECT e AS event_id, CASE WHEN e % 31 = 0 THEN ms // 1000 * 1000 + 86400000 WHEN e % 13 = 0 THEN NULL WHEN e % 23 = 0 THEN epoch_ms(TIMESTAMP '2024-02-02 01:02:01') ELSE ms // 1000 * 1000 END AS taken_at,
       CASE WHEN e % 7 <> 0 THEN round((e * 7 % 90 + (e * 11 % 60) / 60.0::DOUBLE + ((e * 13 % 6000) / 100.0::DOUBLE) / 3600) * CASE WHEN e % 3 = 0 THEN -1 ELSE 1 END, 9) END AS lat,

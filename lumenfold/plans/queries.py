@@ -19,6 +19,7 @@ from lumenfold.operators import timeline as tl
 from lumenfold.operators.counts import pairs_within
 from lumenfold.operators.covers import best_cover, pick_covers
 from lumenfold.operators.home import infer_home
+from lumenfold.operators.metric import metric_clusters
 from lumenfold.plans import oracle
 from lumenfold.plans.albums import build_albums, plan_albums
 from lumenfold.sources.events import read_photos
@@ -106,6 +107,16 @@ def haversine_pairs(spark, sf_dir):
     return pairs_within(shared_checkpoint(spots), 500.0)
 
 
+@query(
+    "hash_clusters",
+    sql="SELECT library_id, rep, cluster FROM hash_clusters",
+)
+def hash_clusters(spark, sf_dir):
+    """Density clusters of the hashes of each library: a metric that isn't one of places."""
+    rows = read_photos(spark, sf_dir).where("luma_variance >= 0.0008").groupBy("library_id", scalar.hash_bits(F.col("phash")).alias("bits")).agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    return metric_clusters(shared_checkpoint(rows), lambda a, b: F.bit_count(a["bits"].bitwiseXOR(b["bits"])), 8, 4, "rep")
+
+
 @query("dup_edges", sql="SELECT library_id, a, b FROM dup_edges")
 def dup_edges(spark, sf_dir):
     return bursts.dup_edges(read_photos(spark, sf_dir))

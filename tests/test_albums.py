@@ -12,8 +12,9 @@ from lumenfold.operators import bursts, counts, places
 from lumenfold.operators import components as components_module
 from lumenfold.operators import timeline as tl
 from lumenfold.operators.components import components, stars_of
-from lumenfold.operators.dedupe import dropped_drafts, similar_pairs
+from lumenfold.operators.dedupe import dropped_drafts, folded_drafts, similar_pairs
 from lumenfold.operators.home import infer_home
+from lumenfold.operators.metric import metric_clusters, metric_pairs
 from lumenfold.options import AlbumOptions, TimelineOptions
 from lumenfold.plans import oracle
 from lumenfold.plans.albums import build_albums, plan_albums
@@ -89,6 +90,46 @@ def test_folding_any_drafts(spark):
     assert {r.draft for r in dropped_drafts(chain).collect()} == {"b", "d"}
 
 
+def brute_fold(drafts, above=0.8):
+    """Greedy folding of (name, kind, members) over all pairs; the names that go."""
+    kept, gone = [], set()
+    for name, _, ids in sorted(drafts, key=lambda d: (scalar.KINDS.index(d[1]), -len(d[2]), d[0])):
+        if any(len(ids & other) > above * len(ids | other) for other in kept):
+            gone.add(name)
+        else:
+            kept.append(ids)
+    return gone
+
+
+def draft_frames(spark, drafts):
+    rows = spark.createDataFrame([(1, d, k, len(ids)) for d, k, ids in drafts], "library_id long, draft string, kind string, n long")
+    return rows, spark.createDataFrame([(1, d, x) for d, _, ids in drafts for x in ids], "library_id long, draft string, id string")
+
+
+def test_folding_arbitrary_drafts_equals_a_greedy_loop(spark):
+    r, drafts = random.Random(9), []
+    for k in range(40):
+        base = {f"x{r.randrange(300)}" for _ in range(r.choice([1, 2, 5, 10, 30, 60]))} | {"hot"}
+        for j in range(r.choice([1, 2, 4])):
+            own = {x for x in base if r.random() > 0.08} | {f"y{k}{j}{i}" for i in range(r.choice([0, 0, 1, 3]))}
+            drafts.append((f"d{k:02d}-{j}", r.choice(scalar.KINDS), own or {"hot"}))
+    rows, members = draft_frames(spark, drafts)
+    gone = {x.draft for x in folded_drafts(rows, members).collect()}
+    assert gone == brute_fold(drafts) and 10 < len(gone) < len(drafts) - 20
+    pairs = {frozenset((x.a, x.b)) for x in similar_pairs(rows, members).collect()}
+    assert pairs == {frozenset((a[0], b[0])) for a, b in combinations(drafts, 2) if len(a[2] & b[2]) > 0.8 * len(a[2] | b[2])}
+
+
+def test_a_photo_in_ten_thousand_drafts_makes_few_pairs(spark):
+    many = [(f"d{k:05d}", "scene", {"hot", *(f"p{k}-{j}" for j in range(5))}) for k in range(10_000)]
+    many += [("twin", "trip", {"hot", "p7-0", "p7-1", "p7-2", "p7-3", "p7-4"}), ("near", "place", {"hot", *(f"p9-{j}" for j in range(5)), "z"})]
+    many += [(f"same{k:04d}", "device", {"hot", "a", "b"}) for k in range(1500)]  # a million pairs of equals
+    rows, members = draft_frames(spark, many)
+    assert {x.draft for x in folded_drafts(rows, members).collect()} == {"d00007", "d00009", *(f"same{k:04d}" for k in range(1, 1500))}
+    distinct = rows.where("draft not like 'same%'")
+    assert similar_pairs(distinct, members.where("draft not like 'same%'")).count() == 2
+
+
 def test_empty_library(spark):
     assert build_albums(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -203,6 +244,48 @@ def test_dbscan_by_another_distance(spark):
     assert {(r.point, r.cluster) for r in places.dbscan(df, in_reach, 3).collect()} == {(k, 0) for k in (0, 1, 2, 3, 8)} | {(k, 4) for k in (4, 5, 6)}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("kind", ["plane", "bits", "words"])
+def test_metric_clusters_equal_dbscan_of_all_pairs(spark, kind):
+    r = random.Random(10)
+    if kind == "plane":
+        rows = [(k % 2, k, r.choice([0, 50, 55, 200, 400]) + r.gauss(0, 4), r.choice([0, 80, 300]) + r.gauss(0, 4), 1 + k % 2) for k in range(500)]
+        schema, reach, plain = "library_id long, point long, x double, y double, weight long", 3.0, lambda a, b: math.hypot(a[2] - b[2], a[3] - b[3])
+        metric = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+    elif kind == "bits":
+        centres = [r.getrandbits(64) for _ in range(20)]
+        rows = [(k % 2, k, r.choice(centres) ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) ^ 1 << r.randrange(64), 1) for k in range(400)]
+        rows = [(l, k, b - (1 << 64) if b >> 63 else b, w) for l, k, b, w in rows]
+        schema, reach, plain = "library_id long, point long, bits long, weight long", 5, lambda a, b: ((a[2] ^ b[2]) & (1 << 64) - 1).bit_count()
+        metric = lambda a, b: F.bit_count(a["bits"].bitwiseXOR(b["bits"]))
+    else:
+        bases = ["IMG_2041.jpg", "DSC00317.png", "holiday-paris", "birthday", "scan"]
+        rows = [(1, k, "".join(c if r.random() > 0.12 else r.choice("xyz0") for c in r.choice(bases)) + r.choice(["", "", "a"]), 1 + k % 3) for k in range(250)]
+        schema, reach, plain = "library_id long, point long, name string, weight long", 2, lambda a, b: edit_distance(a[2], b[2])
+        metric = lambda a, b: F.levenshtein(a["name"], b["name"])
+    df, tried = spark.createDataFrame(rows, schema), []
+    near = {(a[0], a[1], b[1], b[-1]) for a in rows for b in rows if a[0] == b[0] and plain(a, b) <= reach}
+    found = [tuple(x) for x in metric_pairs(df, metric, reach, tried=tried).collect()]
+    assert len(found) == len(set(found)) and set(found) == near
+    every = sum(a[0] == b[0] for a in rows for b in rows)
+    assert tried[1] <= tried[0] and tried[1] < {"plane": 0.1, "bits": 0.25, "words": 0.6}[kind] * every  # what the metric is asked for
+
+    def all_pairs(p):
+        other = p.select("library_id", *(F.col(c).alias(f"{c}2") for c in p.columns if c != "library_id"))
+        return p.join(other, "library_id").where(metric(F.struct(*(F.col(c) for c in p.columns)), F.struct(*(F.col(f"{c}2").alias(c) for c in p.columns if c != "library_id"))) <= reach).select("library_id", "point", "point2", "weight2")
+
+    clusters = {tuple(x) for x in metric_clusters(df, metric, reach, 4).collect()}
+    assert clusters == {tuple(x) for x in places.dbscan(df, all_pairs, 4).collect()} and len({c[::2] for c in clusters}) >= 3
+
+
 def test_near_clusters_equal_dbscan_of_all_pairs(spark):
     r = random.Random(3)
     rows = []
