@@ -13,18 +13,20 @@ of them. Each block returns its best k for each query, and a window over those f
 bounded by the block; only the queries are replicated.
 
 Scores are whole numbers and exact: in floating point while |q| |x| is under 2^53, in 64-bit integers while it is under 2^63, and
-beyond that in integers of any length. They travel as two longs, so that they are ranked rightly at any size; a final score
-that no long can hold is shown as the largest or smallest long.
+beyond that in integers of any length. A score that no long can hold travels with its sign and its digits as bytes that sort as it
+does, so that scores are ranked rightly at any size; in the end it is shown as the largest or smallest long.
 
 Nulls and edge cases: vectors that are null or hold null or non-finite components, and null ids, take no part; only vectors
 of the query's length are its candidates; copies of a vector are searched as k + 1 of them with the smallest ids
 (the others could never be among a query's best k); rows with the same id count each, and none is a candidate of its own id;
-an empty table gives an empty result; other columns play no part. `quantized` raises an error if a component times the
-scale leaves the range of long.
+an empty table gives an empty result; other columns play no part. Components may be of any size: `quantized` keeps them as
+doubles, which hold floor(scale * x) exactly; only where scale * x is no finite double (x over 7e305), the vector takes no part.
+Where lengths leave the range of double no bound can be told, and nothing is pruned.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import nlargest
@@ -61,8 +63,9 @@ def cover_tree(vectors: np.ndarray) -> CoverTree:
     centres, radii, children, members = [], [], [], []
 
     def apart(centre: int, own: np.ndarray) -> np.ndarray:
-        gap = points[own] - points[centre]
-        return np.sqrt(np.einsum("ij,ij->i", gap, gap)) * (1 + 1e-9)
+        with np.errstate(over="ignore", invalid="ignore"):
+            gap = points[own] - points[centre]
+            return np.sqrt(np.einsum("ij,ij->i", gap, gap)) * (1 + 1e-9)
 
     def add(centre: int, own: np.ndarray, far: np.ndarray) -> int:
         centres.append(centre)
@@ -89,7 +92,7 @@ def cover_tree(vectors: np.ndarray) -> CoverTree:
     while due:
         node = due.pop()
         own, centre = members[node], centres[node]
-        if len(own) <= LEAF or radii[node] == 0:
+        if len(own) <= LEAF or radii[node] == 0 or not np.isfinite(radii[node]):
             continue
         far, few = apart(centre, own), own[:: max(1, len(own) // 128)]
         for base in BASES:
@@ -102,13 +105,28 @@ def cover_tree(vectors: np.ndarray) -> CoverTree:
                 due += children[node].tolist()
                 break
     centre_points = points[centres] if centres else points
-    return CoverTree(vectors, centre_points, np.array(radii), np.sqrt((centre_points * centre_points).sum(axis=1)) * (1 + 1e-9), children, members)
+    with np.errstate(over="ignore"):
+        norms = np.sqrt((centre_points * centre_points).sum(axis=1)) * (1 + 1e-9)
+    return CoverTree(vectors, centre_points, np.array(radii), norms, children, members)
 
 
 def longest(vectors: np.ndarray) -> float:
     """An upper bound of the lengths of some vectors of whole numbers."""
     floats = vectors.astype(np.float64)
-    return float(np.sqrt((floats * floats).sum(axis=1)).max(initial=0)) * (1 + 1e-9)
+    with np.errstate(over="ignore"):
+        return float(np.sqrt((floats * floats).sum(axis=1)).max(initial=0)) * (1 + 1e-9)
+
+
+def _integers(vectors: np.ndarray) -> np.ndarray:
+    """As integers of any length."""
+    return np.array([[int(x) for x in row] for row in vectors.tolist()], object).reshape(vectors.shape)
+
+
+def _float(score: int) -> float:
+    try:
+        return float(score)
+    except OverflowError:
+        return math.copysign(math.inf, score)
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,7 +134,22 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     size = longest(a) * longest(b)
     if size < 2**53:
         return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T if size < 2**63 else a.astype(object) @ b.astype(object).T
+    return a.astype(np.int64) @ b.astype(np.int64).T if size < 2**63 else _integers(a) @ _integers(b).T
+
+
+def carried(scores: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(side, digits, score): 1 or -1 for scores above or below the range of long, and bytes that sort as they do; else 0 and null. `score` stays in range."""
+    if scores.dtype != object:
+        return pa.array(np.zeros(len(scores), np.int32)), pa.nulls(len(scores), pa.binary()), pa.array(scores)
+    sides, digits, shown = [], [], []
+    for x in scores.tolist():
+        side = (x > 2**63 - 1) - (x < -(2**63))
+        size = (abs(x).bit_length() + 7) // 8
+        told = size.to_bytes(2, "big") + abs(x).to_bytes(size, "big") if side else None
+        sides.append(side)
+        digits.append(bytes(255 - b for b in told) if side < 0 else told)
+        shown.append(max(-(2**63), min(2**63 - 1, x)))
+    return pa.array(sides, pa.int32()), pa.array(digits, pa.binary()), pa.array(shown, pa.int64())
 
 
 def dual_search(data: CoverTree, data_ids: np.ndarray, queries: CoverTree, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -124,18 +157,20 @@ def dual_search(data: CoverTree, data_ids: np.ndarray, queries: CoverTree, query
 
     Places are -1 where there are fewer. Scores are of type object if any could leave 64 bits.
     """
-    wide = longest(data.points) * longest(queries.points) >= 2**63
+    wide = not longest(data.points) * longest(queries.points) < 2**63
     best, places = np.full((len(query_ids), k), NONE, object if wide else np.int64), np.full((len(query_ids), k), -1)
     leaf = np.array([len(c) == 0 for c in data.children])
     compared = 0
 
     def worst(own: np.ndarray) -> float:
-        return -np.inf if (places[own, k - 1] < 0).any() else float(best[own, k - 1].min())
+        return -np.inf if (places[own, k - 1] < 0).any() else _float(best[own, k - 1].min())
 
     def bounds(node: int, others: np.ndarray) -> np.ndarray:
         ball, size = queries.radii[node], queries.norms[node]
-        room = ball * data.norms[others] + data.radii[others] * size + ball * data.radii[others]
-        return data.centres[others] @ queries.centres[node] + room + 1e-9 * (1 + room + size * data.norms[others])
+        with np.errstate(over="ignore", invalid="ignore"):
+            room = ball * data.norms[others] + data.radii[others] * size + ball * data.radii[others]
+            bound = data.centres[others] @ queries.centres[node] + room + 1e-9 * (1 + room + size * data.norms[others])
+        return np.where(np.isnan(bound), np.inf, bound)
 
     def compare(own: np.ndarray, found: np.ndarray) -> None:
         nonlocal compared
@@ -218,15 +253,13 @@ def _search(k: int):
                 own = query_ids[start : start + QUERIES]
                 best, places, _ = dual_search(tree, ids, cover_tree(vectors[start : start + QUERIES]), own, k)
                 row, rank = np.nonzero(places >= 0)
-                scores = best[row, rank]
-                high, low = (pa.array((x).tolist(), pa.int64()) for x in (scores >> 62, scores & (2**62 - 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[places[row, rank]]), high, low], names=["query_id", "vec_id", "high", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(ids[places[row, rank]]), *carried(best[row, rank])], names=["query_id", "vec_id", "side", "digits", "score"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             block, size, asks, vec_ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "size", "asks", "vec_id"))
-            flat, ends = batch.column("vector").values.to_numpy(zero_copy_only=False).astype(np.int64), batch.column("vector").offsets.to_numpy()
+            flat, ends = batch.column("vector").values.to_numpy(zero_copy_only=False), batch.column("vector").offsets.to_numpy()
             cuts = np.flatnonzero((block[1:] != block[:-1]) | (size[1:] != size[:-1]) | (asks[1:] != asks[:-1])) + 1
             for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
                 if (int(block[start]), int(size[start])) != key:
@@ -244,11 +277,12 @@ def _search(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "vector", block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the `k` highest inner products of each query among all vectors but its own.
 
-    Both tables hold an id and an array of whole numbers (as long); queries are found again in the data by their id.
+    Both tables hold an id and an array of whole numbers (long, or double beyond its range); queries are found again in the data by their id.
     """
+    kind = "double" if "double" in (vectors.schema[vector_col].dataType.elementType.typeName(), queries.schema[vector_col].dataType.elementType.typeName()) else "long"
 
     def rows(df: DataFrame) -> DataFrame:
-        own = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<long>").alias("vector"))
+        own = df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast(f"array<{kind}>").alias("vector"))
         return own.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull())).withColumn("size", F.size("vector"))
 
     data = rows(vectors)
@@ -257,20 +291,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     dealt = data.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "asks": F.lit(False)})
     asking = rows(queries).withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "asks": F.lit(True)})
     met = dealt.unionByName(asking).repartition(blocks, "block").sortWithinPartitions("block", "size", "asks", "vec_id")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, high long, low long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
-    shown = F.when(F.col("high") > 1, 2**63 - 1).when(F.col("high") < -2, -(2**63)).otherwise(F.shiftleft("high", 62).bitwiseOR(F.col("low")))
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", shown.alias("score"))
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, side int, digits binary, score long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("digits"), F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """Each component x as floor(scale * x); vectors that are null or hold null or non-finite components go."""
-    fine = F.forall(vectors[vector_col], lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """Each component x as floor(scale * x), a double; vectors that are null or hold null components, or ones that are not finite after scaling, go."""
+
+    def scaled(x: Column) -> Column:
+        return x.cast("double") * scale
 
     def floored(x: Column) -> Column:
-        scaled = x.cast("double") * scale
-        return F.when(F.abs(scaled) < 2.0**63, F.floor(scaled)).otherwise(F.raise_error(F.lit("a component is too large for a long")).cast("long"))
+        return F.when(F.abs(scaled(x)) < 2.0**52, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))  # from there on doubles are whole
 
-    whole = F.transform(vectors[vector_col], floored)
-    return vectors.where(vectors[vector_col].isNotNull() & fine).select(vectors[id_col].alias("vec_id"), whole.alias("vector"))
+    fine = F.forall(vectors[vector_col], lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(scaled(x)) < float("inf")))
+    return vectors.where(vectors[vector_col].isNotNull() & fine).select(vectors[id_col].alias("vec_id"), F.transform(vectors[vector_col], floored).alias("vector"))
