@@ -5,8 +5,9 @@ weighs them, which sets most to zero; the rest are compiled into one Spark colum
 JVM. Both fits are of Spark's own library, on labelled documents chosen by a hash of their id, `TRAIN_ROWS` at most
 whatever the size of the corpus. Labels, language, source and id are never inputs of a score.
 
-Nulls and edge cases: a null text counts as empty and has a score like any other; null labels and labels of null ids
-are left out, and of several labels for one document the smallest counts; without labels of both kinds the score is
+Nulls and edge cases: a null text counts as empty and has a score like any other; labels other than 0 and 1, null ones and those of
+null ids are left out, and of several labels for one document the smallest counts; of rows with the same labelled id one is
+learned from, that whose text has the smallest MD5, so that the bound holds for rows; without labels of both kinds the score is
 the share of label 1 (0.5 without any); texts are taken whole; repeated rows get the same score each; an empty table
 gives an empty result; other columns play no part.
 """
@@ -112,12 +113,13 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> RuleEnsemble:
     """The ensemble, from `train_rows` labelled documents at most. Only these are broadcast, joined and counted."""
-    own = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels[label_col].cast("double").alias("label")).where("label_id is not null and label is not null")
+    own = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels[label_col].cast("double").alias("label")).where("label_id is not null and label in (0, 1)")
     own = own.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.min("label").alias("label"))
     chosen = own.orderBy(F.xxhash64("label_id"), "label_id").limit(train_rows)
     rows = docs.select(docs[id_col].cast("long").alias("label_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "label_id")
-    rows = shared_checkpoint(rows.select("label_id", "label", statistics(F.col("text")).alias("stats")))
-    rows = rows.orderBy("label_id", "stats").coalesce(1)  # bounded by train_rows
+    rows = rows.select("label_id", "label", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own"), statistics(F.col("text")).alias("stats"))
+    rows = shared_checkpoint(rows.groupBy("label_id", "label").agg(F.min_by("stats", "own").alias("stats")))
+    rows = rows.orderBy("label_id").coalesce(1)  # train_rows at most
     counted = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     ones = counted.get(1.0, 0)
     if len(counted) < 2:

@@ -1,8 +1,11 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -237,7 +240,7 @@ def test_top_k_is_exact_at_any_size(spark, size):
     r = np.random.default_rng(9)
     vectors = [(k, [float(x) for x in r.normal(size=8) * size]) for k in range(400)] + [(k, [size] * 8) for k in range(400, 420)]
     df = topk.quantized(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
-    whole = {x.vec_id: list(x.vector) for x in df.collect()}
+    whole = {x.vec_id: [int(c) for c in x.vector] for x in df.collect()}
     assert whole == {k: [int(np.floor(256 * x)) for x in v] for k, v in vectors}
     expected = []
     for q in range(0, 420, 50):
@@ -246,6 +249,29 @@ def test_top_k_is_exact_at_any_size(spark, size):
     assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block=100).collect())) == sorted(expected)
 
 
+def test_top_k_takes_components_of_any_size(spark):
+    r = np.random.default_rng(11)
+    sizes = [1.0, 1e15, 2.5e16, 1e17, 1e300]
+    vectors = [(k, [float(x) for x in r.normal(size=6) * sizes[k % 5]]) for k in range(300)] + [(k, [-(10.0 ** (k % 7 * 50))] * 6) for k in range(300, 340)]
+    vectors += [(340, [1e306] * 6), (341, [1.7e308, 0.0, 0.0, 0.0, 0.0, 0.0]), (None, [1e17] * 6), (None, None), (350, []), (7, [2.5e16] * 6), (7, [2.5e16] * 6), (50, [3e200] * 6)]
+    df = topk.quantized(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3))
+    whole = [(k, [int(np.floor(256 * x)) for x in v]) for k, v in vectors if k is not None and v and all(np.isfinite(256 * x) for x in v)]
+    assert sorted(x.vec_id for x in df.where("vec_id is not null and size(vector) > 0").collect()) == sorted(k for k, _ in whole)
+    got = topk.top_k(df, df.where("vec_id % 50 = 0 and vec_id <> 50"), 5, block=60).collect()
+    expected = []
+    for q, v in whole:
+        if q % 50 == 0 and q != 50:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), k) for k, w in whole if k != q)[:5]
+            expected += [(q, rank, k, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, k) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(expected) and len({x[2] for x in expected}) > 10
+    dense = topk.quantized(spark.createDataFrame([(k, [float(x) for x in 2.5e16 * (1 + 0.01 * r.normal(size=64))]) for k in range(120)], "vec_id long, embedding array<double>"))
+    assert topk.top_k(dense, dense.where("vec_id % 50 = 0"), 5).count() == 15
+    assert topk.carried(np.array([2**70, -(2**70), 5, -(2**200), 2**63], object))[0].to_pylist() == [1, -1, 0, -1, 1]
+    keys = [2**63, 2**64 + 1, 2**100, 2**2000]
+    digits = [x.as_py() for x in topk.carried(np.array([*keys, *(-2 * x for x in keys)], object))[1]]
+    assert digits[:4] == sorted(digits[:4]) and digits[4:] == sorted(digits[4:], reverse=True)
+
+
 def test_top_k_prunes_clustered_data():
     r = np.random.default_rng(10)
     centres = r.normal(size=(40, 32))
@@ -272,6 +298,57 @@ def test_quality_on_held_out_labels(spark):
     assert quality.score_quality(df.limit(0), labels).count() == 0
 
 
+def plain_statistics(text):
+    text = text or ""
+    words = WORD.findall(text)
+    chars, n = max(1, len(text)), max(1, len(words))
+    pieces = set(re.split(r"[\x20\x09-\x0D]+", text))
+    count = lambda p: len(re.findall(p, text)) / chars
+    upper = sum(unicodedata.category(c) == "Lu" for c in text) / chars
+    return {"log_words": math.log1p(n), "chars_per_word": chars / n, "distinct_words": len(pieces) / n, "symbols": count(r"[#*$%&|<>]"), "shouts": count(r"[!?]"), "capitals": upper, "digits": count("[0-9]"), "stops": count("[.,]"), "lines": count("\n")}
+
+
+def plain_score(model, text):
+    stats = plain_statistics(text)
+    total = model.intercept + sum(w for rule, w in model.rules if all(stats[c.stat] > c.threshold if c.above else stats[c.stat] <= c.threshold for c in rule))
+    return 1 / (1 + math.exp(-total))
+
+
+def labelled_docs(spark, seed, n=240):
+    r = random.Random(seed)
+    texts = [" ".join(r.choice("river stone Cloud garden letter! 42 silver, harbor.".split()) for _ in range(r.randint(20, 90))) if k % 2 else " ".join(r.choice(["BUY", "NOW!", "###", "$$$", "x", "ok?"]) for _ in range(r.randint(3, 60))) for k in range(n)]
+    return docs(spark, [*texts, None, "", "  spaced  out \n", "ÄÖÜ É test", "a\x0bb\x1cc"]), spark.createDataFrame([(k, k % 2) for k in range(n)], "doc_id long, quality int")
+
+
+def test_quality_scores_equal_plain_python(spark):
+    df, labels = labelled_docs(spark, 21)
+    model = quality.fit(df, labels)
+    assert len(model.rules) > 2
+    texts = {x.doc_id: x.text for x in df.select("doc_id", "text").collect()}
+    for x in quality.score_quality(df, labels).collect():
+        assert abs(x.score - plain_score(model, texts[x.doc_id])) < 1e-12 and x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) and x.predicted == (x.score >= 0.5)
+
+
+def test_quality_learns_nothing_from_held_out_or_odd_labels(spark):
+    df, labels = labelled_docs(spark, 22)
+    before = {x.doc_id: x.score for x in quality.score_quality(df, labels).collect()}
+    held = quality.held_out(F.col("doc_id"))
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    odd = spark.createDataFrame([(k, q) for k in range(240, 300) for q in (2, -1, None)] + [(None, 1)], "doc_id long, quality int")
+    assert before == {x.doc_id: x.score for x in quality.score_quality(df, flipped.unionByName(odd)).collect()} and flipped.where(held).count() > 50
+
+
+def test_quality_bounds_rows_and_not_only_ids(spark, monkeypatch):
+    df, labels = labelled_docs(spark, 23)
+    many = df.crossJoin(spark.range(20).select(F.col("id").alias("copy"))).withColumn("text", F.concat("text", F.lit(" "), F.col("copy").cast("string"))).drop("copy").unionByName(df.where("doc_id % 7 = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    seen = []
+    kept = quality.shared_checkpoint
+    monkeypatch.setattr(quality, "shared_checkpoint", lambda rows: seen.append(kept(rows)) or seen[-1])
+    rows = quality.fit(many, labels, train_rows=30)
+    assert seen[0].count() == 30 and seen[0].select("label_id").distinct().count() == 30 and rows == quality.fit(many.repartition(5), labels, train_rows=30)
+    assert quality.score_quality(many, labels).count() == many.count()
+
+
 def test_tree_rules():
     text = "  Tree 0 (weight 1.0):\n    If (feature 0 <= 1.5)\n     If (feature 3 <= 0.5)\n      Predict: 0.0\n     Else (feature 3 > 0.5)\n      Predict: 1.0\n    Else (feature 0 > 1.5)\n     Predict: 1.0\n"
     assert sorted(len(r) for r in quality.tree_rules(text)) == [1, 1, 2, 2]
