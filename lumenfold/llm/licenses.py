@@ -13,19 +13,25 @@ names of templates; their shingles are joined by name once a window has retrieve
 check of their size (`MOST_BYTES` of template texts); larger ones are joined by key, and above `MOST_ANCHORS` minima the
 passing over is left out, with the same result.
 
-Templates of one family, which differ in version or length only, resemble each other: of those found in a document, only the
-ones with the family's highest containment count (all of them at a tie, as with two whole notices).
+Templates resemble each other (versions and families of a license, openings and whole texts), so one place of a text may
+match several. A match lies from the first to the last of its shingles in the window; where some occur twice, as with notices side by
+side, the earlier or the later ones are taken, whichever lie closer together. Matches compete by place: of those that lie on each
+other by more than two thirds of the shorter one, one that is no more than half longer than its template counts before others (two
+notices side by side may hold all shingles of a third), then the one with most shingles there (so that a whole text goes before its
+own opening), then the one with the highest containment, then the tighter match; what has lost to none that counts, counts too, whatever its family. So each notice is its own license, and any
+number of different ones in one text all stay. Sets of shingles know no order, though: similar notices with no more than a few words
+between them may together hold a third one, which is then reported too, or instead of one that is changed.
 
 Nulls and edge cases: a null text, or one of fewer than five words, has no shingles and no license; templates of fewer
-than five words are refused; texts are taken whole; of equal texts each has its rows; ties for the place go to the first;
-an empty table gives an empty result; other columns play no part.
+than five words are refused; texts are taken whole; each row is a document of its own, also where ids repeat or are null;
+ties for the place go to the first; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, BANDS, CONTAINED = 5, 32, 0.8
@@ -37,6 +43,10 @@ _BSD_REST = (
     "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
     "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
+_BSD_FIRST = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
 _GNU_HEADER = "{what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
 
 # Texts of well-known licenses, their headers and how they are named, by their usual identifiers.
@@ -46,15 +56,17 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
-    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_REST,
+    "BSD-2-Clause-text": _BSD_FIRST + _BSD_REST,
+    "BSD-3-Clause-text": _BSD_FIRST + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_REST,
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-SA-4.0-long": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-4.0-long": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "CDDL-1.0": "The contents of this file are subject to the terms of the Common Development and Distribution License",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-2.0-header": _GNU_HEADER.format(what="This program", name="GNU General Public License", version="2"),
@@ -64,8 +76,11 @@ TEMPLATES = {
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES '
     "OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "LGPL-2.0-header": _GNU_HEADER.format(what="This library", name="GNU Library General Public License", version="2"),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-2.1-header": _GNU_HEADER.format(what="This library", name="GNU Lesser General Public License", version="2.1"),
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": _GNU_HEADER.format(what="This library", name="GNU Lesser General Public License", version="3"),
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MIT-whole": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, '
@@ -78,11 +93,6 @@ TEMPLATES = {
 }
 
 
-def family(license: Column) -> Column:
-    """An identifier without its version: those of a family differ in that, or in the length of the text."""
-    return F.regexp_replace(license, r"-[0-9].*$|-text$|-whole$", "")
-
-
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
@@ -149,20 +159,37 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     passing = len(every) <= MOST_ANCHORS
 
     own = bound(words(docs[text_col]), lambda w: F.struct(w.alias("words"), hashes(w).alias("hashed")))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), own.alias("own"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), own.alias("own"))
     rows = rows.where(F.arrays_overlap("own.hashed", _longs(every)) if passing else F.size("own.hashed") > 0)
     windows = bound(F.col("own.hashed"), lambda hashed: F.concat(*(_windows(hashed, n, held if passing else None) for n, held in anchors.items())))
-    cut = rows.select("doc_id", F.col("own.words").alias("words"), F.explode(windows).alias("window"))
-    cut = cut.select("doc_id", F.col("window.start").alias("start"), F.col("window.size").alias("size"), F.slice("words", F.col("window.start") + 1, 2 * F.col("window.size") + WIDTH - 1).alias("words"), signature(F.col("window.hashed")).alias("bands"))
-    banded = cut.select("doc_id", "start", "size", "words", F.posexplode("bands").alias("band", "low"))
+    cut = rows.select("doc_id", "row", F.col("own.words").alias("words"), F.explode(windows).alias("window"))
+    cut = cut.select("doc_id", "row", F.col("window.start").alias("start"), F.col("window.size").alias("size"), F.slice("words", F.col("window.start") + 1, 2 * F.col("window.size") + WIDTH - 1).alias("words"), signature(F.col("window.hashed")).alias("bands"))
+    banded = cut.select("doc_id", "row", "start", "size", "words", F.posexplode("bands").alias("band", "low"))
     posted = known.select("license", "size", F.posexplode("bands").alias("band", "low"))
     told = known.select("license", F.col("shingles").alias("template"))
     posted, told = (F.broadcast(posted), F.broadcast(told)) if few else (posted, told)
     # the first agreeing band retrieves a template for a window, the others only repeat it
-    met = banded.join(posted, ["size", "band", "low"]).groupBy("doc_id", "start", "license").agg(F.min_by("words", "band").alias("words")).join(told, "license")
+    met = banded.join(posted, ["size", "band", "low"]).groupBy("doc_id", "row", "start", "license").agg(F.min_by("words", "band").alias("words")).join(told, "license")
     common = F.array_intersect("template", "own")
-    tried = met.select("doc_id", "start", "license", "template", shingles(F.col("words")).alias("own"))
-    tried = tried.select("doc_id", "license", (F.size(common) / F.size("template")).alias("containment"), (F.col("start") + F.array_min(F.transform(common, lambda s: F.array_position("own", s))) - 1).cast("long").alias("first_word"))
-    found = tried.where(F.col("containment") >= contained).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"))
-    best = F.max("containment").over(Window.partitionBy("doc_id", family(F.col("license"))))
-    return found.withColumn("best", best).where("containment = best").drop("best")
+    tried = met.select("doc_id", "row", "start", "license", "template", shingles(F.col("words")).alias("own"))
+    tried = tried.withColumn("back", F.reverse("own"))
+    early, late = F.transform(common, lambda s: F.array_position("own", s)), F.transform(common, lambda s: F.size("own") + 1 - F.array_position("back", s))
+    tried = tried.select("doc_id", "row", "start", "license", F.size("template").alias("size"), (F.size(common) / F.size("template")).alias("containment"), early.alias("early"), late.alias("late")).where(F.col("containment") >= contained)
+    closer = F.array_max("late") - F.array_min("late") < F.array_max("early") - F.array_min("early")
+    tried = tried.withColumn("places", F.when(closer, F.col("late")).otherwise(F.col("early")))
+    first, last = F.col("start") + F.array_min("places") - 1, F.col("start") + F.array_max("places") - 1 + WIDTH
+    found = tried.select("doc_id", "row", F.struct((2 * (last - first) > 3 * (F.col("size") + WIDTH - 1)).cast("int").alias("loose"), (-F.size("early")).alias("fewer"), (-F.col("containment")).alias("less"), (last - first).alias("length"), first.cast("long").alias("first"), last.cast("long").alias("last"), "license").alias("match"))
+    kept = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), _winners(F.array_sort(F.collect_list("match"))).alias("kept"))
+    kept = kept.select("doc_id", "row", F.explode("kept").alias("match"))
+    return kept.groupBy("doc_id", "row", "match.license").agg(F.max(-F.col("match.less")).alias("containment"), F.min("match.first").alias("first_word")).drop("row")
+
+
+def _winners(matches: Column) -> Column:
+    """Of matches in order, best first, those that don't lie on one that has been taken before; the loose ones come last, and touch none."""
+
+    def lies_on(x: Column, y: Column) -> Column:
+        common = F.least(x["last"], y["last"]) - F.greatest(x["first"], y["first"])
+        return F.when(y["loose"] == 1, common > 0).otherwise(3 * common > 2 * F.least(x["length"], y["length"]))
+
+    none = F.filter(matches, lambda m: F.lit(False))
+    return F.aggregate(matches, none, lambda taken, m: F.when(F.exists(taken, lambda t: lies_on(t, m)), taken).otherwise(F.array_append(taken, m)))

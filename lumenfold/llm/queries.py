@@ -77,10 +77,13 @@ sized AS (SELECT license, s, count(*) OVER (PARTITION BY license) AS n FROM own)
 read AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 placed AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM read)),
 met AS (SELECT doc_id, license, n, s, pos, unnest([pos // n, pos // n - 1]) AS win FROM placed JOIN sized USING (s)),
-held AS (SELECT doc_id, license, win, count(DISTINCT s) / any_value(n) AS containment, min(pos) AS first_word FROM met WHERE win >= 0 GROUP BY ALL),
-best AS (SELECT doc_id, license, max(containment) AS containment, min(first_word) AS first_word FROM held WHERE containment >= 0.8 GROUP BY 1, 2)
-SELECT doc_id, license, containment, first_word FROM best
-QUALIFY containment = max(containment) OVER (PARTITION BY doc_id, regexp_replace(license, '-[0-9].*$|-text$|-whole$', ''))
+spread AS (SELECT doc_id, license, win, any_value(n) AS n, count(*) AS common, count(*) / any_value(n) AS containment, max(late) - min(late) < max(early) - min(early) AS closer, min(early) AS early_first, max(early) AS early_last, min(late) AS late_first, max(late) AS late_last FROM (
+  SELECT doc_id, license, win, n, s, min(pos) AS early, max(pos) AS late FROM met WHERE win >= 0 GROUP BY ALL) GROUP BY 1, 2, 3),
+held AS (SELECT doc_id, license, win, n, common, containment, CASE WHEN closer THEN late_first ELSE early_first END AS first, CASE WHEN closer THEN late_last ELSE early_last END + 5 AS last FROM spread),
+listed AS (SELECT doc_id, list_transform(list_sort(list({'loose': (2 * (last - first) > 3 * (n + 4))::INT, 'fewer': -common, 'less': -containment, 'length': last - first, 'first': first, 'last': last, 'license': license})), lambda m: [m]) AS matches FROM held WHERE containment >= 0.8 GROUP BY 1),
+-- the best match first; each that lies on a better one by more than two thirds of the shorter goes
+kept AS (SELECT doc_id, unnest(list_reduce(matches, lambda taken, m: CASE WHEN len(list_filter(taken, lambda t: (least(t.last, m[1].last) - greatest(t.first, m[1].first)) * CASE WHEN m[1].loose = 1 THEN 1 ELSE 3 END > CASE WHEN m[1].loose = 1 THEN 0 ELSE 2 * least(t.length, m[1].length) END)) > 0 THEN taken ELSE list_concat(taken, m) END)) AS m FROM listed)
+SELECT doc_id, m.license AS license, max(-m.less) AS containment, min(m.first) AS first_word FROM kept GROUP BY ALL
 """ % ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
 
 

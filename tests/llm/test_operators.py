@@ -190,12 +190,58 @@ def test_licenses(spark):
     by_doc = {}
     for x in licenses.find_licenses(docs(spark, mixed)).collect():
         by_doc.setdefault(x.doc_id, set()).add(x.license)
-    assert by_doc == {0: {"GPL-2.0"}, 1: {"GPL-3.0"}, 2: {"GPL-2.0", "GPL-3.0"}, 3: {"GPL-2.0-header"}, 4: {"MIT-text", "MIT-whole"}}
+    assert by_doc == {0: {"GPL-2.0"}, 1: {"GPL-3.0"}, 2: {"GPL-2.0", "GPL-3.0"}, 3: {"GPL-2.0-header"}, 4: {"MIT-whole"}}
     assert licenses.find_licenses(docs(spark, mixed).limit(0)).count() == 0
     with pytest.raises(ValueError, match="five"):
         licenses.find_licenses(docs(spark, texts), {"short": "too short"})
 
 
+def found_licenses(spark, texts):
+    out = {k: set() for k in range(len(texts))}
+    for x in licenses.find_licenses(docs(spark, texts)).collect():
+        out[x.doc_id].add(x.license)
+    return out
+
+
+def test_each_notice_is_its_own_license(spark):
+    r = random.Random(17)
+    names = list(licenses.TEMPLATES)
+
+    def noise(n):
+        return " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+
+    texts = [f"{noise(r.randrange(60))} {licenses.TEMPLATES[n]} {noise(r.randrange(60))}" for n in names]
+    assert found_licenses(spark, texts) == {k: {n} for k, n in enumerate(names)}
+    gnu = licenses._GNU_HEADER
+    other = [gnu.format(what="This program", name="GNU Lesser General Public License", version="3"), gnu.format(what="Foo Tools", name="GNU General Public License", version="3"), gnu.format(what="This file", name="GNU Affero General Public License", version="3")]
+    assert found_licenses(spark, other) == {0: {"LGPL-3.0-header"}, 1: {"GPL-3.0-header"}, 2: {"AGPL-3.0-header"}}
+
+
+def test_licenses_of_one_family_in_one_text_all_stay(spark):
+    r = random.Random(18)
+    headers = [n for n in licenses.TEMPLATES if n.endswith("-header")]
+    texts, held = [], []
+    for k in range(60):
+        own, apart, parts = r.sample(headers, 3), k % 2, []
+        for n in own:
+            words = licenses.TEMPLATES[n].split()
+            if apart:  # one word near an end is another: containment stays over 0.9
+                words[r.choice([0, 1, len(words) - 1])] = "changed"
+            parts += [" ".join(words), " ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([100, 400] if apart else [60, 80])))]
+        texts.append(" ".join(parts))
+        held.append(set(own))
+    found = found_licenses(spark, texts)
+    assert {k: (found[k], own) for k, own in enumerate(held) if found[k] != own} == {}
+
+
+def test_licenses_of_null_and_repeated_ids(spark):
+    mit, isc = licenses.TEMPLATES["MIT-text"], licenses.TEMPLATES["ISC"]
+    rows = spark.createDataFrame([(1, mit), (1, isc), (1, mit), (None, isc), (None, None), (2, f"{isc} and {mit} and {isc}")], "doc_id long, text string").repartition(3)
+    found = sorted(map(tuple, licenses.find_licenses(rows).collect()), key=repr)
+    after = len(licenses.TEMPLATES["ISC"].split()) + 1
+    assert found == sorted([(1, "MIT-text", 1.0, 0), (1, "ISC", 1.0, 0), (1, "MIT-text", 1.0, 0), (None, "ISC", 1.0, 0), (2, "ISC", 1.0, 0), (2, "MIT-text", 1.0, after + 1)], key=repr)
+
+
 def test_licenses_are_retrieved_at_containment_080(spark, monkeypatch):
     r = random.Random(16)
     templates = {f"own{k}": " ".join(f"t{k}w{j}" for j in range(60 + 40 * k)) for k in range(4)} | {"short-1": "five words are one shingle"}
