@@ -23,9 +23,11 @@ FEW, LEVELS = 256, 14
 MARGIN = 1e-4
 
 
-def _cell(level: int) -> Column:
-    rows = F.least(F.lit((1 << level) - 1), F.floor((F.col("lat") + 90) / 180 * (1 << level)))
-    columns = F.pmod(F.floor((F.col("lon") + 180) / 360 * (1 << level)), F.lit(1 << level))
+def _cell(level: int, lat: Column | None = None, lon: Column | None = None) -> Column:
+    """The row and column of a place among the cells of a level, as one number."""
+    lat, lon = F.col("lat") if lat is None else lat, F.col("lon") if lon is None else lon
+    rows = F.least(F.lit((1 << level) - 1), F.floor((lat + 90) / 180 * (1 << level)))
+    columns = F.pmod(F.floor((lon + 180) / 360 * (1 << level)), F.lit(1 << level))
     return rows * (1 << level) + columns
 
 

@@ -288,6 +288,7 @@ CTES |= {
     "hash_reached": (("hash_links",), "SELECT library_id, p, p AS q FROM hash_cores UNION SELECT c.library_id, c.p, l.q FROM hash_reached c JOIN hash_links l ON l.library_id = c.library_id AND l.p = c.q"),
     "hash_clusters": (("hash_reached",), """SELECT r.library_id, r.p AS rep, min(c.cluster) AS cluster FROM hash_reach r
       JOIN (SELECT library_id, p, min(q) AS cluster FROM hash_reached GROUP BY ALL) c ON c.library_id = r.library_id AND c.p = r.q GROUP BY ALL"""),
+    "shops": ((), "SELECT s_suppkey AS ord, s_name AS name, 35.6::DOUBLE + (s_suppkey * 7919 % 1000) * 0.0005::DOUBLE AS lat, 139.4::DOUBLE + (s_suppkey * 104729 % 1009) * 0.0005::DOUBLE AS lon FROM supplier"),
     # what `exif_tags` writes into its files
     "tagged": (("ev",), """SELECT e AS event_id, CASE WHEN e % 31 = 0 THEN ms // 1000 * 1000 + 86400000 WHEN e % 13 = 0 THEN NULL WHEN e % 23 = 0 THEN epoch_ms(TIMESTAMP '2024-02-02 01:02:01') ELSE ms // 1000 * 1000 END AS taken_at,
       CASE WHEN e % 7 <> 0 THEN round((e * 7 % 90 + (e * 11 % 60) / 60.0::DOUBLE + ((e * 13 % 6000) / 100.0::DOUBLE) / 3600) * CASE WHEN e % 3 = 0 THEN -1 ELSE 1 END, 9) END AS lat,

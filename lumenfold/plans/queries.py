@@ -20,10 +20,12 @@ from lumenfold.operators.counts import pairs_within
 from lumenfold.operators.covers import best_cover, pick_covers
 from lumenfold.operators.home import infer_home
 from lumenfold.operators.metric import metric_clusters
+from lumenfold.operators.nearest import with_nearest_entry
 from lumenfold.plans import oracle
 from lumenfold.plans.albums import build_albums, plan_albums
 from lumenfold.sources.events import read_photos
 from lumenfold.sources.files import registered
+from lumenfold.sources.gazetteer import gazetteer_table
 from lumenfold.sources.images import scan_images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +103,24 @@ def nearest_gazetteer(spark, sf_dir):
     return rows.select("library_id", "id", F.col("near.name").alias("name"), F.round("near.meters", 3).alias("meters"))
 
 
+@query("photos", "gazetteer", sql=f"""SELECT library_id, id, best.name AS name, round(best.m, 3) AS meters FROM (SELECT library_id, id, arg_min(struct_pack(name := name, m := m), (m, ord)) AS best
+      FROM (SELECT p.library_id, p.id, g.name, g.ord, {oracle.haversine('p.lat', 'p.lon', 'g.lat', 'g.lon')} AS m FROM photos p, gazetteer g WHERE p.lat IS NOT NULL) GROUP BY 1, 2)""")
+def nearest_place(spark, sf_dir):
+    """As `nearest_gazetteer`, with the places as a table of any size."""
+    rows = with_nearest_entry(read_photos(spark, sf_dir).where("lat is not null").select("library_id", "id", "lat", "lon"), gazetteer_table(spark))
+    return rows.select("library_id", "id", F.col("near.name").alias("name"), F.round("near.meters", 3).alias("meters"))
+
+
+@query("photos", "shops", sql=f"""SELECT library_id, id, best.name AS name, round(best.m, 3) AS meters FROM (SELECT library_id, id, arg_min(struct_pack(name := name, m := m), (m, ord)) AS best
+      FROM (SELECT p.library_id, p.id, g.name, g.ord, {oracle.haversine('p.lat', 'p.lon', 'g.lat', 'g.lon')} AS m FROM photos p, shops g WHERE p.lat IS NOT NULL) GROUP BY 1, 2)""")
+def nearest_shop(spark, sf_dir):
+    """The nearest of as many places as there are suppliers, most of them around the same towns."""
+    k = F.col("s_suppkey").cast("long")
+    shops = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("ord"), F.col("s_name").alias("name"), (35.6 + k * 7919 % 1000 * 0.0005).alias("lat"), (139.4 + k * 104729 % 1009 * 0.0005).alias("lon"))
+    rows = with_nearest_entry(read_photos(spark, sf_dir).where("lat is not null").select("library_id", "id", "lat", "lon"), shops)
+    return rows.select("library_id", "id", F.col("near.name").alias("name"), F.round("near.meters", 3).alias("meters"))
+
+
 @query("spots", "near", sql="SELECT library_id, sum(weight * weight2)::BIGINT AS n_pairs FROM near GROUP BY 1")
 def haversine_pairs(spark, sf_dir):
     spots = read_photos(spark, sf_dir).where("lat is not null").groupBy("library_id", "lat", "lon").agg(F.count("*").alias("weight"))

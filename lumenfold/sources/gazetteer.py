@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 # Name, latitude, longitude. The order decides between equally near places.
 GAZETTEER = (
     ("札幌", 43.0618, 141.3545),
@@ -116,3 +118,8 @@ GAZETTEER = (
     ("福岡空港", 33.5859, 130.451),
     ("那覇空港", 26.1958, 127.646),
 )
+
+
+def gazetteer_table(spark: SparkSession) -> DataFrame:
+    """The places as a table (ord, name, lat, lon), as `lumenfold.operators.nearest` takes them; any larger one does as well."""
+    return spark.createDataFrame([(k, *row) for k, row in enumerate(GAZETTEER)], "ord int, name string, lat double, lon double")

@@ -2,6 +2,8 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 from photos import NAMES, SCHEMA, at, demo, frame, photo
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from lumenfold.operators.components import components, stars_of
 from lumenfold.operators.dedupe import dropped_drafts, folded_drafts, similar_pairs
 from lumenfold.operators.home import infer_home
 from lumenfold.operators.metric import metric_clusters, metric_pairs
+from lumenfold.operators.nearest import with_nearest_entry
 from lumenfold.options import AlbumOptions, TimelineOptions
 from lumenfold.plans import oracle
 from lumenfold.plans.albums import build_albums, plan_albums
@@ -341,6 +344,28 @@ def test_a_crowd_is_counted_with_few_pairs(spark):
     assert 0.3 * 80_000**2 < n < 0.8 * 80_000**2 and sum(made) < 0.05 * 40_000**2
 
 
+@pytest.mark.parametrize("n", [0, 1, 3000, 100_000])
+def test_nearest_entry_of_a_table_of_any_size(spark, n):
+    r = np.random.default_rng(13)
+    lat = np.where(np.arange(n) % 3 == 0, np.degrees(np.arcsin(r.uniform(-1, 1, n))), 35 + r.normal(0, 0.3, n))
+    lon = np.where(np.arange(n) % 3 == 0, r.uniform(-180, 180, n), 139 + r.normal(0, 0.3, n))
+    entries = [(k, f"e{k}", float(y), float(x)) for k, (y, x) in enumerate(zip(lat, lon))] + [(-1, "nowhere", None, 1.0)] + ([(n + 5, "twin", float(lat[0]), float(lon[0]))] if n else [])
+    asks = [(k, float(y), float(x)) for k, (y, x) in enumerate([(90, 0), (-90, 12), (0, 180), (0, -180), (35, 139), (89.99, -179.9), *zip(35 + r.normal(0, 0.5, 200), 139 + r.normal(0, 0.5, 200)), *zip(r.uniform(-90, 90, 100), r.uniform(-180, 180, 100))])]
+    asks += [(1000, float(lat[0]), float(lon[0]))] if n else []
+    rows = spark.createDataFrame([*asks, (1001, None, 3.0), (1002, 3.0, None)], "id long, lat double, lon double")
+    table = spark.createDataFrame(pd.DataFrame(entries, columns=["ord", "name", "lat", "lon"]).astype({"lat": float, "lon": float})).withColumn("lat", F.when(~F.isnan("lat"), F.col("lat")))
+    got = {x.id: x.near for x in with_nearest_entry(rows, table).collect()}
+    assert len(got) == len(asks) + 2 and got[1001] is None and got[1002] is None
+    if not n:
+        assert set(got.values()) == {None}
+        return
+    for id, y, x in asks:
+        s, t = np.sin(np.radians(lat - y) / 2), np.sin(np.radians(lon - x) / 2)
+        far = 2 * 6_371_000.0 * np.arcsin(np.minimum(1, np.sqrt(s * s + np.cos(np.radians(y)) * np.cos(np.radians(lat)) * t * t)))
+        assert abs(got[id].meters - far.min()) < 1e-6 and far[got[id].ord] <= far.min() + 1e-6
+    assert got[1000].ord == 0
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(900), r.randrange(900)) for _ in range(500)] + [(1000 + k, 1001 + k) for k in range(60)] + [(7, 7), (None, 5)]
