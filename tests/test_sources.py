@@ -13,7 +13,9 @@ from lumenfold.operators import timeline as tl
 from lumenfold.sources.events import wall_millis
 from lumenfold.sources import files
 from lumenfold.sources.images import read_images, scan_images, skipped
+from lumenfold.options import TimelineOptions
 from lumenfold.streaming.sessions import stream_sessions
+from lumenfold.streaming.trips import joined, stream_trips
 
 
 def png(rgb):
@@ -322,3 +324,38 @@ def test_streamed_sessions_equal_those_of_a_table(spark, tmp_path):
     assert {tuple(r) for r in spark.sql("select start, end, n from streamed").collect()} <= table
     batch = tl.sessions(frame(spark, rows)).groupBy("session_start").count().collect()
     assert {(s, n) for s, _, n in table} == {tuple(r) for r in batch}
+
+
+def test_streamed_trips_equal_those_of_a_table(spark, tmp_path):
+    r, rows, day = random.Random(14), [], 86_400_000
+    for library in range(4):
+        t = at(2024, 1, 1)
+        for _ in range(220):
+            t += int(r.choice([0, 60_000, 4 * 3_600_000, 4 * 3_600_000 + 1, 6 * 3_600_000, 18 * 3_600_000, 18 * 3_600_000 + 1, 0.9 * day, 2 * day]) * r.choice([1, 1, r.random()]))
+            rows.append((library, t, r.random() < 0.8, r.choice([None, 10.0, 20_000.0, 30_000.0, 30_001.0, 90_000.0]) if library else None))
+    schema = "library_id long, taken_at long, counted boolean, meters double"
+    options = TimelineOptions(trip_min_photos=6)
+    whole = {tuple(x) for x in stream_trips(spark.createDataFrame(rows, schema), options).collect()}
+    assert sum(x[-1] for x in whole) > 3 and len(whole) > 60
+    arriving = sorted(rows, key=lambda x: x[1] + r.uniform(0, 3 * day))  # up to three days out of order
+    step = len(arriving) // 9 + 1
+    parts = [arriving[k : k + step] for k in range(0, len(arriving), step)] + [[(99, max(x[1] for x in rows) + 30 * day, True, None)]]  # a last photo elsewhere moves the watermark on
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k:02d}"))
+    stream = stream_trips(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), options, "4 days")
+    query = stream.writeStream.format("memory").queryName("trips").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    got = [tuple(None if v != v else v for v in x) for x in spark.sql("select * from trips").collect()]
+    assert len(got) == len(set(got)) and set(got) == whole
+
+
+def test_sessions_merge_in_any_order():
+    r = random.Random(15)
+    photos = [[t, t, 1, 1, float(t % 7)] for t in (r.randrange(10**6) for _ in range(200))]
+    whole = joined(photos, 5000)
+    for _ in range(20):
+        r.shuffle(photos)
+        held = []
+        for k in range(0, 200, 17):
+            held = joined(held + photos[k : k + 17], 5000)
+        assert held == whole and sum(s[2] for s in held) == 200 and all(b[0] - a[1] > 5000 for a, b in zip(held, held[1:]))
