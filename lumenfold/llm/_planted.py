@@ -39,10 +39,25 @@ def _memorable(r: Random) -> str:
     return (r.choice(("", "-", "_")).join(parts)).translate({} if r.random() < 0.5 else str.maketrans("aeo", "430"))
 
 
+MARKS = "!@#$%&*?"
+#: Pieces of names in programs.
+PARTS = "get set is has make build read write parse load user item index node list map value page state event error request response client server factory manager handler provider service config option query cache table field format buffer".split()
+ELEMENTS = "C H O N Na Cl Ca Fe Mg Si Al K S P Br Cu Zn".split()
+
+
+def _marked(r: Random) -> str:
+    """A password with marks in it or at its end."""
+    parts = [r.choice(WORDS).capitalize(), _some(r, DIGITS, r.randint(1, 4)), _mixed(r, LOWER + DIGITS, 2, 4)]
+    parts.insert(r.randint(1, 3), r.choice(MARKS))
+    return "".join(parts) + r.choice(("", r.choice(MARKS)))
+
+
 def _value(r: Random) -> str:
-    kind = r.randrange(6)
+    kind = r.randrange(7)
     if kind == 0:
         return _memorable(r)
+    if kind == 6:
+        return _marked(r)
     if kind == 1:
         return _mixed(r, BASE64, 16, 44)
     if kind == 2:
@@ -59,7 +74,9 @@ def _service(r: Random) -> str:
 
 def secret(r: Random) -> tuple[str, str, str]:
     """(before, the secret itself, after)."""
-    form = r.randrange(7)
+    form = r.randrange(8)
+    if form == 7:
+        return f"{r.choice(WORDS)} {r.choice(('-p ', '-P ', '--pass ', '--pwd=', '--key ', '--auth=', '-a '))}", r.choice((_memorable(r), _marked(r), _mixed(r, ALNUM, 10, 30))), f" {r.choice(WORDS)}"
     if form <= 2:
         name, between = r.choice(NAMES), r.choice(SEPARATORS)
         name = r.choice((name, name, name.upper(), name.capitalize()))
@@ -76,6 +93,32 @@ def secret(r: Random) -> tuple[str, str, str]:
 def harmless(r: Random) -> str:
     """Something that looks a little like a secret, or stands beside words that go with secrets, and is none."""
     words, name = r.sample(WORDS, 4), r.choice((*NAMES, "password", "token", "secret", "api_key"))
+    parts = [x.capitalize() if r.random() < 0.9 else x.upper() for x in r.choices(PARTS + words, k=r.randint(3, 6))]
+    parts.insert(r.randint(1, len(parts)), r.choice(("", "", "V2", "2", "3D", "Utf8", "64", "X509", "Md5", str(r.randint(1, 99)))))
+    camel = "".join(parts)
+    camel = r.choice((camel, camel[0].lower() + camel[1:]))
+    call = f"{camel[:1].lower() + camel[1:]}({r.choice(words)},{_some(r, LOWER, 1)}{r.randint(0, 9)})"
+    if r.random() < 0.5:  # as often as in programs
+        return r.choice(
+            (
+                lambda: camel,
+                lambda: camel,
+                lambda: call,
+                lambda: f"{r.choice(PARTS)}.{camel}.{r.choice(PARTS)}{r.randint(1, 9)}",
+                lambda: f"new {camel}({words[0]})",
+                lambda: f"{r.choice(PARTS)}{camel}({r.choice(WORDS)}, {words[0]}{r.choice(PARTS).capitalize()}{r.randint(1, 9)}, {words[1]}{r.choice(PARTS).capitalize()}{r.randint(1, 9)}): {r.choice(PARTS)}",
+                lambda: f"{words[0]}{r.choice(PARTS).capitalize()}{r.randint(1, 9)}[{r.randint(0, 9)}] = {words[1]}{r.choice(PARTS).capitalize()}{r.randint(1, 9)};",
+                lambda: f"{r.choice(PARTS)}_{r.choice(PARTS)}{r.randint(1, 99)}_{r.choice(words)}",
+                lambda: f"data:{r.choice(('image', 'font', 'audio'))}/{r.choice(('png', 'gif', 'woff2', 'svg', 'wav'))};base64,{_some(r, BASE64, r.randint(40, 200))}{r.choice(('', '=', '=='))}",
+                lambda: f"{_some(r, UPPER, 2)}{_some(r, DIGITS, 2)}{_some(r, UPPER, 4)}{_some(r, DIGITS, r.randint(8, 16))}",
+                lambda: " ".join((_some(r, UPPER, 2) + _some(r, DIGITS, 2), *(_some(r, DIGITS, 4) for _ in range(4)))),
+                lambda: "".join(f"{r.choice(ELEMENTS)}{r.choice(('', '2', '3', '4', str(r.randint(5, 40))))}" for _ in range(r.randint(2, 8))) + r.choice(("", "", "(SO4)3", "[CO3]2")),
+                lambda: "-".join(_some(r, "0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+                lambda: f"{r.choice(WORDS)} {_some(r, '0123456789abcdef', r.randint(7, 12))}",
+                lambda: f"{_some(r, LOWER, 1)}.{_some(r, LOWER, 1)}={_some(r, LOWER, 1)}=>{_some(r, LOWER, 2)}({_some(r, LOWER, 1)}{r.randint(0, 99)},{_some(r, LOWER, 1)}{r.randint(0, 9)});",
+                lambda: f"{r.choice(PARTS)}{r.choice(PARTS).capitalize()}{_some(r, DIGITS, 2)}={r.choice(words)}{r.choice(PARTS).capitalize()}{r.randint(1, 99)}",
+            )
+        )()
     return r.choice(
         (
             lambda: words[0] + words[1].capitalize() + words[2].capitalize() + _some(r, DIGITS, r.randint(0, 3)),

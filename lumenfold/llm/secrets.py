@@ -2,18 +2,18 @@
 
 Texts are cut into tokens (runs of letters, digits and + / _ -; single marks), and each is tagged B (a secret
 begins), I (it goes on) or O (outside). A token's features are its shape (kind, length, character sets, changes of
-set, share of digits, first letters), the kinds of the tokens around it, the two words before it, and features of its
+set, share of digits and of vowels, first letters), the kinds of the tokens around it, the two words before it, and features of its
 file (share of digits, whether it has a key word). None of them depends on other texts.
 
 The field learns from windows of documents chosen by a hash of their id: `TRAIN_DOCS` on average and `TRAIN_WINDOWS`
 windows at most, whatever the size of the corpus. The fixed patterns label some; in part of these the key word is
 replaced, so that shape and other neighbours must do. Secrets of forms that no fixed pattern knows (short assignments,
-tokens of services, bearers, bare keys, passwords in urls) are planted into the others, and look-alikes (identifiers,
-slugs, dates, versions, emails, paths) as negatives; windows with unlabelled tokens that might be secrets aren't learned from. The weights maximise the conditional log-likelihood. The best
+tokens of services, bearers, bare keys, passwords in urls, after options, and with marks) are planted into the others, and look-alikes (identifiers,
+names and calls of programs, embedded data, account numbers, formulas, slugs, dates, versions, emails, paths) as negatives; windows with unlabelled tokens that might be secrets aren't learned from. The weights maximise the conditional log-likelihood. The best
 tags come from the Viterbi recursion. A token whose score for O leads by more than all transitions could win back is O
 on every best path, so the recursion runs only over the stretches between such tokens, with the same result.
 
-Spans are in code points, end exclusive. Spans of the fixed patterns always stay; spans found by the field are
+Spans of fewer than `SHORT` letters count only where something announces a value. A span is drawn out over parts that hang on it by single dots, as in tokens of three parts. Spans are in code points, end exclusive. Spans of the fixed patterns always stay; spans found by the field are
 added where they touch none of those.
 
 Nulls and edge cases: a null or empty text has no spans; texts are taken whole; repeated rows are scanned each on its
@@ -48,6 +48,9 @@ HINTS = (b"pwd", b"passphrase", b"bearer", b"credential", b"authorization", b"pr
 TRAIN_DOCS, TRAIN_WINDOWS, WINDOW, ROUNDS = 10_000, 3_000, 24, 60
 #: How much better than O the tags of a secret must be. The field was fitted on windows with many secrets; texts have few.
 CAUTION = 1.0
+#: Shorter spans must be announced (bytes); longer ones may stand alone.
+SHORT = 12
+ANNOUNCED = re.compile(rb"""(?:[:=>]|(?:^|\s)--?[a-z][a-z-]*|\b(?:is|bearer|use|with|to|key|auth|passcode|passphrase|cred\w*|\w*(?:token|secret|pass|pwd|passwd|password)))["'\s]*$""")
 #: Of one snippet, whatever its tokens are.
 MOST_CHARS = 2_000
 O, B, I = range(3)
@@ -60,6 +63,7 @@ _WORD = _LOWER | _UPPER | _DIGIT | _JOINT | (_CODE >= 128)
 #: 0 blank, 1 part of a word, 2 a mark
 _CLASS = np.where(_WORD, 1, np.where(_CODE > 32, 2, 0)).astype(np.int8)
 _SET = np.select([_LOWER | (_CODE >= 128), _UPPER, _DIGIT], [0, 1, 2], 3).astype(np.int8)
+_VOWEL = np.isin(_CODE, np.frombuffer(b"aeiouyAEIOUY", np.uint8))
 _FOLD = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 #: Kinds of tokens
@@ -68,7 +72,7 @@ N_KINDS = 12
 #: Buckets of words (0: none).
 BUCKETS = 512
 #: Number of values of each feature, and where each begins in the weights; the last weight is that of the void after a text.
-VALUES = (N_KINDS, 160, 12, 5, N_KINDS, N_KINDS, N_KINDS, N_KINDS, N_KINDS * N_KINDS, 8, 20, BUCKETS, BUCKETS, BUCKETS)
+VALUES = (N_KINDS, 160, 12, 5, N_KINDS, N_KINDS, N_KINDS, N_KINDS, N_KINDS * N_KINDS, 8, 20, BUCKETS, BUCKETS, BUCKETS, 36)
 BEGINS = np.concatenate(([0], np.cumsum(VALUES)))
 VOID = int(BEGINS[-1])
 _ODD, _EVEN_OUT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -138,7 +142,7 @@ class Tokens:
         """A row of feature indices (into the weights) for each token."""
         n = len(self.starts)
         length = self.ends - self.starts
-        lower, upper, digit, joint, hexa = map(self.count, (_LOWER | (_CODE >= 128), _UPPER, _DIGIT, _JOINT, _HEX))
+        lower, upper, digit, joint, hexa, vowels = map(self.count, (_LOWER | (_CODE >= 128), _UPPER, _DIGIT, _JOINT, _HEX, _VOWEL))
         sets = _SET[self.data]
         turn = np.concatenate(([0], np.cumsum(np.append(False, sets[1:] != sets[:-1]), dtype=np.int32))) if len(sets) else np.zeros(1, np.int32)
         turns = turn[self.ends] - turn[np.minimum(self.starts + 1, len(sets))]
@@ -173,6 +177,8 @@ class Tokens:
             lead,
             second,
             np.where(length >= 12, begin, 0),
+            # names are made of words: sets change seldom, and vowels are common
+            np.where(length >= 12, 1 + np.searchsorted((1.4, 1.7, 2.0, 2.4, 3.0, 4.5), length / (turns + 1), side="right") + 7 * np.searchsorted((0.12, 0.2, 0.28, 0.36), vowels / np.maximum(1, letters)), 0),
         )
         return np.stack([c + b for c, b in zip(columns, BEGINS)], axis=1).astype(np.int32) if n else np.zeros((0, len(VALUES)), np.int32)
 
@@ -184,6 +190,35 @@ class Tokens:
             out[a] = np.where(self.row[a] == self.row[b], kind[b], NONE)
         return out
 
+    def dotted(self, first: int, last: int) -> tuple[int, int]:
+        """The span of tokens with what hangs on it by single dots, part by part, if that could be a part of a token too (12 letters or more, of two sets)."""
+
+        def part(k: int) -> bool:
+            own = self.data[self.starts[k] : self.ends[k]]
+            return len(own) >= 12 and int(_LOWER[own].any()) + int(_UPPER[own].any()) + int(_DIGIT[own].any()) > 1
+
+        def joined(a: int, b: int) -> bool:
+            return 0 <= a and b < len(self.starts) and self.row[a] == self.row[b] and all(self.ends[k] == self.starts[k + 1] for k in range(a, b)) and self.data[self.starts[a + 1]] == 46
+
+        while joined(last, last + 2) and part(last) and part(last + 2):
+            last += 2
+        while joined(first - 2, first) and part(first) and part(first - 2):
+            first -= 2
+        return first, last
+
+    def trimmed(self, first: int, last: int) -> tuple[int, int]:
+        """Without marks at the edges, but for those that passwords end in."""
+        while first <= last and _CLASS[self.data[self.starts[first]]] == 2:
+            first += 1
+        while last > first and _CLASS[self.data[self.starts[last]]] == 2 and self.data[self.starts[last]] not in b"!@#$%&*?":
+            last -= 1
+        return first, last
+
+    def announced(self, k: int) -> bool:
+        """Whether something before a token says that a value comes: a colon, equals sign or arrow, an option, or a word for it."""
+        low = max(int(self.bounds[self.row[k]]), int(self.starts[k]) - 40)
+        return ANNOUNCED.search(self.folded[low : int(self.starts[k])]) is not None
+
     def base(self) -> list[tuple[int, int, int, int, int]]:
         """(row, kind, start, end, start of the secret itself) of each match of the fixed patterns, in bytes."""
         found = []
@@ -366,7 +401,13 @@ def scan(texts: pa.Array, model: tuple[np.ndarray, np.ndarray] | None) -> list[l
             while last + 1 < len(tags) and tags[last + 1] == I and tokens.row[last + 1] == tokens.row[at]:
                 last += 1
             if inside[at]:
-                found.append((int(tokens.row[at]), 3, int(tokens.starts[at]), int(tokens.ends[last]), int(tokens.starts[at])))
+                first, last = tokens.trimmed(at, last)
+                if first > last:
+                    continue
+                first, last = tokens.dotted(first, last)
+                if tokens.ends[last] - tokens.starts[first] < SHORT and not tokens.announced(first):
+                    continue
+                found.append((int(tokens.row[at]), 3, int(tokens.starts[first]), int(tokens.ends[last]), int(tokens.starts[first])))
     if not found:
         return [[] for _ in range(len(texts))]
     held = np.array(found, np.int64)
