@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import string
 import zlib
+from random import Random
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS, LENGTHS = 1 << 16, (3, 4, 5)
+#: Rows of the labelled table of each type of page.
+PER_SHAPE = 160
 
 # Words that show what a site is for, and words that sites of any kind have in their names.
 BLOCKED_WORDS = (
@@ -38,11 +41,32 @@ ALLOWED_WORDS = (
 COMMON_WORDS = "best my the online hub zone club top live city today world central direct plus first one home point house".split()
 
 
+SYLLABLES = "ba be bo ca co da de di do fa fi ga go ha he in ka ke la le li lo ma me mi mo na ne no pa pe po ra re ri ro sa se si so ta te ti to va ve wa".split()
+#: Shapes of urls by the type of their page, for names that say nothing: addresses that only pass a visitor on, farms of links, hosts made by
+#: number and files that wait for a click; and articles, manuals, shops, forums and pages by language. {a} to {d} are names, {n} and {m} numbers.
+BLOCKED_SHAPES = {
+    "redirect": ("http://{a}{n}.{b}.{t}/go/{h}/{n}", "https://r.{a}{b}.{t}/click.php", "http://{a}.{b}{m}.{t}/out/{h}/r.php", "https://trk.{a}.{t}/c/{h}/{m}/{n}"),
+    "farm": ("http://{a}-{b}-{c}-{d}.{t}/{b}-{c}-{d}-{a}-{n}.html", "http://{a}-{b}-{c}.{t}/{c}-{b}-{m}-{n}.htm", "https://www.{a}-{b}-{c}-{d}.{t}/"),
+    "numbers": ("http://{a}{n}{b}{m}.{t}/{m}/{n}/index{m}.php", "http://{n}{a}{m}.{t}/{n}.php", "https://x{n}{a}{m}.{t}/{m}{n}/"),
+    "trap": ("http://{a}{b}.{t}/{c}/setup_v{n}.exe", "http://dl{m}.{a}.{t}/{b}_{n}_full.zip", "https://get.{a}{n}.{t}/{b}.apk"),
+    "offer": ("https://{a}-{b}{n}.{t}/lp/{m}/?", "http://{a}{n}.{b}.{t}/promo{m}/win/{h}", "https://{a}.{t}/offer/{h}/claim{n}.php"),
+}
+ALLOWED_SHAPES = {
+    "article": ("https://www.{a}{b}.{u}/20{m}/0{k}/{c}-{d}-{a}", "https://{a}.{u}/news/{c}-{d}.html", "https://blog.{a}.{u}/{b}-{c}/"),
+    "manual": ("https://docs.{a}.{u}/{b}/{c}.html", "https://{a}{b}.{u}/docs/{c}/{d}", "https://wiki.{a}.{u}/wiki/{c}_{d}"),
+    "shop": ("https://www.{a}.{u}/products/{b}-{c}", "https://shop.{a}{b}.{u}/category/{c}/{d}/", "https://{a}.{u}/item/{n}"),
+    "forum": ("https://forum.{a}.{u}/thread/{n}", "https://www.{a}{b}.{u}/users/{c}/posts/{n}", "https://{a}.{u}/questions/{n}/{b}-{c}-{d}"),
+    "language": ("https://www.{a}{b}.{u}/{l}/{n}", "http://m.{a}.example.{u}/{l}/{n}.html", "https://{a}{b}.example.{u}/{l}/{n}/", "http://{a}-{b}.{u}/{l}/{n}"),
+}
+BLOCKED_ENDINGS, ALLOWED_ENDINGS = "xyz top click buzz win loan info com net".split(), "com org net info edu io co.uk de fr".split()
+
+
 def labelled(spark: SparkSession) -> DataFrame:
-    """The small labelled table: (url, label, held_out), label 1 for urls to block.
+    """The small labelled table: (url, label, kind, held_out), label 1 for urls to block.
 
-    Each site's name has a telling word, mostly with a common one before or after it, and stands in urls of several shapes.
-    `held_out` marks a fifth of the names, for measuring; the others are enough to learn the words from.
+    Rows of kind `words` have a telling word in the site's name, mostly with a common one before or after it, and stand in urls of several
+    shapes. The others are of a type of page (`BLOCKED_SHAPES`, `ALLOWED_SHAPES`), with names of syllables that tell nothing, so that
+    host and path must do. `held_out` marks a fifth of the names of `words`, and a fifth of the rows of the others, for measuring.
     """
     rows = []
     for label, words in ((1.0, BLOCKED_WORDS), (0.0, ALLOWED_WORDS)):
@@ -58,8 +82,19 @@ def labelled(spark: SparkSession) -> DataFrame:
                     f"https://m.{name}.example.{ending}/{language}/{number}/?ref={number % 9}",
                     f"http://www.{ending}-portal.org/{language}/{name}/{number}",
                 )
-                rows += [(url, label, zlib.crc32(name.encode()) % 5 == 0) for url in (shapes[j % 5], shapes[(j + 2) % 5], shapes[(j + 3) % 5])]
-    return spark.createDataFrame(rows, "url string, label double, held_out boolean").coalesce(1)
+                rows += [(url, label, "words", zlib.crc32(name.encode()) % 5 == 0) for url in (shapes[j % 5], shapes[(j + 2) % 5], shapes[(j + 3) % 5])]
+    r = Random(5)
+
+    def name() -> str:
+        return "".join(r.choice(SYLLABLES) for _ in range(r.randint(2, 4)))
+
+    for label, shapes in ((1.0, BLOCKED_SHAPES), (0.0, ALLOWED_SHAPES)):
+        for kind, forms in shapes.items():
+            for _ in range(PER_SHAPE):
+                parts = {x: name() for x in "abcd"} | {"n": r.randint(2, 99_999), "m": r.randint(10, 29), "k": r.randint(1, 9), "h": f"{r.getrandbits(40):x}", "l": r.choice(("en", "fr", "de", "es", "ja"))}
+                url = r.choice(forms).format(t=r.choice(BLOCKED_ENDINGS), u=r.choice(ALLOWED_ENDINGS), **parts)
+                rows.append((url, label, kind, zlib.crc32(url.encode()) % 5 == 0))
+    return spark.createDataFrame(rows, "url string, label double, kind string, held_out boolean").coalesce(1)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
