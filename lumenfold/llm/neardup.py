@@ -10,6 +10,10 @@
 4. In each posting list the collisions of two classes are counted over their whole signatures; pairs with
    `matches` or more count in the first list that they share. Long lists are cut into blocks, and each pair of
    blocks is a task of its own. Only the classes of such pairs are kept, not the pairs.
+   A list longer than a block first meets its leaders, `LEADERS` of its classes that a hash of the class gives, so that the lists of one
+   family mostly have the same. Classes that exact links join to a leader are of its component whatever else they are linked with.
+   Those of the leader with the most need not meet each other any more in this list: only what is left meets all of it. A
+   family of n near copies costs some n rows for each leader and list, instead of n^2 / `block`.
 5. The full shingle sets of those classes meet in their blocks, where intersections are counted exactly, and links
    with 100 * intersection >= `percent` * union are kept, as a spanning forest of each block (no component changes).
 6. Components of the links name the groups.
@@ -41,8 +45,8 @@ from lumenfold.llm._text import as_texts, slices, words
 from lumenfold.operators.components import components
 
 COORDINATES, MATCHES, PERCENT, WIDTH = 64, 40, 85, 5
-#: Classes in a block of a posting list.
-BLOCK = 512
+#: Classes in a block of a posting list, and leaders of longer lists.
+BLOCK, LEADERS = 512, 1
 _ODD = np.random.default_rng(7).integers(0, 2**63, 2 * 128, dtype=np.uint64) | np.uint64(1)
 
 
@@ -263,6 +267,70 @@ def _linked(percent: int):
     return run
 
 
+def _alike(matches: int, coordinates: int):
+    """Those rows (leader, rep, and both signatures) that agree in `matches` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                own, other = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, coordinates) for c in ("signature", "led_by"))
+                near = (own == other).sum(axis=1) >= matches
+                yield part.select(["leader", "rep"]).filter(pa.array(near))
+
+    return run
+
+
+def _led(percent: int):
+    """(a, b): the leader of each group and those that exact links within the group join to it."""
+    linked = _linked(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends in _groups(batches):
+            for start, stop in zip(ends, ends[1:]):
+                own = rows.slice(int(start), int(stop - start))
+                edges = [pair for found in linked(iter(own.to_batches())) for pair in zip(found.column("a").to_pylist(), found.column("b").to_pylist())]
+                leader, near = own.column("h")[0].as_py(), {}
+                for a, b in edges:
+                    near.setdefault(a, []).append(b)
+                    near.setdefault(b, []).append(a)
+                reached, due = {leader}, [leader]
+                while due:
+                    fresh = [x for x in near.get(due.pop(), ()) if x not in reached]
+                    reached.update(fresh)
+                    due += fresh
+                found = sorted(reached - {leader})
+                yield pa.RecordBatch.from_arrays([pa.array([leader] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _after_leaders(docs: DataFrame, classes: DataFrame, long: DataFrame, percent: int, coordinates: int, matches: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(links to leaders, rows to compare) of the long lists `long` (h, rep, mask): rows (h, i, j, block, rep, mask)."""
+    turns = [F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(k)), F.col("rep"))) for k in range(LEADERS)]
+    heads = shared_checkpoint(long.groupBy("h").agg(F.array_distinct(F.array(*turns)).alias("leaders")))
+    asks = long.select("h", "rep").join(heads, "h").select("rep", F.explode("leaders").alias("leader")).where("rep <> leader").distinct()
+    signed = classes.select("rep", "signature")
+    asks = asks.join(signed, "rep").join(signed.select(F.col("rep").alias("leader"), F.col("signature").alias("led_by")), "leader")
+    near = shared_checkpoint(asks.select("leader", "rep", "signature", "led_by").mapInArrow(_alike(matches, coordinates), "leader long, rep long"))
+    salts = near.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+    members = near.join(salts, "leader").select(F.col("leader").alias("h"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("i"), "rep", F.lit(1).alias("block"))
+    first = salts.select(F.col("leader").alias("h"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("i"), F.col("leader").alias("rep"), F.lit(0).alias("block"))
+    groups = members.unionByName(first).withColumn("j", F.col("i"))
+    full = _sets(docs, classes.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", "own"))
+    led = shared_checkpoint(_by_group(groups.select("h", "i", "j", "rep", "block").join(full, "rep")).mapInArrow(_led(percent), "a long, b long"))
+    inside = shared_checkpoint(heads.select("h", F.explode("leaders").alias("leader")).join(led.withColumnRenamed("a", "leader"), "leader").join(long.select("h", F.col("rep").alias("b")), ["h", "b"]))
+    # only those of one leader are known to be of one component: of that with the most
+    most = inside.groupBy("h", "leader").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
+    inside = inside.join(most, ["h", "leader"], "left_semi").select("h", F.col("b").alias("rep")).unionByName(most.select("h", F.col("leader").alias("rep")))
+    rows = shared_checkpoint(long.join(inside.distinct().withColumn("in_reach", F.lit(True)), ["h", "rep"], "left").withColumn("in_reach", F.col("in_reach").isNotNull()))
+    sizes = rows.groupBy("h").agg(F.ceil(F.count_if(~F.col("in_reach")) / block).cast("int").alias("rest"), F.ceil(F.count_if("in_reach") / block).cast("int").alias("done"))
+    placed = rows.join(sizes, "h").withColumn("block", F.when(F.col("in_reach"), F.col("rest") + F.pmod(F.xxhash64("rep", "h"), F.greatest("done", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep", "h"), F.greatest("rest", F.lit(1)))).cast("int"))
+    others = F.when(F.col("in_reach"), F.when(F.col("rest") > 0, F.sequence(F.lit(0), F.col("rest") - 1))).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("done") - 1))
+    paired = placed.withColumn("other", F.explode(others)).select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mask")
+    return led, paired
+
+
 def _by_group(rows: DataFrame) -> DataFrame:
     """Rows of a group (h, i, j) in one partition, side by side, its first block before its second."""
     return rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "block", "rep")
@@ -289,15 +357,21 @@ def near_duplicates(
     prefix = prefix.withColumn("mask", F.sum(F.expr("shiftleft(1L, cast(shiftright(h, 32) as int))")).over(Window.partitionBy("rep")))
     prefix = shared_checkpoint(prefix.select("h", "rep", "mask"))
     sizes = prefix.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    blocked = prefix.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("rep", "h"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other block of its list
-    paired = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "mask")
+    sizes = shared_checkpoint(sizes)
+    short = prefix.join(sizes.where("blocks = 1").select("h"), "h")
+    paired = short.select("h", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "rep", "mask")
+    led = None
+    if not sizes.where("blocks > 1").isEmpty():
+        long = prefix.join(sizes.where("blocks > 1").select("h"), "h")
+        led, rest = _after_leaders(docs, classes, shared_checkpoint(long), percent, coordinates, matches, block)
+        paired = paired.unionByName(rest)
     paired = paired.join(classes.select("rep", "signature"), "rep")
     meets = _by_group(paired).mapInArrow(_colliding(matches, coordinates), "h long, i int, j int, rep long, block int")
     meets = shared_checkpoint(meets)
 
     full = _sets(docs, classes.join(meets.select("rep").distinct(), "rep", "left_semi").select("rep", "own"))
     links = _by_group(meets.join(full, "rep")).mapInArrow(_linked(percent), "a long, b long")
+    links = links if led is None else links.unionByName(led)
     named = components(links)
     reps = classes.select("digest", "rep").join(named.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     found = signed.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -608,6 +608,11 @@ def test_url_model_on_words_and_types_of_pages_that_it_was_never_shown(spark):
     assert recall < 0.5  # a word that was never seen tells nothing
 
 
+def shingle_set(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     r = random.Random(8)
 
@@ -668,6 +673,39 @@ def test_large_families_of_near_copies_give_the_same_groups_in_small_blocks(spar
     assert rows == whole and Counter(rows.values()).most_common(1)[0][1] > 900
 
 
+def test_families_that_share_lists_give_the_same_groups_in_small_blocks(spark):
+    """Several families with passages in common, so that leaders stand for some of a list only, and chains between families."""
+    r = random.Random(19)
+    shared = [f"s{k}" for k in range(70)]
+    bases = [[f"b{f}w{k}" for k in range(60)] for f in range(5)]
+    texts = []
+    for k in range(900):
+        own = shared + list(bases[k % 5]) if k % 9 else shared + bases[k % 5][: k % 60] + bases[(k + 1) % 5][k % 60 :]
+        for at in r.sample(range(len(own)), r.choice([0, 0, 1, 2, 3])):
+            own[at] = f"n{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+    df = docs(spark, texts)
+    rows = {x.doc_id: x.component_id for x in neardup.near_duplicates(df, block=32, percent=80, matches=36).collect()}
+    whole = {x.doc_id: x.component_id for x in neardup.near_duplicates(df, block=4096, percent=80, matches=36).collect()}
+    assert rows == whole and len(set(rows.values())) > 1
+
+
+@pytest.mark.parametrize("n", [1500, 3000])
+def test_rows_of_a_large_family_are_linear(spark, monkeypatch, n):
+    r = random.Random(20)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(n):
+        own = list(base)
+        own[r.randrange(200)] = f"n{k}"
+        texts.append(" ".join(own))
+    seen, grouped = [], neardup._by_group
+    monkeypatch.setattr(neardup, "_by_group", lambda rows: seen.append(rows) or grouped(rows))
+    found = neardup.near_duplicates(docs(spark, texts))
+    assert {x.component_id for x in found.collect()} == {0}
+    assert sum(rows.count() for rows in seen) < 5 * n
+
+
 def brute_kept(texts, percent):
     """The smallest id of each group, from all pairs; documents without words are groups of their own."""
     sets, parent = list(map(shingle_set, texts)), list(range(len(texts)))
