@@ -10,41 +10,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.functions.scalar import EARTH_METERS, haversine
 from lumenfold.operators.places import near_pairs
+from lumenfold.operators.quarters import MARGIN, above, cell_of, nodes_of
 
 #: Pairs of cells with so many pairs of places meet place by place; so do all after `LEVELS` rounds, when cells are some centimeters wide.
 FEW, LEVELS = 256, 14
-#: More than distances can be off by rounding.
-MARGIN = 1e-4
-
-
-def _cell(level: int, lat: Column | None = None, lon: Column | None = None) -> Column:
-    """The row and column of a place among the cells of a level, as one number."""
-    lat, lon = F.col("lat") if lat is None else lat, F.col("lon") if lon is None else lon
-    rows = F.least(F.lit((1 << level) - 1), F.floor((lat + 90) / 180 * (1 << level)))
-    columns = F.pmod(F.floor((lon + 180) / 360 * (1 << level)), F.lit(1 << level))
-    return rows * (1 << level) + columns
-
-
-def _parent(cell: Column, level: int) -> Column:
-    """The cell of the level above."""
-    return F.shiftright(F.shiftright(cell, level), 1) * (1 << level - 1) + F.shiftright(cell.bitwiseAND(F.lit((1 << level) - 1)), 1)
-
-
-def _nodes(points: DataFrame, level: int) -> DataFrame:
-    """(library_id, cell, lat, lon, far, n, weight): the middle of each cell's places, and no less than how far they lie from it."""
-    ends = points.groupBy("library_id", _cell(level).alias("cell")).agg(
-        F.count("*").alias("n"), F.sum("weight").alias("weight"), *(f(c).alias(f"{name}_{c}") for c in ("lat", "lon") for name, f in (("low", F.min), ("high", F.max)))
-    )
-    middle = {c: (F.col(f"low_{c}") + F.col(f"high_{c}")) / 2 for c in ("lat", "lon")}
-    # along the parallel of the middle, and then along a meridian
-    far = EARTH_METERS * (F.radians((F.col("high_lat") - F.col("low_lat")) / 2) + F.cos(F.radians(middle["lat"])) * F.radians((F.col("high_lon") - F.col("low_lon")) / 2))
-    return ends.select("library_id", "cell", middle["lat"].alias("lat"), middle["lon"].alias("lon"), far.alias("far"), "n", "weight")
 
 
 def pairs_within(points: DataFrame, meters: float, made: list[int] | None = None) -> DataFrame:
@@ -54,7 +29,7 @@ def pairs_within(points: DataFrame, meters: float, made: list[int] | None = None
     """
     points = points.select("library_id", "lat", "lon", F.col("weight").cast("long").alias("weight"))
     level = max(1, math.floor(math.log2(180 * 111_195 / meters)))
-    nodes = shared_checkpoint(_nodes(points, level))
+    nodes = shared_checkpoint(nodes_of(points, level, "library_id"))
     widest = EARTH_METERS * 1.5 * math.pi / (1 << level)  # half a cell's height and width
     met = near_pairs(nodes.select("library_id", F.col("cell").alias("node"), "lat", "lon", "weight"), meters + 2 * widest + 1, "node").where("node <= node2")
     open_ = shared_checkpoint(met.select("library_id", F.col("node").alias("a"), F.col("node2").alias("b")))
@@ -71,7 +46,7 @@ def pairs_within(points: DataFrame, meters: float, made: list[int] | None = None
         twice = F.when(F.col("a") == F.col("b"), 1).otherwise(2)
         judged = shared_checkpoint(pairs.withColumn("state", state).where("state <> 'outside'").select("library_id", "a", "b", "state", F.when(F.col("state") == "inside", twice * F.col("weight_a") * F.col("weight_b")).alias("n_pairs")))
         sums.append(judged.where("state = 'inside'").select("library_id", "n_pairs"))
-        here = held.select("library_id", _cell(level).alias("a"), "lat", "lon", "weight")
+        here = held.select("library_id", cell_of(level).alias("a"), "lat", "lon", "weight")
         there = here.select("library_id", F.col("a").alias("b"), *(F.col(c).alias(f"{c}2") for c in ("lat", "lon", "weight")))
         one_by_one = judged.where("state = 'few'").select("library_id", "a", "b").join(here, ["library_id", "a"]).join(there, ["library_id", "b"])
         if made is not None:
@@ -82,10 +57,10 @@ def pairs_within(points: DataFrame, meters: float, made: list[int] | None = None
         if straddling.isEmpty():
             break
         cells = straddling.select("library_id", F.col("a").alias("cell")).unionByName(straddling.select("library_id", F.col("b").alias("cell"))).distinct()
-        held = shared_checkpoint(held.withColumn("cell", _cell(level)).join(cells, ["library_id", "cell"], "left_semi").drop("cell"))
+        held = shared_checkpoint(held.withColumn("cell", cell_of(level)).join(cells, ["library_id", "cell"], "left_semi").drop("cell"))
         level += 1
-        nodes = shared_checkpoint(_nodes(held, level))
-        quarters = nodes.select("library_id", "cell", _parent(F.col("cell"), level).alias("up"))
+        nodes = shared_checkpoint(nodes_of(held, level, "library_id"))
+        quarters = nodes.select("library_id", "cell", above(F.col("cell"), level).alias("up"))
         open_ = straddling
         for k in ("a", "b"):
             open_ = open_.join(quarters.select("library_id", F.col("up").alias(k), F.col("cell").alias(f"own_{k}")), ["library_id", k])

@@ -13,17 +13,12 @@ from pyspark.sql import functions as F
 
 from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.functions.scalar import EARTH_METERS, haversine
-from lumenfold.operators.counts import MARGIN, _cell
+from lumenfold.operators.quarters import MARGIN, above, cell_of
 
 #: Cells with so many candidates are done; so are all of the last level, some 600 m wide. Each round goes down `STEP` levels.
 FEW, LAST, STEP = 24, 16, 2
 
 
-def _up(cell: Column, level: int, by: int) -> Column:
-    """The cell that is `by` levels above."""
-    return F.shiftright(F.shiftright(cell, level), by) * (1 << level - by) + F.shiftright(cell.bitwiseAND(F.lit((1 << level) - 1)), by)
-
-
 def _reach(cell: Column, level: int) -> tuple[Column, Column, Column]:
     """The latitude and longitude of a cell's centre, and no less than how far its places are from it."""
     high, wide = 180 / (1 << level), 360 / (1 << level)
@@ -39,14 +34,14 @@ def with_nearest_entry(rows: DataFrame, entries: DataFrame, lat: str = "lat", lo
     held = entries.where("lat is not null and lon is not null").select("ord", "name", F.col("lat").alias("y"), F.col("lon").alias("x"))
     spot = F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.struct(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")))
     placed = rows.withColumn("__spot", spot)
-    cells = placed.where("__spot is not null").select("__spot.*").select(_cell(LAST).alias("deep")).distinct()
+    cells = placed.where("__spot is not null").select("__spot.*").select(cell_of(LAST).alias("deep")).distinct()
     alive = shared_checkpoint(cells.withColumn("cell", F.lit(0).cast("long")))
     wanted, done = held.withColumn("cell", F.lit(0).cast("long")), []
     for level in range(STEP, LAST + 1, STEP):
-        alive = alive.withColumns({"above": F.col("cell"), "cell": _up(F.col("deep"), LAST, LAST - level) if level < LAST else F.col("deep")})
+        alive = alive.withColumns({"parent": F.col("cell"), "cell": above(F.col("deep"), LAST, LAST - level) if level < LAST else F.col("deep")})
         y, x, reach = _reach(F.col("cell"), level)
         # entries of the cell above, for each of its parts in which rows are
-        met = alive.select("above", "cell").distinct().join(wanted.withColumnRenamed("cell", "above"), "above").withColumn("far", haversine(y, x, F.col("y"), F.col("x"))).drop("above")
+        met = alive.select("parent", "cell").distinct().join(wanted.withColumnRenamed("cell", "parent"), "parent").withColumn("far", haversine(y, x, F.col("y"), F.col("x"))).drop("parent")
         met = shared_checkpoint(met)
         nearest = met.groupBy("cell").agg(F.min("far").alias("least"))
         near = shared_checkpoint(met.join(nearest, "cell").where(F.col("far") <= F.col("least") + 2 * reach + MARGIN).drop("far", "least"))
@@ -68,4 +63,4 @@ def with_nearest_entry(rows: DataFrame, entries: DataFrame, lat: str = "lat", lo
 
 
 def _deep(spot: Column) -> Column:
-    return F.element_at(F.transform(F.array(spot), lambda s: _cell(LAST, s["lat"], s["lon"])), 1)
+    return F.element_at(F.transform(F.array(spot), lambda s: cell_of(LAST, s["lat"], s["lon"])), 1)

@@ -3,8 +3,9 @@
 Photos at one spot are one weighted point. `dbscan` works with any distance: `pairs` finds all pairs in reach. `near_clusters`
 gives the same result for places on the globe without most of these pairs. Its grid has cells whose points are all within the
 radius of each other, so a cell with enough weight holds cores of one cluster only and is one node. Such nodes are
-linked by a few points of theirs; only where these lie too far apart, and nothing else links the nodes, do their
-points meet. Points of the other cells, which are few in any place, meet all points around them.
+linked by a few points of theirs; only where these lie too far apart, and nothing else links the nodes, are their
+points looked at, by parts of parts as far as bounds leave it open. Points of the other cells, which are few in any place, meet
+all points around them.
 
 Cores in reach of each other are one cluster; other points go to the cluster, of those in reach, whose first core comes first.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.functions.scalar import haversine
 from lumenfold.operators.components import components
+from lumenfold.operators.quarters import MARGIN, above, cell_of, nodes_of
 from lumenfold.options import PlacesOptions
 from lumenfold.sources.gazetteer import GAZETTEER
 
@@ -107,9 +109,8 @@ def near_clusters(points: DataFrame, meters: float, min_points: int, key: str =
         doubt = doubt.withColumn("head", F.col(f"{mark}.head")).join(owner.withColumnRenamed("cluster", "c"), ["library_id", "head"], "left").withColumn(f"c{k}", F.coalesce("c", "head")).drop("c", "head")
     doubt = shared_checkpoint(doubt.where(F.col("c1") != F.col("c2")).select("library_id", "mark", "mark2"))
     if not doubt.isEmpty():
-        own = placed.where("head is not null").select("library_id", F.struct("head", "quarter").alias("mark"), "lat", "lon")
-        two = own.select("library_id", F.col("mark").alias("mark2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-        close = doubt.join(own, ["library_id", "mark"]).join(two, ["library_id", "mark2"]).where(haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= meters)
+        own = placed.where("head is not null").select("library_id", F.struct("head", "quarter").alias("mark"), "lat", "lon", "weight")
+        close = touching(doubt, own, meters)
         named = _components(links.unionByName(close.select("library_id", F.col("mark.head").alias("a"), F.col("mark2.head").alias("b")).distinct()))
     owner = named.withColumnRenamed("cluster", "c")
     inside = placed.where("head is not null").select("library_id", "point", F.col("head").alias("node"))
@@ -119,6 +120,46 @@ def near_clusters(points: DataFrame, meters: float, min_points: int, key: str =
     return found.groupBy("library_id", F.col("point").alias(key)).agg(F.min(F.coalesce("c", "node")).alias("cluster"))
 
 
+def touching(pairs: DataFrame, points: DataFrame, meters: float, made: list[int] | None = None) -> DataFrame:
+    """Those of `pairs` (library_id, mark, mark2) of groups of `points` (library_id, mark, lat, lon, weight) with two points in reach.
+
+    Parts of the groups meet first: parts wholly in reach settle a pair, parts wholly out of reach are done with, parts of few points meet
+    point by point, and the rest is cut finer. `made` gets how many parts and points met in each round.
+    """
+    level = max(1, math.ceil(math.log2(16 * 180 * DEGREE_METERS / meters)))
+    open_, found, ends = pairs.select("library_id", "mark", "mark2"), [], None
+    for left in range(6, -1, -1):
+        marks = open_.select("library_id", "mark").unionByName(open_.select("library_id", F.col("mark2").alias("mark"))).distinct()
+        parts = shared_checkpoint(nodes_of(points.join(marks, ["library_id", "mark"], "left_semi"), level, "library_id", "mark"))
+        own, other = (parts.select("library_id", F.col("mark").alias(f"mark{x}"), *(F.col(c).alias(f"{c}{x or 1}") for c in ("cell", "lat", "lon", "far", "n"))) for x in ("", "2"))
+        met = open_ if ends is None else ends.withColumnsRenamed({"cell1": "up1", "cell2": "up2"})
+        met = met.join(own.withColumn("up1", above(F.col("cell1"), level, 2)), ["library_id", "mark"] + ([] if ends is None else ["up1"]))
+        met = met.join(other.withColumn("up2", above(F.col("cell2"), level, 2)), ["library_id", "mark2"] + ([] if ends is None else ["up2"]))
+        apart, room = haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), F.col("far1") + F.col("far2")
+        state = F.when(apart + room <= meters - MARGIN, "inside").when(apart - room > meters + MARGIN, "outside").when((F.col("n1") * F.col("n2") <= 256) | F.lit(left == 0), "few").otherwise("open")
+        judged = shared_checkpoint(met.withColumn("state", state).where("state <> 'outside'").select("library_id", "mark", "mark2", "cell1", "cell2", "state"))
+        if made is not None:
+            made.append(met.count())
+        settled = judged.where("state = 'inside'").select("library_id", "mark", "mark2").distinct()
+        few = judged.where("state = 'few'").join(settled, ["library_id", "mark", "mark2"], "left_anti")
+        placed = points.withColumn("cell", cell_of(level))
+        one, two = (placed.select("library_id", F.col("mark").alias(f"mark{x}"), F.col("cell").alias(f"cell{x or 1}"), F.col("lat").alias(f"lat{x or 1}"), F.col("lon").alias(f"lon{x or 1}")) for x in ("", "2"))
+        by_point = few.join(one, ["library_id", "mark", "cell1"]).join(two, ["library_id", "mark2", "cell2"])
+        if made is not None:
+            made.append(by_point.count())
+        by_point = by_point.where(haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= meters).select("library_id", "mark", "mark2")
+        settled = shared_checkpoint(settled.unionByName(by_point).distinct())
+        found.append(settled)
+        ends = shared_checkpoint(judged.where("state = 'open'").join(settled, ["library_id", "mark", "mark2"], "left_anti").drop("state"))
+        if ends.isEmpty():
+            break
+        open_, level = ends.select("library_id", "mark", "mark2").distinct(), level + 2
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
 def _components(links: DataFrame) -> DataFrame:
     """(library_id, node, cluster) from links (library_id, a, b)."""
     named = components(links.select(*(F.struct("library_id", F.col(k).alias("point")).alias(k) for k in ("a", "b"))))

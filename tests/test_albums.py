@@ -303,6 +303,18 @@ def test_near_clusters_equal_dbscan_of_all_pairs(spark):
         assert {tuple(x) for x in places.near_clusters(df, meters, least).select("library_id", "point", "cluster").collect()} == whole and len({c[::2] for c in whole}) > 5
 
 
+def test_crowds_side_by_side_are_told_apart_by_few_pairs(spark):
+    def crowd(mark, lat, lon, step):
+        return spark.range(22_500).select(F.lit(1).alias("library_id"), F.lit(mark).alias("mark"), (lat + F.col("id") % 150 * step).alias("lat"), (lon + F.floor(F.col("id") / 150) * step).alias("lon"), F.lit(1).alias("weight"))
+
+    step, east = 1e-5, 0.0015 + 500 / (111_194.9 * math.cos(math.radians(35.0)))
+    points = crowd("a", 35.0, 139.0, step).unionByName(crowd("b", 35.0, 139.0 + east - 2e-5, step)).unionByName(crowd("c", 35.0, 139.0 - east - 3e-5, step)).unionByName(crowd("d", 35.001, 139.0005, step))
+    pairs = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (1, "a", "d"), (1, "b", "c")], "library_id int, mark string, mark2 string")
+    made = []
+    assert {(x.mark, x.mark2) for x in places.touching(pairs, points, 500.0, made).collect()} == {("a", "b"), ("a", "d")}
+    assert sum(made) < 0.02 * 2 * 22_500**2
+
+
 def test_a_crowded_place_makes_few_pairs(spark):
     df = spark.range(20_000).select(F.lit(1).alias("library_id"), F.col("id").alias("point"), (35 + F.col("id") % 200 * 1e-6).alias("lat"), (139 + F.floor(F.col("id") / 200) * 1e-6).alias("lon"), F.lit(1).alias("weight"))
     assert {r.cluster for r in places.near_clusters(df, 500.0, 3).select("cluster").distinct().collect()} == {0}

@@ -1,7 +1,10 @@
 import math
 import random
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 from photos import SCHEMA, at, frame, photo
@@ -359,3 +362,9 @@ def test_sessions_merge_in_any_order():
         for k in range(0, 200, 17):
             held = joined(held + photos[k : k + 17], 5000)
         assert held == whole and sum(s[2] for s in held) == 200 and all(b[0] - a[1] > 5000 for a, b in zip(held, held[1:]))
+
+
+def test_the_entry_can_be_imported_without_a_session():
+    root = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 30)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip().endswith("True"), said.stderr[-500:]
