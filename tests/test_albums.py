@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
-from photos import NAMES, SCHEMA, at, demo, frame, photo
+from photos import NAMES, SCHEMA, at, demo, demo_photos, frame, photo
 from pyspark.sql import functions as F
 
 from lumenfold.functions import naming, scalar
@@ -55,6 +55,11 @@ def test_albums_equal_a_slow_computation(built):
     assert sorted((m.library_id, m.album_id, m.id, m.shown, m.turn) for m in members) == expected(rows, "SELECT library_id, album_id, id, shown, turn FROM album_photos ORDER BY 1, 2, 3")
 
 
+def test_demo_table(spark):
+    rows = demo_photos(spark)
+    assert rows.columns == NAMES and rows.count() == len(demo()) == rows.select("id").distinct().count() > 150
+
+
 def test_albums_of_the_demo(built):
     found = [(a.kind, a.title, a.n) for a in built[1] if a.library_id == 1]
     assert {k for k, _, _ in found} == set(scalar.KINDS)
