@@ -47,6 +47,8 @@ from lumenfold.operators.components import components
 COORDINATES, MATCHES, PERCENT, WIDTH = 64, 40, 85, 5
 #: Classes in a block of a posting list, and leaders of longer lists.
 BLOCK, LEADERS = 512, 1
+#: Ids of texts that are broadcast at most.
+SENT = 300_000
 _ODD = np.random.default_rng(7).integers(0, 2**63, 2 * 128, dtype=np.uint64) | np.uint64(1)
 
 
@@ -122,8 +124,13 @@ def _signed(docs: DataFrame, coordinates: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, shingles) of `reps` (rep, own): whole sets, from the texts that the signatures are of."""
-    wanted = docs.join(reps.select(F.col("rep").alias("doc_id"), "own"), ["doc_id", "own"], "left_semi").dropDuplicates(["doc_id"])
+    """(rep, shingles) of `reps` (rep, own): whole sets, from the texts that the signatures are of.
+
+    Up to `SENT` ids and digests are sent to all tasks (some 80 bytes each), so that no other text moves; more are joined.
+    """
+    keys = shared_checkpoint(reps.select(F.col("rep").alias("doc_id"), "own"))
+    keys = F.broadcast(keys) if keys.count() <= SENT else keys
+    wanted = docs.join(keys, ["doc_id", "own"], "left_semi").dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
