@@ -53,7 +53,8 @@ def dup_edges(photos: DataFrame, options: BurstOptions = BurstOptions()) -> Data
     stars = rows.join(hashes, ["library_id", "bits"]).where("id <> rep").select("library_id", F.col("rep").alias("a"), F.col("id").alias("b"))
     cut = hashes.withColumn("band", F.explode(_bands(F.col("bits"), options.dup_hamming + 2))).select("library_id", "bits", "rep", "band.pair", "band.value")
     left, right = cut, cut.select("library_id", "pair", "value", F.col("bits").alias("bits2"), F.col("rep").alias("rep2"))
-    near = left.join(right, ["library_id", "pair", "value"]).where((F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= options.dup_hamming))
+    # the sizes that the optimizer guesses don't know of the explode: without a hint, 21 rows for each hash can be sent to the driver
+    near = left.join(right.hint("merge"), ["library_id", "pair", "value"]).where((F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= options.dup_hamming))
     return stars.unionByName(near.select("library_id", F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -445,3 +446,9 @@ def test_holidays(spark, day, name):
 def test_one_decimal_rounds_the_exact_value(spark):
     rows = spark.createDataFrame([(0.35,), (0.25,), (1.2,), (None,)], "x double").select(naming.one_decimal("x").alias("y")).collect()
     assert [r.y for r in rows] == ["0.3", "0.3", "1.2", None]
+
+
+def test_pieces_of_hashes_are_not_sent_to_the_driver(spark):
+    links = bursts.dup_edges(frame(spark, [photo("a"), photo("b")]))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[library_id#\d+L?, pair#\d+, value#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[library_id#\d+L?, pair", plan)
