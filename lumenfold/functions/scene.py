@@ -19,13 +19,12 @@ Rules = Callable[[Column], list[tuple[str, Column]]]
 def warm_hue(top_hex: Column) -> Column:
     """Whether the hue of the main colour is 330 to 360 or 0 to 45; false without one.
 
-    Only hues beside red are worked out, so that the condition stays small wherever the optimizer copies it to.
+    In whole numbers, as 45 and 330 are told exactly. Only hues beside red are worked out, so that the condition stays small wherever the
+    optimizer copies it to.
     """
-    r, g, b = (hex_channel(top_hex, at) / 255 for at in range(3))
-    reddish, toward_yellow = (r >= g) & (r >= b), g >= b
-    yellow, purple = F.try_divide(g - b, r - b) * 60 <= 45, F.try_divide(g - b, r - g) * 60 + 360 >= 330
-    grey = (r == g) & (g == b)
-    return F.coalesce(grey | reddish & F.when(toward_yellow, yellow).otherwise(purple), F.lit(False))
+    r, g, b = (hex_channel(top_hex, at) for at in range(3))
+    yellow, purple = (g - b) * 4 <= (r - b) * 3, (b - g) * 2 <= r - g
+    return F.coalesce((r >= g) & (r >= b) & F.when(g >= b, yellow).otherwise(purple), F.lit(False))
 
 
 def rules(warm: Column) -> list[tuple[str, Column]]:

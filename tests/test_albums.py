@@ -10,7 +10,7 @@ from photos import NAMES, SCHEMA, at, demo, demo_photos, frame, photo
 from pyspark.sql import functions as F
 
 from lumenfold.functions import naming, scalar
-from lumenfold.functions.scene import classify
+from lumenfold.functions.scene import classify, warm_hue
 from lumenfold.operators import bursts, counts, places
 from lumenfold.operators import components as components_module
 from lumenfold.operators import timeline as tl
@@ -452,3 +452,11 @@ def test_pieces_of_hashes_are_not_sent_to_the_driver(spark):
     links = bursts.dup_edges(frame(spark, [photo("a"), photo("b")]))
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[library_id#\d+L?, pair#\d+, value#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[library_id#\d+L?, pair", plan)
+
+
+def test_hues_at_the_edges_are_told_exactly(spark):
+    yellow = [(r, b + 3 * (r - b) // 4, b) for r in range(0, 256, 3) for b in range(0, r, 5) if (r - b) % 4 == 0]
+    purple = [(r, g, g + (r - g) // 2) for r in range(0, 256, 3) for g in range(0, r, 5) if (r - g) % 2 == 0]
+    rows = [("#%02x%02x%02x" % x, True) for x in yellow + purple] + [("#%02x%02x%02x" % x, False) for x in [(r, g + 1, b) for r, g, b in yellow] + [(r, g, b + 1) for r, g, b in purple]]
+    told = spark.createDataFrame(rows, "top_hex string, warm boolean").withColumn("found", warm_hue(F.col("top_hex")))
+    assert told.where("found <> warm").collect() == []
