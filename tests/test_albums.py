@@ -448,8 +448,9 @@ def test_one_decimal_rounds_the_exact_value(spark):
     assert [r.y for r in rows] == ["0.3", "0.3", "1.2", None]
 
 
-def test_pieces_of_hashes_are_not_sent_to_the_driver(spark):
-    links = bursts.dup_edges(frame(spark, [photo("a"), photo("b")]))
+def test_pieces_of_hashes_are_not_sent_to_the_driver(spark, tmp_path):
+    frame(spark, [photo("a"), photo("b")]).write.parquet(f"{tmp_path}/photos")
+    links = bursts.dup_edges(spark.read.parquet(f"{tmp_path}/photos"))
     plan = links._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[library_id#\d+L?, pair#\d+, value#\d+L?\]", plan) and not re.search(r"BroadcastHashJoin \[library_id#\d+L?, pair", plan)
 
