@@ -298,40 +298,41 @@ def image_source(spark, sf_dir):
     registered(spark)
     files.write.format("photo_files").option("path", folder).mode("append").save()
     names = "contrast luma_variance warmth saturation blue_top_ratio green_ratio edge_density".split()
-    return scan_images(spark, folder).select(
+    return scan_images(spark, folder, colors=False).select(
         "name", "decoded", "width", "height", "aspect", "taken_at_source", (F.col("bytes_read") == F.col("size_bytes")).alias("whole"), "camera_make", F.round(F.col("brightness") + 1e-9, 6).alias("brightness"),
         *(F.round(n, 6).alias(n) for n in names), F.round("colorfulness", 4).alias("colorfulness"),
     )
 
 
 def _raster_bytes(spark, sf_dir):
-    """A raster for each part, whose pixels are digests of its key."""
+    """A raster for each part, whose pixels are digests of its key: 97 of them, again and again."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
-    bytes_of = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda i: F.md5(F.concat_ws(":", F.col("p_partkey").cast("string"), (i % 97).cast("string")).cast("binary"))), ""))
-    return part.repartition(spark.sparkContext.defaultParallelism, "p_partkey").select("p_partkey", bytes_of.alias("rgba"))  # a small file is one task, and features take time
+    digests = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(97)), lambda i: F.md5(F.concat_ws(":", F.col("p_partkey").cast("string"), (i % 97).cast("string")).cast("binary"))), "")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return part.repartition(parts, "p_partkey").select("p_partkey", F.unhex(F.substring(F.repeat(digests, 11), 1, 1024 * 32)).alias("rgba"))  # a small file is one task, and features take time
 
 
-def _rasters(spark, sf_dir):
-    """The rasters' features `px`."""
-    return _raster_bytes(spark, sf_dir).select("p_partkey", pixels.pixel_features("rgba", F.lit(64), F.lit(64), F.col("p_partkey").cast("long")).alias("px"))
+def _rasters(spark, sf_dir, *names):
+    """Features `px` of the rasters."""
+    return _raster_bytes(spark, sf_dir).select("p_partkey", pixels.features_udf(*names)("rgba", F.lit(64), F.lit(64), F.col("p_partkey").cast("long")).alias("px"))
 
 
 @query()
 def pixel_stats(spark, sf_dir):
     """Hashes and the main colour, which come of a transform and of seeded clusters; in the tests beside slow versions of both."""
-    return _rasters(spark, sf_dir).select("p_partkey", "px.phash", "px.ahash", F.get("px.top_hexes", F.lit(0)).alias("top_hex"), F.round(F.get("px.top_weights", F.lit(0)), 6).alias("top_weight"))
+    return _rasters(spark, sf_dir, "phash", "ahash", "top_hexes", "top_weights").select("p_partkey", "px.phash", "px.ahash", F.get("px.top_hexes", F.lit(0)).alias("top_hex"), F.round(F.get("px.top_weights", F.lit(0)), 6).alias("top_weight"))
 
 
 @query("cosines", "pixel_hashes", sql="SELECT * FROM pixel_hashes")
 def pixel_hashes(spark, sf_dir):
-    return _rasters(spark, sf_dir).select("p_partkey", "px.phash")
+    return _rasters(spark, sf_dir, "phash").select("p_partkey", "px.phash")
 
 
 @query("pixel_means", sql="SELECT * FROM pixel_means")
 def pixel_means(spark, sf_dir):
     names = "contrast luma_variance warmth highlights saturation blue_top_ratio green_ratio edge_density".split()
     # means of whole numbers can lie on a rounding edge, and engines add them up in other orders
-    return _rasters(spark, sf_dir).select("p_partkey", F.round(F.col("px.brightness") + 1e-9, 6).alias("brightness"), *(F.round(f"px.{n}", 6).alias(n) for n in names), F.round("px.colorfulness", 4).alias("colorfulness"), "px.ahash")
+    return _rasters(spark, sf_dir, "brightness", "colorfulness", "ahash", *names).select("p_partkey", F.round(F.col("px.brightness") + 1e-9, 6).alias("brightness"), *(F.round(f"px.{n}", 6).alias(n) for n in names), F.round("px.colorfulness", 4).alias("colorfulness"), "px.ahash")
 
 
 @query(

@@ -75,6 +75,8 @@ def dealt(files: list[tuple[str, int, int]], whole: bool, parts: int) -> list[Fi
 def squashed(grid: np.ndarray) -> bytes:
     """64 x 64 RGBA by means of boxes; grey is spread over the colours."""
     rgb = grid if grid.shape[2] == 3 else np.repeat(grid, 3, axis=2)
+    if rgb.shape[:2] == (SIDE, SIDE) and rgb.dtype == np.uint8:
+        return np.dstack([rgb, np.full((SIDE, SIDE, 1), 255, np.uint8)]).tobytes()
     small = np.floor(pixels.box_resample(rgb, SIDE, SIDE) + 0.5).astype(np.uint8)
     return np.dstack([small, np.full((SIDE, SIDE, 1), 255, np.uint8)]).tobytes()
 

@@ -368,3 +368,21 @@ def test_the_entry_can_be_imported_without_a_session():
     root = Path(__file__).resolve().parent.parent
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 30)"], cwd=root, capture_output=True, text=True, timeout=120)
     assert said.stdout.strip().endswith("True"), said.stderr[-500:]
+
+
+def test_only_what_is_asked_for_is_measured(spark, monkeypatch):
+    stack = np.random.default_rng(3).integers(0, 256, (5, 64, 64, 3)).astype(np.uint8)
+    whole = pixels.features(stack, list(range(5)))
+    monkeypatch.setattr(pixels, "main_colors", lambda *_: 1 / 0)
+    assert list(pixels.features(stack, list(range(5)), ("phash",))["phash"]) == list(whole["phash"])
+    names = ("brightness", "colorfulness", "edge_density")
+    own = pixels.features(stack, list(range(5)), names)
+    assert all((own[k] == whole[k]).all() for k in names)
+
+
+def test_pixels_of_one_color_are_one_point():
+    stack = np.repeat(np.random.default_rng(4).integers(0, 256, (3, 8, 8, 3)), 8, axis=1).repeat(8, axis=2).astype(np.uint8)
+    other = np.random.default_rng(5).integers(0, 256, (1, 64, 64, 3)).astype(np.uint8)
+    together = pixels.main_colors(np.concatenate([stack, other]), [1, 2, 3, 4])
+    alone = [pixels.main_colors(x[None], [k]) for k, x in enumerate([*stack, *other], 1)]
+    assert together == ([x[0][0] for x in alone], [x[1][0] for x in alone])
