@@ -15,8 +15,9 @@ from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.functions.scalar import EARTH_METERS, haversine
 from lumenfold.operators.quarters import MARGIN, above, cell_of
 
-#: Cells with so many candidates are done; so are all of the last level, some 600 m wide. Each round goes down `STEP` levels.
-FEW, LAST, STEP = 24, 16, 2
+#: Cells with so many candidates are done; so are all of the last level, some 10 m wide, so that lists stay short where entries are dense. Each
+#: round goes down `STEP` levels, only where lists are still long.
+FEW, LAST, STEP = 24, 22, 2
 
 
 def _reach(cell: Column, level: int) -> tuple[Column, Column, Column]:

@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,7 +180,7 @@ def place_members(photos: DataFrame, options: PlacesOptions = PlacesOptions()) -
 def with_nearest(rows: DataFrame, lat: str, lon: str, name: str = "near") -> DataFrame:
     """`rows` with a struct (meters, ord, name) of the nearest entry of the gazetteer, a constant of fixed size; the first of equals.
 
-    The nearest entry is that with the largest inner product of unit vectors, all in generated code; its distance is exact.
+    The nearest entry is that with the largest inner product of unit vectors; its distance is exact.
     """
 
     def unit(y: Column, x: Column) -> list[Column]:
@@ -190,8 +192,14 @@ def with_nearest(rows: DataFrame, lat: str, lon: str, name: str = "near") -> Dat
     for _, y, x in GAZETTEER:
         y, x = math.radians(y), math.radians(x)
         fixed.append((math.cos(y) * math.cos(x), math.cos(y) * math.sin(x), math.sin(y)))
-    out = rows.withColumns(own).withColumn("__dots", F.array(*(F.col("__x") * a + F.col("__y") * b + F.col("__z") * c for a, b, c in fixed)))
-    out = out.withColumn("__ord", F.array_position("__dots", F.array_max("__dots")).cast("int")).drop("__dots", *own)
+
+    @F.pandas_udf("int")
+    def first_largest(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        dots = sum(v.to_numpy()[:, None] * np.array([e[k] for e in fixed]) for k, v in enumerate((x, y, z)))
+        return pd.Series(dots.argmax(axis=1) + 1)
+
+    # in a task, as one term for each entry would be a method too long for the JVM to compile
+    out = rows.withColumns(own).withColumn("__ord", first_largest("__x", "__y", "__z")).drop(*own)
     names, lats, lons = (F.array(*(F.lit(g[k]) for g in GAZETTEER)) for k in range(3))
     at = F.col("__ord")
     meters = haversine(F.col(lat), F.col(lon), F.element_at(lats, at), F.element_at(lons, at))

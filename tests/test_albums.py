@@ -9,9 +9,10 @@ import pytest
 from photos import NAMES, SCHEMA, at, demo, demo_photos, frame, photo
 from pyspark.sql import functions as F
 
+from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.functions import naming, scalar
 from lumenfold.functions.scene import classify, warm_hue
-from lumenfold.operators import bursts, counts, places
+from lumenfold.operators import bursts, counts, nearest, places
 from lumenfold.operators import components as components_module
 from lumenfold.operators import timeline as tl
 from lumenfold.operators.components import components, stars_of
@@ -461,3 +462,19 @@ def test_hues_at_the_edges_are_told_exactly(spark):
     rows = [("#%02x%02x%02x" % x, True) for x in yellow + purple] + [("#%02x%02x%02x" % x, False) for x in [(r, g + 1, b) for r, g, b in yellow] + [(r, g, b + 1) for r, g, b in purple]]
     told = spark.createDataFrame(rows, "top_hex string, warm boolean").withColumn("found", warm_hue(F.col("top_hex")))
     assert told.where("found <> warm").collect() == []
+
+
+def test_the_nearest_place_is_found_in_tasks(spark):
+    rows = places.with_nearest(spark.createDataFrame([(1, 35.6586, 139.7454), (2, None, 3.0)], "id long, lat double, lon double"), "lat", "lon")
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
+    assert {x.id: x.near and x.near.name for x in rows.collect()} == {1: "東京タワー", 2: None}
+
+
+def test_lists_of_near_entries_stay_short_where_entries_are_dense(spark, monkeypatch):
+    entries = [(k, f"e{k}", 35 + k % 40 * 1e-4, 139 + k // 40 * 1e-4) for k in range(1600)]
+    asks = spark.createDataFrame([(1, 35.00201, 139.00201)], "id long, lat double, lon double")
+    held = []
+    monkeypatch.setattr(nearest, "shared_checkpoint", lambda df: held.append(df) or shared_checkpoint(df))
+    found = with_nearest_entry(asks, spark.createDataFrame(entries, "ord long, name string, lat double, lon double"))
+    assert found.first().near.name == "e820"
+    assert held[-1].select(F.max(F.size("__entries"))).first()[0] <= nearest.FEW
