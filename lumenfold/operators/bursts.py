@@ -162,13 +162,13 @@ def burst_links(photos: DataFrame, options: BurstOptions = BurstOptions()) -> tu
     rows = _guarded(photos, options)
     hashes = shared_checkpoint(rows.groupBy("library_id", "bits").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     none = {k: F.lit(0).cast("long") for k in ("bucket", "first", "last")}
-    bands = hashes.withColumn("band", F.explode(_bands(F.col("bits"), options.dup_hamming + 2))).select("library_id", "rep", "bits", "band.pair", "band.value").withColumns(none)
+    alone = hashes.select("library_id", "rep", "bits").withColumns(none)
     rows = rows.withColumn("taken_at", F.col("taken_at").cast("long"))
     bucket = F.floor(F.col("taken_at") / options.burst_ms)
     held = rows.where(F.col("taken_at").isNotNull()).groupBy("library_id", "bits", bucket.alias("bucket")).agg(F.min("taken_at").alias("first"), F.max("taken_at").alias("last"))
     timed = held.join(hashes.select("library_id", "bits", "rep"), ["library_id", "bits"])
     timed = shared_checkpoint(timed.withColumn("slot", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1))))
-    alike = _links(bands, ("pair", "value"), options.dup_hamming, options.burst_ms)
+    alike = _links(alone, (), options.dup_hamming, options.burst_ms)  # by pieces only in libraries of more than `CROWD`: 21 rows for each hash
     return hashes, alike.unionByName(_links(timed, ("slot",), options.burst_hamming, options.burst_ms))
 
 

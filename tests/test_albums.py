@@ -478,3 +478,11 @@ def test_lists_of_near_entries_stay_short_where_entries_are_dense(spark, monkeyp
     found = with_nearest_entry(asks, spark.createDataFrame(entries, "ord long, name string, lat double, lon double"))
     assert found.first().near.name == "e820"
     assert held[-1].select(F.max(F.size("__entries"))).first()[0] <= nearest.FEW
+
+
+def test_small_libraries_of_hashes_make_no_row_for_each_piece(spark, monkeypatch):
+    asked = []
+    whole = bursts._links
+    monkeypatch.setattr(bursts, "_links", lambda rows, keys, *more: asked.append((keys, rows.count())) or whole(rows, keys, *more))
+    bursts.burst_links(frame(spark, [photo(f"p{k}", phash=f"{k * 2654435761:016x}") for k in range(50)]))
+    assert asked[0] == ((), 50)
