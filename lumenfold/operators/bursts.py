@@ -4,7 +4,8 @@ Two hashes that differ in up to 5 bits have two of 7 pieces in common, so pairs
 more) and then tested exactly. Photos within 3 s are found by buckets of that length.
 
 For groups (`burst_members`) the nodes are the distinct hashes of a library: its copies are of one group anyway, whenever they were
-taken, so a hash counts once in each time bucket, with its first and last time there. Where few hashes share a key they are joined; where
+taken, so a hash counts once in each time bucket, with its first and last time there. Hashes of a library meet each other, and by
+pieces only if it has more than `CROWD`. Where few hashes share a key they are joined; where
 many do, blocks of them are compared in tasks, which return a star for each component of what they found, not the pairs. So
 the links are linear in the hashes, whatever the photos of one moment have in common. `dup_edges` and `burst_edges` list pairs.
 """
