@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.functions.scalar import cover_score, hash_bits
-from lumenfold.operators.components import components
+from lumenfold.operators.components import components, least_reached
 from lumenfold.options import BurstOptions
 
 #: Hashes of one key that are joined with each other; of more, blocks are compared in tasks; and of more than `CROWD` in one moment, by pieces.
 LIGHT, BLOCK, CROWD = 32, 2048, 8192
+#: Groups of no more hashes are looked at together with others of their batch.
+FEW = 256
 #: Photos of a group are put in order within slices of an hour, and then slices.
 SLICE_MS = 3_600_000
 
@@ -100,28 +102,51 @@ def _forests(most_bits: int, most_ms: int):
             ends.append(found[found != head])
         return (np.concatenate(heads), np.concatenate(ends)) if heads else (np.zeros(0, int), np.zeros(0, int))
 
+    def few(bits: np.ndarray, bucket: np.ndarray, first: np.ndarray, last: np.ndarray, lib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of a small group."""
+        a, b = np.nonzero(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= most_bits)
+        a, b = a[a < b], b[a < b]
+        gap = np.maximum(first[a], first[b]) - np.minimum(last[a], last[b])
+        own = (lib[a] == lib[b]) & ((bucket[a] == bucket[b]) | (gap <= most_ms))
+        return a[own], b[own]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            if rows.num_rows > 1:
-                rows = rows.combine_chunks()
-                bits, lib, bucket, first, last, block = (rows.column(c).to_numpy() for c in ("bits", "lib", "bucket", "first", "last", "block"))
-                a, b = stars(bits.view(np.uint64), lib, bucket, first, last, block)
-                if len(a):
-                    yield from pa.table({"library_id": rows.column("library_id").take(a), "a": rows.column("rep").take(a), "b": rows.column("rep").take(b)}).to_batches()
+        def told(rows: pa.Table, cuts: np.ndarray) -> pa.Table:
+            """The stars of the groups that start and end at `cuts`."""
+            bits, lib, bucket, first, last, block = (rows.column(c).to_numpy() for c in ("bits", "lib", "bucket", "first", "last", "block"))
+            bits = bits.view(np.uint64)
+            heads, ends, loose = [np.zeros(0, int)], [np.zeros(0, int)], []
+            for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                own = slice(start, stop)
+                if stop - start > FEW:
+                    a, b = stars(bits[own], lib[own], bucket[own], first[own], last[own], block[own])
+                    heads.append(a + start)
+                    ends.append(b + start)
+                elif stop - start > 1:
+                    a, b = few(bits[own], bucket[own], first[own], last[own], lib[own])
+                    if len(a):
+                        loose.append((a + start, b + start))
+            if loose:
+                label = least_reached(*map(np.concatenate, zip(*loose)), rows.num_rows)
+                found = np.flatnonzero(label != np.arange(len(label)))
+                heads.append(label[found])
+                ends.append(found)
+            a, b = np.concatenate(heads), np.concatenate(ends)
+            return pa.table({"library_id": rows.column("library_id").take(a), "a": rows.column("rep").take(a), "b": rows.column("rep").take(b)})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             group = rows.column("g").to_numpy()
-            ends = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
-            for start, stop in zip(ends[:-2], ends[1:-1]):
-                yield from told(rows.slice(int(start), int(stop - start)))
-            rest = rows.slice(int(ends[-2]))
+            cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+            if len(cuts) > 1:
+                yield from told(rows, cuts).to_batches()
+            rest = rows.slice(int(cuts[-1]))
         if rest is not None:
-            yield from told(rest)
+            yield from told(rest, np.array([0, rest.num_rows])).to_batches()
 
     return run
 
@@ -153,7 +178,8 @@ def _links(rows: DataFrame, keys: tuple[str, ...], most_bits: int, most_ms: int)
     cut = heavy.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("bits", F.lit(5)), blocks).cast("int")})
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     dealt = cut.select(F.xxhash64("library_id", *keys, "i", "j").alias("g"), F.xxhash64("library_id").alias("lib"), "library_id", "rep", "bits", "bucket", "first", "last", "block")
-    dealt = dealt.repartition("g").sortWithinPartitions("g", "block")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(parts, "g").sortWithinPartitions("g", "block")  # few bytes, which take long
     kinds = dict(rows.dtypes)
     return out.unionByName(dealt.mapInArrow(_forests(most_bits, most_ms), f"library_id {kinds['library_id']}, a {kinds['rep']}, b {kinds['rep']}"))
 
@@ -176,7 +202,7 @@ def burst_links(photos: DataFrame, options: BurstOptions = BurstOptions()) -> tu
 def burst_members(photos: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
     """(library_id, id, burst): photos in groups of two or more; `burst` is the group's smallest id."""
     hashes, links = burst_links(photos, options)
-    found = components(links.select(F.struct("library_id", F.col("a").alias("id")).alias("a"), F.struct("library_id", F.col("b").alias("id")).alias("b")))
+    found = components(links.select(F.struct("library_id", F.col("a").alias("id")).alias("a"), F.struct("library_id", F.col("b").alias("id")).alias("b")), "library_id")
     named = found.select(F.col("node.library_id").alias("library_id"), F.col("node.id").alias("rep"), F.col("component.id").alias("named"))
     grouped = hashes.join(named, ["library_id", "rep"], "left").where("n > 1 or named is not null").select("library_id", "bits", F.coalesce("named", "rep").alias("burst"))
     return _guarded(photos, options).join(grouped, ["library_id", "bits"]).select("library_id", "id", "burst")

@@ -65,7 +65,7 @@ def dbscan(points: DataFrame, pairs: Callable[[DataFrame], DataFrame], min_point
     cores = near.groupBy("library_id", key).agg(F.sum("weight2").alias("around")).where(F.col("around") >= min_points).select("library_id", key)
     to_core = near.join(cores.withColumnRenamed(key, f"{key}2"), ["library_id", f"{key}2"])
     linked = to_core.join(cores, ["library_id", key]).select(F.struct("library_id", key).alias("a"), F.struct("library_id", F.col(f"{key}2").alias(key)).alias("b"))
-    named = components(linked).select(F.col("node.library_id").alias("library_id"), F.col(f"node.{key}").alias(f"{key}2"), F.col(f"component.{key}").alias("cluster"))
+    named = components(linked, "library_id").select(F.col("node.library_id").alias("library_id"), F.col(f"node.{key}").alias(f"{key}2"), F.col(f"component.{key}").alias("cluster"))
     own = cores.withColumnRenamed(key, f"{key}2").join(named, ["library_id", f"{key}2"], "left").withColumn("cluster", F.coalesce("cluster", f"{key}2"))
     # a core reaches itself, and all cores in its reach are of its cluster
     return to_core.join(own, ["library_id", f"{key}2"]).groupBy("library_id", key).agg(F.min("cluster").alias("cluster"))
@@ -164,7 +164,7 @@ def touching(pairs: DataFrame, points: DataFrame, meters: float, made: list[int]
 
 def _components(links: DataFrame) -> DataFrame:
     """(library_id, node, cluster) from links (library_id, a, b)."""
-    named = components(links.select(*(F.struct("library_id", F.col(k).alias("point")).alias(k) for k in ("a", "b"))))
+    named = components(links.select(*(F.struct("library_id", F.col(k).alias("point")).alias(k) for k in ("a", "b"))), "library_id")
     return named.select(F.col("node.library_id").alias("library_id"), F.col("node.point").alias("node"), F.col("component.point").alias("cluster"))
 
 

@@ -486,3 +486,27 @@ def test_small_libraries_of_hashes_make_no_row_for_each_piece(spark, monkeypatch
     monkeypatch.setattr(bursts, "_links", lambda rows, keys, *more: asked.append((keys, rows.count())) or whole(rows, keys, *more))
     bursts.burst_links(frame(spark, [photo(f"p{k}", phash=f"{k * 2654435761:016x}") for k in range(50)]))
     assert asked[0] == ((), 50)
+
+
+@pytest.mark.parametrize("chunk", [20, 45])
+def test_components_of_groups_are_contracted_once(spark, monkeypatch, chunk):
+    """Links of one library are one chunk, whatever task they came from; only libraries with more go through rounds."""
+    monkeypatch.setattr(components_module, "CHUNK", chunk)
+    r = random.Random(6)
+    links = [(lib, r.randrange(30), r.randrange(30)) for lib in range(40) for _ in range(12)] + [(99, k, k + 1) for k in range(60)]
+    df = spark.createDataFrame([((lib, f"x{a:02d}"), (lib, f"x{b:02d}")) for lib, a, b in links], "a struct<l:long,s:string>, b struct<l:long,s:string>").repartition(7)
+    known = {((lib, f"x{a:02d}"), (lib, f"x{b:02d}")) for lib, a, b in links}
+    stars = stars_of(list(known))
+    rounds = []
+    held = components_module._print_of
+    monkeypatch.setattr(components_module, "_print_of", lambda rows: rounds.append({x.a.l for x in rows.collect()}) or held(rows))
+    found = {(tuple(x.node), tuple(x.component)) for x in components(df, "l").collect()}
+    assert found == set(stars) | {(b, b) for _, b in stars}
+    assert rounds and all(r == {99} for r in rounds)
+
+
+def test_nodes_are_ordered_as_spark_does(spark):
+    values = [(None, 1.5, False), ("a", float("nan"), True), ("a", float("inf"), True), ("ä", None, True), ("z", -1.0, None), ("😀", 0.0, True), ("￿", 0.0, True), ("", 2.0, True)]
+    df = spark.createDataFrame([(a, b) for a, b in zip(values, values[1:])], "a struct<s:string,d:double,t:boolean>, b struct<s:string,d:double,t:boolean>")
+    least = df.select(F.explode(F.array("a", "b")).alias("n")).agg(F.min("n")).first()[0]
+    assert {x.component for x in components(df).collect()} == {least} and components(df).count() == len(values)
