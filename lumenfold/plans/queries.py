@@ -135,7 +135,7 @@ def haversine_pairs(spark, sf_dir):
 def hash_clusters(spark, sf_dir):
     """Density clusters of the hashes of each library: a metric that isn't one of places."""
     rows = read_photos(spark, sf_dir).where("luma_variance >= 0.0008").groupBy("library_id", scalar.hash_bits(F.col("phash")).alias("bits")).agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    return metric_clusters(shared_checkpoint(rows), lambda a, b: F.bit_count(a["bits"].bitwiseXOR(b["bits"])), 8, 4, "rep")
+    return metric_clusters(shared_checkpoint(rows), lambda a, b: F.bit_count(a["bits"].bitwiseXOR(b["bits"])), 8, 4, "rep", few=4096)
 
 
 @query("dup_edges", sql="SELECT library_id, a, b FROM dup_edges")
