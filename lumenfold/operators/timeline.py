@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.checkpoint import shared_checkpoint
 from lumenfold.functions.scalar import day_index, haversine
 from lumenfold.options import TimelineOptions
 
@@ -67,11 +68,13 @@ def timeline(photos: DataFrame, homes: DataFrame, counted: DataFrame | None = No
     """
     rows = with_home(photos.drop("home_lat", "home_lon", "meters"), homes)
     rows = rows.withColumn("counted", F.lit(True)) if counted is None else rows.drop("counted").join(counted.select("library_id", "id", "counted"), ["library_id", "id"], "left").withColumn("counted", F.coalesce("counted", F.lit(True)))
-    placed = sessions(rows.select("library_id", "id", "taken_at", "counted", "meters"), options.session_gap_ms)
-    in_runs = runs(days(placed), options.day_bridge_ms)
+    # each step reads the one before more than once
+    rows = shared_checkpoint(rows.where(F.col("taken_at").isNotNull()).select("library_id", "id", "taken_at", "counted", "meters"))
+    placed = shared_checkpoint(sessions(rows, options.session_gap_ms))
+    in_runs = shared_checkpoint(runs(days(placed), options.day_bridge_ms))
     judged = in_runs.join(trips(in_runs, options).select("library_id", "run", "is_trip"), ["library_id", "run"])
     kind = F.when(F.col("is_trip"), "trip").otherwise("day")
-    own = judged.select("library_id", "day", kind.alias("event_kind"), F.when(F.col("is_trip"), F.col("run")).otherwise(F.col("start")).alias("event"), "start", "end", "n_counted")
+    own = shared_checkpoint(judged.select("library_id", "day", kind.alias("event_kind"), F.when(F.col("is_trip"), F.col("run")).otherwise(F.col("start")).alias("event"), "start", "end", "n_counted"))
     events = own.groupBy("library_id", "event_kind", "event").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").cast("int").alias("n_days"), F.sum("n_counted").alias("n_counted"))
     events = events.withColumn("nights", F.col("n_days") - 1)
     members = placed.withColumn("day", day_index(F.col("session_start"))).join(own.select("library_id", "day", "event_kind", "event"), ["library_id", "day"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.checkpoint import shared_checkpoint
+from lumenfold.checkpoint import shared_checkpoint, shared_table
 from lumenfold.functions import naming
 from lumenfold.functions.scalar import album_priority, haversine
 from lumenfold.functions.scene import SCREENSHOT, labelled
@@ -22,11 +22,15 @@ from lumenfold.operators.home import infer_home
 from lumenfold.options import AlbumOptions
 
 
+#: What the steps read of a photo, beside its label.
+READ = ("library_id", "id", "taken_at", "lat", "lon", "phash", "luma_variance", "brightness", "edge_density", "colorfulness", "camera_model")
+
+
 def assigned(photos: DataFrame, options: AlbumOptions = AlbumOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(photos with the keys of their drafts, events, bursts)."""
-    rows = shared_checkpoint(labelled(photos, options.scene_floor))  # five branches read it
+    rows = shared_table(labelled(photos, options.scene_floor).select(*READ, "label"))  # five branches read it, some columns each
     in_bursts = shared_checkpoint(bursts.burst_members(rows, options.bursts))
-    groups = bursts.burst_groups(rows, in_bursts, options.bursts)
+    groups = shared_checkpoint(bursts.burst_groups(rows, in_bursts, options.bursts))
     counted = in_bursts.join(groups.select("library_id", "burst", "cover_id"), ["library_id", "burst"]).select("library_id", "id", (F.col("id") == F.col("cover_id")).alias("counted"))
     event_rows = rows.where(~F.col("label").eqNullSafe(SCREENSHOT))
     homes = infer_home(event_rows)
@@ -34,7 +38,7 @@ def assigned(photos: DataFrame, options: AlbumOptions = AlbumOptions()) -> tuple
     in_places = places.place_members(event_rows, options.places)
     keyed = rows.join(in_bursts, ["library_id", "id"], "left").join(in_events, ["library_id", "id"], "left").join(in_places, ["library_id", "id"], "left")
     keyed = keyed.join(homes, "library_id", "left").withColumn("meters", haversine(F.col("home_lat"), F.col("home_lon"), F.col("lat"), F.col("lon")))
-    return shared_checkpoint(keyed), events, groups
+    return shared_table(keyed.drop("phash", "luma_variance")), events, groups
 
 
 def _draft(kind: Column | str, key: Column, when: Column) -> Column:
@@ -140,11 +144,11 @@ def plan_albums(photos: DataFrame, options: AlbumOptions = AlbumOptions()) -> tu
     keyed, events, groups = assigned(photos, options)
     large, members = drafts(keyed, events, groups, options)
     large = shared_checkpoint(large)
-    in_large = members.join(large.select("library_id", "draft"), ["library_id", "draft"], "left_semi")
+    in_large = shared_table(members.join(large.select("library_id", "draft"), ["library_id", "draft"], "left_semi"))  # six steps read it
     gone = shared_checkpoint(folded_drafts(large, in_large.select("library_id", "draft", "id"), options.max_jaccard))
     kept = large.join(gone, ["library_id", "draft"], "left_anti")
     in_kept = in_large.join(gone, ["library_id", "draft"], "left_anti")
-    by_month, in_months = monthly(keyed, in_kept.select("library_id", "id").distinct())
+    by_month, in_months = monthly(keyed, in_kept.select("library_id", "id"))
     albums = shared_checkpoint(kept.unionByName(by_month, allowMissingColumns=True))
     all_members = in_kept.unionByName(in_months)
     titled = albums.join(scene_tags(all_members, albums), ["library_id", "draft"], "left")

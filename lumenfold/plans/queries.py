@@ -45,9 +45,9 @@ def query(*ctes: str, sql: str | None = None):
     return add
 
 
-def _labelled(spark, sf_dir):
-    """Labelled photos, worked out once: several steps read them."""
-    return shared_checkpoint(labelled(read_photos(spark, sf_dir)))
+def _labelled(spark, sf_dir, *names):
+    """`names` of labelled photos, worked out once: several steps read them."""
+    return shared_checkpoint(labelled(read_photos(spark, sf_dir)).select("library_id", "id", *names, "label"))
 
 
 @query("photos", sql="SELECT library_id, id, name, taken_at, round(lat, 7) AS lat, round(lon, 7) AS lon, phash, round(brightness, 6) AS brightness, camera_model, iso, top_hex FROM photos")
@@ -85,7 +85,7 @@ def pick_cover_per_library(spark, sf_dir):
 
 @query("homes", sql="SELECT library_id, round(home_lat, 6) AS home_lat, round(home_lon, 6) AS home_lon FROM homes")
 def grid_home(spark, sf_dir):
-    return infer_home(_labelled(spark, sf_dir).where(~F.col("label").eqNullSafe(SCREENSHOT))).select("library_id", F.round("home_lat", 6).alias("home_lat"), F.round("home_lon", 6).alias("home_lon"))
+    return infer_home(_labelled(spark, sf_dir, "lat", "lon").where(~F.col("label").eqNullSafe(SCREENSHOT))).select("library_id", F.round("home_lat", 6).alias("home_lat"), F.round("home_lon", 6).alias("home_lon"))
 
 
 @query("photos", sql="SELECT library_id, count(*) AS n, count(*) FILTER (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (abs(lat) < 1e-6 AND abs(lon) < 1e-6)) AS n_valid FROM photos GROUP BY 1")
@@ -187,7 +187,7 @@ def trips(spark, sf_dir):
 
 @query("events_of", sql='SELECT library_id, event_kind, event, min(start) AS start, max("end") AS "end", count(*)::INTEGER AS n_days, sum(n_counted)::BIGINT AS n_counted FROM event_days GROUP BY 1, 2, 3')
 def timeline(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
+    rows = _labelled(spark, sf_dir, "taken_at", "lat", "lon", "phash", "luma_variance", "brightness", "edge_density", "colorfulness")
     in_bursts = shared_checkpoint(bursts.burst_members(rows))
     groups = bursts.burst_groups(rows, in_bursts)
     counted = in_bursts.join(groups.select("library_id", "burst", "cover_id"), ["library_id", "burst"]).select("library_id", "id", (F.col("id") == F.col("cover_id")).alias("counted"))
@@ -198,7 +198,7 @@ def timeline(spark, sf_dir):
 
 @query("places_of", sql="SELECT library_id, id, place FROM places_of")
 def dbscan_places(spark, sf_dir):
-    return places.place_members(_labelled(spark, sf_dir).where(~F.col("label").eqNullSafe(SCREENSHOT)))
+    return places.place_members(_labelled(spark, sf_dir, "lat", "lon", "taken_at").where(~F.col("label").eqNullSafe(SCREENSHOT)))
 
 
 @query("photos", sql="SELECT library_id, camera_model, count(*) AS n, min(taken_at) AS date_start, max(taken_at) AS date_end FROM photos p WHERE camera_model IS NOT NULL AND (SELECT count(DISTINCT camera_model) FROM photos q WHERE q.library_id = p.library_id) >= 2 GROUP BY 1, 2 HAVING count(*) >= 30")
