@@ -1,4 +1,4 @@
-"""Scene labels: an ordered table of rules, folded into one CASE each for label and confidence."""
+"""Scene labels: an ordered table of rules, of which the first that holds gives label and confidence."""
 
 from __future__ import annotations
 
@@ -51,10 +51,12 @@ def classify(photos: DataFrame, own_rules: Rules = rules) -> DataFrame:
 
     `own_rules` maps a column (whether the main colour is reddish) to (label, score) pairs over the columns of photos.
     """
-    told = own_rules(warm_hue(F.col("top_hex")))
-    label = F.coalesce(*(F.when(score.isNotNull(), name) for name, score in told), F.lit(MISC))
-    sure = F.coalesce(*(score for _, score in told), F.lit(0.4))
-    return photos.withColumns({"scene": label, "scene_confidence": sure})
+    told = own_rules(F.col("__warm"))
+    # the rules once, as an array: twice in one CASE each, beside what the photos come of, are a method too long for the JVM to compile
+    held = F.filter(F.array(*(F.struct(F.lit(name).alias("scene"), score.cast("double").alias("score")) for name, score in told)), lambda rule: rule["score"].isNotNull())
+    rows = photos.withColumn("__warm", warm_hue(F.col("top_hex"))).withColumn("__first", F.get(held, F.lit(0)))
+    found = {"scene": F.coalesce("__first.scene", F.lit(MISC)), "scene_confidence": F.coalesce("__first.score", F.lit(0.4))}
+    return rows.withColumns(found).drop("__warm", "__first")
 
 
 def labelled(photos: DataFrame, floor: float = 0.55, own_rules: Rules = rules) -> DataFrame:
