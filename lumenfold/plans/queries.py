@@ -292,11 +292,12 @@ def _as_png(rgba: pd.Series) -> pd.Series:
 @query("pixel_means", sql="""SELECT 'part-' || p_partkey || '.png' AS name, true AS decoded, 64 AS width, 64 AS height, 1.0::DOUBLE AS aspect, 'mtime' AS taken_at_source, true AS whole, NULL::VARCHAR AS camera_make, brightness, contrast, luma_variance,
   warmth, saturation, blue_top_ratio, green_ratio, edge_density, colorfulness FROM pixel_means""")
 def image_source(spark, sf_dir):
-    """A PNG file for each part, written to the shared folder, and read back as photos with one look into each."""
+    """A PNG file for each part, written to the shared folder, some 1,000 in each folder there, and read back as photos with one look into each."""
     folder = f"{shared_folder(spark).rstrip('/')}/images-{uuid.uuid4()}"
     files = _raster_bytes(spark, sf_dir).select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"), _as_png("rgba").alias("content"))
+    folders = 1 + spark.read.parquet(f"{sf_dir}/part.parquet").count() // 1000
     registered(spark)
-    files.write.format("photo_files").option("path", folder).mode("append").save()
+    files.write.format("photo_files").option("path", folder).option("folders", str(folders)).mode("append").save()
     names = "contrast luma_variance warmth saturation blue_top_ratio green_ratio edge_density".split()
     return scan_images(spark, folder, colors=False).select(
         "name", "decoded", "width", "height", "aspect", "taken_at_source", (F.col("bytes_read") == F.col("size_bytes")).alias("whole"), "camera_make", F.round(F.col("brightness") + 1e-9, 6).alias("brightness"),
@@ -309,7 +310,8 @@ def _raster_bytes(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     digests = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(97)), lambda i: F.md5(F.concat_ws(":", F.col("p_partkey").cast("string"), (i % 97).cast("string")).cast("binary"))), "")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return part.repartition(parts, "p_partkey").select("p_partkey", F.unhex(F.substring(F.repeat(digests, 11), 1, 1024 * 32)).alias("rgba"))  # a small file is one task, and features take time
+    again = F.transform(F.array(F.unhex(digests)), lambda once: F.substring(F.concat(*[once] * 11), 1, 1024 * 16))  # digests are read from hex once, not eleven times
+    return part.repartition(parts, "p_partkey").select("p_partkey", F.get(again, F.lit(0)).alias("rgba"))  # a small file is one task, and features take time
 
 
 def _rasters(spark, sf_dir, *names):

@@ -14,7 +14,7 @@ from lumenfold.functions import exif, pixels
 from lumenfold.functions import png as png_file
 from lumenfold.operators import timeline as tl
 from lumenfold.sources.events import wall_millis
-from lumenfold.sources import files
+from lumenfold.sources import files, images
 from lumenfold.sources.images import read_images, scan_images, skipped
 from lumenfold.options import TimelineOptions
 from lumenfold.streaming.sessions import stream_sessions
@@ -386,3 +386,28 @@ def test_pixels_of_one_color_are_one_point():
     together = pixels.main_colors(np.concatenate([stack, other]), [1, 2, 3, 4])
     alone = [pixels.main_colors(x[None], [k]) for k, x in enumerate([*stack, *other], 1)]
     assert together == ([x[0][0] for x in alone], [x[1][0] for x in alone])
+
+
+def test_images_are_listed_by_tasks_and_their_pixels_are_not_kept(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(8)
+    rgb = [r.integers(0, 256, (64, 64, 3)).astype(np.uint8) for _ in range(60)]
+    rows = spark.createDataFrame([(f"{k}[{k % 3}].png", png_file.encode(x)) for k, x in enumerate(rgb)], "name string, content binary").repartition(3)
+    for _ in range(2):
+        files.registered(spark).createDataFrame(rows.collect(), rows.schema).write.format("photo_files").option("path", str(tmp_path)).option("folders", "7").mode("append").save()
+    folders = sorted(tmp_path.iterdir())
+    assert len(folders) == 7 and all(0 < len(list(x.iterdir())) < 60 for x in folders)
+    told = list(files.list_files(spark, str(tmp_path)).collect())
+    assert sorted(tuple(x) for x in told) == files.listed(str(tmp_path)) and len(told) == 60
+    kept, own = [], images.shared_table
+    monkeypatch.setattr(images, "shared_table", lambda df: kept.append(df.columns) or own(df))
+    monkeypatch.setattr(images, "_shown", lambda *_: 1 / 0)  # Spark lists what it decodes, which is nothing here
+    got = {x.name: x for x in scan_images(spark, str(tmp_path), colors=False).collect()}
+    assert len(got) == 60 and all(x.decoded and x.bytes_read == x.size_bytes for x in got.values()) and kept and not any("rgba" in x for x in kept)
+    monkeypatch.undo()
+    # files that Spark decodes, a few at a time, by names that hold signs of patterns
+    for k in range(5):
+        java_image(spark, rgb[k], "jpg", folders[k] / f"{k}{{a,b}}[x]*.jpg")
+    monkeypatch.setattr(images, "MOST_PATHS", 2)
+    slow = {x["name"]: x for x in read_images(spark, str(tmp_path)).collect()}
+    fast = {x["name"]: x for x in scan_images(spark, str(tmp_path)).collect()}
+    assert set(slow) == set(fast) and len(fast) == 65 and all(fast[n].decoded and fast[n][k] == slow[n][k] for n in slow for k in slow[n].asDict())
