@@ -1,7 +1,7 @@
 """Bursts and look-alikes, by joins on pieces of the perceptual hash and on time.
 
 Two hashes that differ in up to 5 bits have two of 7 pieces in common, so pairs are found by equal pairs of pieces (18 bits or
-more) and then tested exactly. Photos within 3 s are found by buckets of that length.
+more) and then tested exactly. Photos within 3 s are found by buckets of that length, some to a slot.
 
 For groups (`burst_members`) the nodes are the distinct hashes of a library: its copies are of one group anyway, whenever they were
 taken, so a hash counts once in each time bucket, with its first and last time there. Hashes of a library meet each other, and by
@@ -27,6 +27,8 @@ from lumenfold.options import BurstOptions
 
 #: Hashes of one key that are joined with each other; of more, blocks are compared in tasks; and of more than `CROWD` in one moment, by pieces.
 LIGHT, BLOCK, CROWD = 32, 2048, 8192
+#: Time buckets of a slot, whose hashes meet: the fewer, the more hashes count to two.
+SLOT_BUCKETS = 4
 #: Groups of no more hashes are looked at together with others of their batch.
 FEW = 256
 #: Photos of a group are put in order within slices of an hour, and then slices.
@@ -194,18 +196,36 @@ def burst_links(photos: DataFrame, options: BurstOptions = BurstOptions()) -> tu
     bucket = F.floor(F.col("taken_at") / options.burst_ms)
     held = rows.where(F.col("taken_at").isNotNull()).groupBy("library_id", "bits", bucket.alias("bucket")).agg(F.min("taken_at").alias("first"), F.max("taken_at").alias("last"))
     timed = held.join(hashes.select("library_id", "bits", "rep"), ["library_id", "bits"])
-    timed = shared_checkpoint(timed.withColumn("slot", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1))))
+    slot = F.floor(F.col("bucket") / SLOT_BUCKETS)
+    # the first bucket of a slot also counts to the slot before, whose last one it may be near to
+    timed = shared_checkpoint(timed.withColumn("slot", F.explode(F.when(F.pmod("bucket", F.lit(SLOT_BUCKETS)) == 0, F.array(slot, slot - 1)).otherwise(F.array(slot)))))
     alike = _links(alone, (), options.dup_hamming, options.burst_ms)  # by pieces only in libraries of more than `CROWD`: 21 rows for each hash
     return hashes, alike.unionByName(_links(timed, ("slot",), options.burst_hamming, options.burst_ms))
 
 
-def burst_members(photos: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
-    """(library_id, id, burst): photos in groups of two or more; `burst` is the group's smallest id."""
+def burst_hashes(photos: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
+    """(library_id, bits, burst): the hashes of photos in groups of two or more; `burst` is the group's smallest id."""
     hashes, links = burst_links(photos, options)
     found = components(links.select(F.struct("library_id", F.col("a").alias("id")).alias("a"), F.struct("library_id", F.col("b").alias("id")).alias("b")), "library_id")
     named = found.select(F.col("node.library_id").alias("library_id"), F.col("node.id").alias("rep"), F.col("component.id").alias("named"))
-    grouped = hashes.join(named, ["library_id", "rep"], "left").where("n > 1 or named is not null").select("library_id", "bits", F.coalesce("named", "rep").alias("burst"))
-    return _guarded(photos, options).join(grouped, ["library_id", "bits"]).select("library_id", "id", "burst")
+    return hashes.join(named, ["library_id", "rep"], "left").where("n > 1 or named is not null").select("library_id", "bits", F.coalesce("named", "rep").alias("burst"))
+
+
+def burst_members(photos: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
+    """(library_id, id, burst): photos in groups of two or more; `burst` is the group's smallest id."""
+    return _guarded(photos, options).join(burst_hashes(photos, options), ["library_id", "bits"]).select("library_id", "id", "burst")
+
+
+def with_bursts(photos: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
+    """`photos` with their `burst`, null outside of groups: as a join with `burst_members`, but by hash, so that photos move once."""
+    bits = F.when(F.col("luma_variance") >= options.min_luma_variance, hash_bits(F.col("phash")))
+    return photos.withColumn("bits", bits).join(burst_hashes(photos, options), ["library_id", "bits"], "left").drop("bits")
+
+
+def with_counted(photos: DataFrame, groups: DataFrame) -> DataFrame:
+    """`photos` (of `with_bursts`) with `counted`: whether a photo is the cover of its group, or in none. Only photos of groups move."""
+    grouped = photos.where("burst is not null").join(groups.select("library_id", "burst", "cover_id"), ["library_id", "burst"])
+    return photos.where("burst is null").withColumn("counted", F.lit(True)).unionByName(grouped.withColumn("counted", F.col("id") == F.col("cover_id")).drop("cover_id"))
 
 
 def burst_groups(photos: DataFrame, members: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
@@ -214,8 +234,13 @@ def burst_groups(photos: DataFrame, members: DataFrame, options: BurstOptions =
     A group of any size is spread: photos of one moment are one row; these are put in order within each slice of time, which keeps its
     first and last moment and its largest gap; and slices are put in order, where the gaps between them count too.
     """
+    return groups_of(photos.join(members, ["library_id", "id"]), options)
+
+
+def groups_of(in_groups: DataFrame, options: BurstOptions = BurstOptions()) -> DataFrame:
+    """`burst_groups` of photos with a `burst`."""
     best = F.struct(-cover_score(F.col("edge_density"), F.col("brightness"), F.col("colorfulness")), F.col("id"))
-    moments = photos.join(members, ["library_id", "id"]).groupBy("library_id", "burst", F.floor(F.col("taken_at") / SLICE_MS).alias("slice"), "taken_at").agg(F.count("*").alias("n"), F.min(best).alias("best"))
+    moments = in_groups.groupBy("library_id", "burst", F.floor(F.col("taken_at") / SLICE_MS).alias("slice"), "taken_at").agg(F.count("*").alias("n"), F.min(best).alias("best"))
     gap = F.col("taken_at") - F.lag("taken_at").over(Window.partitionBy("library_id", "burst", "slice").orderBy("taken_at"))
     slices = moments.withColumn("gap", gap).groupBy("library_id", "burst", "slice").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("taken_at").isNotNull(), F.col("n")).otherwise(0)).alias("timed"), F.min("best").alias("best"), F.min("taken_at").alias("first"), F.max("taken_at").alias("last"), F.max("gap").alias("gap")

@@ -57,6 +57,25 @@ def similar_pairs(drafts: DataFrame, members: DataFrame, above: float = 0.8) ->
     return found.select("library_id", first("a", "b", "a"), first("b", "a", "b"), first("kind_a", "kind_b", "kind_a"), first("kind_b", "kind_a", "kind_b"), "similarity")
 
 
+def similar_by_photo(members: DataFrame, above: float = 0.8) -> DataFrame:
+    """(library_id, a, b): as `similar_pairs`, where a photo is in few drafts only, as those of one draft of each kind are.
+
+    `members` have library_id, draft, kind, n and id. The drafts of a photo meet in one row, which tells those of about the same size, and what
+    two drafts have in common is counted; so members move once. A photo in very many drafts makes as many pairs: that is what `similar_pairs` is for.
+    """
+    own = members.repartition("library_id", "id").groupBy("library_id", "id").agg(F.collect_list(F.struct("kind", "n", "draft")).alias("own"))
+
+    def later(x: Column) -> Column:
+        alike = F.filter("own", lambda y: (x["draft"] < y["draft"]) & (F.least(x["n"], y["n"]) > above * F.greatest(x["n"], y["n"])))
+        return F.transform(alike, lambda y: F.struct(x.alias("x"), y.alias("y")))
+
+    met = own.where(F.size("own") > 1).select("library_id", F.explode(F.flatten(F.transform("own", later))).alias("met"))
+    common = met.groupBy("library_id", "met").agg(F.count("*").alias("common"))
+    found = common.where(jaccard(F.col("common"), F.col("met.x.n"), F.col("met.y.n")) > above)
+    turns = [_turn(F.col(f"met.{end}.kind"), F.col(f"met.{end}.n"), F.col(f"met.{end}.draft")) for end in "xy"]
+    return found.select("library_id", F.when(turns[0] > turns[1], F.col("met.y.draft")).otherwise(F.col("met.x.draft")).alias("a"), F.when(turns[0] > turns[1], F.col("met.x.draft")).otherwise(F.col("met.y.draft")).alias("b"))
+
+
 def folded_drafts(drafts: DataFrame, members: DataFrame, above: float = 0.8) -> DataFrame:
     """(library_id, draft): those to drop, so that no two of the rest have a similarity over `above`.
 

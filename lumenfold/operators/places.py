@@ -92,10 +92,11 @@ def near_clusters(points: DataFrame, meters: float, min_points: int, key: str =
     sparse = placed.where("head is null").select("library_id", "point", "lat", "lon")
     near = shared_checkpoint(near_pairs(placed, meters, asking=sparse, more=("head",)).withColumnRenamed("head", "head2"))
     cores = near.groupBy("library_id", "point").agg(F.sum("weight2").alias("around")).where(F.col("around") >= min_points).select("library_id", "point", F.lit(True).alias("core"))
+    cores = shared_checkpoint(cores)
     # what a point reaches: the node of a full cell, or a core outside of them
     other = cores.select("library_id", F.col("point").alias("point2"), F.lit(True).alias("core2"))
     reached = near.join(other, ["library_id", "point2"], "left").where("head2 is not null or core2")
-    reached = reached.select("library_id", "point", F.coalesce("head2", "point2").alias("node")).distinct()
+    reached = shared_checkpoint(reached.select("library_id", "point", F.coalesce("head2", "point2").alias("node")).distinct())
     links = reached.join(cores, ["library_id", "point"]).select("library_id", F.col("point").alias("a"), F.col("node").alias("b"))
     # a point of each quarter of a full cell stands for it; if no two of these are in reach, those of two quarters may still be
     marks = placed.where("head is not null").groupBy("library_id", "head", "quarter").agg(F.min_by(F.struct("point", "lat", "lon"), "point").alias("own"))

@@ -64,10 +64,13 @@ def timeline(photos: DataFrame, homes: DataFrame, counted: DataFrame | None = No
     """The events, and the event of each photo with a time.
 
     Events have library_id, event_kind (trip or day), event (its start), start, end, n_days, nights, n_counted. `counted` has
-    library_id, id and counted; all photos count without it. Members have library_id, id, event_kind and event.
+    library_id, id and counted; without it photos may have a column `counted`, else all count. Members have library_id, id, event_kind and event.
     """
     rows = with_home(photos.drop("home_lat", "home_lon", "meters"), homes)
-    rows = rows.withColumn("counted", F.lit(True)) if counted is None else rows.drop("counted").join(counted.select("library_id", "id", "counted"), ["library_id", "id"], "left").withColumn("counted", F.coalesce("counted", F.lit(True)))
+    if counted is not None:
+        rows = rows.drop("counted").join(counted.select("library_id", "id", "counted"), ["library_id", "id"], "left").withColumn("counted", F.coalesce("counted", F.lit(True)))
+    elif "counted" not in rows.columns:
+        rows = rows.withColumn("counted", F.lit(True))
     # each step reads the one before more than once
     rows = shared_checkpoint(rows.where(F.col("taken_at").isNotNull()).select("library_id", "id", "taken_at", "counted", "meters"))
     placed = shared_checkpoint(sessions(rows, options.session_gap_ms))

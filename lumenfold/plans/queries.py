@@ -188,11 +188,10 @@ def trips(spark, sf_dir):
 @query("events_of", sql='SELECT library_id, event_kind, event, min(start) AS start, max("end") AS "end", count(*)::INTEGER AS n_days, sum(n_counted)::BIGINT AS n_counted FROM event_days GROUP BY 1, 2, 3')
 def timeline(spark, sf_dir):
     rows = _labelled(spark, sf_dir, "taken_at", "lat", "lon", "phash", "luma_variance", "brightness", "edge_density", "colorfulness")
-    in_bursts = shared_checkpoint(bursts.burst_members(rows))
-    groups = bursts.burst_groups(rows, in_bursts)
-    counted = in_bursts.join(groups.select("library_id", "burst", "cover_id"), ["library_id", "burst"]).select("library_id", "id", (F.col("id") == F.col("cover_id")).alias("counted"))
+    rows = shared_checkpoint(bursts.with_bursts(rows).drop("phash", "luma_variance"))
+    groups = bursts.groups_of(rows.where("burst is not null"))
     rows = rows.where(~F.col("label").eqNullSafe(SCREENSHOT))
-    events, _ = tl.timeline(rows, infer_home(rows), counted)
+    events, _ = tl.timeline(bursts.with_counted(rows, groups), infer_home(rows))
     return events.select("library_id", "event_kind", "event", "start", "end", "n_days", "n_counted")
 
 

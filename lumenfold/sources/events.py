@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def wall_millis(ts: Column) -> Column:
     """Epoch ms of a timestamp without a zone, as a wall clock in UTC, whatever the session's zone is."""
     of_day = (F.hour(ts) * 3600 + F.minute(ts) * 60) * 1000 + F.floor(F.date_part(F.lit("SECOND"), ts) * 1000)
-    return F.unix_date(ts.cast("date")).cast("long") * 86_400_000 + of_day
+    return F.unix_date(ts.cast("date")).cast("long") * 86_400_000 + of_day.cast("long")  # not a decimal, which takes twice the room wherever photos move
 
 
 def photos_from_events(events: DataFrame) -> DataFrame:
